@@ -74,7 +74,9 @@ _SPELLED = re.compile(rf"(?<!\w)(?:{_WORDS}|plus)(?:[\x20,.-]{{1,2}}(?:{_WORDS}|
 _SPELLED_PART = re.compile(rf"(plus)|(?:(double|triple)[\x20-])?({_WORDS})|[\x20,.-]+", re.IGNORECASE)
 _HOST = r"[A-Za-z0-9-]+"
 _BRACKETED = re.compile(r"[\x20]?[\[({<]\x20?(?:(at|@|ät|arroba|arobase)|(dot|\.|punkt|punto|point))\x20?[\])}>][\x20]?", re.IGNORECASE)
-_WORDED = re.compile(rf"(?<=[A-Za-z0-9_%+-])(\x20+at\x20+|\x20*@\x20*)({_HOST}(?:(?:\x20+dot\x20+|\x20*\.\x20*|\.)(?:{_HOST}))*?)(\x20+dot\x20+|\x20+\.\x20*|\.\x20+|\.)(com|org|net|edu|gov|io|info|de|fr|es|uk|co|example)(?![A-Za-z0-9-])", re.IGNORECASE)
+_TOP = r"(com|org|net|edu|gov|io|info|de|fr|es|uk|co|example)(?![A-Za-z0-9-]|\x20+dot\x20+[A-Za-z0-9]|\.[A-Za-z0-9])"
+_DOT = r"(?:\x20+dot\x20+|\x20\.\x20|\.)"
+_WORDED = re.compile(rf"(?<=[A-Za-z0-9_%+-])(\x20+at\x20+|\x20*@\x20*)({_HOST}(?:{_DOT}{_HOST})*?)({_DOT}){_TOP}", re.IGNORECASE)
 _TRIGGER = re.compile(r"[\[({<]\x20?(?:at|@|ät|arroba|arobase|dot|\.|punkt|punto|point)\x20?[\])}>]|\x20dot\x20|\x20@|@\x20", re.IGNORECASE)
 
 
@@ -114,7 +116,7 @@ def _edit_worded(text: str) -> list[tuple[int, int, str]]:
     edits = []
     for m in _WORDED.finditer(text):
         edits.append((m.start(1), m.end(1), "@"))
-        for d in re.finditer(r"\x20+dot\x20+|\x20*\.\x20*", m[2] + m[3], re.IGNORECASE):
+        for d in re.finditer(_DOT, m[2] + m[3], re.IGNORECASE):
             edits.append((m.start(2) + d.start(), m.start(2) + d.end(), "."))
     return edits
 

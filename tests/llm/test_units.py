@@ -1,0 +1,167 @@
+"""Kernels against plain versions of themselves."""
+
+import random
+import re
+
+import numpy as np
+import xxhash
+
+from strandforge.llm import decontaminate, html, language, pii, quality, simhash, toxicity
+
+
+def plain_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text))
+    shingles = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or ([" ".join(words)] if words else [])
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_fingerprint_is_the_majority_of_shingle_hashes():
+    rng = random.Random(1)
+    for n in (0, 1, 3, 4, 5, 9, 400):
+        text = "\t".join(rng.choice(["Aé", "the", "Of", "x y", "ÉLAN"]) for _ in range(n))
+        assert simhash.fingerprint(text) == plain_fingerprint(text)
+    assert simhash.fingerprint(None) == 0
+
+
+def test_tree_finds_all_links_of_every_layout():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    flips = [np.bitwise_xor.reduce(np.array([1 << int(b) for b in rng.integers(0, 64, 3)], np.uint64)) for _ in range(120)]
+    values = np.unique(np.concatenate([base, [base[i % 40] ^ f for i, f in enumerate(flips)]]))
+    want = {(int(a), int(b)) for a in values for b in values if a < b and int(a ^ b).bit_count() <= 4}
+    got = set()
+    for node, near in simhash.BKTree(values).visit(values, 4):
+        got |= {(min(int(values[node]), int(values[k])), max(int(values[node]), int(values[k]))) for k in near if k != node}
+    assert got == want
+    for n in (100, 1 << 21, 1 << 40):
+        keys = simhash.shard_bits(n)
+        for a, b in want:
+            assert any(all((a >> s) % (1 << (e - s)) == (b >> s) % (1 << (e - s)) for s, e in k) for k in keys)
+
+
+def _classes(n, links):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(i) for i in range(n)]
+
+
+def test_spanning_links_keep_the_components():
+    rng = np.random.default_rng(5)
+    values = np.unique(np.concatenate([[b ^ np.uint64(1 << int(k)) for k in rng.integers(0, 64, 12)] for b in rng.integers(0, 1 << 63, 12, dtype=np.uint64)]))
+    at = {int(v): i for i, v in enumerate(values)}
+    pairs = [(i, j) for i in range(len(values)) for j in range(i) if int(values[i] ^ values[j]).bit_count() <= 4]
+    left, right = values[::2], values[1::2]
+    within = simhash.spanning_links(values, None, 4)
+    assert len(within) < len(values)
+    assert _classes(len(values), [(at[a], at[b]) for a, b in within]) == _classes(len(values), pairs)
+    parts = simhash.spanning_links(left, None, 4) + simhash.spanning_links(right, None, 4) + simhash.spanning_links(left, right, 4)
+    assert _classes(len(values), [(at[a], at[b]) for a, b in parts]) == _classes(len(values), pairs)
+
+
+def test_alignment_scores():
+    sw = lambda a, b: decontaminate.smith_waterman(np.array(a), np.array(b))
+
+    def plain(a, b):
+        h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                h[i][j] = max(0, h[i - 1][j - 1] + (2 if x == y else -1), h[i - 1][j] - 1, h[i][j - 1] - 1)
+        return max(map(max, h))
+
+    rng = random.Random(2)
+    for _ in range(60):
+        a = [rng.randint(1, 6) for _ in range(rng.randint(1, 14))]
+        b = [rng.randint(0, 6) for _ in range(rng.randint(0, 25))]
+        assert sw(a, b)[0] == plain(a, b)
+    assert sw([1, 2, 3, 4], [9, 9, 1, 2, 3, 4, 9]) == (8, 2, 6)
+    assert sw([1, 2, 3, 4, 5, 6], [9, 1, 2, 9, 3, 4, 5, 6]) == (11, 1, 8)
+
+
+def test_pii_patterns_match_plain_search():
+    rng = random.Random(4)
+    for _ in range(400):
+        text = "".join(rng.choice(["a", "b@", "@", ".", "c.d", " ", "%", "-", "x@y.z"]) for _ in range(rng.randint(0, 20)))
+        assert list(pii._emails(text)) == [m.span() for m in pii.EMAIL.finditer(text)]
+    found = pii.detect("mail me.x@host.example.com, 10.0.0.255 or 10.0.0.256; 4111 1111 1111 1111, +49 (30) 123-4567.")
+    assert [k for k, *_ in found] == ["email", "ip", "card", "phone"]
+
+
+def test_disguised_identifiers_map_back():
+    for text, kind, span in [
+        ("write to john [at] mail [dot] example [dot] com now", "email", "john [at] mail [dot] example [dot] com"),
+        ("write jane at mail dot example dot org today", "email", "jane at mail dot example dot org"),
+        ("jоhn@exаmple.com!", "email", "jоhn@exаmple.com"),
+        ("call plus four nine three zero one two three four five six", "phone", "plus four nine three zero one two three four five six"),
+        ("ｊｏｅ＠ｅｘ.com", "email", "ｊｏｅ＠ｅｘ.com"),
+        ("a​@b.de x", "email", "a​@b.de"),
+    ]:
+        base, spans = pii.find_pii(text)
+        assert (kind, span) in [(k, text[s:e]) for k, s, e in spans], (text, spans)
+        assert set(base) <= set(spans)
+    for clean in ("he looked at the dot on the map. com", "one two three go", "they met at noon. Dots are fine", "a dot on x at y. Es for", ""):
+        assert pii.find_pii(clean) == ([], [])
+    assert pii.mask("x a@b.de y") == "x <email> y"
+
+
+def test_quality_measures():
+    assert quality.measure("") == (0, 0, 0, 0, 0)
+    assert quality.measure("a b c a b c") == (6, 6, 0, 0, 6)
+    assert quality.measure("a a a a") == (4, 4, 0, 0, 4)
+    assert quality.measure("é # x\n\n\n \né # x") == (6, 6, 2, 1, 6)
+    assert quality.measure("a b c d b c d e") == (8, 8, 0, 0, 6)
+    assert quality.measure("x y z") == (2, 4, 0, 0, 0)
+
+
+def _page(article, nav="Home", ad="Buy"):
+    return f"<html><head><title>T</title><script>var a='<p>no</p>';</script></head><body><nav><a>{nav}</a></nav><div class='ad'>{ad}</div>{article}<footer>&copy; x</footer></body></html>"
+
+
+def test_article_text():
+    get = lambda s: html.main_text(html.parse(s), set())
+    assert get(_page("<article><h1>A &amp; B</h1><p><b>One<br><p>Two\n  three</p><div class='comments'><p>me too</p></div></article>")) == "A & B One Two three"
+    assert get(_page("<article><header><h1>H</h1><span>by me</span></header><p>x <em>y</em>z</p><ul><li>p<li>q</ul><form>f</form><aside>s</aside></article>")) == "H x yz p q"
+    assert get("") == "" and get("<p") == "" or get("<p") == "<p"
+    assert get("<body><p>only text</p></body>") == "only text"
+
+
+def test_template_is_what_aligned_pages_repeat():
+    body = lambda t: f"<body><div><p>Welcome to the site of all sites</p></div><div><p>{t}</p><p>{t[::-1]}</p></div></body>"
+    pages = [html.parse(body(" ".join(f"w{k}{i}" for i in range(20)))) for k in range(4)]
+    template = html.template_of(pages[0], pages)
+    assert html.main_text(pages[0], template).startswith("w00") and "Welcome" not in html.main_text(pages[0], template)
+    assert html.template_of(pages[0], [pages[0], pages[1]]) == set()  # one telling page proves nothing
+
+
+def test_tree_matching_counts_pairs():
+    a, b = html.parse("<div><p>x</p><ul><li>1</li></ul></div>"), html.parse("<div><p>y</p><ul><li>1</li><li>2</li></ul></div>")
+    html._digest(a), html._digest(b)
+    assert html._match(a, a, {}) == a.size == 7
+    assert html._match(a, b, {}) == 7  # root, div, p and its slot, ul, li and its text
+
+
+def test_kernel_is_the_normalised_overlap():
+    x, y = language.ngram_presence("The cat"), language.ngram_presence("the dog.")
+    k = language.kernel([x], [y])[0, 0]
+    assert abs(k - len(np.intersect1d(x, y)) / np.sqrt(len(x) * len(y))) < 1e-6
+    assert len(language.ngram_presence("123 !?")) == 0
+
+
+def test_folded_weights_equal_the_kernel_expansion():
+    texts = ["der hund und die katze", "die maus und der mann", "the dog and the cat", "the mouse and a man"]
+    p = [language.ngram_presence(t) for t in texts]
+    model = language.fit(p, ["de", "de", "en", "en"], 2)
+    assert model.predict(["the man and the mouse", "", "77"])[0] == ["en", "und", "und"]
+    assert language.fit([], []).predict(["abc"]) == (["und"], [0.0])
+
+
+def test_distance_model_without_training_text():
+    m = toxicity.fit_distance([], [])
+    assert m.scorer()("whatever") == 0.5
