@@ -1,10 +1,655 @@
-"""Registered queries over the driver's tables, each beside SQL for the same rows."""
+"""Registered queries over the driver's tables, each beside SQL for the same rows.
+
+The tables hold no DNA: a document's segment is the MD5 of its text (and of seven numbered variants), with hex digits as bases.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandforge.functions import seq, text
+from strandforge.operators import conservation, curation, evaluate, index, orf, rank, rules, similarity, viewer
+from strandforge.plans import pipeline
+from strandforge.sources import fasta, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+# ---------------------------------------------------------------- shared inputs
+
+_HEX, _BASES = "0123456789abcdef", "ACGTACGTACGTACGT"
+_PARTS = 8
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """record_id, doc_id, gbk_file (source and language), sequence."""
+    dna = F.translate(F.concat(*(F.md5(F.concat(F.lit(f"{k}:"), F.col("text"))) for k in range(_PARTS))), _HEX, _BASES)
+    return read(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("record_id"), "doc_id", F.concat_ws("/", "source", "lang").alias("gbk_file"), dna.alias("sequence"))
+
+
+def found_orfs(spark: SparkSession, sf_dir: str, min_aa: int = 20, max_aa: int = 120) -> DataFrame:
+    own = segments(spark, sf_dir).withColumn("window_start", F.lit(0))
+    return orf.with_protein(orf.orfs(own, min_aa, max_aa))
+
+
+_DNA = "translate(" + " || ".join(f"md5('{k}:' || text)" for k in range(_PARTS)) + f", '{_HEX}', '{_BASES}')"
+_SEG = f"seg as (select 'doc' || doc_id as record_id, doc_id, source || '/' || lang as gbk_file, {_DNA} as dna from documents)"
+
+
+def _aa(c: str) -> str:
+    return f"substr('{seq.AMINO}', 16 * (instr('TCAG', substr({c}, 1, 1)) - 1) + 4 * (instr('TCAG', substr({c}, 2, 1)) - 1) + instr('TCAG', substr({c}, 3, 1)), 1)"
+
+
+def _protein(dna: str) -> str:
+    body = f"array_to_string(list_transform(range(0, length({dna}) // 3), lambda k: {_aa(f'substr({dna}, 3 * k + 1, 3)')}), '')"
+    return f"case when substr({dna}, 1, 3) in ('GTG', 'TTG') then 'M' || substr({body}, 2) else {body} end"
+
+
+_STRANDS = _SEG + """,
+both_ as (select record_id, doc_id, gbk_file, '+' as strand, dna as own from seg union all
+  select record_id, doc_id, gbk_file, '-', reverse(translate(dna, 'ACGT', 'TGCA')) from seg),
+pos as (select record_id, doc_id, gbk_file, strand, own, unnest(range(0, length(own) - 2)) as i from both_),
+cod as (select record_id, doc_id, gbk_file, strand, length(own) as len, i, substr(own, i + 1, 3) as codon from pos),
+nxt as (select *, min(case when codon in ('TAA', 'TAG', 'TGA') then i end) over (partition by record_id, strand, i % 3 order by i desc rows between unbounded preceding and current row) as stop from cod)"""
+
+
+def _orf_sql(min_aa: int = 20, max_aa: int = 120) -> str:
+    return f"""{_STRANDS},
+hit as (select n.record_id, n.doc_id, n.gbk_file, n.strand, n.len, n.i, n.codon, n.stop - n.i as nt_len, substr(b.own, (n.i + 1)::int, (n.stop - n.i)::int) as dna
+  from nxt n join both_ b using (record_id, strand) where n.codon in ('ATG', 'GTG', 'TTG') and n.stop > n.i and (n.stop - n.i) // 3 between {min_aa} and {max_aa}),
+orfs as (select record_id, doc_id, gbk_file, strand, (case when strand = '-' then -(i % 3 + 1) else i % 3 end)::int as frame, i::int as nt_start,
+  (case when strand = '-' then len - i - nt_len else i end)::int as genomic_start, (case when strand = '-' then len - i else i + nt_len end)::int as genomic_end,
+  dna, codon as start_codon, (nt_len // 3)::int as aa_len, nt_len::int as nt_len, {_protein('dna')} as protein, codon in ('GTG', 'TTG') as is_alt_start from hit)"""
+
+
+def references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "embeddings").filter("vec_id % 5 = 0")
+    return e.select(F.col("vec_id").cast("string").alias("ref_id"), F.col("label").cast("string").alias("locus"), F.col("vec_id").alias("ref_ord"), "embedding")
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").filter("vec_id % 5 <> 0").select(F.col("vec_id").alias("candidate_id"), "embedding", F.col("label").cast("string").alias("group"))
+
+
+_UNIT = """unit as (select vec_id, label::varchar as label, case when list_sum(list_transform(v, lambda x: x * x)) > 0 then list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) else v end as v from (select vec_id, label, embedding::double[] as v from embeddings)),
+sims as (select c.vec_id as candidate_id, c.label as own, r.vec_id as ref_ord, r.label as locus, list_dot_product(c.v, r.v) as s from unit c join unit r on c.vec_id % 5 <> 0 and r.vec_id % 5 = 0)"""
+
+
+# ---------------------------------------------------------------- frames and sequence functions
+
+_ORF_COLUMNS = ["record_id", "strand", "frame", "genomic_start", "genomic_end", "start_codon", "aa_len", "nt_len", "protein", "is_alt_start"]
+
+
+@query(f"with {_orf_sql()} select {', '.join(_ORF_COLUMNS)} from orfs")
+def orf_six_frames(spark, sf_dir):
+    return found_orfs(spark, sf_dir).select(*_ORF_COLUMNS)
+
+
+@query(f"with {_orf_sql()} select record_id, strand, genomic_start, aa_len, protein from (select *, row_number() over (partition by record_id order by aa_len desc, strand, genomic_start) r from orfs) where r <= 3")
+def orf_top_longest(spark, sf_dir):
+    by = [F.desc("aa_len"), F.col("strand"), F.col("genomic_start")]
+    return rank.top_k(found_orfs(spark, sf_dir), by, 3, ["record_id"]).select("record_id", "strand", "genomic_start", "aa_len", "protein")
+
+
+@query(f"""with {_orf_sql()} select record_id || '|orf' || case when length(n::varchar) >= 4 then n::varchar else lpad(n::varchar, 4, '0') end as candidate_id, protein
+from (select *, row_number() over (partition by record_id order by strand, abs(frame), nt_start + nt_len, nt_start) n from orfs)""")
+def orf_candidate_ids(spark, sf_dir):
+    return orf.with_candidate_ids(found_orfs(spark, sf_dir)).select("candidate_id", "protein")
+
+
+@query(f"""with {_SEG}, w as (select record_id, substr(dna, 33, 128) as win from seg) , fr as (select *, unnest([0, 1, 2]) f from w), st as (select *, unnest(['+', '-']) strand from fr),
+own as (select *, case when strand = '-' then reverse(translate(win, 'ACGT', 'TGCA')) else win end as o, case when strand = '-' then (abs(f + 1) - 1) % 3 else f % 3 end as off from st),
+body as (select *, substr(o, off::int + 1) as b from own)
+select record_id, strand, (case when strand = '-' then -(f + 1) else f end)::int as frame, array_to_string(list_transform(range(0, length(b) // 3), lambda k: {_aa('substr(b, 3 * k + 1, 3)')}), '') as peptide from body""")
+def window_translation(spark, sf_dir):
+    w = segments(spark, sf_dir).select("record_id", F.substring("sequence", 33, 128).alias("w")).withColumn("f", F.explode(F.array(*map(F.lit, range(3))))).withColumn("strand", F.explode(F.array(F.lit("+"), F.lit("-"))))
+    w = w.withColumn("frame", F.when(F.col("strand") == "-", -(F.col("f") + 1)).otherwise(F.col("f")))
+    return w.select("record_id", "strand", "frame", seq.translate_window(F.col("w"), F.col("strand"), F.col("frame")).alias("peptide"))
+
+
+def _count_sql(s: str, letter: str) -> str:
+    return f"(length({s}) - length(replace({s}, '{letter}', '')))"
+
+
+def _hydro_sql(s: str) -> str:
+    return f"(case when length({s}) > 0 then (" + " + ".join(f"({v}) * {_count_sql(s, k)}" for k, v in sorted(seq.HYDROPATHY.items())) + f")::double / length({s}) else 0.0::double end)"
+
+
+def _charge_sql(s: str) -> str:
+    pick = lambda end, table, usual: "(case " + " ".join(f"when {end} = '{k}' then {v}" for k, v in table.items()) + f" else {usual} end)::double"
+    plus = " + ".join([f"1 / (pow(10.0::double, 7.0 - {pick(f'left({s}, 1)', seq.PK_N_BY_RESIDUE, seq.PK_N)}) + 1)", *(f"{_count_sql(s, k)} / (pow(10.0::double, 7.0 - {v}) + 1)" for k, v in seq.PK_POSITIVE.items())])
+    minus = " + ".join([f"1 / (pow(10.0::double, {pick(f'right({s}, 1)', seq.PK_C_BY_RESIDUE, seq.PK_C)} - 7.0) + 1)", *(f"{_count_sql(s, k)} / (pow(10.0::double, {v} - 7.0) + 1)" for k, v in seq.PK_NEGATIVE.items())])
+    return f"(case when length({s}) > 0 then ({plus}) - ({minus}) else 0.0::double end)"
+
+
+@query(f"""with {_orf_sql()}, p as (select distinct protein from orfs) select protein, round({_charge_sql('protein')}, 6) as charge, round({_hydro_sql('protein')}, 6) as hydropathy,
+round({_count_sql('protein', 'G')} / length(protein)::double, 6) as glycine, 'core_' || substr(sha1(replace(protein, 'I', 'L')), 1, 10) as core_group, substr(sha1(protein), 1, 10) as short_hash from p""")
+def protein_properties(spark, sf_dir):
+    p = found_orfs(spark, sf_dir).select("protein").distinct()
+    c = F.col("protein")
+    return p.select("protein", F.round(seq.net_charge(c), 6).alias("charge"), F.round(seq.hydropathy_mean(c), 6).alias("hydropathy"), F.round(seq.residue_ratio(c, "G"), 6).alias("glycine"), text.core_group(c).alias("core_group"), text.sequence_hash(c).alias("short_hash"))
+
+
+@query()
+def peptide_digests(spark, sf_dir):
+    return found_orfs(spark, sf_dir).select("protein").distinct().withColumn("digest", seq.peptide_digest(F.col("protein")))
+
+
+@query(f"""with {_SEG} select record_id, reverse(translate(dna, 'ACGT', 'TGCA')) as reversed, {_protein('dna')} as protein_all,
+array_to_string(list_transform(range(0, length(dna) // 3), lambda k: replace({_aa('substr(dna, 3 * k + 1, 3)')}, '*', 'X')), '') as residues from (select record_id, dna from seg)""")
+def whole_translation(spark, sf_dir):
+    d = F.col("sequence")
+    body = F.regexp_replace(seq.translate_bacterial(d), "$", "")
+    closing = F.when(F.substr(d, F.expr("3 * (length(sequence) div 3) - 2"), F.lit(3)).isin(*seq.STOPS), F.lit("*")).otherwise(F.lit(""))
+    return segments(spark, sf_dir).select("record_id", seq.reverse_complement(d).alias("reversed"), F.concat(body, closing).alias("protein_all"), F.array_join(seq.codon_residues(d), "").alias("residues"))
+
+
+@query("""select c_custkey, case when s = '' then 'unnamed' else s end as slug, upper(regexp_replace(c_name, '[^A-Za-z]', '', 'g')) as letters,
+substr(sha1(c_name), 1, 10) as short_hash, replace(upper(c_name), 'I', 'L') as leucine,
+c_mktsegment || '|locus=' || c_nationkey || '|prot=' || c_custkey as header, c_nationkey::varchar as locus, c_custkey::varchar as prot
+from (select *, substr(regexp_replace(regexp_replace(lower(trim(c_name)), '\\s+', '_', 'g'), '[^a-z0-9_.-]', '', 'g'), 1, 60) as s from customer)""")
+def label_functions(spark, sf_dir):
+    c = read(spark, sf_dir, "customer")
+    name = F.col("c_name")
+    header = text.inject_locus(F.concat("c_mktsegment", F.lit("|prot="), F.col("c_custkey").cast("string")), F.col("c_nationkey").cast("string"))
+    c = c.withColumn("header", header)
+    return c.select("c_custkey", text.slug(name).alias("slug"), text.clean_letters(name).alias("letters"), text.sequence_hash(name).alias("short_hash"), text.leucine(name).alias("leucine"), "header", text.require_locus(F.col("header")).alias("locus"), text.protein_token(F.col("header")).alias("prot"))
+
+
+@query("""select page_id, regexp_replace(split_part(trim(u), ' ', 1), '\\.[0-9]+$', '') as accession, case when tail = '' then '' else tail end as link_part from (select page_id, url as u, regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '([^/]*)$', 1) as tail from pages)""")
+def accession_functions(spark, sf_dir):
+    p = read(spark, sf_dir, "pages")
+    return p.select("page_id", text.normalise_accession(F.col("url")).alias("accession"), text.accession_or_link(F.lit(""), F.col("url")).alias("link_part"))
+
+
+@query(f"""with {_orf_sql()}, p as (select distinct protein, substr(protein, length(protein) - 9) as core from orfs)
+select protein, core, ends_with(replace(protein, 'I', 'L'), replace(core, 'I', 'L')) as is_suffix, contains(left(replace(protein, 'I', 'L'), length(core) + 5), replace(core, 'I', 'L')) as near_start,
+array_to_string(list_filter(range(0, length(protein) - 1), lambda i: substr(protein, i + 1, 2) = substr(core, 1, 2)), ',') as places from p""")
+def core_match_functions(spark, sf_dir):
+    p = found_orfs(spark, sf_dir).select("protein").distinct().withColumn("core", F.right("protein", F.lit(10)))
+    places = F.array_join(F.transform(text.occurrences(F.col("protein"), F.substring("core", 1, 2)), lambda i: i.cast("string")), ",")
+    return p.select("protein", "core", text.core_is_suffix(F.col("protein"), F.col("core")).alias("is_suffix"), text.core_is_prefix(F.col("protein"), F.col("core"), 5).alias("near_start"), places.alias("places"))
+
+
+@query("""select l_orderkey, l_linenumber, gs, ge, os, oe,
+case when least(ge, oe) > greatest(gs, os) then least(19, greatest(0, trunc((greatest(gs, os) - gs) / (ge - gs)::double * 20)))::int end as bin_first,
+case when least(ge, oe) > greatest(gs, os) then least(19, greatest(0, trunc((least(ge, oe) - 1 - gs) / (ge - gs)::double * 20)))::int end as bin_last,
+greatest(0, greatest(os - ge, gs - oe)) as distance, least(ge, oe) > greatest(gs, os) as overlap
+from (select l_orderkey, l_linenumber, (l_partkey % 500)::int gs, (l_partkey % 500 + 50 + l_suppkey % 300)::int ge, (l_suppkey % 700)::int os, (l_suppkey % 700 + 20 + l_linenumber * 10)::int oe from lineitem)""")
+def interval_bins(spark, sf_dir):
+    t = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 500).cast("int").alias("gs"), (F.col("l_partkey") % 500 + 50 + F.col("l_suppkey") % 300).cast("int").alias("ge"), (F.col("l_suppkey") % 700).cast("int").alias("os"), (F.col("l_suppkey") % 700 + 20 + F.col("l_linenumber") * 10).cast("int").alias("oe"))
+    at = [F.col(c) for c in ("gs", "ge", "os", "oe")]
+    b = seq.bins_of(*at, 20)
+    return t.select("*", b["first"].alias("bin_first"), b["last"].alias("bin_last"), seq.interval_distance(*at).alias("distance"), seq.overlaps(*at).alias("overlap"))
+
+
+@query("""select p_partkey, greatest(0, least(n, (a * n + 19) // 20))::bigint as win_start, greatest(0, least(n, ((b + 1) * n + 19) // 20))::bigint as win_end from (select p_partkey, (100 + p_partkey % 900)::int n, (p_size % 10)::int a, (p_size % 10 + p_partkey % 5)::int b from part)""")
+def bin_windows(spark, sf_dir):
+    w = seq.window_of_bins(F.col("p_size") % 10, F.col("p_size") % 10 + F.col("p_partkey") % 5, 100 + F.col("p_partkey") % 900, 20)
+    return read(spark, sf_dir, "part").select("p_partkey", w["start"].alias("win_start"), w["end"].alias("win_end"))
+
+
+# ---------------------------------------------------------------- similarity
+
+@query(f"""with {_UNIT} select candidate_id, ref_ord::varchar as best_match_id, round(s, 6) as best_similarity, round(m, 6) as top_n_mean_similarity from (select *, row_number() over (partition by candidate_id order by s desc, ref_ord) r from sims)
+join (select candidate_id, avg(g) m from (select candidate_id, locus, max(s) g, row_number() over (partition by candidate_id order by max(s) desc, locus) k from sims group by candidate_id, locus) where k <= 5 group by candidate_id) using (candidate_id) where r = 1""")
+def similarity_scores(spark, sf_dir):
+    s = similarity.score_candidates(candidates(spark, sf_dir), references(spark, sf_dir), 5)
+    return s.select("candidate_id", "best_match_id", F.round("best_similarity", 6).alias("best_similarity"), F.round("top_n_mean_similarity", 6).alias("top_n_mean_similarity"))
+
+
+@query(f"with {_UNIT} select candidate_id, locus, round(max(s), 6) as similarity from sims group by candidate_id, locus")
+def similarity_group_max(spark, sf_dir):
+    return similarity.group_max(similarity.best_by_locus(candidates(spark, sf_dir), references(spark, sf_dir))).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"with {_UNIT} select candidate_id, count(*)::int as refs, round(sum(s), 5) as total, round(min(s), 6) as least, round(max(s), 6) as most from sims group by candidate_id")
+def similarity_matrix(spark, sf_dir):
+    m = similarity.similarity_rows(candidates(spark, sf_dir), references(spark, sf_dir))
+    return m.select("candidate_id", F.size("similarities").alias("refs"), F.round(F.aggregate("similarities", F.lit(0.0), lambda a, x: a + x), 5).alias("total"), F.round(F.array_min("similarities"), 6).alias("least"), F.round(F.array_max("similarities"), 6).alias("most"))
+
+
+@query("""with v as (select vec_id, label, embedding::double[] e from embeddings), c as (select label, min(vec_id) m from v group by label)
+select v.vec_id, round(list_dot_product(v.e, h.e) / (sqrt(list_dot_product(v.e, v.e)) * sqrt(list_dot_product(h.e, h.e))), 6) as cosine from v join c using (label) join v h on h.vec_id = c.m""")
+def cosine_to_first(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    head = e.groupBy("label").agg(F.min("vec_id").alias("vec_id")).join(e.drop("label"), "vec_id").select("label", F.col("embedding").alias("first"))
+    return e.join(head, "label").select("vec_id", F.round(seq.cosine(F.col("embedding"), F.col("first")), 6).alias("cosine"))
+
+
+@query("""with v as (select label, embedding::double[] e from embeddings), u as (select label, unnest(e) x, generate_subscripts(e, 1) i from v), m as (select label, i, avg(x) a from u group by label, i) select label, round(sum(a), 5) as total, round(max(a), 6) as most from m group by label""")
+def mean_pooling(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("a"))
+    return e.groupBy("label").agg(F.round(F.sum("a"), 5).alias("total"), F.round(F.max("a"), 6).alias("most"))
+
+
+@query("select vec_id, round((embedding[1]::double + embedding[3]::double) / 2, 6) as first, round((embedding[2]::double + embedding[4]::double) / 2, 6) as second from embeddings")
+def masked_pooling(spark, sf_dir):
+    e = F.col("embedding")
+    rows = F.array(F.slice(e, 1, 2), F.slice(e, 3, 2), F.slice(e, 5, 2))
+    m = seq.masked_mean(rows, F.array(F.lit(True), F.lit(True), F.lit(False)))
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.round(m[0], 6).alias("first"), F.round(m[1], 6).alias("second"))
+
+
+_HOLD = f"""{_UNIT}, best as (select candidate_id, own, max(s) b from sims where locus <> own group by candidate_id, own),
+ranked as (select *, row_number() over (partition by own order by round(b, 9) desc, candidate_id) r from best),
+ranks as (select own as locus, min(case when candidate_id % 7 = 1 then r end)::int as rank, count(*) as candidate_count, count(*) filter (candidate_id % 7 = 1) as holdout_match_count, round(max(case when r = 1 then b end) - max(case when r = 2 then b end), 6) as top1_top2_gap from ranked group by own)"""
+
+
+def _holdout(spark, sf_dir) -> DataFrame:
+    c = candidates(spark, sf_dir)
+    scored = evaluate.holdout_scores(c, references(spark, sf_dir).withColumnRenamed("locus", "group"))
+    return scored.join(c.select("candidate_id", F.col("group").alias("locus")), "candidate_id").withColumn("is_holdout", F.col("candidate_id") % 7 == 1)
+
+
+@query(f"with {_HOLD} select * from ranks")
+def holdout_ranks(spark, sf_dir):
+    return evaluate.holdout_ranks(_holdout(spark, sf_dir)).withColumn("top1_top2_gap", F.round("top1_top2_gap", 6))
+
+
+@query(f"""with {_HOLD} select count(*) as loci, avg((coalesce(rank <= 1, false))::int) as recall_1, avg((coalesce(rank <= 5, false))::int) as recall_5, avg((coalesce(rank <= 10, false))::int) as recall_10, avg((coalesce(rank <= 50, false))::int) as recall_50,
+avg(candidate_count) as candidates_mean, median(candidate_count)::double as candidates_median, min(candidate_count) as candidates_min, max(candidate_count) as candidates_max from ranks""")
+def holdout_recall(spark, sf_dir):
+    return evaluate.recall(evaluate.holdout_ranks(_holdout(spark, sf_dir)))
+
+
+@query(f"""with {_HOLD}, cut as (select *, case when candidate_id % 3 > 0 then sum((candidate_id % 3 > 0)::int) over (partition by own order by round(b, 9) desc, candidate_id rows unbounded preceding) end pr from ranked)
+select own as locus, min(case when candidate_id % 7 = 1 then pr end)::bigint as rank_cut from cut group by own""")
+def holdout_cutoff_ranks(spark, sf_dir):
+    s = _holdout(spark, sf_dir).withColumn("rule_score", (F.col("candidate_id") % 3).cast("double"))
+    return evaluate.holdout_ranks(s, {"rank_cut": 1.0}).select("locus", "rank_cut")
+
+
+@query(f"""with {_HOLD}, s as (select (c_custkey % 5)::varchar as seqn, (c_custkey % 10)::varchar as locus from customer group by 1, 2), b as (select seqn, min(rank) r from s left join ranks using (locus) group by seqn)
+select count(*) as sequences, avg(coalesce(r <= 1, false)::int) as recall_1, avg(coalesce(r <= 5, false)::int) as recall_5, avg(coalesce(r <= 10, false)::int) as recall_10, avg(coalesce(r <= 50, false)::int) as recall_50 from b""")
+def sequence_recall(spark, sf_dir):
+    s = read(spark, sf_dir, "customer").select((F.col("c_custkey") % 5).cast("string").alias("sequence"), (F.col("c_custkey") % 10).cast("string").alias("locus")).distinct()
+    return evaluate.sequence_recall(evaluate.holdout_ranks(_holdout(spark, sf_dir)), s)
+
+
+# ---------------------------------------------------------------- rules
+
+def _site_sql(table: str) -> str:
+    """Default rules for rows (key, sequence, position, leader, core) of leader_core sites, in SQL."""
+    r = rules.ruleset()
+    p = {k: v["parameters"] for k, v in r.items()}
+    w = {k: v["weight"] for k, v in r.items()}
+    cases = lambda e, t: "case " + " ".join(f"when {e} = '{k}' then {v}" for k, v in t.items()) + " end"
+    cs, rc, cl, sl = p["core_start_residue"], p["ring_closure_residue"], p["core_length"], p["steric_lock_region"]
+    ring = [(q, rc["position_weights"][str(q)]) for q in rc["allowed_positions"]]
+    best = "greatest(" + ", ".join(f"case when substr(core, {q}, 1) in ('D', 'E') then {v} end" for q, v in ring) + ")"
+    place = "case " + " ".join(f"when substr(core, {q}, 1) in ('D', 'E') and best = {v} then {q - 1}" for q, v in ring) + " end"
+    lw, cw = "right(leader, 10)", "left(core, 10)"
+    return f"""
+s0 as (select *, {best} as best, round({_charge_sql('leader')} - {_charge_sql('core')}, 9) as dq, round({_hydro_sql(cw)} - {_hydro_sql(lw)}, 9) as dh from {table}),
+s1 as (select *, {place} as acc from s0),
+s2 as (select *, substr(core, (acc + {sl['relative_to_acceptor']['start_offset']} + 1)::int, greatest(0, least(length(core) - 1, acc + {sl['relative_to_acceptor']['end_offset']}) - (acc + {sl['relative_to_acceptor']['start_offset']}) + 1)::int) as region from s1),
+s3 as (select *,
+  {w['core_start_residue']} * case when left(core, 1) = 'P' then {cs['penalty_forbidden']} else coalesce({cases('left(core, 1)', cs['scores'])}, {cs['penalty_other']}) end as core_start,
+  {w['ring_closure_residue']} * coalesce(best, {rc['penalty_if_missing_in_allowed_window']}) as ring_closure,
+  {w['core_length']} * case when length(core) between {cl['optimal_min']} and {cl['optimal_max']} then 1.0 when length(core) between {cl['min']} and {cl['max']} then 0.5 else -1.0 end as core_length,
+  {w['cleavage_motif']} * {cases('right(leader, 1) || left(core, 1)', p['cleavage_motif']['motifs'])} / 2 as cleavage_motif,
+  {w['leader_penultimate_residue']} * coalesce({cases('substr(leader, length(leader) - 1, 1)', {**p['leader_penultimate_residue']['preferred'], **p['leader_penultimate_residue']['allowed_rare']})}, {p['leader_penultimate_residue']['penalty_other']}) as leader_penultimate,
+  {w['leader_signature_motifs']} * greatest({', '.join(f"case when regexp_matches(leader, '{m}') then {v} end" for m, v in p['leader_signature_motifs']['patterns'].items())}) as leader_signature,
+  case when dh >= {p['hydrophobicity_transition']['min_difference']} then {w['hydrophobicity_transition']} * least(dh / 2, 1.5) end as hydrophobicity,
+  case when dq >= {p['charge_transition']['min_difference']} then {w['charge_transition']} * least(dq * 2, 1.0) end as charge_transition,
+  case when acc is not null and length(regexp_replace(region, '[^FWYHILVRK]', '', 'g')) >= 1 then {w['steric_lock_region']} end as steric_lock from s2),
+scored as (select *, (core_start + ring_closure + core_length + coalesce(cleavage_motif, 0) + leader_penultimate + coalesce(leader_signature, 0) + coalesce(hydrophobicity, 0) + coalesce(charge_transition, 0) + coalesce(steric_lock, 0))::double as score from s3)"""
+
+
+_SITES = f"{_orf_sql(40)}, prot as (select distinct protein as sequence from orfs), sites as (select sequence, position, left(sequence, position::int) as leader, substr(sequence, position::int + 1) as core from (select sequence, unnest(range(10, length(sequence) - 9)) as position from prot))"
+_SCORED = f"with {_SITES}, {_site_sql('sites')}"
+
+
+def proteins(spark, sf_dir) -> DataFrame:
+    return found_orfs(spark, sf_dir, 40).select(F.col("protein").alias("sequence")).distinct()
+
+
+@query(f"{_SCORED} select sequence, position::int as position, round(score, 6) as score, round(core_start, 6)::double as core_start, round(ring_closure, 6)::double as ring_closure, round(hydrophobicity, 6)::double as hydrophobicity, round(charge_transition, 6)::double as charge_transition, steric_lock::double as steric_lock, round(leader_penultimate, 6)::double as leader_penultimate, round(leader_signature, 6)::double as leader_signature, round(cleavage_motif, 6)::double as cleavage_motif, core_length::double as core_length from scored")
+def rule_breakdown(spark, sf_dir):
+    s = rules.cleavage_sites(proteins(spark, sf_dir), rules.ruleset())
+    names = ["core_start", "ring_closure", "hydrophobicity", "charge_transition", "steric_lock", "leader_penultimate", "leader_signature", "cleavage_motif", "core_length"]
+    return s.select("sequence", "position", F.round("score", 6).alias("score"), *(F.round(F.try_element_at("score_breakdown", F.lit(n)), 6).alias(n) for n in names))
+
+
+@query(f"{_SCORED} select sequence, position::int as position, core, round(score, 6) as score, rank::int as rank, case when score >= 8 then 'high' when score >= 5 then 'medium' else 'low' end as confidence from (select *, row_number() over (partition by sequence order by round(score, 9) desc, position) as rank from scored) where rank <= 3")
+def core_prediction(spark, sf_dir):
+    p = rules.predict(proteins(spark, sf_dir), "sequence")
+    return p.select("sequence", "position", "core", F.round("score", 6).alias("score"), "rank", "confidence")
+
+
+@query(f"{_SCORED} select sequence, round(max(score), 6) as rule_score_raw from scored group by sequence having max(score) >= 4.0")
+def rule_cutoff(spark, sf_dir):
+    b = rules.best_rule_score(proteins(spark, sf_dir)).filter("rule_score_raw >= 4.0")
+    return b.select("sequence", F.round("rule_score_raw", 6).alias("rule_score_raw"))
+
+
+@query()
+def core_prediction_both_orientations(spark, sf_dir):
+    p = rules.predict(proteins(spark, sf_dir), "sequence", rules.ruleset("permissive"), allow_inverted=True)
+    return p.select("sequence", "orientation", "position", "rank", F.round("score", 6).alias("score"), F.array_join("reasons", ";").alias("reasons"))
+
+
+@query(f"""{_SCORED}, truth as (select sequence, right(sequence, 18) as core_aa, 'g' || (length(sequence) % 7)::varchar as core_group from prot), ranked as (select *, row_number() over (partition by sequence order by round(score, 9) desc, position) as rank from scored),
+first_hit as (select t.sequence, t.core_group, min(case when replace(r.core, 'I', 'L') = replace(t.core_aa, 'I', 'L') then rank end) as rank from truth t left join (select * from ranked where rank <= 5) r using (sequence) group by 1, 2),
+best as (select core_group, min(rank) as rank from first_hit group by core_group)
+select 'candidate' as level, count(*) as n, avg(coalesce(rank <= 1, false)::int) as top_1, avg(coalesce(rank <= 3, false)::int) as top_3, avg(coalesce(rank <= 5, false)::int) as top_5 from first_hit union all
+select 'group', count(*), avg(coalesce(rank <= 1, false)::int), avg(coalesce(rank <= 3, false)::int), avg(coalesce(rank <= 5, false)::int) from best""")
+def core_benchmark(spark, sf_dir):
+    p = proteins(spark, sf_dir)
+    truth = p.select(F.col("sequence").alias("candidate_id"), F.lit("c").alias("case_id"), F.concat(F.lit("g"), (F.length("sequence") % 7).cast("string")).alias("core_group"), F.right("sequence", F.lit(18)).alias("core_aa"))
+    found = rules.predict(p, "sequence", top_n=5).select(F.col("sequence").alias("candidate_id"), "rank", "core")
+    ranks = evaluate.core_ranks(found, truth)
+    return evaluate.core_topk(ranks).withColumn("level", F.lit("candidate")).unionByName(evaluate.core_topk(ranks, "core_group").withColumn("level", F.lit("group")))
+
+
+# ---------------------------------------------------------------- index, joins, pipeline
+
+@query(f"with {_orf_sql()} select protein, count(*) as instance_count, count(distinct gbk_file) as genome_count, length(protein) as aa_len from orfs group by protein")
+def peptide_index(spark, sf_dir):
+    return index.build_index(found_orfs(spark, sf_dir)).withColumn("aa_len", F.col("aa_len").cast("long"))
+
+
+@query(f"with {_orf_sql()}, a as (select protein, count(*) c from orfs where doc_id % 2 = 0 group by 1), b as (select protein, count(distinct gbk_file) g from orfs where doc_id % 3 = 0 group by 1) select p.protein, length(p.protein) as aa_len, coalesce(c, 0) as instance_count, coalesce(g, 0) as genome_count from (select distinct protein from orfs) p left join a using (protein) left join b using (protein)")
+def peptide_statistics(spark, sf_dir):
+    o = found_orfs(spark, sf_dir)
+    s = index.peptide_stats(index.peptides(o), index.instance_counts(o.filter("doc_id % 2 = 0")), index.genome_counts(o.filter("doc_id % 3 = 0")))
+    return s.withColumn("aa_len", F.col("aa_len").cast("long"))
+
+
+@query(f"with {_orf_sql()} select protein, sum(c)::bigint as instance_count from (select protein, count(*) c from orfs where doc_id % 2 = 0 group by 1 union all select protein, count(*) from orfs where doc_id % 2 = 1 group by 1) group by 1")
+def index_upsert(spark, sf_dir):
+    o = found_orfs(spark, sf_dir)
+    return index.merge_counts(index.instance_counts(o.filter("doc_id % 2 = 0")), index.instance_counts(o.filter("doc_id % 2 = 1")))
+
+
+@query(f"with {_orf_sql()}, ix as (select protein, count(distinct gbk_file) g from orfs where doc_id % 2 = 0 group by 1) select distinct o.protein, coalesce(g, 0) as genome_count from orfs o left join ix using (protein)")
+def genome_lookup(spark, sf_dir):
+    o = found_orfs(spark, sf_dir)
+    return index.lookup_genomes(o.select("protein").distinct(), index.build_index(o.filter("doc_id % 2 = 0"))).select("protein", "genome_count")
+
+
+@query("select d.doc_id, exists(select 1 from benchmark b where contains(d.text, b.text)) as is_known_precursor from documents d")
+def known_containment(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("protein"))
+    refs = read(spark, sf_dir, "benchmark").select(F.col("text").alias("sequence"))
+    listed = refs.agg(F.collect_list("sequence").alias("refs"))  # benchmark items: a reference set, one row
+    return d.crossJoin(F.broadcast(listed)).select("doc_id", F.exists("refs", lambda r: F.contains(F.col("protein"), r)).alias("is_known_precursor"))
+
+
+@query("select o_orderkey, o_custkey from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')")
+def accession_semi_join(spark, sf_dir):
+    return read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey", "o_custkey")
+
+
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null)")
+def accession_anti_join(spark, sf_dir):
+    return read(spark, sf_dir, "customer").join(read(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+
+
+def _pipeline_inputs(spark, sf_dir):
+    """Embeddings of proteins for the pipeline: each protein takes the vector that its length names."""
+    e = read(spark, sf_dir, "embeddings")
+    n = 500
+    p = found_orfs(spark, sf_dir).select("protein").distinct().withColumn("k", (F.length("protein") * 7 + F.ascii(F.substring("protein", 2, 1))) % n)
+    emb = p.join(e.select("vec_id", "embedding"), F.col("k") == F.col("vec_id")).select("protein", "embedding")
+    return segments(spark, sf_dir).withColumn("region_ranges", F.lit(None).cast("array<struct<start:int,end:int>>")).withColumn("region_source", F.lit(None).cast("string")).withColumn("is_lasso", F.col("doc_id") % 2 == 0).withColumnRenamed("gbk_file", "source_file"), emb
+
+
+_PIPE = f"""with {_orf_sql()}, {_UNIT.replace("c.vec_id % 5 <> 0 and r", "r")},
+emb as (select protein, (length(protein) * 7 + ascii(substr(protein, 2, 1))) % 500 as k from (select distinct protein from orfs)),
+best as (select candidate_id, s, ref_ord from (select *, row_number() over (partition by candidate_id order by s desc, ref_ord) r from sims) where r = 1),
+topn as (select candidate_id, avg(g) m from (select candidate_id, locus, max(s) g, row_number() over (partition by candidate_id order by max(s) desc, locus) k from sims group by candidate_id, locus) where k <= 5 group by candidate_id),
+ids as (select *, record_id || '|orf' || case when length(n::varchar) >= 4 then n::varchar else lpad(n::varchar, 4, '0') end as candidate_id from (select *, row_number() over (partition by record_id order by strand, abs(frame), nt_start + nt_len, nt_start) n from orfs)),
+ranked as (select i.record_id, i.candidate_id, i.protein, b.ref_ord::varchar as best_match_id, b.s, t.m, row_number() over (partition by i.record_id order by t.m desc, b.s desc, i.candidate_id)::int as rank
+  from ids i join emb e using (protein) join best b on b.candidate_id = e.k join topn t on t.candidate_id = e.k)"""
+
+
+def _ranked(spark, sf_dir, **config) -> DataFrame:
+    own, emb = _pipeline_inputs(spark, sf_dir)
+    refs = references(spark, sf_dir).withColumn("sequence", F.lit("MMMMMMMM"))
+    return pipeline.run_pipeline(own, emb, refs, pipeline.Config(**config))
+
+
+@query(f"{_PIPE} select record_id, candidate_id, rank, protein, best_match_id, round(s, 6) as best_similarity, round(m, 6) as embedding_score, contains(protein, 'MMMMMMMM') as is_known_precursor from ranked")
+def semantic_pipeline(spark, sf_dir):
+    r = _ranked(spark, sf_dir)
+    return r.select("record_id", "candidate_id", "rank", "protein", "best_match_id", F.round("best_similarity", 6).alias("best_similarity"), F.round("embedding_score", 6).alias("embedding_score"), "is_known_precursor")
+
+
+@query()
+def semantic_pipeline_rule_cutoff(spark, sf_dir):
+    return _ranked(spark, sf_dir, min_rule_score=2.0, score_mode="best_similarity", lasso_only=True).select("record_id", "candidate_id", "rank", F.round("rule_score_raw", 6).alias("rule_score_raw"))
+
+
+@query(f"{_PIPE} select record_id, candidate_id, round(m, 6) as shown_score, row_number() over (partition by record_id order by m desc, candidate_id)::int as view_rank from ranked where m >= 0.1 qualify view_rank <= 5")
+def viewer_visible(spark, sf_dir):
+    v = viewer.visible(_ranked(spark, sf_dir), 0.1, limit=5)
+    return v.select("record_id", "candidate_id", F.round("shown_score", 6).alias("shown_score"), "view_rank")
+
+
+@query(f"{_PIPE}, seen as (select *, row_number() over (partition by record_id order by m desc, candidate_id) v from ranked where m >= 0.1) select (select count(*) from documents) as records, (select count(*) from documents where doc_id % 2 = 0) as lasso_records, (select count(*) from ranked) as candidates, (select count(*) from seen where v <= 5) as visible")
+def viewer_totals(spark, sf_dir):
+    r = _ranked(spark, sf_dir)
+    return viewer.totals(_pipeline_inputs(spark, sf_dir)[0], r, viewer.visible(r, 0.1, limit=5))
+
+
+@query()
+def viewer_lanes(spark, sf_dir):
+    o = orf.with_candidate_ids(found_orfs(spark, sf_dir)).select("record_id", "candidate_id", F.col("genomic_start").alias("start"), F.col("genomic_end").alias("end"))
+    return viewer.pack_lanes(o, ["record_id"], 2)
+
+
+@query()
+def nested_export(spark, sf_dir):
+    return tables.nested_results(segments(spark, sf_dir), _ranked(spark, sf_dir))
+
+
+@query(f"{_PIPE} select record_id, candidate_id, rank, protein from ranked where rank <= 10")
+def flat_export(spark, sf_dir):
+    return tables.flat_results(rank.top_k(_ranked(spark, sf_dir).select("protein", "rank", "candidate_id", "record_id"), [F.col("rank")], 10, ["record_id"]))
+
+
+@query("""with d as (select doc_id, trim(source) as base from documents), n as (select *, row_number() over (partition by base order by doc_id) n from d) select doc_id, case when n > 1 then base || '__' || n else base end as record_id from n""")
+def record_id_dedupe(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("record_id"))
+    return orf.dedupe_record_ids(d, "doc_id")
+
+
+# ---------------------------------------------------------------- conservation
+
+def _cds(spark, sf_dir) -> DataFrame:
+    """A pseudo gene on every segment: bases 32 to 224, plus or minus by the parity of the id, named by id mod 12."""
+    s = segments(spark, sf_dir)
+    minus = F.col("doc_id") % 2 == 1
+    return s.select("gbk_file", "record_id", F.lit(32).alias("start"), F.lit(224).alias("end"), F.when(minus, "-").otherwise("+").alias("strand"), F.lit("1").alias("codon_start"), F.substring("sequence", 33, 192).alias("genomic"), F.concat(F.lit("g"), (F.col("doc_id") % 12).cast("string")).alias("gene"), *(F.lit(None).cast("string").alias(c) for c in ("locus_tag", "protein_id", "product")))
+
+
+def _hits(spark, sf_dir) -> DataFrame:
+    cds = _cds(spark, sf_dir).withColumn("gene_name", F.col("gene"))
+    return conservation.find_hits(found_orfs(spark, sf_dir), cds)
+
+
+_HITS = f"""{_orf_sql()}, hits as (select gbk_file, record_id, 'g' || (doc_id % 12) as gene_name, strand as orf_strand, frame as orf_frame, genomic_start as orf_start, genomic_end as orf_end, 32 as gene_start, 224 as gene_end,
+case when strand <> (case when doc_id % 2 = 1 then '-' else '+' end) then 'antisense' when case when doc_id % 2 = 1 then (((224 - genomic_end) % 3) + 3) % 3 else (((genomic_start - 32) % 3) + 3) % 3 end <> 0 then 'out_of_frame' end as match_type
+from orfs where least(genomic_end, 224) > greatest(genomic_start, 32)),
+keyed as (select *, least(19, greatest(0, trunc((greatest(32, orf_start) - 32) / 192::double * 20)))::int as bin_first, least(19, greatest(0, trunc((least(224, orf_end) - 1 - 32) / 192::double * 20)))::int as bin_last from hits where match_type is not null),
+loci as (select gene_name, match_type, orf_strand, orf_frame, bin_first, bin_last, count(*) as hit_events, count(distinct record_id || gbk_file) as hit_genomes from keyed group by all)"""
+
+
+@query(f"with {_HITS} select * from loci")
+def altframe_loci(spark, sf_dir):
+    return conservation.locus_keys(_hits(spark, sf_dir))
+
+
+_TOP = f"{_HITS}, top as (select * from loci where hit_genomes >= 2 order by hit_genomes desc, hit_events desc, gene_name, match_type, orf_strand, orf_frame, bin_first, bin_last limit 10)"
+
+
+@query(f"with {_TOP} select * from top")
+def altframe_top_loci(spark, sf_dir):
+    return conservation.select_loci(conservation.locus_keys(_hits(spark, sf_dir)), 2, 10)
+
+
+_WIN = f"""{_TOP}, gene as (select s.record_id, s.doc_id, s.gbk_file, 'g' || (doc_id % 12) as gene_name, substr(dna, 33, 192) as genomic from seg s),
+win as (select t.*, g.record_id, g.doc_id, g.gbk_file, ((bin_first * 192 + 19) // 20)::int as rs, least(192, ((bin_last + 1) * 192 + 19) // 20)::int as re, genomic from top t join gene g using (gene_name)),
+own as (select *, case when orf_strand = '-' then reverse(translate(substr(genomic, rs + 1, re - rs), 'ACGT', 'TGCA')) else substr(genomic, rs + 1, re - rs) end as o, case when orf_strand = '-' then (abs(orf_frame) - 1) % 3 else orf_frame % 3 end as off from win),
+pep as (select gene_name, match_type, orf_strand, orf_frame, bin_first, bin_last, record_id, array_to_string(list_transform(range(0, (length(o) - off) // 3), lambda k: {_aa('substr(o, (off + 3 * k + 1)::int, 3)')}), '') as peptide from own)"""
+_KEY = "gene_name, match_type, orf_strand, orf_frame, bin_first, bin_last"
+
+
+@query(f"with {_WIN} select {_KEY}, count(*) as n, round(avg((peptide <> '' and not contains(peptide, '*'))::int), 6) as survival from pep group by {_KEY}")
+def altframe_survival(spark, sf_dir):
+    loci = conservation.select_loci(conservation.locus_keys(_hits(spark, sf_dir)), 2, 10)
+    w = conservation.window_peptide(conservation.locus_windows(loci, conservation.gene_instances(_cds(spark, sf_dir), loci)))
+    return conservation.survival(w, conservation.LOCUS).withColumn("survival", F.round("survival", 6))
+
+
+@query(f"""with {_WIN}, alive as (select *, row_number() over () r from pep where peptide <> '' and not contains(peptide, '*')), pairs as (select a.*, b.peptide as other from alive a join alive b using ({_KEY}) where a.r < b.r)
+select {_KEY}, round(avg(len(list_filter(range(1, least(length(peptide), length(other)) + 1), lambda i: substr(peptide, i, 1) = substr(other, i, 1))) / least(length(peptide), length(other))::double), 6) as identity from pairs group by {_KEY}""")
+def altframe_identity(spark, sf_dir):
+    loci = conservation.select_loci(conservation.locus_keys(_hits(spark, sf_dir)), 2, 10)
+    w = conservation.window_peptide(conservation.locus_windows(loci, conservation.gene_instances(_cds(spark, sf_dir), loci)))
+    alive = w.filter(conservation.survives(F.col("peptide")))
+    return conservation.pairwise_identity(alive, conservation.LOCUS).withColumn("identity", F.round("identity", 6))
+
+
+@query(f"""with {_SEG}, c as (select record_id, list_transform(range(0, length(dna) // 3), lambda k: substr(dna, 3 * k + 1, 3)) as cs from seg),
+u as (select record_id, unnest(cs) codon, generate_subscripts(cs, 1) i from c), a as (select record_id, codon, i, replace({_aa('codon')}, '*', 'X') aa from u),
+f as (select *, row_number() over (partition by record_id, aa order by i) p, row_number() over (partition by record_id, aa order by md5('5:' || record_id || ':' || i), i) q from a where i >= 2 and aa <> 'X'),
+m as (select x.record_id, x.i, y.codon from f x join f y on x.record_id = y.record_id and x.aa = y.aa and x.p = y.q)
+select a.record_id, string_agg(coalesce(m.codon, a.codon), '' order by a.i) as shuffled from a left join m using (record_id, i) group by a.record_id""")
+def codon_shuffle(spark, sf_dir):
+    d = F.col("sequence")
+    s = segments(spark, sf_dir).select("record_id", seq.codons(d).alias("codons"), seq.codon_residues(d).alias("aas"))
+    return s.select("record_id", F.array_join(conservation.shuffled_codons(F.col("codons"), F.col("aas"), F.lit(5), F.col("record_id")), "").alias("shuffled"))
+
+
+@query()
+def altframe_conservation(spark, sf_dir):
+    t = conservation.conservation_test(_hits(spark, sf_dir), _cds(spark, sf_dir), min_genomes=2, limit=10, iterations=10, seed=3)
+    return t.select(*conservation.LOCUS, "hit_genomes", "hit_events", "evaluated_records", "evaluated_instances", *(F.round(c, 6).alias(c) for c in ("survival", "identity", "null_survival_mean", "null_mean", "null_std", "z_score", "p_value")))
+
+
+@query("select l_returnflag, avg(l_quantity) as null_mean, stddev_pop(l_quantity) as null_std, count(l_quantity) as null_n from lineitem group by 1")
+def null_summary(spark, sf_dir):
+    return conservation.null_summary(read(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity")
+
+
+@query("select case when bool_or(l_linenumber = 0) then 'zero' when bool_or(l_linenumber = 3) then 'one' else 'zero' end as frame_mode from lineitem")
+def frame_mode(spark, sf_dir):
+    return conservation.frame_mode(read(spark, sf_dir, "lineitem").withColumnRenamed("l_linenumber", "orf_frame"))
+
+
+# ---------------------------------------------------------------- curation
+
+@query("select doc_id, source, lang, n_chars from documents where source = 'src1' and (contains(lower(text), 'the') or contains(lower(lang), 'the'))")
+def dataset_search(spark, sf_dir):
+    return curation.search(read(spark, sf_dir, "documents"), "THE", "src1", ["text", "lang"]).select("doc_id", "source", "lang", "n_chars")
+
+
+@query("select doc_id, lang, part from (select *, row_number() over (partition by text order by part, doc_id) r from (select doc_id, lang, text, 'a' as part from documents where doc_id % 2 = 0 union all select doc_id, lang, text, 'b' from documents)) where r = 1")
+def merge_first_source_wins(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    out = curation.merge_sources([d.filter("doc_id % 2 = 0").withColumn("part", F.lit("a")), d.withColumn("part", F.lit("b"))], "text", "doc_id")
+    return out.select("doc_id", "lang", "part")
+
+
+@query("select doc_id from (select *, row_number() over (partition by text order by doc_id) r from documents where doc_id % 2 = 1 and text not in (select text from documents where doc_id % 2 = 0)) where r = 1")
+def incremental_append(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return curation.append_new(d.filter("doc_id % 2 = 0"), d.filter("doc_id % 2 = 1"), "text", "doc_id", "doc_id").select("doc_id")
+
+
+@query("select c_custkey, c_acctbal, row_number() over (order by c_custkey) - 1 as index from (select c_custkey, case when c_custkey % 10 = 3 then 0.0 else c_acctbal end as c_acctbal from customer where c_custkey % 7 <> 0)")
+def dataset_edit(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", F.col("c_custkey").alias("index"))
+    c = curation.update_rows(c, F.col("c_custkey") % 10 == 3, {"c_acctbal": F.lit(0.0)})
+    return curation.delete_rows(c, F.col("c_custkey") % 7 == 0)
+
+
+_LOCI = """entries as (select o_custkey as case_id, o_orderkey as place, count(l_orderkey) as match_count, median(l_quantity) as median_distance, coalesce(max(l_partkey) - min(l_partkey), 0) as locus_span from orders left join lineitem on l_orderkey = o_orderkey group by 1, 2),
+ranked as (select *, row_number() over w as locus_rank, first_value(match_count) over w as m, first_value(median_distance) over w as d from entries window w as (partition by case_id order by match_count desc, median_distance asc nulls last, locus_span, place)),
+near as (select *, match_count = m and coalesce(abs(median_distance - d) <= 5, false) as near_ from ranked),
+loci as (select case_id, place, match_count, locus_rank::int as locus_rank, near_ and max((near_ and locus_rank > 1)::int) over (partition by case_id) = 1 as ambiguous from near)"""
+
+
+def _loci(spark, sf_dir) -> DataFrame:
+    joined = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    e = joined.groupBy(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("place")).agg(F.count("l_orderkey").alias("match_count"), F.median("l_quantity").alias("median_distance"), F.coalesce(F.max("l_partkey") - F.min("l_partkey"), F.lit(0)).alias("locus_span"))
+    return rank.rank_loci(e.withColumns({"gbk_path": F.lit(""), "record_id": F.lit(""), "start": F.col("place"), "end": F.col("place")}), 5)
+
+
+@query(f"with {_LOCI} select * from loci")
+def locus_ranking(spark, sf_dir):
+    return _loci(spark, sf_dir).select("case_id", "place", "match_count", "locus_rank", "ambiguous")
+
+
+@query(f"""with {_LOCI}, by_case as (select case_id, max(match_count) best, bool_or(ambiguous) amb, count(*) n, count(*) filter (match_count > 0) mn from loci group by 1), e as (select c_custkey, best, amb, n, mn from customer left join by_case on case_id = c_custkey)
+select count(*) as total_cases, count(n) as mapped, count(*) filter (best > 0) as cases_with_match, count(*) filter (best > 0 and not amb) as cases_unambiguous, count(*) filter (best > 0 and amb) as cases_ambiguous, count(*) filter (n is not null and not best > 0) as cases_no_match, coalesce(sum(n), 0)::bigint as loci_scanned, coalesce(sum(mn), 0)::bigint as loci_included from e""")
+def case_statistics(spark, sf_dir):
+    return curation.case_stats(_loci(spark, sf_dir), read(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "case_id"))
+
+
+@query(f"""with {_orf_sql()}, cases as (select doc_id, record_id, 'c' || doc_id % 9 as case_id, 100 as a, 160 as b, right({_protein("substr(dna, 1, 60)")}, 2) as core from seg)
+select c.case_id, c.record_id, o.genomic_start, o.genomic_end, o.protein, greatest(0, greatest(o.genomic_start - c.b, c.a - o.genomic_end))::int as distance from cases c join orfs o using (record_id) where length(core) > 0 and ends_with(replace(o.protein, 'I', 'L'), replace(core, 'I', 'L'))""")
+def dataset_candidates(spark, sf_dir):
+    s = segments(spark, sf_dir).withColumnRenamed("gbk_file", "gbk_path")
+    cds = s.select("gbk_path", "record_id", F.lit(100).alias("start"), F.lit(160).alias("end"), F.col("record_id").alias("accession"))
+    cases = s.select(F.concat(F.lit("c"), (F.col("doc_id") % 9).cast("string")).alias("case_id"), F.col("record_id").alias("accession"), F.right(seq.translate_bacterial(F.substring("sequence", 1, 60)), F.lit(2)).alias("core")).filter("core <> ''")
+    loci = curation.anchor_loci(cds, cases, s.select("gbk_path", "record_id", "sequence"))
+    return curation.locus_candidates(loci).select("case_id", "record_id", "genomic_start", "genomic_end", "protein", "distance")
+
+
+@query("select lower(trim(p_name)) as name, coalesce(nullif(trim(p_type), ''), nullif(trim(p_brand), '')) as kind from part")
+def curated_aliases(spark, sf_dir):
+    t = curation.curated_table(read(spark, sf_dir, "part"), {"name": ["p_name"], "kind": ["p_type", "p_brand"]})
+    return t.select(F.lower("name").alias("name"), "kind")
+
+
+@query("""select page_id, array_to_string(regexp_extract_all(html, '(?is)<a\\b[^>]*href\\s*=\\s*["'']?([^"''\\s>]+)', 1), ' ') as links from pages""")
+def html_links(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", F.array_join(tables.html_links(F.col("html")), " ").alias("links"))
+
+
+@query(f"with {_SEG} select '>' || record_id || chr(10) || regexp_replace(regexp_replace(dna, '(.{{80}})', '\\1' || chr(10), 'g'), '\\n$', '') as value from seg")
+def fasta_format(spark, sf_dir):
+    return fasta.format_fasta(segments(spark, sf_dir).withColumnRenamed("record_id", "id"), 80)
+
+
+@query("""select p_partkey, case when contains(p, 'b2 protein') or contains(p, 'peptidase') or contains(p, 'protease') then 'peptidase' when contains(p, 'precursor') or contains(p, 'lasso') then 'precursor' when contains(p, 'export') or contains(p, 'transporter') or contains(p, 'abc') then 'transporter' when contains(p, 'regulator') or contains(p, 'transcription') then 'regulator' else 'other' end as class
+from (select p_partkey, lower(p_type || case p_partkey % 4 when 0 then ' ABC transporter' when 1 then ' lasso precursor' when 2 then ' regulator' else '' end) as p from part)""")
+def product_classes(spark, sf_dir):
+    k = F.col("p_partkey") % 4
+    name = F.concat("p_type", F.when(k == 0, " ABC transporter").when(k == 1, " lasso precursor").when(k == 2, " regulator").otherwise(""))
+    return read(spark, sf_dir, "part").select("p_partkey", text.product_class(name).alias("class"))
+
+
+@query("select source, lang, count(*) as records, sum(n_chars)::bigint as length_nt, max(n_chars) as longest from documents group by 1, 2")
+def segment_totals(spark, sf_dir):
+    return read(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("records"), F.sum("n_chars").alias("length_nt"), F.max("n_chars").alias("longest"))
+
+
+@query("select o_custkey, string_agg(o_orderkey::varchar, ',' order by o_orderkey) as sequences, count(*) as n from orders group by 1")
+def accession_lists(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("l"), F.count("*").alias("n"))
+    return o.select("o_custkey", F.array_join(F.transform("l", lambda x: x.cast("string")), ",").alias("sequences"), "n")
+
+
