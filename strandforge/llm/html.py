@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandforge.llm.common import record_batch
+from strandforge.llm.common import cut, record_batch
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 _ATTR = re.compile(r"""([a-zA-Z_:][\w:.-]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -326,7 +326,7 @@ def host_of(url: str = "url") -> Column:
     return F.when(host != "", host)
 
 
-def extract_text(pages: DataFrame, pivots: int = 4, group_rows: int = 5000, most_hot: int = 20_000) -> DataFrame:
+def extract_text(pages: DataFrame, pivots: int = 3, group_rows: int = 1000, most_hot: int = 20_000, most_broadcast: int = 1_000_000) -> DataFrame:
     """(page_id, url, text, n_chars) for every row: the article's text.
 
     Every page is parsed and aligned by simple tree matching with ``pivots`` pages of its host, those with the least
@@ -350,7 +350,9 @@ def extract_text(pages: DataFrame, pivots: int = 4, group_rows: int = 5000, most
     useful = own.filter("host is not null and html <> '' and page_id is not null").select("host", "page_id", mark.alias("h"))
     once = useful.groupBy("host", "h").agg(F.min("page_id").alias("page_id"))
     rank = F.row_number().over(Window.partitionBy("host").orderBy("h"))
-    picked = once.withColumn("rank", rank).filter(F.col("rank") <= pivots).select("page_id", "h")
+    picked = cut(once.withColumn("rank", rank).filter(F.col("rank") <= pivots).select("page_id", "h"))
+    if picked.count() <= most_broadcast:  # two longs a row; beyond it pages are shuffled by id
+        picked = F.broadcast(picked)
     fetched = own.select("host", "page_id", "html", mark.alias("own")).join(picked, "page_id").filter("own = h")
     examples = fetched.groupBy("host", "h").agg(F.min("html").alias("html"))  # at most ``pivots`` a host
     examples = examples.join(F.broadcast(hot), "host", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("groups", F.lit(1)) - 1)))
