@@ -93,8 +93,8 @@ def residue_ratio(seq: Column, letter: str) -> Column:
 
 def hydropathy_mean(seq: Column) -> Column:
     """Mean Kyte-Doolittle value; unknown residues count 0, an empty sequence is 0."""
-    total = sum((F.lit(v) * residue_count(seq, k) for k, v in sorted(HYDROPATHY.items())), F.lit(0.0))
-    return F.when(F.length(seq) > 0, total / F.length(seq)).otherwise(F.lit(0.0))
+    tenths = sum((F.lit(round(10 * v)) * residue_count(seq, k) for k, v in sorted(HYDROPATHY.items())), F.lit(0))
+    return F.when(F.length(seq) > 0, tenths / (10 * F.length(seq))).otherwise(F.lit(0.0))
 
 
 def net_charge(seq: Column, ph: float = 7.0) -> Column:

@@ -130,7 +130,7 @@ def _count_sql(s: str, letter: str) -> str:
 
 
 def _hydro_sql(s: str) -> str:
-    return f"(case when length({s}) > 0 then (" + " + ".join(f"({v}) * {_count_sql(s, k)}" for k, v in sorted(seq.HYDROPATHY.items())) + f")::double / length({s}) else 0.0::double end)"
+    return f"(case when length({s}) > 0 then (" + " + ".join(f"({round(10 * v)}) * {_count_sql(s, k)}" for k, v in sorted(seq.HYDROPATHY.items())) + f")::double / (10 * length({s})) else 0.0::double end)"
 
 
 def _charge_sql(s: str) -> str:
@@ -608,7 +608,7 @@ def case_statistics(spark, sf_dir):
     return curation.case_stats(_loci(spark, sf_dir), read(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "case_id"))
 
 
-@query(f"""with {_orf_sql()}, cases as (select doc_id, record_id, 'c' || doc_id % 9 as case_id, 100 as a, 160 as b, right({_protein("substr(dna, 1, 60)")}, 2) as core from seg)
+@query(f"""with {_orf_sql()}, cases as (select doc_id, record_id, 'c' || doc_id % 9 as case_id, 100 as a, 160 as b, right(regexp_replace({_protein("substr(dna, 1, 60)")}, '\\*$', ''), 2) as core from seg)
 select c.case_id, c.record_id, o.genomic_start, o.genomic_end, o.protein, greatest(0, greatest(o.genomic_start - c.b, c.a - o.genomic_end))::int as distance from cases c join orfs o using (record_id) where length(core) > 0 and ends_with(replace(o.protein, 'I', 'L'), replace(core, 'I', 'L'))""")
 def dataset_candidates(spark, sf_dir):
     s = segments(spark, sf_dir).withColumnRenamed("gbk_file", "gbk_path")
