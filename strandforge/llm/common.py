@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words of the contracts: maximal runs of anything but space and \x09-\x0D.
@@ -40,6 +40,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def least_hashed(ids: DataFrame, by: str, most: dict, seed: int) -> DataFrame:
+    """(doc_id, ``by``, order) of the rows with the least hash of the id, so many of each class of ``by``.
+
+    ``most`` has (row count, rows wanted) by class.  A hash bound that about four times the
+    wanted rows meet comes first, so what a task ranks doesn't grow with the table.
+    """
+    spark = ids.sparkSession
+    shares = spark.createDataFrame([(k, min(1 << 40, int((1 << 40) * (4 * w + 50) / max(1, n))), w) for k, (n, w) in most.items()], f"_class {dict(ids.dtypes)[by]}, _bound long, _most int")
+    hashed = ids.withColumn("order", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)))
+    some = hashed.join(F.broadcast(shares), F.col(by) == F.col("_class")).filter(F.col("order") < F.col("_bound"))  # shares: one row a class
+    rank = F.row_number().over(Window.partitionBy(by).orderBy("order", "doc_id"))
+    return some.select("doc_id", by, "order", "_most").distinct().withColumn("_rank", rank).filter(F.col("_rank") <= F.col("_most")).select("doc_id", by, "order")
+
+
 def map_rows(df: DataFrame, fn: Callable[..., tuple], schema: str, n_in: int, rows_at_once: int = 256) -> DataFrame:
     """One output row for each input row: ``fn(*first n_in columns)`` gives the columns after the carried rest.
 

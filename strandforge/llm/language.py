@@ -7,10 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandforge.llm.common import held_out, record_batch, text_of
+from strandforge.llm.common import held_out, least_hashed, record_batch, text_of
 
 #: Buckets of the hashed n-gram space.
 BUCKETS = 1 << 17
@@ -110,9 +110,8 @@ def train_language_model(docs: DataFrame, per_language: int = 300, landmarks_per
     buckets; the driver gets those buckets alone, at most BUCKETS for each sampled row.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))
-    ids = known.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(11)).alias("order")).withColumn("rank", rank)
-    ids = ids.filter(F.col("rank") <= per_language).select("doc_id").distinct()
+    counts = {r.lang: (r["count"], per_language) for r in known.groupBy("lang").count().collect()}  # one row a language, as the model's columns
+    ids = least_hashed(known.select("doc_id", "lang"), "lang", counts, 11).select("doc_id").distinct()
     some = known.select(text_of().alias("text"), F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id"))
     some = some.join(F.broadcast(ids), "doc_id").select("text", "lang", "doc_id")  # ids: per_language rows a language
 
