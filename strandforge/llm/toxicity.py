@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandforge.llm.common import held_out, record_batch, text_of
+from strandforge.llm.common import held_out, least_hashed, record_batch, text_of
 
 _WORD = re.compile(r"\w{1,64}")
 LEVEL = 15
@@ -84,47 +84,61 @@ class DistanceModel:
 
 
 def statistics(gains: list[int], threshold: int) -> tuple[float, ...]:
-    n, over = len(gains), sum(g >= threshold for g in gains)
-    return 1.0, over * 50 / n if n else 0.0, math.log1p(over), max(gains, default=0) / 4, 1.0 if over else 0.0, math.log1p(n) / 8
+    """A text's window statistics: windows beyond the threshold and two levels on either side of it, and the largest gain."""
+    n = len(gains)
+    out = [1.0, max(0, max(gains, default=0)) / 4, math.log1p(n) / 8]
+    for t in range(threshold - 2, threshold + 3, 2):
+        over = sum(g >= t for g in gains)
+        out += [over * 50 / n if n else 0.0, math.log1p(over)]
+    return tuple(out)
 
 
-def fit_distance(toxic: list[str], ordinary: list[str], toxic_bytes: int = 65536, ordinary_bytes: int = 262144, allow: float = 1e-3) -> DistanceModel:
-    """Train dictionaries on two thirds of each class's texts, calibrate threshold and weights on the rest.
+def train_dictionaries(toxic: list[str], ordinary: list[str], toxic_bytes: int, ordinary_bytes: int) -> tuple[bytes, bytes] | None:
+    """A dictionary of toxic and one of ordinary text; None where there is too little of either.
 
-    The toxic dictionary's text is the toxic documents' windows that mark them: words in at least 3 of them and there at least six times
-    as frequent, by documents, as in ordinary ones.  The ordinary dictionary's text is that of ordinary documents.  ``allow`` is the share of ordinary
-    windows that may pass the threshold.
+    The toxic one's text is the windows that mark toxic documents: words in at least 3 of them and there at least six times as
+    frequent, by documents, as in ordinary ones.  The ordinary one's text is that of ordinary documents.
     """
-    base = (len(toxic) + 1) / (len(toxic) + len(ordinary) + 2)
-    train_t, train_o = ([t for i, t in enumerate(x) if i % 3] for x in (toxic, ordinary))
-    in_t, in_o = (Counter(w for t in x for w in set(words_of(t))) for x in (train_t, train_o))
-    marks = {w for w, c in in_t.items() if c >= 3 and c / max(1, len(train_t)) > 6 * (in_o[w] + 0.5) / max(1, len(train_o))}
+    in_t, in_o = (Counter(w for t in x for w in set(words_of(t))) for x in (toxic, ordinary))
+    marks = {w for w, c in in_t.items() if c >= 3 and c / max(1, len(toxic)) > 6 * (in_o[w] + 0.5) / max(1, len(ordinary))}
     rng = random.Random(0)
     data = []
-    for texts, keep, most, size in ((train_t, marks, 60_000, toxic_bytes), (train_o, None, 200_000, ordinary_bytes)):
+    for texts, keep, most, size in ((toxic, marks, 60_000, toxic_bytes), (ordinary, None, 200_000, ordinary_bytes)):
         words = [w for t in texts for w in words_of(t) if keep is None or w in keep]
         words = rng.sample(words, min(most, len(words)))
-        samples = [expand(words[i : i + 8]) for i in range(0, len(words), 8)]
         try:
-            data.append(zstandard.train_dictionary(size, samples, k=80, d=8).as_bytes())
+            data.append(zstandard.train_dictionary(size, [expand(words[i : i + 8]) for i in range(0, len(words), 8)], k=80, d=8).as_bytes())
         except zstandard.ZstdError:
+            return None
+    return data[0], data[1]
+
+
+def fit_distance(toxic: list[str], ordinary: list[str], toxic_bytes: int = 65536, ordinary_bytes: int = 262144, allow: float = 1e-3, folds: int = 3) -> DistanceModel:
+    """Dictionaries of all the texts, with threshold and weights calibrated on texts that their fold's dictionaries haven't seen.
+
+    ``allow`` is the share of ordinary windows that may pass the threshold.
+    """
+    base = (len(toxic) + 1) / (len(toxic) + len(ordinary) + 2)
+    unseen: tuple[list, list] = ([], [])
+    for f in [*range(folds), None]:
+        data = train_dictionaries(*([t for i, t in enumerate(x) if i % folds != f] for x in (toxic, ordinary)), toxic_bytes, ordinary_bytes)
+        if data is None:
             return DistanceModel(b"", b"", 0, (base,))  # too little text to learn from: the base rate for all
-    model = DistanceModel(data[0], data[1], 0, ())
-    coder_t, coder_o = model.coders()
-    known: dict[str, int] = {}
-
-    def gains(text: str) -> list[int]:
-        for w in (ws := words_of(text)):
-            if w not in known:
-                q = expand([w])
-                known[w] = len(coder_o.compress(q)) - len(coder_t.compress(q))
-        return [known[w] for w in ws]
-
-    rest_t, rest_o = ([gains(t) for i, t in enumerate(x) if i % 3 == 0] for x in (toxic, ordinary))
-    flat = np.array([g for x in rest_o for g in x] or [0])
+        if f is None:
+            break
+        coder_t, coder_o = DistanceModel(*data, 0, ()).coders()
+        known: dict[str, int] = {}
+        for texts, out in zip((toxic, ordinary), unseen, strict=True):
+            for t in texts[f::folds]:
+                for w in (ws := words_of(t)):
+                    if w not in known:
+                        q = expand([w])
+                        known[w] = len(coder_o.compress(q)) - len(coder_t.compress(q))
+                out.append([known[w] for w in ws])
+    flat = np.array([g for x in unseen[1] for g in x] or [0])
     threshold = next((t for t in range(1, 64) if (flat >= t).mean() <= allow), 64)
-    x = np.array([statistics(g, threshold) for g in rest_t + rest_o])
-    y = np.array([1.0] * len(rest_t) + [0.0] * len(rest_o))
+    x = np.array([statistics(g, threshold) for part in unseen for g in part])
+    y = np.array([1.0] * len(unseen[0]) + [0.0] * len(unseen[1]))
     w = np.zeros(x.shape[1])
     for _ in range(50):  # Newton steps of ridge logistic regression
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -132,17 +146,16 @@ def fit_distance(toxic: list[str], ordinary: list[str], toxic_bytes: int = 65536
         w += step
         if abs(step).max() < 1e-6:
             break
-    return DistanceModel(data[0], data[1], threshold, tuple(w.tolist()))
+    return DistanceModel(*data, threshold, tuple(w.tolist()))
 
 
 def train_toxicity_model(docs: DataFrame, labels: DataFrame, most_toxic: int = 1500, most_ordinary: int = 3000, most_chars: int = 8_000_000) -> DistanceModel:
     """Fit on a bounded sample of labelled rows that aren't held out: by class the rows with the least hash of the id, up to a
     number of rows and of characters (the driver gets those texts alone)."""
     told = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    order = F.xxhash64("doc_id", F.lit(5))
-    limit = F.when(F.col("toxic") == 1, most_toxic).otherwise(most_ordinary)
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy("order", "doc_id"))
-    ids = told.withColumn("order", order).withColumn("rank", rank).filter(F.col("rank") <= max(most_toxic, most_ordinary)).filter(F.col("rank") <= limit).select("doc_id", "toxic", "order")
+    told = told.withColumn("toxic", F.when(F.col("toxic") == 1, 1).otherwise(0))
+    counts = {r.toxic: (r["count"], most_toxic if r.toxic else most_ordinary) for r in told.groupBy("toxic").count().collect()}  # two rows
+    ids = least_hashed(told, "toxic", counts, 5)
     some = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(ids), "doc_id")  # ids: most_toxic + most_ordinary rows
     some = some.groupBy("doc_id", "toxic", "order").agg(F.min("text").alias("text"))
     sofar = F.sum(F.char_length("text")).over(Window.partitionBy("toxic").orderBy("order", "doc_id"))
