@@ -230,22 +230,27 @@ def best_rule_score(proteins: DataFrame, rules: dict[str, Rule] | None = None, a
     return once.join(scored, "sequence", "left").withColumn("rule_score_raw", F.coalesce("rule_score_raw", F.lit(0.0)))
 
 
-def score_given_cores(rows: DataFrame, rules: dict[str, Rule] | None = None, min_leader: int = 10, min_core: int | None = None) -> DataFrame:
-    """Proteins with a known core: the best-scoring place where the core stands, and its rank among the protein's sites.
+def score_given_cores(rows: DataFrame, rules: dict[str, Rule] | None = None, inverted: bool = False, min_leader: int = 10, min_core: int | None = None, top_n: int = 3) -> DataFrame:
+    """Proteins with a known core: the best-scoring allowed site where it stands, that site's rank, and the best prediction.
 
-    ``rows``: name, sequence, core.  core_rank counts the allowed sites that are better, or equal and before it, and is null where
-    the core's own place isn't allowed; core_score is null where the core isn't a suffix-side part of the protein.
+    ``rows``: name, sequence, core.  An inverted core must begin the protein.  core_score and core_rank are null where no
+    place of the core is allowed; the prediction of an inverted protein is the best inverted one among the first ``top_n`` of both
+    orientations, if there is one.
     """
     rules = rules or ruleset()
     clean = rows.withColumn("sequence", F.upper(F.trim("sequence"))).withColumn("known", F.upper(F.trim("core"))).drop("core")
-    ends = F.filter(occurrences(F.col("sequence"), F.col("known")), lambda i: i >= 0)
-    own = score_sites(clean.withColumn("position", F.explode(ends)), rules)
-    best = own.groupBy("name").agg(F.max(F.struct("score", (-F.col("position")).alias("p"))).alias("b")).select("name", F.col("b.score").alias("core_score"), (-F.col("b.p")).alias("core_pos"))
-    sites = cleavage_sites(clean.select("name", "sequence"), rules, min_leader, min_core)
-    ranks = sites.join(best, "name").groupBy("name").agg(
-        F.max(F.when(F.col("position") == F.col("core_pos"), 1).otherwise(0)).alias("allowed"),
-        F.sum(F.when((F.col("score") > F.col("core_score")) | (F.col("score") == F.col("core_score")) & (F.col("position") <= F.col("core_pos")), 1).otherwise(0)).alias("core_rank"),
-        F.max(F.struct("score", (-F.col("position")).alias("p"))).alias("t"),
-    )
-    out = clean.select("name").join(best, "name", "left").join(ranks, "name", "left")
-    return out.select("name", "core_score", "core_pos", F.when(F.col("allowed") == 1, F.col("core_rank")).alias("core_rank"), F.col("t.score").alias("best_pred_score"), (-F.col("t.p")).alias("best_pred_pos"))
+    if inverted:
+        places = F.when((F.col("known") != "") & F.col("sequence").startswith(F.col("known")), F.array(F.length("known"))).otherwise(F.array().cast("array<int>"))
+    else:
+        places = occurrences(F.col("sequence"), F.col("known"))
+    clean = clean.withColumn("places", places)
+    sites = cleavage_sites(clean, rules, min_leader, min_core, allow_inverted=inverted).filter(F.col("orientation") == ("core_leader" if inverted else "leader_core"))
+    order = Window.partitionBy("name").orderBy(F.desc("score"), "position")
+    ranked = sites.withColumn("_rank", F.row_number().over(order)).withColumn("_own", F.array_contains("places", F.col("position")))
+    stats = ranked.groupBy("name").agg(F.min(F.when(F.col("_own"), F.col("_rank"))).alias("core_rank"), F.max(F.when(F.col("_own"), F.col("score"))).alias("core_score"), F.count("*").alias("core_rank_total"))
+    best = predict(clean.select("name", "sequence"), "name", rules, top_n, min_leader, min_core, allow_inverted=inverted)
+    if inverted:
+        best = best.filter("orientation = 'core_leader'")
+    best = best.groupBy("name").agg(F.min(F.struct("rank", F.col("position").alias("p"), F.col("score").alias("s"), "core", F.col("confidence").alias("c"))).alias("b"))
+    out = clean.select("name", "places").join(stats, "name", "left").join(best, "name", "left")
+    return out.select("name", F.col("places").alias("core_positions"), "core_score", "core_rank", F.coalesce("core_rank_total", F.lit(0)).alias("core_rank_total"), F.col("b.core").alias("best_pred_core"), F.col("b.p").alias("best_pred_pos"), F.col("b.s").alias("best_pred_score"), F.col("b.c").alias("best_pred_confidence"))
