@@ -84,7 +84,7 @@ def translate_window(dna: Column, strand: Column, frame: Column, mode: Column |
 
 
 def residue_count(seq: Column, letters: str) -> Column:
-    return F.length(seq) - F.length(F.regexp_replace(seq, f"[{letters}]", ""))
+    return F.length(seq) - F.length(F.translate(seq, letters, ""))
 
 
 def residue_ratio(seq: Column, letter: str) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from strandforge.functions.seq import bins_of, codon_residues, codons, p_value, reverse_complement, translate_window, window_of_bins, z_score
 from strandforge.functions.text import codon_start, first_of
+from strandforge.lineage import cut
+from strandforge.operators.rules import dealt
 
 LOCUS = ["gene_name", "match_type", "orf_strand", "orf_frame", "bin_first", "bin_last"]
 
@@ -85,19 +87,19 @@ def survives(peptide: Column) -> Column:
 
 
 def pairwise_identity(peptides: DataFrame, group: list[str]) -> DataFrame:
-    """Mean over pairs of (equal residues / the shorter length); null for fewer than two peptides.
+    """Mean over pairs of (equal residues / the shorter length); null for fewer than two peptides, empty ones don't count.
 
-    Equal peptides are counted once with their number, so pairs are of different peptides: c (c - 1) / 2 pairs within one of
-    c copies are 1, and a pair of different ones counts c1 c2 times.
+    No pair is formed: a pair of lengths a <= b agrees at a place wherever both have one residue, so counts by length, place and
+    residue give the agreements of all pairs of those lengths at once.
     """
-    counted = peptides.groupBy(*group, "peptide").agg(F.count("*").alias("c"))
-    a, b = counted.select(*group, F.col("peptide").alias("p"), F.col("c").alias("cp")), counted.select(*group, F.col("peptide").alias("q"), F.col("c").alias("cq"))
-    pairs = a.join(b, group).filter("p < q")
-    n = F.least(F.length("p"), F.length("q"))
-    same = F.size(F.filter(F.sequence(F.lit(1), n), lambda i: F.substr("p", i, F.lit(1)) == F.substr("q", i, F.lit(1))))
-    different = pairs.select(*group, (F.col("cp") * F.col("cq")).alias("w"), (same / n).alias("v"))
-    alike = counted.filter("c > 1").select(*group, (F.col("c") * (F.col("c") - 1) / 2).cast("long").alias("w"), F.lit(1.0).alias("v"))
-    return different.unionByName(alike).groupBy(*group).agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("identity"))
+    own = peptides.filter("peptide <> ''").select(*group, F.length("peptide").alias("len"), "peptide")
+    letters = F.posexplode(F.transform(F.sequence(F.lit(1), F.col("len")), lambda i: F.substr("peptide", i, F.lit(1)))).alias("at", "residue")
+    counts = own.select(*group, "len", letters).groupBy(*group, "at", "residue", "len").agg(F.count("*").alias("n"))
+    other = counts.withColumnsRenamed({"len": "len2", "n": "n2"})
+    same = F.when(F.col("len") == F.col("len2"), F.col("n") * (F.col("n") - 1) / 2).otherwise((F.col("n") * F.col("n2")).cast("double"))
+    agreed = counts.join(other, [*group, "at", "residue"]).filter("len <= len2").groupBy(*group).agg(F.sum(same / F.col("len")).alias("agreed"))
+    pairs = own.groupBy(*group).agg(F.count("*").alias("n"))
+    return pairs.join(agreed, group, "left").select(*group, F.when(F.col("n") > 1, F.col("agreed") / (F.col("n") * (F.col("n") - 1) / 2)).alias("identity")).filter("identity is not null")
 
 
 def shuffled_codons(codon: Column, aas: Column, *seeds: Column) -> Column:
@@ -116,7 +118,7 @@ def shuffled_codons(codon: Column, aas: Column, *seeds: Column) -> Column:
 
 def permutation_null(windows: DataFrame, iterations: int, seed: int = 0, mode: str = "zero") -> DataFrame:
     """A row for each window and iteration: the window's peptide after a shuffle of its gene's codons."""
-    runs = windows.withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
+    runs = dealt(windows).withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
     ids = [F.lit(seed), *(F.col(c) for c in LOCUS), F.col("record_uid"), F.col("start"), F.col("iteration")]
     cds = F.concat("cds_prefix", F.array_join(shuffled_codons(F.col("codons"), F.col("aas"), *ids), ""), "remainder")
     runs = runs.withColumn("_cds", cds)
@@ -131,12 +133,12 @@ def survival(peptides: DataFrame, group: list[str]) -> DataFrame:
 
 def conservation_test(hits: DataFrame, cds: DataFrame, bins: int = 20, min_genomes: int = 2, limit: int = 100, iterations: int = 20, seed: int = 0, mode: str = "zero") -> DataFrame:
     """Survival and identity of every selected locus against its own null, the highest z first."""
-    loci = select_loci(locus_keys(hits, bins), min_genomes, limit)
-    windows = window_peptide(locus_windows(loci, gene_instances(cds, loci), bins), mode)
+    loci = cut(select_loci(locus_keys(hits, bins), min_genomes, limit))  # at most ``limit`` rows, read by every later step
+    windows = cut(window_peptide(locus_windows(loci, gene_instances(cds, loci), bins), mode))
     alive = windows.filter(survives(F.col("peptide")))
     observed = survival(windows, LOCUS).withColumnRenamed("n", "evaluated_instances").join(pairwise_identity(alive, LOCUS), LOCUS, "left")
     records = windows.groupBy(*LOCUS).agg(F.countDistinct("record_uid").alias("evaluated_records"))
-    null = permutation_null(windows, iterations, seed, mode)
+    null = cut(permutation_null(windows, iterations, seed, mode).select(*LOCUS, "iteration", "peptide"))
     each = [*LOCUS, "iteration"]
     null_rows = survival(null, each).drop("n").join(pairwise_identity(null.filter(survives(F.col("peptide"))), each), each, "left").withColumnsRenamed({"survival": "null_survival", "identity": "null_identity"})
     seen = null_rows.join(observed.select(*LOCUS, "survival", "identity"), LOCUS)

@@ -85,6 +85,11 @@ def save_rules(rules: dict[str, Rule], path: str) -> None:
     Path(path).write_text(json.dumps({"version": 1, "rules": rules}, indent=2))
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Few bytes with much work in each row: in as many tasks as the session shuffles to, where small partitions would be merged."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _by_letter(table: dict[str, float], letter: Column) -> Column:
     out = F.lit(None).cast("double")
     for k, v in table.items():
@@ -223,7 +228,7 @@ def best_rule_score(proteins: DataFrame, rules: dict[str, Rule] | None = None, a
 
     An aggregate with an ordered maximum: no window, partial before the shuffle, and each sequence is scored once.
     """
-    once = proteins.select(F.upper(F.trim("sequence")).alias("sequence")).distinct()
+    once = dealt(proteins.select(F.upper(F.trim("sequence")).alias("sequence")).distinct())
     sites = cleavage_sites(once, rules or ruleset(), allow_inverted=allow_inverted, **limits)
     best = F.max(F.struct("score", "orientation", (-F.col("position")).alias("p"))).alias("b")
     scored = sites.groupBy("sequence").agg(best).select("sequence", F.col("b.score").alias("rule_score_raw"), F.col("b.orientation").alias("rule_orientation"))

@@ -55,8 +55,10 @@ def best_by_locus(candidates: DataFrame, references: DataFrame, block_rows: int
 
 def score_candidates(candidates: DataFrame, references: DataFrame, n: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(candidate_id, best_similarity, best_match_id, top_n_mean_similarity)."""
-    flat = best_by_locus(candidates, references, block_rows)
-    return best_match(flat).join(top_n_mean(flat.select("candidate_id", "locus", "similarity"), n), "candidate_id")
+    order = Window.partitionBy("candidate_id").orderBy(F.desc("similarity"), "ref_ord")
+    top = best_by_locus(candidates, references, block_rows).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= max(1, n))
+    first = F.max(F.when(F.col("_rank") == 1, F.struct("similarity", "ref_id"))).alias("b")
+    return top.groupBy("candidate_id").agg(first, F.avg("similarity").alias("top_n_mean_similarity")).select("candidate_id", F.col("b.similarity").alias("best_similarity"), F.col("b.ref_id").alias("best_match_id"), "top_n_mean_similarity")
 
 
 def similarity_rows(candidates: DataFrame, references: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandforge.lineage import cut
 from strandforge.operators.index import build_index, lookup_genomes
 from strandforge.operators.orf import orfs, windows_of, with_candidate_ids, with_protein
 from strandforge.operators.rank import rank_candidates
@@ -39,28 +40,27 @@ def extract_candidates(segments: DataFrame, config: Config) -> DataFrame:
 def mark_known(candidates: DataFrame, references: DataFrame, most: int = 5000) -> DataFrame:
     """is_known_precursor: some reference sequence stands within the protein.
 
-    Up to ``most`` references are tried in place against each distinct protein; more of them meet the proteins by their
-    first eight residues, so no protein meets every reference.
+    Up to ``most`` references are tried in place; more of them meet the distinct proteins by their first eight residues, so
+    no protein meets every reference.
     """
     refs = references.select(F.upper("sequence").alias("r")).filter("r <> ''").distinct()
+    listed = cut(refs)
+    if listed.count() <= most:
+        row = F.broadcast(listed.agg(F.collect_list("r").alias("_refs")))  # at most ``most`` strings, one row
+        return candidates.join(row, how="cross").withColumn("is_known_precursor", F.exists("_refs", lambda r: F.contains(F.col("protein"), r))).drop("_refs")
     proteins = candidates.select("protein").distinct()
-    if refs.count() <= most:
-        listed = refs.agg(F.collect_list("r").alias("refs"))  # at most ``most`` strings, one row
-        known = proteins.join(F.broadcast(listed), how="cross").filter(F.exists("refs", lambda r: F.contains(F.col("protein"), r))).select("protein")
-    else:
-        head = lambda c: F.substring(c, 1, 8)
-        short = refs.filter(F.length("r") < 8)
-        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("protein") - 7))
-        grams = proteins.withColumn("g", F.explode(F.array_distinct(F.transform(places, lambda i: F.substr("protein", i, F.lit(8))))))
-        known = grams.join(refs.filter(F.length("r") >= 8).withColumn("g", head("r")), "g").filter(F.contains("protein", F.col("r"))).select("protein")
-        parts = F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(7)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("protein") - n + 1)), lambda i: F.substr("protein", i, n))))))
-        known = known.unionByName(proteins.withColumn("r", parts).join(short, "r").select("protein"))
+    short = listed.filter(F.length("r") < 8)
+    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("protein") - 7))
+    grams = proteins.withColumn("g", F.explode(F.array_distinct(F.transform(places, lambda i: F.substr("protein", i, F.lit(8))))))
+    known = grams.join(listed.filter(F.length("r") >= 8).withColumn("g", F.substring("r", 1, 8)), "g").filter(F.contains("protein", F.col("r"))).select("protein")
+    parts = F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(7)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("protein") - n + 1)), lambda i: F.substr("protein", i, n))))))
+    known = known.unionByName(proteins.withColumn("r", parts).join(short, "r").select("protein"))
     return candidates.join(known.distinct().withColumn("_known", F.lit(True)), "protein", "left").withColumn("is_known_precursor", F.coalesce("_known", F.lit(False))).drop("_known")
 
 
-def checked_join(candidates: DataFrame, scores: DataFrame) -> DataFrame:
+def checked_join(candidates: DataFrame, scores: DataFrame, key: str = "candidate_id") -> DataFrame:
     """Every candidate with its scores; a candidate without is an error."""
-    out = candidates.join(scores, "candidate_id", "left")
+    out = candidates.join(scores, key, "left")
     sound = F.when(F.col("best_similarity").isNull(), F.raise_error(F.concat(F.lit("no score for "), F.col("candidate_id").cast("string"))).cast("double")).otherwise(F.col("best_similarity"))
     return out.withColumn("best_similarity", sound)
 
@@ -74,8 +74,7 @@ def run_pipeline(segments: DataFrame, embeddings: DataFrame, references: DataFra
     config = config or Config()
     found = extract_candidates(segments, config)
     scores = score_candidates(embeddings.select(F.col("protein").alias("candidate_id"), "embedding"), references, config.top_n).withColumnRenamed("candidate_id", "protein")
-    scored = found.join(scores, "protein", "left")
-    scored = checked_join(found, scored.select("candidate_id", "best_similarity", "best_match_id", "top_n_mean_similarity"))
+    scored = checked_join(found, scores, "protein")
     ranked = rank_candidates(scored.withColumn("ord", F.col("candidate_id")), "record_id", config.score_mode, config.min_rule_score, rules, config.allow_inverted)
     return lookup_genomes(mark_known(ranked, references), index)
 

@@ -33,6 +33,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Row-wise heavy work on a table of fewer row groups than cores: deal the rows out.  Larger tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 # ---------------------------------------------------------------- shared inputs
 
 _HEX, _BASES = "0123456789abcdef", "ACGTACGTACGTACGT"
@@ -42,7 +48,8 @@ _PARTS = 8
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """record_id, doc_id, gbk_file (source and language), sequence."""
     dna = F.translate(F.concat(*(F.md5(F.concat(F.lit(f"{k}:"), F.col("text"))) for k in range(_PARTS))), _HEX, _BASES)
-    return read(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("record_id"), "doc_id", F.concat_ws("/", "source", "lang").alias("gbk_file"), dna.alias("sequence"))
+    own = read(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("record_id"), "doc_id", F.concat_ws("/", "source", "lang").alias("gbk_file"), dna.alias("sequence"))
+    return spread(own)
 
 
 def found_orfs(spark: SparkSession, sf_dir: str, min_aa: int = 20, max_aa: int = 120) -> DataFrame:
@@ -143,7 +150,7 @@ def _charge_sql(s: str) -> str:
 @query(f"""with {_orf_sql()}, p as (select distinct protein from orfs) select protein, round({_charge_sql('protein')}, 6) as charge, round({_hydro_sql('protein')}, 6) as hydropathy,
 round({_count_sql('protein', 'G')} / length(protein)::double, 6) as glycine, 'core_' || substr(sha1(replace(protein, 'I', 'L')), 1, 10) as core_group, substr(sha1(protein), 1, 10) as short_hash from p""")
 def protein_properties(spark, sf_dir):
-    p = found_orfs(spark, sf_dir).select("protein").distinct()
+    p = rules.dealt(found_orfs(spark, sf_dir).select("protein").distinct())
     c = F.col("protein")
     return p.select("protein", F.round(seq.net_charge(c), 6).alias("charge"), F.round(seq.hydropathy_mean(c), 6).alias("hydropathy"), F.round(seq.residue_ratio(c, "G"), 6).alias("glycine"), text.core_group(c).alias("core_group"), text.sequence_hash(c).alias("short_hash"))
 
@@ -320,7 +327,7 @@ _SCORED = f"with {_SITES}, {_site_sql('sites')}"
 
 
 def proteins(spark, sf_dir) -> DataFrame:
-    return found_orfs(spark, sf_dir, 40).select(F.col("protein").alias("sequence")).distinct()
+    return rules.dealt(found_orfs(spark, sf_dir, 40).select(F.col("protein").alias("sequence")).distinct())
 
 
 @query(f"{_SCORED} select sequence, position::int as position, round(score, 6) as score, round(core_start, 6)::double as core_start, round(ring_closure, 6)::double as ring_closure, round(hydrophobicity, 6)::double as hydrophobicity, round(charge_transition, 6)::double as charge_transition, steric_lock::double as steric_lock, round(leader_penultimate, 6)::double as leader_penultimate, round(leader_signature, 6)::double as leader_signature, round(cleavage_motif, 6)::double as cleavage_motif, core_length::double as core_length from scored")
