@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandforge.lineage import cut, ensure_checkpoint_dir  # noqa: F401
+
 #: Words of the contracts: maximal runs of anything but space and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -23,23 +24,6 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; only a local session without one gets its own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and not sc.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the reliable checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def least_hashed(ids: DataFrame, by: str, most: dict, seed: int) -> DataFrame:
     """(doc_id, ``by``, order) of the rows with the least hash of the id, so many of each class of ``by``.
 
