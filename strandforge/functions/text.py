@@ -57,10 +57,15 @@ def require_locus(header: Column) -> Column:
     return F.coalesce(header_token(header, "locus"), F.raise_error(F.concat(F.lit("no locus token in "), header)).cast("string"))
 
 
+def derive_locus(header: Column) -> Column:
+    """The protein token, else the header's first word."""
+    return F.coalesce(header_token(header, "prot"), F.element_at(F.split(F.trim(header), r"\s+"), 1))
+
+
 def inject_locus(header: Column, locus: Column) -> Column:
     """A locus token after the first segment, unless there is one."""
     head, tail = F.substring_index(header, "|", 1), F.substr(header, F.length(F.substring_index(header, "|", 1)) + 1)
-    return F.when(header.rlike(r"(?:^|\|)locus="), header).otherwise(F.concat(head, F.lit("|locus="), locus, tail))
+    return F.when(F.contains(header, F.lit("locus=")), header).otherwise(F.concat(head, F.lit("|locus="), locus, tail))
 
 
 def accession_or_link(accession: Column, link: Column) -> Column:

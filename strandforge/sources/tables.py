@@ -7,6 +7,8 @@ from pathlib import PurePosixPath
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandforge.functions.text import normalise_accession
+
 DATASET = "name string, sequence string, full_precursor string, leader string, core string, source string, validation_status string"
 PROTECTED = ("training", "validation")
 
@@ -41,7 +43,7 @@ def write_dataset(df: DataFrame, path: str, read_only: bool = False, mode: str =
 def read_blocks(spark: SparkSession, path: str | list[str], core_required: bool = True) -> DataFrame:
     """Blocks of ``>name``, ``Precursor:`` and ``Core:`` lines as (name, precursor, core), letters only."""
     text = spark.read.text(path, lineSep=">").filter(F.trim("value") != "")
-    letters = lambda k: F.upper(F.regexp_replace(F.regexp_extract("value", rf"(?im)^\s*{k}\s*:\s*([^\n]*)", 1), "[^A-Za-z]", ""))
+    letters = lambda k: F.upper(F.regexp_replace(F.regexp_extract("value", rf"(?im)^\s*{k}(?:[^\n:]*:)?([^\n]*)", 1), "[^A-Za-z]", ""))
     out = text.select(F.trim(F.substring_index("value", "\n", 1)).alias("name"), letters("precursor").alias("precursor"), letters("core").alias("core")).filter("precursor <> ''")
     return out.filter("core <> ''") if core_required else out.withColumn("core", F.when(F.col("core") != "", F.col("core")))
 
@@ -52,31 +54,62 @@ def core_of_description(description: Column) -> Column:
     return F.when(s != "", s)
 
 
+#: The named references that tables of this kind use.
+_REFERENCES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
+
+
+def _plain(cell: Column) -> Column:
+    """Trimmed text pieces of a cell, joined by one space."""
+    text = F.trim(F.regexp_replace(F.regexp_replace(cell, r"(?s)<[^>]*>", " "), r"\s+", " "))
+    for name, char in _REFERENCES.items():
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return F.trim(text)
+
+
 def html_rows(html: Column) -> Column:
-    """Table rows of a page: arrays of struct(text, href), the href of a cell's first link."""
+    """Table rows of a page: arrays of struct(text, href) of their td cells, the href of a cell's first link; rows without one are none."""
     rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr\b[^>]*>(.*?)(?=</tr|<tr\b|$)"), F.lit(1))
-    cell = lambda c: F.struct(F.trim(F.regexp_replace(F.regexp_replace(c, r"(?s)<[^>]*>", " "), r"\s+", " ")).alias("text"), F.regexp_extract(c, r"""(?is)<a\b[^>]*href\s*=\s*["']?([^"'\s>]+)""", 1).alias("href"))
-    return F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)(?=</t[dh]|<t[dh]\b|$)"), F.lit(1)), cell))
+    cell = lambda c: F.struct(_plain(c).alias("text"), F.regexp_extract(c, r"""(?is)<a\b[^>]*href\s*=\s*["']?([^"'\s>]+)""", 1).alias("href"))
+    cells = F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<td\b[^>]*>(.*?)(?=</td|<td\b|$)"), F.lit(1)), cell))
+    return F.filter(cells, lambda r: F.size(r) > 0)
 
 
-def class_table(pages: DataFrame, wanted: str = "A", least: int = 8, width: int = 13) -> DataFrame:
-    """Rows with enough cells whose first cell is the wanted class, padded to ``width`` cells."""
+#: Fields of a class table: name, cell, and whether it is the text, the link or an accession.
+CLASS_FIELDS = [
+    ("ambler_class", 0, "text"), ("protein_name", 1, "text"), ("alt_names", 2, "text"), ("subfamily", 3, "text"), ("genpept_id", 4, "id"), ("genpept_link", 4, "href"), ("genbank_id", 5, "id"), ("genbank_link", 5, "href"),
+    ("pubmed", 6, "text"), ("sequence_link", 7, "href"), ("pdb_count", 8, "text"), ("mutants", 9, "text"), ("phenotype", 10, "text"), ("functional_info", 11, "text"), ("natural_or_acquired", 12, "text"),
+]
+
+
+def class_table(pages: DataFrame, wanted: str = "A", least: int = 8) -> DataFrame:
+    """Rows with enough cells whose first is the wanted class; missing later cells are empty."""
     rows = pages.select(F.posexplode(html_rows(F.col("html"))).alias("row", "cells")).filter((F.size("cells") >= least) & (F.col("cells")[0]["text"] == wanted))
-    text = lambda i: F.coalesce(F.try_element_at("cells", F.lit(i + 1))["text"], F.lit("")).alias(f"cell_{i}")
-    return rows.select("row", *(text(i) for i in range(width)), F.transform("cells", lambda c: c["href"]).alias("hrefs"))
+
+    def field(cell: int, kind: str) -> Column:
+        value = F.coalesce(F.try_element_at("cells", F.lit(cell + 1))["href" if kind == "href" else "text"], F.lit(""))
+        return normalise_accession(value, unknown_is_empty=False, drop_version=False, no_break_spaces=True) if kind == "id" else value
+
+    return rows.select("row", *(field(cell, kind).alias(name) for name, cell, kind in CLASS_FIELDS))
 
 
 def html_links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r"""(?is)<a\b[^>]*href\s*=\s*["']?([^"'\s>]+)"""), F.lit(1))
 
 
-def region_urls(regions: DataFrame, base: str) -> DataFrame:
-    """Derived addresses of search hits, only where accession, version and region number are there."""
-    key = F.concat_ws(".", "accession", F.col("version").cast("string"))
-    whole = F.col("accession").isNotNull() & F.col("version").isNotNull() & F.col("region_number").isNotNull()
-    page = F.when(whole, F.concat(F.lit(base), F.lit("/output/"), key, F.lit("/index.html#r"), F.col("record_number").cast("string"), F.lit("c"), F.col("region_number").cast("string")))
-    file = F.when(whole, F.concat(F.lit(base), F.lit("/output/"), key, F.lit("/"), key, F.lit(".region"), F.lpad(F.col("region_number").cast("string"), 3, "0"), F.lit(".gbk")))
-    return regions.withColumn("page_url", page).withColumn("gbk_url", file)
+def region_rows(regions: DataFrame, base: str, cluster_base: str) -> DataFrame:
+    """Search hits as rows; addresses are derived only where assembly, record and region are known, and are empty otherwise."""
+    c = {n: F.col(n) for n in ("assembly_id", "record_number", "region_number")}
+    own = F.coalesce(c["assembly_id"], F.lit(""))
+    whole = (own != "") & c["record_number"].isNotNull() & c["region_number"].isNotNull()
+    best = F.coalesce("best_mibig_hit_acc", F.lit(""))
+    address = lambda *parts: F.when(whole, F.concat(F.lit(f"{base}/output/"), own, *parts)).otherwise(F.lit(""))
+    return regions.select(
+        own.alias("assembly_id"), F.coalesce("acc", F.lit("")).alias("acc"), "record_number", "region_number", "start_pos", "end_pos", F.coalesce("description", F.lit("")).alias("description"),
+        address(F.lit("/index.html#r"), c["record_number"].cast("string"), F.lit("c"), c["region_number"].cast("string")).alias("cluster_url"),
+        address(F.lit("/"), own, F.lit(".gbk")).alias("gbk_url"),
+        best.alias("best_mibig_hit_acc"), F.coalesce(F.col("best_mibig_hit_similarity").cast("string"), F.lit("")).alias("best_mibig_hit_similarity"),
+        F.when(best != "", F.concat(F.lit(f"{cluster_base}/go/"), best)).otherwise(F.lit("")).alias("mibig_url"),
+    )
 
 
 PREFERRED = ["record_id", "candidate_id", "rank", "protein", "aa_len", "strand", "frame", "genomic_start", "genomic_end", "start_codon", "is_alt_start", "best_similarity", "best_match_id", "top_n_mean_similarity", "embedding_score", "combined_score", "rule_score_raw", "rule_orientation", "is_known_precursor", "genome_count", "source_file"]

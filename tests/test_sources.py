@@ -91,7 +91,7 @@ def test_tables(spark, tmp_path):
         tables.write_dataset(df, str(tmp_path / "x.xyz"))
     (tmp_path / "lab.csv").write_text("﻿Name;Core\nx;AA\n", encoding="utf-8")
     assert tables.read_semicolon_table(spark, str(tmp_path / "lab.csv")).columns == ["Name", "Core"]
-    (tmp_path / "b.txt").write_text("> one\nPrecursor: mk-ka\nCore: KA\n\n>two\nPrecursor: MM\n")
+    (tmp_path / "b.txt").write_text("> one\nPrecursor mk-ka\nCore: KA\n\n>two\nPrecursor: MM\n")
     assert [tuple(r) for r in tables.read_blocks(spark, str(tmp_path / "b.txt")).collect()] == [("one", "MKKA", "KA")]
     assert tables.read_blocks(spark, str(tmp_path / "b.txt"), core_required=False).count() == 2
     assert spark.range(1).select(tables.core_of_description(F.lit("x core=gga y")).alias("c")).first().c == "GGA"
@@ -103,12 +103,15 @@ def test_tables(spark, tmp_path):
 
 def test_html_table(spark):
     cells = "".join(f"<td>c{i}</td>" for i in range(8))
-    page = f"<table><tr><th>Class</th></tr><tr><td>A</td><td><a href='http://x/y'>P <b>1</b></a>{cells}</tr><tr><td>B</td>{cells}</tr><tr><td>A</td></tr></table>"
+    page = f"<table><tr><th>Class</th></tr><tr><td>A</td><td><a href='http://x/y'>P <b>1</b> &amp; 2</a>{cells}</tr><tr><td>B</td>{cells}</tr><tr><td>A</td></tr></table>"
     got = tables.class_table(spark.createDataFrame([(page,)], "html string")).collect()
-    assert len(got) == 1 and (got[0].cell_0, got[0].cell_1, got[0].cell_12) == ("A", "P 1", "") and got[0].hrefs[1] == "http://x/y"
+    assert len(got) == 1 and (got[0].ambler_class, got[0].protein_name, got[0].genpept_id, got[0].natural_or_acquired) == ("A", "P 1 & 2", "c2", "")
+    assert got[0].genpept_link == "" and got[0].sequence_link == ""
 
 
-def test_region_urls(spark):
-    df = spark.createDataFrame([("NC_1", 2, 1, 3), ("NC_1", None, 1, 3)], "accession string, version int, record_number int, region_number int")
-    a, b = tables.region_urls(df, "http://h").collect()
-    assert a.gbk_url == "http://h/output/NC_1.2/NC_1.2.region003.gbk" and b.page_url is None
+def test_region_rows(spark):
+    schema = "assembly_id string, acc string, record_number int, region_number int, start_pos int, end_pos int, description string, best_mibig_hit_acc string, best_mibig_hit_similarity int"
+    df = spark.createDataFrame([("NC_1", "a", 1, 3, 5, 9, None, "BGC1", 80), (None, None, 1, 3, None, None, "d", None, None)], schema)
+    a, b = tables.region_rows(df, "http://h", "http://m").collect()
+    assert (a.cluster_url, a.gbk_url, a.mibig_url) == ("http://h/output/NC_1/index.html#r1c3", "http://h/output/NC_1/NC_1.gbk", "http://m/go/BGC1")
+    assert (b.cluster_url, b.gbk_url, b.mibig_url, b.acc) == ("", "", "", "")
