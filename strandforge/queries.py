@@ -660,3 +660,58 @@ def accession_lists(spark, sf_dir):
     return o.select("o_custkey", F.array_join(F.transform("l", lambda x: x.cast("string")), ",").alias("sequences"), "n")
 
 
+
+
+# ---------------------------------------------------------------- regions, instances, rows of the conservation test
+
+@query(f"""with {_SEG}, r as (select *, case when doc_id % 3 = 0 then [{{'s': 10, 'e': 60}}, {{'s': 100, 'e': 400}}] when doc_id % 3 = 1 then [{{'s': 20, 'e': 90}}] end as ranges, case when doc_id % 2 = 0 then 'lasso' end as src from seg),
+w as (select record_id, dna, unnest(case when ranges is not null and coalesce(src, '') <> 'lasso' then ranges else [{{'s': 0, 'e': length(dna)}}] end) as w from r)
+select record_id, greatest(0, w.s)::int as window_start, substr(dna, (w.s + 1)::int, (least(length(dna), w.e) - w.s)::int) as sequence from w where least(length(dna), w.e) > w.s""")
+def region_windows(spark, sf_dir):
+    k = F.col("doc_id") % 3
+    one = lambda s, e: F.struct(F.lit(s).alias("start"), F.lit(e).alias("end"))
+    s = segments(spark, sf_dir).withColumn("region_ranges", F.when(k == 0, F.array(one(10, 60), one(100, 400))).when(k == 1, F.array(one(20, 90)))).withColumn("region_source", F.when(F.col("doc_id") % 2 == 0, "lasso"))
+    return orf.windows_of(s).select("record_id", "window_start", "sequence")
+
+
+@query("""with f as (select o_custkey::varchar as record_id, 'f' as gbk_file, o_orderkey as ordinal, o_orderpriority as product, (o_orderkey % 50)::int as s, (o_orderkey % 50 + o_custkey % 4)::int as e from orders)
+select record_id, gbk_file, row_number() over (partition by gbk_file, record_id order by ordinal)::int as region_index, s as region_start, e as region_end from f where contains(lower(product), 'high') and e > s""")
+def region_index(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("record_id"), F.lit("f").alias("gbk_file"), F.col("o_orderkey").alias("ordinal"), F.lit("region").alias("type"), F.array("o_orderpriority").alias("products"), (F.col("o_orderkey") % 50).cast("int").alias("start"), (F.col("o_orderkey") % 50 + F.col("o_custkey") % 4).cast("int").alias("end"))
+    return orf.indexed_regions(o, "high")
+
+
+@query(f"""with {_SEG}, g as (select gbk_file || '::' || record_id as record_uid, 'g' || (doc_id % 12) as gene_name, case when doc_id % 2 = 1 then '-' else '+' end as strand, substr(dna, 33, 192) as genomic from seg),
+c as (select *, case when strand = '-' then reverse(translate(genomic, 'ACGT', 'TGCA')) else genomic end as cds from g)
+select record_uid, gene_name, strand, array_to_string(list_transform(range(0, 64), lambda k: substr(cds, 3 * k + 1, 3)), ' ') as codons, array_to_string(list_transform(range(0, 64), lambda k: replace({_aa('substr(cds, 3 * k + 1, 3)')}, '*', 'X')), '') as aas from c""")
+def gene_instances(spark, sf_dir):
+    g = conservation.gene_instances(_cds(spark, sf_dir))
+    return g.select("record_uid", "gene_name", "strand", F.array_join("codons", " ").alias("codons"), F.array_join("aas", "").alias("aas"))
+
+
+@query(f"with {_HITS} select gbk_file, record_id, gene_name, orf_strand, orf_frame, orf_start, orf_end, match_type from hits where match_type is not null")
+def altframe_hits(spark, sf_dir):
+    return _hits(spark, sf_dir).select("gbk_file", "record_id", "gene_name", "orf_strand", "orf_frame", "orf_start", "orf_end", "match_type")
+
+
+@query("select l_orderkey, l_linenumber, z::double as z_score from (select *, case when l_linenumber = 4 then null else round((l_quantity - 25.0) / 10.0, 6) end as z from lineitem where l_linenumber <= 4) order by z desc nulls last, l_orderkey, l_linenumber limit 100")
+def z_ranking(spark, sf_dir):
+    t = read(spark, sf_dir, "lineitem").filter("l_linenumber <= 4").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") == 4, F.lit(float("nan"))).otherwise(F.round((F.col("l_quantity") - 25.0) / 10.0, 6)).alias("z_score"))
+    key = F.when(F.isnan("z_score"), None).otherwise(F.col("z_score"))
+    return rank.top_k(t.withColumn("z_score", key), [F.col("z_score").desc_nulls_last(), F.col("l_orderkey"), F.col("l_linenumber")], 100)
+
+
+@query("select o_orderkey, case when o_custkey % 4 > 0 then sum((o_custkey % 4 > 0)::int) over (partition by o_custkey % 50 order by o_totalprice desc, o_orderkey rows unbounded preceding) end::bigint as rank_cut, (o_orderkey % 100 + 1)::bigint as shown_start from orders")
+def passing_ranks(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").withColumn("g", F.col("o_custkey") % 50)
+    out = rank.passing_rank(o, ["g"], [F.desc("o_totalprice"), F.col("o_orderkey")], F.col("o_custkey") % 4 > 0, "rank_cut")
+    return out.select("o_orderkey", "rank_cut", text.display_interval(F.col("o_orderkey") % 100, F.col("o_orderkey") % 100 + 5)[0].alias("shown_start"))
+
+
+@query(f"""with {_UNIT}, b as (select candidate_id, max(s) s from sims group by 1) select r.vec_id as candidate_id, round(b.s, 6) as best_similarity, round(coalesce(t.m, 0), 6) as embedding_score, row_number() over (partition by r.label order by coalesce(t.m, 0) desc, b.s desc, r.vec_id)::int as rank
+from unit r join b on b.candidate_id = r.vec_id left join (select candidate_id, avg(g) m from (select candidate_id, locus, max(s) g, row_number() over (partition by candidate_id order by max(s) desc) k from sims group by candidate_id, locus) where k <= 3 and candidate_id % 2 = 0 group by candidate_id) t on t.candidate_id = r.vec_id""")
+def two_stage_ranking(spark, sf_dir):
+    c = candidates(spark, sf_dir)
+    s = similarity.score_candidates(c, references(spark, sf_dir), 3).withColumn("top_n_mean_similarity", F.when(F.col("candidate_id") % 2 == 0, F.col("top_n_mean_similarity")))
+    own = s.join(c.select("candidate_id", F.col("group").alias("record_id")), "candidate_id").withColumn("ord", F.col("candidate_id")).withColumn("protein", F.lit("M"))
+    return rank.rank_candidates(own).select("candidate_id", F.round("best_similarity", 6).alias("best_similarity"), F.round("embedding_score", 6).alias("embedding_score"), "rank")
