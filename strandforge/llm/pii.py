@@ -70,14 +70,15 @@ DIGIT_NAMES = {
 _HIDDEN = "​‌‍⁠﻿­"
 _ODD = re.compile(r"[^\x00-\x7F]")
 _WORDS = "|".join(sorted(DIGIT_NAMES, key=len, reverse=True))
-_SPELLED = re.compile(rf"(?<!\w)(?:{_WORDS}|plus)(?:[\x20,.-]{{1,2}}(?:{_WORDS}|double|triple|[0-9]+)){{3,}}(?!\w)", re.IGNORECASE)
-_SPELLED_PART = re.compile(rf"(plus)|(?:(double|triple)[\x20-])?({_WORDS})|[\x20,.-]+", re.IGNORECASE)
+_SPELLED = re.compile(rf"(?<!\w)(?:{_WORDS}|plus)(?:[\x20,.-]{{1,2}}(?:{_WORDS}|double|triple|[0-9]+|dot|point|punkt|punto)){{3,}}(?!\w)", re.IGNORECASE)
+_SPELLED_PART = re.compile(rf"(plus)|(?:(double|triple)[\x20-])?({_WORDS})|[\x20,-]*(?:dot|point|punkt|punto)[\x20,-]*|[\x20,.-]+", re.IGNORECASE)
+_LOOSE = re.compile(r"(?<![A-Za-z0-9])[0-9](?:[\x20-]?[0-9OolI]){3,}(?![A-Za-z0-9])")
 _HOST = r"[A-Za-z0-9-]+"
-_BRACKETED = re.compile(r"[\x20]?[\[({<]\x20?(?:(at|@|ät|arroba|arobase)|(dot|\.|punkt|punto|point))\x20?[\])}>][\x20]?", re.IGNORECASE)
+_BRACKETED = re.compile(r"[\x20]?[\[({<]\x20?(?:(at|@|ät|arroba|arobase)|dot|\.|punkt|punto|point)\x20?[\])}>][\x20]?|(&#64;|&#x40;|&commat;)|&#46;|&#x2e;|&period;", re.IGNORECASE)
 _TOP = r"(com|org|net|edu|gov|io|info|de|fr|es|uk|co|example)(?![A-Za-z0-9-]|\x20+dot\x20+[A-Za-z0-9]|\.[A-Za-z0-9])"
-_DOT = r"(?:\x20+dot\x20+|\x20\.\x20|\.)"
-_WORDED = re.compile(rf"(?<=[A-Za-z0-9_%+-])(\x20+at\x20+|\x20*@\x20*)({_HOST}(?:{_DOT}{_HOST})*?)({_DOT}){_TOP}", re.IGNORECASE)
-_TRIGGER = re.compile(r"[\[({<]\x20?(?:at|@|ät|arroba|arobase|dot|\.|punkt|punto|point)\x20?[\])}>]|\x20dot\x20|\x20@|@\x20", re.IGNORECASE)
+_DOT = r"(?:\x20+dot\x20+|_dot_|\x20\.\x20|\.)"
+_WORDED = re.compile(rf"(?<=[A-Za-z0-9_%+-])(\x20+at\x20+|_at_|\x20*@\x20*)({_HOST}(?:{_DOT}{_HOST})*?)({_DOT}){_TOP}", re.IGNORECASE)
+_TRIGGER = re.compile(r"[\[({<]\x20?(?:at|@|ät|arroba|arobase|dot|\.|punkt|punto|point)\x20?[\])}>]|\x20dot\x20|_dot_|\x20@|@\x20|&#(?:64|46|x40|x2e);|&commat;|&period;", re.IGNORECASE)
 
 
 def _edit_odd(text: str) -> list[tuple[int, int, str]]:
@@ -89,6 +90,8 @@ def _edit_odd(text: str) -> list[tuple[int, int, str]]:
             edits.append((m.start(), m.end(), ""))
         elif c in LOOKALIKES:
             edits.append((m.start(), m.end(), LOOKALIKES[c]))
+        elif c.isdecimal():
+            edits.append((m.start(), m.end(), str(unicodedata.decimal(c))))
         elif not "À" <= c <= "ɏ" and (n := unicodedata.normalize("NFKC", c)).isascii() and n != c:
             edits.append((m.start(), m.end(), n))
     return edits
@@ -102,13 +105,25 @@ def _edit_spelled(text: str) -> list[tuple[int, int, str]]:
                 edits.append((p.start(), p.end(), "+"))
             elif p[3]:
                 edits.append((p.start(), p.end(), DIGIT_NAMES[p[3].lower()] * {"double": 2, "triple": 3}.get((p[2] or "").lower(), 1)))
+            elif any(c.isalpha() for c in p[0]):
+                edits.append((p.start(), p.end(), "."))
             elif "." not in p[0]:
                 edits.append((p.start(), p.end(), ""))
     return edits
 
 
+def _edit_loose(text: str) -> list[tuple[int, int, str]]:
+    """O, o, l and I among digits: runs that begin with a digit and are mostly digits."""
+    edits = []
+    for m in _LOOSE.finditer(text):
+        odd = [i for i in range(m.start(), m.end()) if text[i] in "OolI"]
+        if odd and 3 * len(odd) <= m.end() - m.start():
+            edits += [(i, i + 1, "0" if text[i] in "Oo" else "1") for i in odd]
+    return edits
+
+
 def _edit_at(text: str) -> list[tuple[int, int, str]]:
-    return [(m.start(), m.end(), "@" if m[1] else ".") for m in _BRACKETED.finditer(text)]
+    return [(m.start(), m.end(), "@" if m[1] or m[2] else ".") for m in _BRACKETED.finditer(text)]
 
 
 def _edit_worded(text: str) -> list[tuple[int, int, str]]:
@@ -175,6 +190,7 @@ def deobfuscate(text: str) -> Transduced:
     if not text.isascii():
         t.apply(_edit_odd(t.text))
     t.apply(_edit_spelled(t.text))
+    t.apply(_edit_loose(t.text))
     if _TRIGGER.search(t.text):
         t.apply(_edit_at(t.text))
         t.apply(_edit_worded(t.text))

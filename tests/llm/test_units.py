@@ -102,6 +102,13 @@ def test_disguised_identifiers_map_back():
         ("call plus four nine three zero one two three four five six", "phone", "plus four nine three zero one two three four five six"),
         ("ｊｏｅ＠ｅｘ.com", "email", "ｊｏｅ＠ｅｘ.com"),
         ("a​@b.de x", "email", "a​@b.de"),
+        ("ip one two seven dot zero dot zero dot one ok", "ip", "one two seven dot zero dot zero dot one"),
+        ("card 4lll 1111 1l11 1111.", "card", "4lll 1111 1l11 1111"),
+        ("card ٤١١١ ١١١١ ١١١١ ١١١١", "card", "٤١١١ ١١١١ ١١١١ ١١١١"),
+        ("joe_at_mail_dot_com", "email", "joe_at_mail_dot_com"),
+        ("x joe&#64;mail.com", "email", "joe&#64;mail.com"),
+        ("joe @ mail . com", "email", "joe @ mail . com"),
+        ("a joe(at)mail(dot)co(dot)uk b", "email", "joe(at)mail(dot)co(dot)uk"),
     ]:
         base, spans = pii.find_pii(text)
         assert (kind, span) in [(k, text[s:e]) for k, s, e in spans], (text, spans)
@@ -132,6 +139,18 @@ def test_article_text():
     assert get("<body><p>only text</p></body>") == "only text"
 
 
+def test_article_without_article_tag():
+    get = lambda s: html.main_text(html.parse(s), set())
+    prose = "".join(f"<p>Sentence number {i} of the story goes on for a while.</p>" for i in range(5))
+    want = " ".join(f"Sentence number {i} of the story goes on for a while." for i in range(5))
+    for page in (
+        f"<body class='has-sidebar'><div id='header'><h1>Site</h1></div><div class='menu'><a>x</a></div><div class='content with-sidebar'>{prose}</div><div class='sidebar'><p>Also read this one</p></div><div class='footer'>bye</div></body>",
+        f"<body><header>Site name</header><main>{prose}<section id='comments'><h3>Comments</h3><p>{'nice text ' * 80}</p></section></main><div role='contentinfo'>c</div></body>",
+        f"<body><table><tr><td class='nav'>a b c</td><td>{prose}</td></tr></table><div class='cookie-notice'>We use cookies</div><form><input><p>Sign up</p></form></body>",
+    ):
+        assert get(page) == want, page
+
+
 def test_template_is_what_aligned_pages_repeat():
     body = lambda t: f"<body><div><p>Welcome to the site of all sites</p></div><div><p>{t}</p><p>{t[::-1]}</p></div></body>"
     pages = [html.parse(body(" ".join(f"w{k}{i}" for i in range(20)))) for k in range(4)]
