@@ -23,22 +23,30 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 _SCOPE = frozenset("article main section div table ul ol body html td th blockquote aside nav footer header form".split())
 #: Words in class, id or role that mark what isn't the article.
 _NOISE = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navigation navbar breadcrumb breadcrumbs footer cookie cookies consent notice notices gdpr privacy popup modal overlay newsletter subscribe signup login share sharing social related recommended recommendations widget pagination pager toolbar masthead comment comments commentlist respond reply replies disqus discussion skip hidden complementary contentinfo search alert".split()
+    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navigation navbar breadcrumb breadcrumbs footer cookie cookies consent notice notices gdpr privacy popup modal overlay newsletter subscribe signup login share sharing social related recommended recommendations widget pagination pager toolbar masthead comment comments commentlist respond reply replies disqus discussion skip hidden complementary contentinfo search alert dialog".split()
 )
+#: Names that mark noise however large it is; another name on most of a page's text (``with-sidebar``) marks a layout.
+_ALWAYS = frozenset("comment comments commentlist respond reply replies disqus discussion nav navigation menu footer".split())
+_HEADER = frozenset("header masthead topbar".split())
 _TOKEN = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("attrs", "children", "digest", "kind", "size", "tag", "text")
+    __slots__ = ("attrs", "children", "digest", "header", "kind", "size", "tag", "text")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.attrs, self.children, self.text = tag, attrs, [], ""
         self.kind = self.digest = None
+        self.header = False
         self.size = 1
 
 
 def parse(html: str) -> Node:
+    return lay_out(parse_tree(html))
+
+
+def parse_tree(html: str) -> Node:
     """A forgiving tree: void and raw elements, implied ends of p, li, dt, dd, td, th and tr, and stray end tags are handled.
 
     Text nodes have tag "" and hold decoded text.
@@ -125,10 +133,36 @@ def _named(node: Node) -> tuple[str, bool, bool]:
         words = _TOKEN.findall(label)
         sure = node.tag in ("article", "main") or a.get("role") == "main" or a.get("itemprop") == "articleBody"
         noise = node.tag in _NEVER or not sure and node.tag not in ("html", "body", "#root") and (any(w in _NOISE for w in words) or "hidden" in node.attrs.lower().split() or a.get("aria-hidden") == "true")
+        if noise and node.tag not in _NEVER and not any(w in _ALWAYS for w in words):
+            noise = "layout?"  # settled by lay_out()
         node.kind = (f"{node.tag}.{a.get('class', '')}", noise, sure)
+        if node.tag == "header" or any(w in _HEADER for w in words):
+            node.header = True
     return node.kind
 
 
+def lay_out(root: Node) -> Node:
+    """Nodes named like noise that hold most of a page's text are layout, unless their name can only be noise."""
+    doubtful: list[tuple[Node, int]] = []
+
+    def words(node: Node) -> int:
+        if not node.tag:
+            return len(node.text.split())
+        noise = _named(node)[1]
+        if noise is True:
+            return 0
+        n = sum(map(words, node.children))
+        if noise:
+            doubtful.append((node, n))
+        return n
+
+    total = words(root)
+    for node, n in doubtful:
+        sign, _, sure = node.kind
+        node.kind = (sign, not (n > 0.6 * total and any(c.tag for c in node.children)), sure)
+    return root
+
+
 def _digest(node: Node) -> int:
     """A hash of the whole subtree, and its size."""
     if node.digest is None:
@@ -266,7 +300,7 @@ def _content_root(root: Node, template: set[int]) -> tuple[Node, bool]:
             return 0  # link lists aren't the article
         order += 1
         place = order
-        n = sum(varying(c) for c in node.children if not c.tag or not _named(c)[1])
+        n = sum(varying(c) for c in node.children if not c.tag or not (_named(c)[1] or c.header))
         weights[id(node)] = n
         if _named(node)[2]:
             sure.append((n, -place, node))
@@ -302,7 +336,7 @@ def main_text(page: Node, template: set[int]) -> str:
             if not in_header and not (id(node) in template and (not sure or len(node.text.split()) <= 3)):
                 line.append(node.text)
             return
-        if node is not root and (_named(node)[1] or node.tag == "header" and not sure):
+        if node is not root and (_named(node)[1] or node.header and not sure):
             return
         if node.tag in _INLINE:
             for c in node.children:
@@ -310,7 +344,7 @@ def main_text(page: Node, template: set[int]) -> str:
             return
         flush()
         # of an article's own header the headings stay
-        inside = node.tag == "header" or in_header and node.tag not in ("h1", "h2", "h3", "h4", "h5", "h6")
+        inside = node.header and node is not root or in_header and node.tag not in ("h1", "h2", "h3", "h4", "h5", "h6")
         for c in node.children:
             walk(c, inside)
         flush()
