@@ -12,8 +12,25 @@ from strandforge.functions.text import candidate_id
 TILE = 1200
 
 
-def _positions(seq: Column, n: Column, found: tuple[str, ...]) -> Column:
-    return F.when(n >= 3, F.filter(F.sequence(F.lit(0), n - 3), lambda i: F.upper(F.substr(seq, i + 1, F.lit(3))).isin(*found))).otherwise(F.array().cast("array<int>"))
+def _tiles(own: Column, tile: int, reach: int) -> Column:
+    """struct(at, piece) of consecutive stretches of ``tile`` bases, each with the next one's first ``reach``."""
+    after = F.slice(own, 2, F.greatest(F.lit(0), F.size(own) - 1))
+    return F.transform(F.arrays_zip(own.alias("c"), after.alias("d")), lambda x, k: F.struct((k * tile).alias("at"), F.concat(x["c"], F.coalesce(F.substr(x["d"], F.lit(1), F.lit(reach)), F.lit(""))).alias("piece")))
+
+
+def _frames(piece: Column, tile: int, min_aa: int, max_aa: int) -> Column:
+    """struct(f, i, n): in frame f of a piece, a start at codon i and the codons before its stop."""
+    found = []
+    for f in range(3):
+        codons = F.regexp_extract_all(F.upper(F.substr(piece, F.lit(f + 1))), F.lit("(?s)..."), F.lit(0))
+        marks = F.filter(F.transform(codons, lambda c, k: F.when(c.isin(*STARTS), F.struct(F.lit(0).alias("stop"), k.alias("k"))).when(c.isin(*STOPS), F.struct(F.lit(1).alias("stop"), k.alias("k")))), lambda m: m.isNotNull())
+        # from the end: what comes before the next stop gets it, and a start in the tile's own part is kept
+        first = F.struct(F.lit(-1).alias("next"), F.array().cast("array<struct<f:int,i:int,n:int>>").alias("out"))
+        hit = lambda acc, m, f=f: (m["stop"] == 0) & (acc["next"] > 0) & (m["k"] * 3 + f < tile) & (acc["next"] - m["k"]).between(min_aa, max_aa)
+        one = lambda acc, m, f=f: F.array(F.struct(F.lit(f).alias("f"), m["k"].alias("i"), (acc["next"] - m["k"]).alias("n")))
+        step = lambda acc, m: F.struct(F.when(m["stop"] == 1, m["k"]).otherwise(acc["next"]).alias("next"), F.when(hit(acc, m), F.concat(acc["out"], one(acc, m))).otherwise(acc["out"]).alias("out"))  # noqa: E731,B023
+        found.append(F.aggregate(F.reverse(marks), first, step, lambda acc: acc["out"]))
+    return F.concat(*found)
 
 
 def orfs(windows: DataFrame, min_aa: int = 20, max_aa: int = 120, tile: int = TILE, strands: tuple[str, ...] = ("+", "-")) -> DataFrame:
@@ -21,24 +38,20 @@ def orfs(windows: DataFrame, min_aa: int = 20, max_aa: int = 120, tile: int = TI
 
     ``windows`` has ``sequence`` and ``window_start`` (of the sequence in its record) beside columns that are carried.
     A sequence is cut into tiles of starts; each tile sees far enough beyond its end for the longest open
-    frame, so the result is exact, no row carries a whole contig, and nothing is shuffled.  The stop is not part of a
-    frame and a start without a stop gives none.  Adds strand, frame (0..2, or -1..-3), nt_start (within the
-    strand), genomic_start, genomic_end, dna (in its own case), start_codon, aa_len, nt_len.
+    frame, so the result is exact, no row below carries a whole contig, and nothing is shuffled; all steps are linear in the
+    bases.  The stop is not part of a frame and a start without a stop gives none.  Adds strand, frame (0..2, or
+    -1..-3), nt_start (within the strand), genomic_start, genomic_end, dna (in its own case), start_codon, aa_len, nt_len.
     """
     carried = [c for c in windows.columns if c != "sequence"]
     reach = 3 * (max_aa + 2)
+    tile = max(tile, reach)
     both = windows.select(*carried, F.length("sequence").alias("_len"), F.explode(F.array(*(F.struct(F.lit(s).alias("strand"), (F.col("sequence") if s == "+" else reverse_complement(F.col("sequence"))).alias("own")) for s in strands))).alias("_s"))
-    at = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.col("_len") - 1).cast("int")), F.lit(tile)))
-    tiles = both.filter("_len >= 3").select(*carried, "_len", "_s.strand", "_s.own", at.alias("_at"))
-    tiles = tiles.withColumn("_piece", F.substr("own", F.col("_at") + 1, F.lit(tile + reach))).drop("own")
-    n = F.length("_piece")
-    starts = F.filter(_positions(F.col("_piece"), F.least(n, F.lit(tile + 2)), STARTS), lambda i: i < tile)
-    tiles = tiles.withColumn("_stops", _positions(F.col("_piece"), n, STOPS))
-    found = tiles.select("*", F.explode(starts).alias("_i"))
-    ends = F.filter("_stops", lambda s: (s > F.col("_i")) & ((s - F.col("_i")) % 3 == 0))
-    found = found.withColumn("_end", F.array_min(ends)).filter(F.col("_end").isNotNull()).withColumn("nt_len", F.col("_end") - F.col("_i")).withColumn("aa_len", F.expr("nt_len div 3").cast("int"))
-    found = found.filter(F.col("aa_len").between(min_aa, max_aa))
-    nt_start = F.col("_at") + F.col("_i")
+    parts = both.filter("_len >= 3").select(*carried, "_len", "_s.strand", F.regexp_extract_all("_s.own", F.lit(f"(?s).{{1,{tile}}}"), F.lit(0)).alias("_parts"))
+    tiles = parts.select(*carried, "_len", "strand", F.explode(_tiles(F.col("_parts"), tile, reach)).alias("_t"))
+    tiles = tiles.select(*carried, "_len", "strand", F.col("_t.at").alias("_at"), F.col("_t.piece").alias("_piece"))
+    found = tiles.select("*", F.explode(_frames(F.col("_piece"), tile, min_aa, max_aa)).alias("_o"))
+    place = F.col("_o.i") * 3 + F.col("_o.f")
+    nt_start, nt_len = F.col("_at") + place, F.col("_o.n") * 3
     frame = nt_start % 3
     minus = F.col("strand") == "-"
     return found.select(
@@ -46,12 +59,12 @@ def orfs(windows: DataFrame, min_aa: int = 20, max_aa: int = 120, tile: int = TI
         "strand",
         F.when(minus, -(frame + 1)).otherwise(frame).cast("int").alias("frame"),
         nt_start.cast("int").alias("nt_start"),
-        (F.col("window_start") + F.when(minus, F.col("_len") - nt_start - F.col("nt_len")).otherwise(nt_start)).cast("int").alias("genomic_start"),
-        (F.col("window_start") + F.when(minus, F.col("_len") - nt_start).otherwise(nt_start + F.col("nt_len"))).cast("int").alias("genomic_end"),
-        F.substr("_piece", F.col("_i") + 1, F.col("nt_len")).alias("dna"),
-        F.upper(F.substr("_piece", F.col("_i") + 1, F.lit(3))).alias("start_codon"),
-        "aa_len",
-        F.col("nt_len").cast("int").alias("nt_len"),
+        (F.col("window_start") + F.when(minus, F.col("_len") - nt_start - nt_len).otherwise(nt_start)).cast("int").alias("genomic_start"),
+        (F.col("window_start") + F.when(minus, F.col("_len") - nt_start).otherwise(nt_start + nt_len)).cast("int").alias("genomic_end"),
+        F.substr("_piece", place + 1, nt_len).alias("dna"),
+        F.upper(F.substr("_piece", place + 1, F.lit(3))).alias("start_codon"),
+        F.col("_o.n").cast("int").alias("aa_len"),
+        nt_len.cast("int").alias("nt_len"),
     )
 
 
