@@ -61,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_html_extraction, op2_decontamination, op3_secret_scan, op4_quality_rules, op5_license_scan, op6_language_id, op7_mixing, op8_pii, op9_toxicity, op10_simhash)
 }
 ORACLES: dict[str, str] = {
+    "op3_secret_scan": secrets.secrets_sql(),
     "op4_quality_rules": quality.quality_sql(),
     "op5_license_scan": licenses.license_sql(),
     "op7_mixing": mixing.mix_sql(),

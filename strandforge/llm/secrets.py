@@ -85,3 +85,18 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None) -> tuple
 
 def digest(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def secrets_sql() -> str:
+    """The query's rows in DuckDB's SQL: the same patterns, positions from the pieces between the matches."""
+    parts = []
+    for rank, (kind, pattern, _, group, least) in enumerate(RULES):
+        p = (pattern.replace("+", f"{{{least},}}") if kind == "hex" else pattern).replace("'", "''")
+        parts.append(f"select r, '{kind}' as kind, {rank} as rank, {least} as least, regexp_extract_all(t, '{p}') as m, regexp_extract_all(t, '{p}', {group}) as v, string_split_regex(t, '{p}') as s from d where regexp_matches(t, '{p}')")
+    return f"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+a as ({' union all '.join(parts)}),
+k as (select *, unnest(range(1, len(m) + 1)) as k from a),
+x as (select r, kind, rank, list_sum(list_transform(s[1:k], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda y: length(y))), 0) as st, length(m[k]) as n from k where length(v[k]) >= least),
+g as (select r, string_agg(kind || ':' || st::bigint || ':' || (st + n)::bigint, ',' order by st, rank) as spans, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex from x group by r)
+select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex, sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans from d left join g using (r)"""
