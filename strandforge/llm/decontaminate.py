@@ -62,7 +62,7 @@ def smith_waterman(item: np.ndarray, window: np.ndarray, match: int = 2, mismatc
 class SeedIndex:
     """The n-grams of a block of test items; items of fewer than n words are one shorter n-gram each."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], n: int = 4):
+    def __init__(self, items: list[tuple[int, list[str]]], n: int = 3):
         self.n = n
         self.vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for _, ws in items for w in ws}))}
         self.items = {k: np.array([self.vocabulary[w] for w in ws], np.int64) for k, ws in items if ws}
@@ -130,11 +130,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.6, n: int = 4, block_words: int = BLOCK_WORDS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.6, n: int = 3, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, ratio, start_word, end_word): alignments of test items in documents, the best of each pair.
 
     ratio is the Smith-Waterman score (match 2, mismatch and gap -1, lower-cased words) over that of the item with
-    itself; 0.6 lets about one word in seven be replaced, or one in five be dropped or added.  A seed is rare if its count in the
+    itself; 0.6 lets about one word in four be replaced or dropped.  A seed is rare if its count in the
     corpus is at most 10 more than half a thousandth of the documents, or four times the least count among its item's
     seeds, whichever is more: seeds of a passage that is itself copied widely stay.  Candidates need one rare seed.
 

@@ -138,10 +138,10 @@ def test_leaks_exact_edited_and_clean(spark, docs, sf):
     words = item.text.split()
     edited = [w if i % 9 else "zzz" for i, w in enumerate(words)]
     del edited[4]
-    planted = [(10**6, "Some text before it. " + item.text + " and more"), (10**6 + 1, " ".join(edited)), (10**6 + 2, " ".join(words[: len(words) // 3])), (10**6 + 3, " ".join(random.Random(1).sample(words, len(words))))]
+    planted = [(10**6, "Some text before it. " + item.text + " and more"), (10**6 + 1, " ".join(edited)), (10**6 + 2, " ".join(words[: len(words) // 3])), (10**6 + 4, " ".join("qqq" if i % 4 == 3 else w for i, w in enumerate(words))), (10**6 + 3, " ".join(random.Random(1).sample(words, len(words))))]
     table = docs.select("doc_id", "text").unionByName(spark.createDataFrame(planted, "doc_id long, text string"))
     got = {(r.doc_id, r.item_id): r.ratio for r in decontaminate.find_leaks(table, bench).collect()}
-    assert got[(10**6, item.item_id)] == 1.0 and (10**6 + 1, item.item_id) in got
+    assert got[(10**6, item.item_id)] == 1.0 and (10**6 + 1, item.item_id) in got and (10**6 + 4, item.item_id) in got
     assert not {d for d, _ in got} & {10**6 + 2, 10**6 + 3}
     whole = {(r.doc_id, b.item_id) for r in table.collect() for b in bench.collect() if b.text in r.text}
     assert whole <= set(got)
