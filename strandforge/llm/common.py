@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 
 from strandforge.lineage import cut, ensure_checkpoint_dir  # noqa: F401
 
-#: Words of the contracts: maximal runs of anything but space and \x09-\x0D.
-WORD = r"[^\x20\x09-\x0D]+"
-
 
 def text_of(name: str = "text") -> Column:
     """The whole text; null counts as empty."""
