@@ -177,8 +177,8 @@ def _leaks_of_block(docs: DataFrame, items: list[tuple[int, list[str]]], least:
     counts = seeds.groupBy("item", "seed").agg(F.count("*").alias("n"))
     common = F.lit(10 + n_docs // 2000)
     rare = counts.join(counts.groupBy("item").agg(F.min("n").alias("fewest")), "item").filter(F.col("n") <= F.greatest(common, 4 * F.col("fewest")))
-    rare = rare.groupBy("item").agg(F.collect_list("seed").alias("rare"))  # at most an item's own n-grams
-    kept = candidate.join(rare, "item").filter(F.arrays_overlap("seeds", "rare")).select("window", "item", "doc_id", "first")
+    rare = rare.groupBy("item").agg(F.collect_list("seed").alias("rare"))  # the block's own n-grams, so bounded by block_words
+    kept = candidate.join(F.broadcast(rare), "item").filter(F.arrays_overlap("seeds", "rare")).select("window", "item", "doc_id", "first")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = SeedIndex(shared.value, n)
