@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from strandforge.llm.common import cut, record_batch
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'){0,4000}+)>", re.DOTALL)
 _ATTR = re.compile(r"""([a-zA-Z_:][\w:.-]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+#: Elements nested deeper are siblings of their parent, so that no walk is deeper.
+_DEEPEST = 200
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript xmp iframe".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label".split())
@@ -117,7 +119,8 @@ def parse_tree(html: str) -> Node:
                 node.text = unescape(body)
             at = end.end() if end else n
             continue
-        stack.append(node)
+        if len(stack) < _DEEPEST:
+            stack.append(node)
     return root
 
 
@@ -415,4 +418,6 @@ def extract_text(pages: DataFrame, pivots: int = 3, group_rows: int = 1000, most
                     texts.append(main_text(tree, template_of(tree, known)))
                 yield record_batch(schema, [ids, urls, texts, [len(x) for x in texts]])
 
-    return examples.unionByName(dealt).repartition(*group).sortWithinPartitions(*group, "kind", "h").mapInArrow(run, schema)
+    # partitions follow the pages, so that a task's time doesn't
+    parts = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(n // 2000, 100_000))
+    return examples.unionByName(dealt).repartition(parts, *group).sortWithinPartitions(*group, "kind", "h").mapInArrow(run, schema)

@@ -90,6 +90,9 @@ def test_pii_patterns_match_plain_search():
     for _ in range(400):
         text = "".join(rng.choice(["a", "b@", "@", ".", "c.d", " ", "%", "-", "x@y.z"]) for _ in range(rng.randint(0, 20)))
         assert list(pii._emails(text)) == [m.span() for m in pii.EMAIL.finditer(text)]
+        dots = "".join(rng.choice("12..x ") for _ in range(rng.randint(0, 40)))
+        assert [m.span() for m in pii._IP_RUNS.finditer(dots)] == [m.span() for m in pii.IP.finditer(dots)]
+    assert pii.detect("7" * 300_000) == []
     found = pii.detect("mail me.x@host.example.com, 10.0.0.255 or 10.0.0.256; 4111 1111 1111 1111, +49 (30) 123-4567.")
     assert [k for k, *_ in found] == ["email", "ip", "card", "phone"]
 
@@ -137,6 +140,9 @@ def test_article_text():
     assert get(_page("<article><header><h1>H</h1><span>by me</span></header><p>x <em>y</em>z</p><ul><li>p<li>q</ul><form>f</form><aside>s</aside></article>")) == "H x yz p q"
     assert get("") == "" and get("<p") == "" or get("<p") == "<p"
     assert get("<body><p>only text</p></body>") == "only text"
+    assert get("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
+    assert get("a<b " * 20_000).startswith("a")
+    assert html.template_of(html.parse("<div>" * 3000 + "x"), [html.parse("<div>" * 3000 + y) for y in "yz"]) == set()
 
 
 def test_article_without_article_tag():
