@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandforge.functions.text import normalise_accession
+from strandforge.sources.fasta import read_fasta
 
 DATASET = "name string, sequence string, full_precursor string, leader string, core string, source string, validation_status string"
 PROTECTED = ("training", "validation")
@@ -22,6 +23,16 @@ def read_dataset(spark: SparkSession, path: str, schema: str | None = DATASET) -
     return reader.csv(path, sep="\t" if suffix == ".tsv" else ",", header=True, mode="DROPMALFORMED", enforceSchema=False)
 
 
+def import_entries(spark: SparkSession, path: str) -> DataFrame:
+    """Dataset rows from FASTA, CSV, TSV or JSON by suffix; any other suffix is an error."""
+    suffix = PurePosixPath(path).suffix.lower()
+    if suffix in (".fasta", ".fa", ".faa"):
+        return read_fasta(spark, path).withColumnRenamed("id", "name")
+    if suffix in (".csv", ".tsv", ".json"):
+        return read_dataset(spark, path)
+    raise ValueError(f"no importer for {suffix or 'a path without suffix'}")
+
+
 def read_semicolon_table(spark: SparkSession, path: str) -> DataFrame:
     """Semicolon-separated with a byte-order mark, which belongs to no column name."""
     df = spark.read.csv(path, sep=";", header=True)

@@ -84,3 +84,14 @@ def test_text_functions(spark):
 def test_codon_start(spark):
     df = spark.createDataFrame([("1",), ("3",), ("9",), ("x",), (None,)], "c string")
     assert [r[0] for r in df.select(text.codon_start(F.col("c")).alias("n")).collect()] == [1, 3, 1, 1, 1]
+
+
+def test_functions_in_sql(spark):
+    from strandforge.functions.register import register
+
+    register(spark)
+    got = tuple(spark.sql("select reverse_complement('AACGTn') a, translate_bacterial('ttgaaatag') b, translate_bacterial('AT') c, vector_cosine(array(1D, 2D), array(2D, 4D)) d, vector_cosine(array(0D), array(1D)) e, length(peptide_digest('MK')) f, core_group('ILI') g").first())
+    want = one(spark, text.core_group(F.lit("LLL")).alias("g"))[0]
+    assert got[:3] == ("nACGTT", "MK", "") and got[3] == pytest.approx(1.0) and got[4:] == (0.0, 32, want)
+    rows = spark.sql("select * from six_frame_orfs('ATGAAATAA', 2, 3)").collect()
+    assert [tuple(r) for r in rows] == [("+", 0, 0, 6, "ATGAAA")]

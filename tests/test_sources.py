@@ -89,6 +89,10 @@ def test_tables(spark, tmp_path):
         tables.write_dataset(df, str(tmp_path / "x.csv"), read_only=True)
     with pytest.raises(ValueError):
         tables.write_dataset(df, str(tmp_path / "x.xyz"))
+    (tmp_path / "x.faa").write_text(">a\nMK\n")
+    assert [tuple(r) for r in tables.import_entries(spark, str(tmp_path / "x.faa")).collect()] == [("a", "MK")]
+    with pytest.raises(ValueError):
+        tables.import_entries(spark, str(tmp_path / "x.bin"))
     (tmp_path / "lab.csv").write_text("﻿Name;Core\nx;AA\n", encoding="utf-8")
     assert tables.read_semicolon_table(spark, str(tmp_path / "lab.csv")).columns == ["Name", "Core"]
     (tmp_path / "b.txt").write_text("> one\nPrecursor mk-ka\nCore: KA\n\n>two\nPrecursor: MM\n")
