@@ -21,6 +21,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """The name, with underscores after it while ``df`` has a column called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def least_hashed(ids: DataFrame, by: str, most: dict, seed: int) -> DataFrame:
     """(doc_id, ``by``, order) of the rows with the least hash of the id, so many of each class of ``by``.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandforge.llm.common import fresh
+
 #: Uniform numbers come from the first 13 hex digits (52 bits) of an MD5, so any engine can repeat them.
 _STEPS = float(1 << 52)
 
@@ -51,15 +53,16 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, size:
     Adds _copy (0, 1, ...) and _order (the shuffle key; rows come in its order within partitions that are dealt by
     its hash).  A document's count depends on its id, its source's mean and the seed alone, so a lost task repeats it.
     A null id counts as an empty one.  Rows with the same id share their count.  An empty table gives an empty
-    result.  Other columns are carried; names _copy and _order are taken.
+    result.  Other columns are carried; where one is called _copy or _order, the new one has underscores after its name.
     """
-    rates = replication_rates(docs, weights, size).select(F.col("source").alias("_source"), poisson_cdf(F.col("mean")).alias("_cdf"))
+    u_, source_, cdf_, n_, copy_, order_ = (fresh(x, docs) for x in ("_u", "_source", "_cdf", "_n", "_copy", "_order"))
+    rates = replication_rates(docs.select("source"), weights, size).select(F.col("source").alias(source_), poisson_cdf(F.col("mean")).alias(cdf_))
     u = uniform(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    count = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
-    drawn = docs.withColumn("_u", u).join(rates, docs["source"].eqNullSafe(rates["_source"])).withColumn("_n", count)
-    copies = drawn.filter("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    keyed = copies.withColumn("_order", F.xxhash64(F.lit(seed), "doc_id", "_copy"))
-    return keyed.select(*docs.columns, "_copy", "_order").repartition("_order").sortWithinPartitions("_order")
+    count = F.size(F.filter(cdf_, lambda c: c <= F.col(u_)))
+    drawn = docs.withColumn(u_, u).join(rates, F.col("source").eqNullSafe(F.col(source_))).withColumn(n_, count)
+    copies = drawn.filter(F.col(n_) > 0).withColumn(copy_, F.explode(F.sequence(F.lit(0), F.col(n_) - 1)))
+    keyed = copies.withColumn(order_, F.xxhash64(F.lit(seed), "doc_id", copy_))
+    return keyed.select(*docs.columns, copy_, order_).repartition(order_).sortWithinPartitions(order_)
 
 
 def mix_sql(seed: int = 17) -> str:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandforge.llm.common import cut, map_rows, record_batch, text_of
+from strandforge.llm.common import cut, fresh, map_rows, record_batch, text_of
 from strandforge.llm.components import connected_components
 
 #: Members of a subtree; a shard with more is split into subtrees that are matched pair by pair.
@@ -199,7 +199,8 @@ def keep_one_per_group(docs: DataFrame, groups: DataFrame) -> DataFrame:
 
     A row without an id cannot be named by a component and goes.
     """
-    keep = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    kept = docs.join(keep, "doc_id").select(*docs.columns, "_rows")
-    once = kept.filter("_rows = 1").drop("_rows")
-    return once.unionByName(kept.filter("_rows > 1").drop("_rows").dropDuplicates(["doc_id"]))
+    rows_ = fresh("_rows", docs)
+    keep = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias(rows_))
+    kept = docs.join(keep, "doc_id").select(*docs.columns, rows_)
+    once = kept.filter(F.col(rows_) == 1).drop(rows_)
+    return once.unionByName(kept.filter(F.col(rows_) > 1).drop(rows_).dropDuplicates(["doc_id"]))

@@ -66,6 +66,21 @@ def test_every_operator_takes_odd_and_empty_tables(spark, odd):
     assert sorted(r.doc_id for r in simhash.keep_one_per_group(odd, simhash.simhash_groups(odd)).collect()) == [1, 2, 4, 5]
 
 
+def test_clashing_columns_are_carried(spark):
+    names = ["_copy", "_order", "_u", "_n", "_cdf", "_source", "_rows", "host", "fp", "count", "window", "item", "score", "held_out", "_text", "spans", "blob", "ids", "order"]
+    table = spark.createDataFrame([(1, "the cat sat on the mat a@b.de", "en", "s"), (1, "the cat sat on the mat a@b.de", "en", "s"), (2, None, None, None)], "doc_id long, text string, lang string, source string")
+    table = table.select("*", *(F.lit(n).alias(n) for n in names))
+    bench = spark.createDataFrame([(7, "the dog ran far away from home")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int").withColumn("order", F.lit(1))
+    out = mixing.mix_sources(table)
+    assert out.columns == [*table.columns, "_copy_", "_order_"] and {r._copy for r in out.collect()} <= {"_copy"}
+    for made in (
+        language.reject_unidentified(table), simhash.keep_one_per_group(table, simhash.simhash_groups(table)), decontaminate.drop_leaks(table, bench), pii.mask_pii(table), secrets.scan_versions(table)[0], quality.quality_rules(table),
+        licenses.scan_licenses(table), language.identify_language(table), pii.scan_pii(table), toxicity.score_toxicity(table, labels), html.extract_text(table.withColumnsRenamed({"doc_id": "page_id", "text": "html"}).withColumn("url", F.lit("http://x/y"))),
+    ):
+        assert made.count() >= 1
+
+
 RULES = [
     ("assign", re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[1]) >= 6),
     ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
