@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment."""
+"""Benchmark decontamination: n-gram seeds, a bound on the score, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandforge.llm.common import cut, record_batch, text_of
+from strandforge.llm.common import record_batch, text_of
 
 _TOKEN = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -66,6 +66,7 @@ class SeedIndex:
         self.n = n
         self.vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for _, ws in items for w in ws}))}
         self.items = {k: np.array([self.vocabulary[w] for w in ws], np.int64) for k, ws in items if ws}
+        self.counts = {k: np.unique(ids, return_counts=True) for k, ids in self.items.items()}
         self.tables = {}
         by_length: dict[int, list[tuple[int, int, int]]] = {}
         for k, ids in self.items.items():
@@ -126,17 +127,19 @@ class SeedIndex:
                 group = [b]
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+    def most_matches(self, item: int, window: np.ndarray) -> int:
+        """Words that an alignment of the item and the window can match at most: those that both have, as often as both do."""
+        words, counts = self.counts[item]
+        at = np.minimum(np.searchsorted(words, window), len(words) - 1)
+        return int(np.minimum(np.bincount(at[words[at] == window], minlength=len(words)), counts).sum())
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.6, n: int = 3, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, ratio, start_word, end_word): alignments of test items in documents, the best of each pair.
 
     ratio is the Smith-Waterman score (match 2, mismatch and gap -1, lower-cased words) over that of the item with
-    itself; 0.6 lets about one word in four be replaced or dropped.  A seed is rare if its count in the
-    corpus is at most 10 more than half a thousandth of the documents, or four times the least count among its item's
-    seeds, whichever is more: seeds of a passage that is itself copied widely stay.  Candidates need one rare seed.
+    itself; 0.6 lets about one word in four be replaced or dropped.  Every window that seeds point to is aligned if the words
+    it shares with the item could reach that ratio, however often its seeds occur in the corpus.
 
     Test items come in blocks of a bounded number of words, so what is broadcast is bounded; every block meets every document.
     Null and empty texts, and items without a word, match nothing.  Repeated rows are one document by id: each (doc_id, item_id)
@@ -145,53 +148,43 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.6, n: int
     items = benchmark.filter(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long"), text_of().alias("text"))
     words = items.agg(F.coalesce(F.sum(F.size(F.split("text", r"\W+"))), F.lit(0))).first()[0]
     blocks = -(-words // block_words) or 1
-    n_docs = docs.count()
     found = None
     for k in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("item_id", F.lit(3)), F.lit(blocks)) == k) if blocks > 1 else items
-        part = _leaks_of_block(docs, [(r.item_id, tokens(r.text)) for r in own.orderBy("item_id", "text").collect()], least, n, n_docs)  # bounded by block_words
+        part = _leaks_of_block(docs, [(r.item_id, tokens(r.text)) for r in own.orderBy("item_id", "text").collect()], least, n)  # bounded by block_words
         found = part if found is None else found.unionByName(part)
     return found
 
 
-def _leaks_of_block(docs: DataFrame, items: list[tuple[int, list[str]]], least: float, n: int, n_docs: int) -> DataFrame:
+def _leaks_of_block(docs: DataFrame, items: list[tuple[int, list[str]]], least: float, n: int) -> DataFrame:
     spark = docs.sparkSession
     numbered = list(enumerate(items))  # repeated item ids stay apart until the end
     shared = spark.sparkContext.broadcast([(i, ws) for i, (_, ws) in numbered])
-    schema = "doc_id long, item int, first int, seeds array<long>, window array<int>"
+    schema = "item int, doc_id long, ratio double, start_word long, end_word long"
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = SeedIndex(shared.value, n)
         number = index.vocabulary.get
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 out: list[tuple] = []
+                known: dict[tuple[int, bytes], tuple[int, int, int]] = {}  # equal windows of an item are aligned once
                 for text, doc in zip(b.column(0).slice(at, 512).to_pylist(), b.column(1).slice(at, 512).to_pylist(), strict=True):
                     ids = np.array([number(w, 0) for w in _TOKEN.findall(text.lower())], np.int64)
-                    out += [(doc, item, first, [_signed(x) for x in keys], ids[first:end].tolist()) for item, first, end, keys in index.windows(ids)]
+                    for item, first, end, _ in index.windows(ids):
+                        own, window = index.items[item], ids[first:end]
+                        if index.most_matches(item, window) / len(own) < least:
+                            continue
+                        key = (item, window.tobytes())
+                        if key not in known:
+                            known[key] = smith_waterman(own, window)
+                        score, start, stop = known[key]
+                        if (ratio := score / (2 * len(own))) >= least:
+                            out.append((item, doc, round(ratio, 6), first + start, first + stop))
                 yield record_batch(schema, list(zip(*out, strict=True)) or [[]] * 5)
 
     texts = docs.filter(F.col("doc_id").isNotNull()).select(text_of().alias("text"), F.col("doc_id").cast("long"))
-    candidate = cut(texts.mapInArrow(candidates, schema))
-    seeds = candidate.select("item", F.explode("seeds").alias("seed"))
-    counts = seeds.groupBy("item", "seed").agg(F.count("*").alias("n"))
-    common = F.lit(10 + n_docs // 2000)
-    rare = counts.join(counts.groupBy("item").agg(F.min("n").alias("fewest")), "item").filter(F.col("n") <= F.greatest(common, 4 * F.col("fewest")))
-    rare = rare.groupBy("item").agg(F.collect_list("seed").alias("rare"))  # the block's own n-grams, so bounded by block_words
-    kept = candidate.join(F.broadcast(rare), "item").filter(F.arrays_overlap("seeds", "rare")).select("window", "item", "doc_id", "first")
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = SeedIndex(shared.value, n)
-        for b in batches:
-            out = []
-            for window, item, doc, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                own = index.items[item]
-                score, start, end = smith_waterman(own, np.array(window, np.int64))
-                if (ratio := score / (2 * len(own))) >= least:
-                    out.append((item, doc, round(ratio, 6), first + start, first + end))
-            yield record_batch("item int, doc_id long, ratio double, start_word long, end_word long", list(zip(*out, strict=True)) or [[]] * 5)
-
-    aligned = kept.mapInArrow(align, "item int, doc_id long, ratio double, start_word long, end_word long")
+    aligned = texts.mapInArrow(align, schema)
     names = spark.createDataFrame([(i, k) for i, (k, _) in numbered], "item int, item_id long")
     named = aligned.join(F.broadcast(names), "item")  # bounded by block_words
     best = F.max(F.struct("ratio", (-F.col("start_word")).alias("s"), "end_word")).alias("best")

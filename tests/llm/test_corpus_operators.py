@@ -6,6 +6,7 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,6 +165,18 @@ def test_leaks_exact_edited_and_clean(spark, docs, sf):
     assert blocks == set(got)
 
 
+def test_leaks_shared_by_many_documents(spark):
+    words = [f"w{i}" for i in range(40)]
+    edited = " ".join("zzz" if i % 8 == 3 else w for i, w in enumerate(words))
+    table = spark.createDataFrame([(0, " ".join(words)), *((i, f"before {i} {edited} after") for i in range(1, 60)), (99, " ".join(words[:20]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    got = {r.doc_id: r.ratio for r in decontaminate.find_leaks(table, bench).collect()}
+    assert got[0] == 1.0 and set(got) == set(range(60))
+    own, window = list(range(1, 41)), [random.Random(5).randint(0, 50) for _ in range(60)]
+    index = decontaminate.SeedIndex([(0, [str(x) for x in own])])
+    assert index.most_matches(0, np.array([index.vocabulary.get(str(x), 0) for x in window])) == len(set(window) & set(own))
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_its_sql(spark, sf, name):
     con = duckdb.connect()
