@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from strandforge.llm.common import fresh
 
 #: Uniform numbers come from the first 13 hex digits (52 bits) of an MD5, so any engine can repeat them.
 _STEPS = float(1 << 52)
+#: Copies of a document that are made at once.
+_BLOCK = 4096
 
 
 def uniform(*parts: Column) -> Column:
@@ -16,24 +22,35 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *(p.cast("string") for p in parts))), 1, 13), 16, 10).cast("double") / F.lit(_STEPS)
 
 
-def poisson_cdf(mean: Column) -> Column:
-    """P(X <= k) for k = 0, 1, ... up to beyond any 52-bit uniform number: ceil(mean + 10 sqrt(mean) + 20) terms."""
-    last = F.ceil(mean + 10 * F.sqrt(mean) + 20).cast("int")
-    first = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.array(F.exp(-mean)).alias("out"))
+def poisson_cdf(mean: float) -> tuple[int, np.ndarray]:
+    """The least k told apart, and P(X <= k) from it on up to beyond any 52-bit uniform number.
+
+    What lies outside 10 standard deviations and 20 is below 2^-60.  Terms come from their ratios, by logarithms from the
+    mode, and are scaled to sum 1: nothing underflows, and the numbers grow with the root of the mean only.
+    """
+    if mean <= 0:
+        return 0, np.ones(1)
+    wide = 10 * mean**0.5 + 20
+    low, high, mode = max(0, int(mean - wide)), int(np.ceil(mean + wide)), int(mean)
+    up = np.cumsum(np.log(mean / np.arange(mode + 1, high + 1)))
+    down = np.cumsum(np.log(np.arange(mode, low, -1) / mean))[::-1]
+    below = np.cumsum(np.exp(np.concatenate([down, [0.0], up])))
+    return low, below / below[-1]
 
-    def step(acc: Column, k: Column) -> Column:
-        p = acc["p"] * mean / k
-        return F.struct(p.alias("p"), (acc["c"] + p).alias("c"), F.concat(acc["out"], F.array(acc["c"] + p)).alias("out"))
 
-    return F.aggregate(F.sequence(F.lit(1), last), first, step, lambda acc: acc["out"])
+def _with_cdf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for source, mean in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            low, cdf = poisson_cdf(mean)
+            yield pa.RecordBatch.from_arrays([pa.array([source], pa.string()), pa.array([low], pa.int64()), pa.array([cdf], pa.list_(pa.float64()))], names=["source", "low", "cdf"])
 
 
-def replication_rates(docs: DataFrame, weights: dict[str, float] | None = None, size: float = 1.0, most: float = 400.0) -> DataFrame:
+def replication_rates(docs: DataFrame, weights: dict[str, float] | None = None, size: float = 1.0) -> DataFrame:
     """(source, n, mean): each source's expected copies of a document.
 
     ``weights`` are target shares by source (they are scaled to sum 1 over the sources that occur; a source without one
     gets none); without them every source gets the same share.  ``size`` is the target size as a multiple of the input's rows.  A null
-    source is a source of its own.  ``most`` bounds a mean (the inversion starts from exp(-mean)); beyond it an error is raised.
+    source is a source of its own.
     """
     n = docs.groupBy("source").agg(F.count("*").alias("n"))
     if weights is None:
@@ -43,8 +60,7 @@ def replication_rates(docs: DataFrame, weights: dict[str, float] | None = None,
     weighed = n.withColumn("w", share)
     total = weighed.agg(F.sum("n").alias("rows"), F.sum("w").alias("all_w"))
     mean = F.when(F.col("all_w") > 0, F.col("w") / F.col("all_w") * F.col("rows") * F.lit(size) / F.col("n")).otherwise(F.lit(0.0))
-    rates = weighed.join(F.broadcast(total), how="cross").select("source", "n", mean.alias("mean"))  # total is one row
-    return rates.withColumn("mean", F.when(F.col("mean") <= most, F.col("mean")).otherwise(F.raise_error(F.lit("a source's mean is beyond the bound"))))
+    return weighed.join(F.broadcast(total), how="cross").select("source", "n", mean.alias("mean"))  # total is one row
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, size: float = 1.0, seed: int = 17) -> DataFrame:
@@ -55,12 +71,15 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, size:
     A null id counts as an empty one.  Rows with the same id share their count.  An empty table gives an empty
     result.  Other columns are carried; where one is called _copy or _order, the new one has underscores after its name.
     """
-    u_, source_, cdf_, n_, copy_, order_ = (fresh(x, docs) for x in ("_u", "_source", "_cdf", "_n", "_copy", "_order"))
-    rates = replication_rates(docs.select("source"), weights, size).select(F.col("source").alias(source_), poisson_cdf(F.col("mean")).alias(cdf_))
+    u_, source_, low_, cdf_, n_, block_, copy_, order_ = (fresh(x, docs) for x in ("_u", "_source", "_low", "_cdf", "_n", "_block", "_copy", "_order"))
+    means = replication_rates(docs.select(F.col("source").cast("string")), weights, size).select("source", "mean")
+    rates = means.mapInArrow(_with_cdf, "source string, low long, cdf array<double>").toDF(source_, low_, cdf_)
     u = uniform(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    count = F.size(F.filter(cdf_, lambda c: c <= F.col(u_)))
+    count = (F.col(low_) + F.size(F.filter(cdf_, lambda c: c <= F.col(u_)))).cast("int")
     drawn = docs.withColumn(u_, u).join(rates, F.col("source").eqNullSafe(F.col(source_))).withColumn(n_, count)
-    copies = drawn.filter(F.col(n_) > 0).withColumn(copy_, F.explode(F.sequence(F.lit(0), F.col(n_) - 1)))
+    # blocks of copies, so that no array holds all copies of a document
+    blocks = drawn.filter(F.col(n_) > 0).withColumn(block_, F.explode(F.sequence(F.lit(0), F.col(n_) - 1, F.lit(_BLOCK))))
+    copies = blocks.withColumn(copy_, F.explode(F.sequence(F.col(block_), F.least(F.col(block_) + F.lit(_BLOCK - 1), F.col(n_) - 1))))
     keyed = copies.withColumn(order_, F.xxhash64(F.lit(seed), "doc_id", copy_))
     return keyed.select(*docs.columns, copy_, order_).repartition(order_).sortWithinPartitions(order_)
 

@@ -225,6 +225,16 @@ def test_mixing_counts_follow_the_weights(spark):
     assert sorted(rows(out.select("doc_id", "_copy"))) == sorted(rows(mixing.mix_sources(table.repartition(7), {"small": 3.0, "big": 1.0}, 1.0).select("doc_id", "_copy")))
 
 
+def test_mixing_takes_rare_sources(spark):
+    table = spark.range(100_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 5, None).when(F.col("id") == 6, "rare").otherwise("big").alias("source"), F.lit("en").alias("lang"), F.lit(1).alias("n_chars"), F.lit("x").alias("text"))
+    got = {(r.doc_id, r.source): r["count"] for r in mixing.mix_sources(table).groupBy("doc_id", "source").count().collect()}
+    assert abs(got[5, None] - 33_333) < 1100 and abs(got[6, "rare"] - 33_333) < 1100
+    assert mixing.mix_sources(table).filter("doc_id = 5").agg(F.countDistinct("_copy"), F.min("_copy"), F.max("_copy")).first()[:] == (got[5, None], 0, got[5, None] - 1)
+    con = duckdb.connect()
+    con.register("documents", table.toArrow())
+    assert got == {(d, s): n for d, s, n in con.sql(f"select doc_id, source, count(*) from ({mixing.mix_sql()}) group by all").fetchall()}
+
+
 def test_classifiers_on_held_out_rows(spark):
     from pathlib import Path
 
