@@ -77,9 +77,17 @@ _SPELLED_PART = re.compile(rf"(plus)|(?:(double|triple)[\x20-])?({_WORDS})|[\x20
 _LOOSE = re.compile(r"(?<![A-Za-z0-9])[0-9](?:[\x20-]?[0-9OolI]){3,}(?![A-Za-z0-9])")
 _HOST = r"[A-Za-z0-9-]+"
 _BRACKETED = re.compile(r"[\x20]?[\[({<]\x20?(?:(at|@|ät|arroba|arobase)|dot|\.|punkt|punto|point)\x20?[\])}>][\x20]?|(&#64;|&#x40;|&commat;)|&#46;|&#x2e;|&period;", re.IGNORECASE)
-_TOP = r"(com|org|net|edu|gov|io|info|de|fr|es|uk|co|example)(?![A-Za-z0-9-]|\x20+dot\x20+[A-Za-z0-9]|\.[A-Za-z0-9])"
 _DOT = r"(?:\x20+dot\x20+|_dot_|\x20\.\x20|\.)"
-_WORDED = re.compile(rf"(?<=[A-Za-z0-9_%+-])(\x20+at\x20+|_at_|\x20*@\x20*)({_HOST}(?:{_DOT}{_HOST})*?)({_DOT}){_TOP}", re.IGNORECASE)
+#: Top-level names, those of countries and common others.
+_TOP = frozenset(
+    "com org net edu gov mil int io info biz name pro mobi tel jobs travel museum coop aero asia cat post xxx arpa example app dev xyz online site shop store tech cloud blog club agency email live life news world today group media digital academy wiki page ngo bank berlin hamburg koeln bayern wien zuerich paris bzh eus gal london scot wales nyc tokyo swiss "
+    "ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz de dj dk dm do dz ec ee eg er es et eu fi fj fk fm fo fr ga gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is it je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw".split()
+)
+#: Top-level names that are words too: after a full stop between blanks they begin a sentence.
+_TOP_WORDS = frozenset("am an as at be by do et eu id ie il im in int is it je la ma me my name na ne no news page post pro re sa se so st su to today us va world group life live site store shop travel jobs bank".split())
+#: ``at the dot on the map``: no host.
+_NO_HOST = frozenset("a an the this that these those each every any one its his her their our my your der die das den dem ein eine einen einem le la les un une el los las una".split())
+_WORDED = re.compile(rf"(?<=[A-Za-z0-9_%+-])(\x20+at\x20+|_at_|\x20*@\x20*)({_HOST}(?:{_DOT}{_HOST})*?)({_DOT})([A-Za-z]{{2,}})(?![A-Za-z0-9-]|(?:\x20+dot\x20+|_dot_)[A-Za-z0-9]|\.[A-Za-z0-9]|\x20\.\x20(?:com|org|net|edu|gov|[a-z]{{2}})(?![A-Za-z0-9-]))", re.IGNORECASE)
 _TRIGGER = re.compile(r"[\[({<]\x20?(?:at|@|ät|arroba|arobase|dot|\.|punkt|punto|point)\x20?[\])}>]|\x20dot\x20|_dot_|\x20@|@\x20|&#(?:64|46|x40|x2e);|&commat;|&period;", re.IGNORECASE)
 
 
@@ -128,13 +136,26 @@ def _edit_at(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), "@" if m[1] or m[2] else ".") for m in _BRACKETED.finditer(text)]
 
 
+def _is_address(sign: str, host: str, dot: str, top: str) -> bool:
+    """Whether ``name<sign>host<dot>top`` is an address: any last label where both signs are explicit, else a top-level name."""
+    top, spelled = top.lower(), "dot" in dot.lower()
+    if spelled:  # a pronoun or an article is no host, unless a top-level name tells
+        return _NO_HOST.isdisjoint(re.split(_DOT, host.lower())) or top in _TOP and top not in _TOP_WORDS
+    if "@" in sign:
+        return dot != "." and sign != "@" or top in _TOP
+    return top in _TOP and (dot == "." or top not in _TOP_WORDS)
+
+
 def _edit_worded(text: str) -> list[tuple[int, int, str]]:
-    """``name at host dot com``: only where the worded or spaced signs lead to a known top-level name."""
-    edits = []
-    for m in _WORDED.finditer(text):
-        edits.append((m.start(1), m.end(1), "@"))
-        for d in re.finditer(_DOT, m[2] + m[3], re.IGNORECASE):
-            edits.append((m.start(2) + d.start(), m.start(2) + d.end(), "."))
+    """``name at host dot com``: worded or spaced signs."""
+    edits, at = [], 0
+    while m := _WORDED.search(text, at):
+        at = m.end(1)
+        if _is_address(m[1], m[2], m[3], m[4]):
+            at = m.end()
+            edits.append((m.start(1), m.end(1), "@"))
+            for d in re.finditer(_DOT, m[2] + m[3], re.IGNORECASE):
+                edits.append((m.start(2) + d.start(), m.start(2) + d.end(), "."))
     return edits
 
 

@@ -121,6 +121,23 @@ def test_disguised_identifiers_map_back():
     assert pii.mask("x a@b.de y") == "x <email> y"
 
 
+def test_worded_addresses_under_any_ending():
+    for text, span in [
+        ("mail anna at firm dot ch now", "anna at firm dot ch"),
+        ("mail joe @ mail . it. Then", "joe @ mail . it"),
+        ("ask joe @ mail . co . uk now", "joe @ mail . co . uk"),
+        ("x eva_at_mail_dot_nl", "eva_at_mail_dot_nl"),
+        ("bo at shop dot firm dot museum, or", "bo at shop dot firm dot museum"),
+        ("al @ firm dot berlin", "al @ firm dot berlin"),
+        ("al at firm dot amsterdam", "al at firm dot amsterdam"),
+        ("a dot b: lea at firm.at", "lea at firm.at"),
+        ("they met at home . lea at firm dot biz", "lea at firm dot biz"),
+    ]:
+        assert [(k, text[s:e]) for k, s, e in pii.find_pii(text)[1]] == [("email", span)], text
+    for clean in ("we met at noon . it was @ home", "look at this dot matrix", "they sat at home . the dot on it", "he is @ home . it"[:9]):
+        assert pii.find_pii(clean) == ([], []), clean
+
+
 def test_quality_measures():
     assert quality.measure("") == (0, 0, 0, 0, 0)
     assert quality.measure("a b c a b c") == (6, 6, 0, 0, 6)
