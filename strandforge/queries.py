@@ -551,7 +551,7 @@ def codon_shuffle(spark, sf_dir):
 
 @query()
 def altframe_conservation(spark, sf_dir):
-    t = conservation.conservation_test(_hits(spark, sf_dir), _cds(spark, sf_dir), min_genomes=2, limit=10, iterations=10, seed=3)
+    t = conservation.conservation_test(_hits(spark, sf_dir), _cds(spark, sf_dir), min_genomes=2, limit=200, iterations=200, seed=3)
     return t.select(*conservation.LOCUS, "hit_genomes", "hit_events", "evaluated_records", "evaluated_instances", *(F.round(c, 6).alias(c) for c in ("survival", "identity", "null_survival_mean", "null_mean", "null_std", "z_score", "p_value")))
 
 

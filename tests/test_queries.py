@@ -39,3 +39,9 @@ def test_entry(spark, sf):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_conservation_tests_every_locus_with_a_telling_null(spark, sf):
+    got = QUERIES["altframe_conservation"](spark, sf).select("p_value").collect()
+    assert len(got) > 10
+    assert min(r.p_value for r in got if r.p_value is not None) < 0.01
