@@ -76,11 +76,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     are ignored.  The tables of sentences and rules are constants, so a row needs no join and no shuffle.
     """
     known = F.create_map(*(F.lit(x) for pair in SENTENCES.items() for x in pair))
-    longest = 2 * max(map(len, SENTENCES)) + 64
     # only a sentence with one of the hints can be known; the others needn't be normalised
     hinted = F.filter(sentences(F.col("_text")), lambda s: s.rlike("(?i)licen[sc]|redistribut|free software|software|permission|warranty"))
-    short = F.filter(hinted, lambda s: F.char_length(s) <= longest)
-    ids = F.filter(F.transform(short, lambda s: known[normalise(s)]), lambda x: x.isNotNull())
+    ids = F.filter(F.transform(hinted, lambda s: known[normalise(s)]), lambda x: x.isNotNull())
     any_hint = F.col("_text").rlike("(?i)licens|redistribut|software")
     found = docs.select("doc_id", text_of().alias("_text")).select("doc_id", F.when(any_hint, ids).otherwise(F.array().cast("array<string>")).alias("ids"))
     chain = F.concat(F.lit(","), F.array_join("ids", ","), F.lit(","))

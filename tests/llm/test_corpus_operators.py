@@ -225,6 +225,16 @@ def test_mixing_counts_follow_the_weights(spark):
     assert sorted(rows(out.select("doc_id", "_copy"))) == sorted(rows(mixing.mix_sources(table.repartition(7), {"small": 3.0, "big": 1.0}, 1.0).select("doc_id", "_copy")))
 
 
+def test_licence_sentences_behind_long_separators(spark):
+    texts = ["-" * 5000 + " Licensed under the MIT License " + " " * 5000, "This  program is free software" + "\t" * 3000, "licensed under the mit license " + "x" * 5000, "# " * 2000 + "Permission is hereby granted"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(rows(licenses.scan_licenses(table)))
+    assert [r[1:] for r in got] == [(1, "mit-notice", "MIT"), (1, "gpl-free", ""), (0, "", ""), (0, "", "")]
+    con = duckdb.connect()
+    con.register("documents", table.toArrow())
+    assert got == sorted(con.sql(licenses.license_sql()).fetchall())
+
+
 def test_mixing_takes_rare_sources(spark):
     table = spark.range(100_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 5, None).when(F.col("id") == 6, "rare").otherwise("big").alias("source"), F.lit("en").alias("lang"), F.lit(1).alias("n_chars"), F.lit("x").alias("text"))
     got = {(r.doc_id, r.source): r["count"] for r in mixing.mix_sources(table).groupBy("doc_id", "source").count().collect()}
