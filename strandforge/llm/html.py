@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 
 from strandforge.llm.common import cut, record_batch
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'){0,4000}+)>", re.DOTALL)
+_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)", re.DOTALL)
+_REST = re.compile(r"((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>")
 _ATTR = re.compile(r"""([a-zA-Z_:][\w:.-]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-#: Elements nested deeper are siblings of their parent, so that no walk is deeper.
+#: What deeper elements hold goes to their last ancestor within this depth, so that no walk is deeper; ends still find their own element.
 _DEEPEST = 200
+#: Deeper elements that are noise, headers or articles hold their own text, up to so many within one another.
+_DEEP_MARKED = 40
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript xmp iframe".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label".split())
@@ -55,62 +58,82 @@ def parse_tree(html: str) -> Node:
     """
     root = Node("#root")
     stack, at, n = [root], 0, len(html)
+    into = [root]  # where the content of each element of the stack goes
+    depth = [0]  # of that node
+    opens: dict[str, int] = {}
+    last = html.rfind(">")
+
+    def close(k: int) -> None:
+        if k >= len(stack):
+            return
+        spilled = any(x is not y and x.tag not in _INLINE for x, y in zip(stack[k:], into[k:], strict=True))
+        for x in stack[k:]:
+            opens[x.tag] -= 1
+        del stack[k:], into[k:], depth[k:]
+        if spilled:
+            into[-1].children.append(Node("br"))  # the end of a block
 
     def add(text: str) -> None:
+        children = into[-1].children
         if text and not text.isspace():
             node = Node("")
             node.text = unescape(text) if "&" in text else text
-            stack[-1].children.append(node)
-        elif text and stack[-1].children:
+            children.append(node)
+        elif text and children:
             node = Node("")
             node.text = " "
-            stack[-1].children.append(node)
+            children.append(node)
 
     while at < n:
-        m = _TAG.search(html, at)
+        m, seek = _TAG.search(html, at), at
+        rest = None
+        while m is not None and m[2] and (m.end() > last or (rest := _REST.match(html, m.end())) is None):
+            seek = m.start() + 1  # no end: text
+            m = _TAG.search(html, seek)
         if m is None:
             add(html[at:])
             break
         add(html[at : m.start()])
-        at = m.end()
         tag = m[2]
         if tag is None:
+            at = m.end()
             if m[0].startswith("<![CDATA["):
                 add(m[0][9:].removesuffix("]]>"))
             continue
+        at, attrs = rest.end(), rest[1]
         tag = tag.lower()
         if m[1]:
             if tag == "br":
-                stack[-1].children.append(Node("br"))
+                into[-1].children.append(Node("br"))
                 continue
             block = tag not in _INLINE
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opens.get(tag) else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if not block and stack[k].tag not in _INLINE:
                     break  # an inline end tag doesn't close blocks
                 if tag == "p" and stack[k].tag in _SCOPE:
                     break
             continue
-        if tag in _P_ENDS:
+        if tag in _P_ENDS and opens.get("p"):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in _SCOPE:
                     break
-        if tag in _CLOSES:
+        if tag in _CLOSES and any(opens.get(x) for x in _CLOSES[tag]):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in _CLOSES[tag]:
-                    del stack[k:]
+                    close(k)
                     if tag != "tr" or stack[-1].tag != "tr":
                         break
                 elif stack[k].tag in ("ul", "ol", "dl", "table", "select"):
                     break
-        node = Node(tag, m[3])
-        stack[-1].children.append(node)
-        if tag in _VOID or m[3].endswith("/") and tag not in _INLINE and tag not in _P_ENDS and tag not in _SCOPE:
+        node = Node(tag, attrs)
+        into[-1].children.append(node)
+        if tag in _VOID or attrs.endswith("/") and tag not in _INLINE and tag not in _P_ENDS and tag not in _SCOPE:
             continue
         if tag in _RAW:
             end = re.compile(f"</{tag}[^>]*>", re.IGNORECASE).search(html, at)
@@ -119,8 +142,14 @@ def parse_tree(html: str) -> Node:
                 node.text = unescape(body)
             at = end.end() if end else n
             continue
-        if len(stack) < _DEEPEST:
-            stack.append(node)
+        own = depth[-1] + 1 < _DEEPEST
+        if not own and depth[-1] + 1 < _DEEPEST + _DEEP_MARKED:
+            _, noise, sure = _named(node)
+            own = bool(noise) or sure or node.header
+        stack.append(node)
+        into.append(node if own else into[-1])
+        depth.append(depth[-1] + own)
+        opens[tag] = opens.get(tag, 0) + 1
     return root
 
 

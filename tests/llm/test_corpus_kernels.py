@@ -162,6 +162,16 @@ def test_article_text():
     assert html.template_of(html.parse("<div>" * 3000 + "x"), [html.parse("<div>" * 3000 + y) for y in "yz"]) == set()
 
 
+def test_deep_and_long_tags_keep_the_article():
+    get = lambda s: html.main_text(html.parse(s), set())
+    deep = lambda inner, n=400: "<div>" * n + inner + "</div>" * n
+    assert get(f"<body><article><p>one</p>{deep('two')}<p>three</p></article><div><p>foot</p></div></body>") == "one two three"
+    assert get(f"<body>{deep('<nav><div>menu</div></nav><article><p>a</p><div>b</div><aside><div>no</div></aside>c</article><div>out</div>')}</body>") == "a b c"
+    assert get(f"<body><article>{deep('<p>x<p>y</p>', 250)}<div class='comments'><p>me too</p></div>z</article></body>") == "x y z"
+    assert get(f"<article><p data-x={'y' * 9000}>text</p></article>") == "text"
+    assert get("<article>" + "<font>" * 3000 + "<p>a</p><p>b</p></article><footer>f</footer>") == "a b"
+
+
 def test_article_without_article_tag():
     get = lambda s: html.main_text(html.parse(s), set())
     prose = "".join(f"<p>Sentence number {i} of the story goes on for a while.</p>" for i in range(5))
