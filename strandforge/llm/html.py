@@ -365,7 +365,8 @@ def main_text(page: Node, template: set[int]) -> str:
     def walk(node: Node, in_header: bool) -> None:
         if not node.tag:
             # inside a named article only short constant text is template: shared passages belong to it
-            if not in_header and not (id(node) in template and (not sure or len(node.text.split()) <= 3)):
+            # blanks are never template: they keep words apart
+            if not in_header and not (id(node) in template and not node.text.isspace() and (not sure or len(node.text.split()) <= 3)):
                 line.append(node.text)
             return
         if node is not root and (_named(node)[1] or node.header and not sure):

@@ -192,6 +192,13 @@ def test_template_is_what_aligned_pages_repeat():
     assert html.template_of(pages[0], [pages[0], pages[1]]) == set()  # one telling page proves nothing
 
 
+def test_blanks_are_never_template():
+    body = lambda k: "<article>" + "".join(f"<p><b>w{k}{i}</b> <i>v{k}{i}</i> and so on {k * 7 + i}</p>" for i in range(4)) + f"<div><p>end {k}</p></div></article>"
+    pages = [html.parse(body(k)) for k in range(4)]
+    text = html.main_text(pages[0], html.template_of(pages[0], pages[1:]))
+    assert text.startswith("w00 v00 and so on 0 w01 v01")
+
+
 def test_tree_matching_counts_pairs():
     a, b = html.parse("<div><p>x</p><ul><li>1</li></ul></div>"), html.parse("<div><p>y</p><ul><li>1</li><li>2</li></ul></div>")
     html._digest(a), html._digest(b)
