@@ -43,6 +43,23 @@ def least_hashed(ids: DataFrame, by: str, most: dict, seed: int) -> DataFrame:
     return some.select("doc_id", by, "order", "_most").distinct().withColumn("_rank", rank).filter(F.col("_rank") <= F.col("_most")).select("doc_id", by, "order")
 
 
+def join_by_key(rows: DataFrame, table: DataFrame, key: str, n: str, total: int, how: str = "inner", most: int = 1000) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row a key and in column ``n`` how many of the ``total`` rows hold it.
+
+    Keys of more than a ``most``-th of all rows, of which there are fewer than ``most``, travel by broadcast; the others are
+    shuffled, so a hot key's rows stay where they are.  Nulls are a key like any other.  ``how`` is inner or left; ``n`` is dropped.
+    """
+    own = fresh("_key", rows)
+    named = table.withColumnRenamed(key, own)
+    same = rows[key].eqNullSafe(named[own])
+    hot = named.filter(F.col(n) > max(1, total // most))
+    if hot.isEmpty():
+        return rows.join(named.drop(n), same, how).drop(own)
+    first = rows.join(F.broadcast(hot.drop(n)), same)  # fewer than ``most`` rows
+    rest = rows.join(F.broadcast(hot.select(own)), same, "left_anti").join(named.filter(F.col(n) <= max(1, total // most)).drop(n), same, how)
+    return first.unionByName(rest).drop(own)
+
+
 def map_rows(df: DataFrame, fn: Callable[..., tuple], schema: str, n_in: int, rows_at_once: int = 256) -> DataFrame:
     """One output row for each input row: ``fn(*first n_in columns)`` gives the columns after the carried rest.
 

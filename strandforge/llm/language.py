@@ -17,17 +17,22 @@ BUCKETS = 1 << 17
 _LETTER: np.ndarray | None = None
 
 
-def _letters() -> np.ndarray:
+def _is_letter(codes: np.ndarray) -> np.ndarray:
+    """Which code points are letters; those beyond U+FFFF, rare, are looked up one by one."""
     global _LETTER
     if _LETTER is None:
-        _LETTER = np.array([chr(i).isalpha() for i in range(0x10000)] + [True])
-    return _LETTER
+        _LETTER = np.array([chr(i).isalpha() for i in range(0x10000)] + [False])
+    out = _LETTER[np.minimum(codes, 0x10000)]
+    if len(high := np.flatnonzero(codes > 0xFFFF)):
+        points, at = np.unique(codes[high], return_inverse=True)
+        out[high] = np.array([chr(c).isalpha() for c in points.tolist()])[at]
+    return out
 
 
 def ngram_presence(text: str, longest: int = 4) -> np.ndarray:
     """Sorted buckets of the n-grams (n = 1..longest) that occur in the lower-cased text, with runs of non-letters as one space; empty if it has no letter."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    is_letter = _letters()[np.minimum(codes, 0x10000)]
+    is_letter = _is_letter(codes)
     if not is_letter.any():
         return np.zeros(0, np.int64)
     keep = is_letter.copy()
@@ -47,27 +52,31 @@ def ngram_presence(text: str, longest: int = 4) -> np.ndarray:
 
 @dataclass(frozen=True)
 class KernelModel:
-    """``weights`` is landmarks' presence, transposed, times the dual coefficients: K(x, landmarks) @ beta in one product."""
+    """Scores are K(x, landmarks) @ beta; ``weights`` is landmarks' presence, transposed, times beta, so that a batch is one product.
+
+    ``buckets`` names the n-grams that a landmark has, one row of ``weights`` each; others add nothing to a kernel value.
+    """
 
     languages: list[str]
+    buckets: np.ndarray
     weights: np.ndarray
     sharpness: float
 
     def scores(self, presence: list[np.ndarray]) -> np.ndarray:
-        """One-versus-rest scores of a batch: the presence matrix (rows by buckets) times the folded weights."""
-        out = np.zeros((len(presence), len(self.languages)))
-        full = [i for i, p in enumerate(presence) if len(p)]
-        if full:
-            sizes = np.array([len(presence[i]) for i in full])
-            flat = self.weights[np.concatenate([presence[i] for i in full])]
-            out[full] = np.add.reduceat(flat, np.concatenate(([0], np.cumsum(sizes)[:-1])), axis=0) / np.sqrt(sizes)[:, None]
-        return out
+        """One-versus-rest scores of a batch: the presence matrix (texts by landmarks' n-grams) times the folded weights."""
+        column = np.full(BUCKETS, -1, np.int32)
+        column[self.buckets] = np.arange(len(self.buckets))
+        matrix = np.zeros((len(presence), len(self.buckets)), np.float32)
+        for row, p in zip(matrix, presence, strict=True):
+            at = column[p]
+            row[at[at >= 0]] = 1 / np.sqrt(max(1, len(p)))
+        return (matrix @ self.weights).astype(float)
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         presence = [ngram_presence(t) for t in texts]
-        f = self.scores(presence)
         if not self.languages:
             return ["und"] * len(texts), [0.0] * len(texts)
+        f = self.scores(presence)
         e = np.exp(self.sharpness * (f - f.max(axis=1, keepdims=True)))
         share = e / e.sum(axis=1, keepdims=True)
         best = f.argmax(axis=1)
@@ -90,7 +99,7 @@ def fit(presence: list[np.ndarray], langs: list[str], landmarks_per_language: in
     rows = [i for i, p in enumerate(presence) if len(p)]
     names = sorted({langs[i] for i in rows})
     if not names:
-        return KernelModel([], np.zeros((BUCKETS, 0), np.float32), sharpness)
+        return KernelModel([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), sharpness)
     chosen = [i for n in names for i in [i for i in rows if langs[i] == n][:landmarks_per_language]]
     x, marks = [presence[i] for i in rows], [presence[i] for i in chosen]
     c, w = kernel(x, marks).astype(float), kernel(marks, marks).astype(float)
@@ -100,7 +109,8 @@ def fit(presence: list[np.ndarray], langs: list[str], landmarks_per_language: in
     weights = np.zeros((BUCKETS, len(names)), np.float32)
     for b, m in zip(beta, marks, strict=True):
         weights[m] += (b / np.sqrt(len(m))).astype(np.float32)
-    return KernelModel(names, weights, sharpness)
+    buckets = np.flatnonzero(weights.any(axis=1))
+    return KernelModel(names, buckets, weights[buckets], sharpness)
 
 
 def train_language_model(docs: DataFrame, per_language: int = 300, landmarks_per_language: int = 60) -> KernelModel:
@@ -113,7 +123,7 @@ def train_language_model(docs: DataFrame, per_language: int = 300, landmarks_per
     counts = {r.lang: (r["count"], per_language) for r in known.groupBy("lang").count().collect()}  # one row a language, as the model's columns
     ids = least_hashed(known.select("doc_id", "lang"), "lang", counts, 11).select("doc_id").distinct()
     some = known.select(text_of().alias("text"), F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id"))
-    some = some.join(F.broadcast(ids), "doc_id").select("text", "lang", "doc_id")  # ids: per_language rows a language
+    some = some.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("r")).select("r.text", "r.lang", "doc_id")  # ids: per_language rows a language; a repeated id counts once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -130,13 +140,14 @@ def train_language_model(docs: DataFrame, per_language: int = 300, landmarks_per
 def identify_language(docs: DataFrame, model: KernelModel | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row; lang, source and id are no inputs of a prediction.
 
-    Null texts and texts without a letter give ``und`` and score 0; so does every row when there is nothing to learn
-    from.  A null id is not held out.  Repeated rows give as many rows.  score is the softmax share of the winning
-    one-versus-rest value.  Equal values go to the first language by name.
+    Null texts, empty ones and texts without a letter (of any script) give ``und`` and score 0; so does every row when there is
+    nothing to learn from.  Very long texts are read whole.  A null id is not held out.  Repeated rows give as many rows, an empty
+    table gives none, extra columns are ignored.  score is the softmax share of the winning one-versus-rest value.  Equal values go to
+    the first language by name.
     """
     model = model or train_language_model(docs)
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.languages, model.weights, model.sharpness))  # BUCKETS x languages floats
+    shared = spark.sparkContext.broadcast((model.languages, model.buckets, model.weights, model.sharpness))  # BUCKETS x languages floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = KernelModel(*shared.value)
@@ -150,10 +161,16 @@ def identify_language(docs: DataFrame, model: KernelModel | None = None) -> Data
     return inputs.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def reject_unidentified(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
-    """Documents whose language was recognised: not ``und``, and of at least that score.  Every column is kept."""
+def reject_unidentified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
+    """Documents whose language was recognised: not ``und``, and with at least that share of the softmax (half: more than all other
+    languages together).
+
+    Null texts, empty ones and those without a letter go; a very long text is judged whole.  Without anything to learn from no
+    document has a language.  A score of exactly ``least_score`` stays; between languages that tie the first by name wins.  Repeated
+    rows are judged each, a null id or source doesn't matter, an empty table gives an empty one.  Every column is kept, whatever its name.
+    """
     model = train_language_model(docs)
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.sharpness))
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.buckets, model.weights, model.sharpness))
     schema, at_text = docs.schema, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,5 +182,3 @@ def reject_unidentified(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
                 yield part.filter(pa.array([n != "und" and s >= least_score for n, s in zip(lang, score, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, schema)
-
-

@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandforge.llm.common import fresh
+from strandforge.llm.common import cut, fresh, join_by_key
 
 #: Uniform numbers come from the first 13 hex digits (52 bits) of an MD5, so any engine can repeat them.
 _STEPS = float(1 << 52)
 #: Copies of a document that are made at once.
 _BLOCK = 4096
+#: Numbers of all sources' tables together that are broadcast (32 MB).
+MOST_CELLS = 4_000_000
 
 
 def uniform(*parts: Column) -> Column:
@@ -63,24 +65,36 @@ def replication_rates(docs: DataFrame, weights: dict[str, float] | None = None,
     return weighed.join(F.broadcast(total), how="cross").select("source", "n", mean.alias("mean"))  # total is one row
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, size: float = 1.0, seed: int = 17) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, size: float = 1.0, seed: int = 17, most_cells: int = MOST_CELLS) -> DataFrame:
     """Every document as often as its inverted Poisson count says, in a global shuffle order.
 
-    Adds _copy (0, 1, ...) and _order (the shuffle key; rows come in its order within partitions that are dealt by
-    its hash).  A document's count depends on its id, its source's mean and the seed alone, so a lost task repeats it.
-    A null id counts as an empty one.  Rows with the same id share their count.  An empty table gives an empty
-    result.  Other columns are carried; where one is called _copy or _order, the new one has underscores after its name.
+    Adds _copy (0, 1, ...) and _order (the shuffle key, a hash of the row and the copy; rows come in its order within partitions
+    that are dealt by its hash).  A document's count depends on its id, its source's mean and the seed alone, so a lost task repeats
+    it.  A null id counts as an empty one, a null source is a source, a null or empty text is a document like any other, and a very
+    long one is never held more than once.  Rows with the same id share their count, and repeated rows are drawn each; rows that are
+    equal in all columns tie in the shuffle order.  An empty table gives an empty result.  Other columns are carried; where one is
+    called _copy or _order, the new one has underscores after its name.
+
+    Documents move once, to their place in the order: the sources' tables are broadcast if together they hold at most
+    ``most_cells`` numbers.  Beyond that only the hot sources' are, and the documents of the others meet them by source.
     """
-    u_, source_, low_, cdf_, n_, block_, copy_, order_ = (fresh(x, docs) for x in ("_u", "_source", "_low", "_cdf", "_n", "_block", "_copy", "_order"))
-    means = replication_rates(docs.select(F.col("source").cast("string")), weights, size).select("source", "mean")
-    rates = means.mapInArrow(_with_cdf, "source string, low long, cdf array<double>").toDF(source_, low_, cdf_)
-    u = uniform(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    count = (F.col(low_) + F.size(F.filter(cdf_, lambda c: c <= F.col(u_)))).cast("int")
-    drawn = docs.withColumn(u_, u).join(rates, F.col("source").eqNullSafe(F.col(source_))).withColumn(n_, count)
+    u_, low_, cdf_, n_, block_, copy_, order_ = (fresh(x, docs) for x in ("_u", "_low", "_cdf", "_n", "_block", "_copy", "_order"))
+    source_ = fresh("_source", docs)
+    means = cut(replication_rates(docs.select(F.col("source").cast("string")), weights, size))
+    sums = means.agg(F.sum("n").alias("rows"), F.sum(40 + 20 * F.sqrt("mean")).alias("cells")).first()
+    rates = means.select("source", "mean").mapInArrow(_with_cdf, "source string, low long, cdf array<double>").toDF(source_, low_, cdf_)
+    drawn = docs.withColumn(u_, uniform(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    if (sums.cells or 0) <= most_cells:
+        drawn = drawn.join(F.broadcast(rates), F.col("source").eqNullSafe(F.col(source_)))
+    else:
+        counted = rates.join(means.select(F.col("source").alias("_s"), F.col("n").alias(n_)), F.col(source_).eqNullSafe(F.col("_s"))).drop("_s")
+        drawn = join_by_key(drawn, counted.withColumnRenamed(source_, "source"), "source", n_, sums.rows)
+    drawn = drawn.withColumn(n_, (F.col(low_) + F.size(F.filter(cdf_, lambda c: c <= F.col(u_)))).cast("int"))
     # blocks of copies, so that no array holds all copies of a document
     blocks = drawn.filter(F.col(n_) > 0).withColumn(block_, F.explode(F.sequence(F.lit(0), F.col(n_) - 1, F.lit(_BLOCK))))
     copies = blocks.withColumn(copy_, F.explode(F.sequence(F.col(block_), F.least(F.col(block_) + F.lit(_BLOCK - 1), F.col(n_) - 1))))
-    keyed = copies.withColumn(order_, F.xxhash64(F.lit(seed), "doc_id", copy_))
+    hashed = [F.col(c) for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    keyed = copies.withColumn(order_, F.xxhash64(F.lit(seed), *hashed, copy_))
     return keyed.select(*docs.columns, copy_, order_).repartition(order_).sortWithinPartitions(order_)
 
 

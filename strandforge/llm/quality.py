@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandforge.llm.common import map_rows, text_of
+from strandforge.llm.common import cut, join_by_key, map_rows, text_of
 
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -57,14 +57,15 @@ def quality_rules(docs: DataFrame, host: str = "source", worst: float = 0.5) ->
     """(doc_id, the five measures, base_failed, host_rate, kept) for every row.
 
     base_failed: under 50 words, or over half of the words repeated.  kept: not base_failed, and the host's shrunk
-    failure rate is at most ``worst``.  Null and empty texts have no words and fail.  Repeated rows give as many rows; a null
-    id or host is kept as such.  An empty table gives an empty result.  Rules are summed by host before the shuffle, and the
-    verdicts, one row a host, are joined back.
+    failure rate is at most ``worst``.  Null and empty texts have no words and fail; a very long text is
+    one word list at a time.  Repeated rows give as many rows; a null id is kept and a null host is a host.  An empty table gives an
+    empty result, extra columns are ignored.  A host at exactly ``worst`` stays.  Every text is measured once: the measures are
+    written before they are summed by host, and the verdicts, one row a host, are joined back.
     """
     base = map_rows(docs.select(text_of().alias("text"), F.col("doc_id").cast("long"), F.col(host).cast("string").alias("host")), measure, "doc_id long, host string, " + ", ".join(f"{m} long" for m in MEASURES), 1)
-    base = base.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    verdicts = host_verdicts(base, "host", worst).withColumnRenamed("host", "_host")
-    joined = base.join(verdicts, base.host.eqNullSafe(verdicts["_host"]))
+    base = cut(base.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))))
+    verdicts = cut(host_verdicts(base, "host", worst))
+    joined = join_by_key(base, verdicts.select("host", "n", "rate", "host_kept"), "host", "n", verdicts.agg(F.sum("n")).first()[0] or 0)
     return joined.select("doc_id", *MEASURES, "base_failed", F.col("rate").alias("host_rate"), (~F.col("base_failed") & F.col("host_kept")).alias("kept"))
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandforge.llm import decontaminate, html, language, licenses, mixing, pii, quality, secrets, simhash, toxicity
+from strandforge.llm.common import ensure_checkpoint_dir
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,8 +24,14 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def _ledger(spark: SparkSession) -> str:
+    """The ledger's folder: the one that the session names, which lasts, else one of this run in the shared folder."""
+    ensure_checkpoint_dir(spark)
+    return spark.conf.get("spark.strandforge.secret.ledger", None) or f"{spark.sparkContext.getCheckpointDir()}/secret-ledger-{uuid.uuid4().hex}"
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = secrets.scan_versions(_read(spark, sf_dir, "documents"))
+    rows = secrets.scan_with_ledger(_read(spark, sf_dir, "documents"), _ledger(spark))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return rows.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.digest(F.col("spans")), 256).alias("base_sha256"), secrets.digest(F.col("spans")).alias("spans"))
 

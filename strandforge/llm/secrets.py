@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from strandforge.llm.common import text_of
+from strandforge.llm.common import cut, join_by_key, text_of
 
 #: Rule kinds in listing order: (kind, pattern, cheap test, group, least length of the group).
 RULES = [
@@ -16,10 +17,14 @@ RULES = [
 ]
 RULE_VERSION = 1
 SPAN = "array<struct<kind:string,rank:int,start:int,end:int>>"
-LEDGER = T.StructType([T.StructField("blob", T.StringType()), T.StructField("rule_version", T.IntegerType())])
 FINDINGS = f"blob string, rule_version int, spans {SPAN}"
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def spans_of(text: Column, kind: str, rank: int, pattern: str, test: str, group: int, least: int) -> Column:
     """Spans (code points, end exclusive) of the leftmost non-overlapping matches that are long enough.
 
@@ -36,24 +41,38 @@ def spans_of(text: Column, kind: str, rank: int, pattern: str, test: str, group:
         F.transform(hits, lambda x: F.char_length(x)).alias("len"),
         F.transform(values, lambda x: F.char_length(x)).alias("value"),
     )
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    one = lambda acc, x: F.array(F.struct(F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), (acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["len"]).alias("end")))
-    step = lambda acc, x: F.struct((acc["at"] + x["gap"] + x["len"]).alias("at"), F.when(x["value"] >= least, F.concat(acc["out"], one(acc, x))).otherwise(acc["out"]).alias("out"))
-    return F.when(text.rlike(test), F.aggregate(cells, first, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+    one = lambda start, end: F.array(F.struct(F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), start.alias("start"), end.alias("end")))
+    none = F.array().cast(SPAN)
+
+    def walk(some: Column, at: Column) -> Column:
+        """Spans of consecutive cells of which the first begins at ``at``."""
+        begin = F.struct(at.alias("at"), none.alias("out"))
+        step = lambda acc, x: F.struct((acc["at"] + x["gap"] + x["len"]).alias("at"), F.when(x["value"] >= least, F.concat(acc["out"], one(acc["at"] + x["gap"], acc["at"] + x["gap"] + x["len"]))).otherwise(acc["out"]).alias("out"))
+        return F.aggregate(some, begin, step, lambda acc: acc["out"])
+
+    def walk_blocks(cells_: Column) -> Column:
+        """The same by blocks of the root of the number: an array that grows by a step is copied by every step."""
+        side = F.ceil(F.sqrt(F.size(cells_))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(1), F.size(cells_), side), lambda i: F.slice(cells_, i, side))
+        return let(blocks, lambda own: F.flatten(F.transform(F.arrays_zip(own.alias("b"), starts(own).alias("s")), lambda x: walk(x["b"], x["s"]))))
 
+    def starts(blocks: Column) -> Column:
+        lengths = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + x["gap"] + x["len"]))
+        after = F.aggregate(lengths, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
+        return F.slice(after, 1, F.size(after) - 1)
 
-def scan_blobs(blobs: DataFrame, rules: list[tuple] | None = None) -> DataFrame:
+    spans = let(cells, lambda c: F.when(F.size(c) <= 64, walk(c, F.lit(0))).otherwise(walk_blocks(c)))
+    return F.when(text.rlike(test), spans).otherwise(none)
+
+
+def scan_blobs(blobs: DataFrame, rules: list[tuple] | None = None, version: int = RULE_VERSION) -> DataFrame:
     """(blob, rule_version, spans) of blobs (blob, text); spans by start, then kind as listed."""
     every = F.concat(*(spans_of(F.col("text"), kind, k, *rest) for k, (kind, *rest) in enumerate(rules or RULES)))
     by_place = F.transform(F.array_sort(F.transform(every, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))), lambda s: F.struct(s["kind"].alias("kind"), s["rank"].alias("rank"), s["start"].alias("start"), s["end"].alias("end")))
-    return blobs.select("blob", F.lit(RULE_VERSION).alias("rule_version"), by_place.alias("spans"))
-
+    return blobs.select("blob", F.lit(version).alias("rule_version"), by_place.alias("spans"))
 
-def empty_findings(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], FINDINGS)
 
-
-def new_findings(versions: DataFrame, seen: DataFrame | None = None, version: int = RULE_VERSION) -> DataFrame:
+def new_findings(versions: DataFrame, seen: DataFrame | None = None, version: int = RULE_VERSION, rules: list[tuple] | None = None) -> DataFrame:
     """Scan the blobs of ``versions`` (doc_id, text) that ``seen`` (blob, rule_version) lacks at this rule version.
 
     A blob's address is the SHA-256 of its UTF-8 bytes; each is scanned once, in the version with the least id.
@@ -65,22 +84,47 @@ def new_findings(versions: DataFrame, seen: DataFrame | None = None, version: in
         first = first.join(seen.filter(F.col("rule_version") == version).select("blob").distinct(), "blob", "left_anti")
     texts = versions.select("doc_id", text_of().alias("text"))
     todo = texts.join(first.hint("shuffle_hash"), texts.doc_id.eqNullSafe(first.doc_id)).select("blob", "text", F.sha2("text", 256).alias("own"))
-    found = scan_blobs(todo.filter("own = blob").select("blob", "text"))
+    found = scan_blobs(todo.filter("own = blob").select("blob", "text"), rules, version)
     return found.groupBy("blob", "rule_version").agg(F.any_value("spans").alias("spans"))  # repeated rows share a blob
 
 
-def scan_versions(versions: DataFrame, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(every path's spans, new ledger entries): unseen blobs are scanned, known ones come from the ledger.
+def with_paths(versions: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, blob, spans) for every row of ``versions``, from findings ``known`` of one rule version.
 
-    ``versions``: doc_id, text; ``ledger``: blob, rule_version, spans of earlier runs.  Null text counts as empty and
-    has no spans.  Every input row gives one row (doc_id, blob, spans), repeated rows and null ids included; an
-    empty table gives none.  Extra columns are ignored.
+    Only blobs with a finding are joined back; those that a thousandth of all paths share are broadcast.
     """
-    fresh = new_findings(versions, ledger)
-    known = fresh if ledger is None else fresh.unionByName(ledger.filter(F.col("rule_version") == RULE_VERSION))
     paths = versions.select("doc_id", F.sha2(text_of(), 256).alias("blob"))
-    back = paths.join(known.filter(F.size("spans") > 0).select("blob", "spans"), "blob", "left")
-    return back.select("doc_id", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans")), fresh
+    told = known.filter(F.size("spans") > 0).select("blob", "spans")
+    counted = cut(paths.join(told.select("blob"), "blob", "left_semi").groupBy("blob").agg(F.count("*").alias("n")).join(told, "blob"))
+    back = join_by_key(paths, counted, "blob", "n", versions.count(), "left")
+    return back.select("doc_id", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+
+
+def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, version: int = RULE_VERSION, rules: list[tuple] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(every path's spans, new ledger entries): unseen blobs are scanned, known ones come from the ledger.
+
+    ``versions``: doc_id, text; ``ledger``: blob, rule_version, spans of earlier runs.  Findings carry the ``version`` of the rules
+    that they were scanned with.  Null text counts as empty and has no spans; very long texts are scanned whole, in time that grows
+    with their matches to the power 1.5.  Every input row gives one row (doc_id, blob, spans), repeated rows and null ids included; an
+    empty table gives none.  Spans that begin together come by kind as listed.  Extra columns are ignored.
+    """
+    fresh = cut(new_findings(versions, ledger, version, rules))
+    known = fresh if ledger is None else fresh.unionByName(ledger.filter(F.col("rule_version") == version).select(fresh.columns)).dropDuplicates(["blob"])
+    return with_paths(versions, known), fresh
+
+
+def scan_with_ledger(versions: DataFrame, folder: str, version: int = RULE_VERSION, rules: list[tuple] | None = None) -> DataFrame:
+    """``scan_versions`` against the ledger kept as Parquet in ``folder`` of the shared file system, which gets the new entries.
+
+    A folder that doesn't exist yet is an empty ledger.  Entries are appended by one committed write; a job that dies before it
+    leaves the ledger as it was, and two jobs at once at worst enter a blob twice, which counts once.
+    """
+    spark = versions.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    held = spark.read.schema(FINDINGS).parquet(folder) if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) else None
+    new_findings(versions, held, version, rules).write.mode("append").parquet(folder)
+    known = spark.read.schema(FINDINGS).parquet(folder).filter(F.col("rule_version") == version).dropDuplicates(["blob"])
+    return with_paths(versions, known)
 
 
 def digest(spans: Column) -> Column:
