@@ -210,7 +210,8 @@ def test_kernel_is_the_normalised_overlap():
     x, y = language.ngram_presence("The cat"), language.ngram_presence("the dog.")
     k = language.kernel([x], [y])[0, 0]
     assert abs(k - len(np.intersect1d(x, y)) / np.sqrt(len(x) * len(y))) < 1e-6
-    assert len(language.ngram_presence("123 !?")) == 0
+    assert len(language.ngram_presence("123 !?")) == 0 and len(language.ngram_presence("😀😀 12")) == 0
+    assert len(language.ngram_presence("😀𐐀")) > 0  # a letter beyond the first plane
 
 
 def test_folded_weights_equal_the_kernel_expansion():
@@ -218,6 +219,10 @@ def test_folded_weights_equal_the_kernel_expansion():
     p = [language.ngram_presence(t) for t in texts]
     model = language.fit(p, ["de", "de", "en", "en"], 2)
     assert model.predict(["the man and the mouse", "", "77"])[0] == ["en", "und", "und"]
+    x = [language.ngram_presence(t) for t in ("ein hund und the cat", "a b c", "xyz")]
+    full = np.zeros((language.BUCKETS, 2))
+    full[model.buckets] = model.weights
+    assert np.allclose(model.scores(x), [full[i].sum(axis=0) / np.sqrt(len(i)) for i in x], atol=1e-5)
     assert language.fit([], []).predict(["abc"]) == (["und"], [0.0])
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandforge.llm import components, decontaminate, html, language, licenses, mixing, pii, quality, queries, secrets, simhash, toxicity
+from strandforge.llm import common, components, decontaminate, html, language, licenses, mixing, pii, quality, queries, secrets, simhash, toxicity
 
 ODD = "doc_id long, text string, lang string, source string, n_chars long, score double, _copy2 string"
 ROWS = [
@@ -61,10 +61,10 @@ def test_every_operator_takes_odd_and_empty_tables(spark, odd):
     assert decontaminate.find_leaks(odd, bench.limit(0)).count() == 0
     assert mixing.mix_sources(empty).count() == 0
     assert mixing.mix_sources(odd).columns == [*odd.columns, "_copy", "_order"]
-    for stage in (lambda d: language.reject_unidentified(d), lambda d: simhash.keep_one_per_group(d, simhash.simhash_groups(d)), lambda d: decontaminate.drop_leaks(d, bench), pii.mask_pii):
+    for stage in (lambda d: language.reject_unidentified(d), lambda d: simhash.keep_one_per_group(d), lambda d: decontaminate.drop_leaks(d, bench), pii.mask_pii):
         assert stage(odd).columns == odd.columns
         assert stage(empty).count() == 0
-    assert sorted(r.doc_id for r in simhash.keep_one_per_group(odd, simhash.simhash_groups(odd)).collect()) == [1, 2, 4, 5]
+    assert sorted(str(r.doc_id) for r in simhash.keep_one_per_group(odd).collect()) == ["1", "2", "4", "5", "None"]
 
 
 def test_clashing_columns_are_carried(spark):
@@ -76,7 +76,7 @@ def test_clashing_columns_are_carried(spark):
     out = mixing.mix_sources(table)
     assert out.columns == [*table.columns, "_copy_", "_order_"] and {r._copy for r in out.collect()} <= {"_copy"}
     for made in (
-        language.reject_unidentified(table), simhash.keep_one_per_group(table, simhash.simhash_groups(table)), decontaminate.drop_leaks(table, bench), pii.mask_pii(table), secrets.scan_versions(table)[0], quality.quality_rules(table),
+        language.reject_unidentified(table), simhash.keep_one_per_group(table), decontaminate.drop_leaks(table, bench), pii.mask_pii(table), secrets.scan_versions(table)[0], quality.quality_rules(table),
         licenses.scan_licenses(table), language.identify_language(table), pii.scan_pii(table), toxicity.score_toxicity(table, labels), html.extract_text(table.withColumnsRenamed({"doc_id": "page_id", "text": "html"}).withColumn("url", F.lit("http://x/y"))),
     ):
         assert made.count() >= 1
@@ -135,11 +135,31 @@ def test_a_hot_shard_is_split_and_stays_whole(spark):
     rng = random.Random(8)
     base = [rng.getrandbits(63) for _ in range(3)]
     values = sorted({b ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63)) for b in base for _ in range(200)})
-    edges = simhash.link_fingerprints(spark.createDataFrame([(v,) for v in values], "fp long"), 4, subtree=64)
-    roots = {r.node: r.root for r in components.connected_components(edges).collect()}
-    label = [roots.get(v, v) for v in values]
-    assert all(label[i] == label[j] for i in range(len(values)) for j in range(i) if (values[i] ^ values[j]).bit_count() <= 4)
-    assert len(set(label)) == 3
+    for subtree in (64, 2):  # 2: shards beyond 140 members are dealt again
+        edges = simhash.link_fingerprints(spark.createDataFrame([(v, None if v % 5 else i) for i, v in enumerate(values)], "fp long, least long"), 4, subtree)
+        roots = {r.node: r.root for r in components.connected_components(edges).collect()}
+        label = [roots.get(v, v) for v in values]
+        assert all(label[i] == label[j] for i in range(len(values)) for j in range(i) if (values[i] ^ values[j]).bit_count() <= 4)
+        assert len(set(label)) == 3
+        assert all(r.a_least == (None if r.a % 5 else values.index(r.a)) for r in edges.collect())
+
+
+def test_one_row_of_every_group_stays(spark):
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven twelve", "red green blue black white grey")
+    table = spark.createDataFrame([(1, a, "x"), (1, b, "y"), (2, c, "z"), (3, a, "w"), (None, b, "v"), (None, "alone in the world so far", "u"), (5, c, "t"), (2, c, "z"), (None, "", "s"), (None, None, "r")], "doc_id long, text string, source string")
+    got = sorted((str(r.doc_id), r.text or "") for r in simhash.keep_one_per_group(table).collect())
+    assert got == sorted([("1", a), ("1", b), ("2", c), ("None", "alone in the world so far"), ("None", "")])
+    groups = {(r.doc_id, r.component_id) for r in simhash.simhash_groups(table).collect()}
+    assert (None, None) in groups and (5, 2) in groups and (None, 1) in groups
+
+
+def test_a_hot_key_joins_like_any_other(spark):
+    table = spark.range(300).select(F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, 7).otherwise(F.col("id")).alias("k"), "id")
+    side = table.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("m"))
+    got = sorted(map(str, rows(common.join_by_key(table, side, "k", "n", 300, most=10))))
+    assert got == sorted(map(str, rows(common.join_by_key(table, side, "k", "n", 300, most=1)))) and len(got) == 300
+    some = side.filter("k <> 2")
+    assert common.join_by_key(table, some, "k", "n", 300, "left", most=10).filter("m is null").count() == 101
 
 
 def test_components(spark):
@@ -245,6 +265,33 @@ def test_mixing_takes_rare_sources(spark):
     assert got == {(d, s): n for d, s, n in con.sql(f"select doc_id, source, count(*) from ({mixing.mix_sql()}) group by all").fetchall()}
 
 
+def test_mixing_without_a_broadcast_of_all_tables(spark):
+    table = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, None).otherwise(F.concat(F.lit("s"), F.sqrt("id").cast("int") % 40)).alias("source"), F.lit("x").alias("text"))
+    want = sorted(map(str, rows(mixing.mix_sources(table).select("doc_id", "_copy"))))
+    assert sorted(map(str, rows(mixing.mix_sources(table, most_cells=10).select("doc_id", "_copy")))) == want
+    repeated = spark.createDataFrame([(None, f"t{i}", "a") for i in range(500)] + [(1, f"u{i}", "b") for i in range(500)], "doc_id long, text string, source string")
+    assert mixing.mix_sources(repeated).agg(F.countDistinct("_order")).first()[0] == mixing.mix_sources(repeated).count()  # rows without an id, or with one id, part ways
+
+
+def test_second_run_of_a_ledger_scans_nothing(spark, tmp_path):
+    folder = str(tmp_path / "ledger")
+    table = spark.createDataFrame([(1, "token=abcdef"), (2, "token=abcdef"), (3, "plain"), (4, None)], "doc_id long, text string")
+    first = sorted(map(str, rows(secrets.scan_with_ledger(table, folder))))
+    n = spark.read.parquet(folder).count()
+    assert n == 3 and sorted(map(str, rows(secrets.scan_with_ledger(table, folder)))) == first and spark.read.parquet(folder).count() == n
+    secrets.scan_with_ledger(table, folder, version=99)
+    assert [r["count"] for r in spark.read.parquet(folder).groupBy("rule_version").count().orderBy("rule_version").collect()] == [3, 3]
+    assert secrets.new_findings(table, spark.read.parquet(folder), version=99).count() == 0
+    more = table.unionByName(spark.createDataFrame([(5, "secret=123456")], "doc_id long, text string"))
+    assert len(rows(secrets.scan_with_ledger(more, folder))) == 5 and spark.read.parquet(folder).count() == 7
+
+
+def test_many_matches_in_one_text(spark):
+    text = "é " + "token=abcdef passwd:xyz " * 300 + "AKIA" + "A" * 20
+    got = secrets.scan_versions(spark.createDataFrame([(1, text)], "doc_id long, text string"))[0].select(secrets.digest(F.col("spans"))).first()[0]
+    assert got == plain_secrets(text)
+
+
 def test_classifiers_on_held_out_rows(spark):
     from pathlib import Path
 
