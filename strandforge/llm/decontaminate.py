@@ -1,4 +1,4 @@
-"""Benchmark decontamination: n-gram seeds, a bound on the score, then Smith-Waterman alignment."""
+"""Benchmark decontamination: rare n-gram seeds, a bound on the score, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
@@ -15,7 +15,9 @@ from strandforge.llm.common import record_batch, text_of
 _TOKEN = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Words of a block of test items; one block's seeds are broadcast at a time.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_000_000
+#: Share of an item's seeds, the rarest in the corpus, that lead to it.
+RARE = 0.8
 
 
 def tokens(text: str) -> list[str]:
@@ -62,20 +64,25 @@ def smith_waterman(item: np.ndarray, window: np.ndarray, match: int = 2, mismatc
 class SeedIndex:
     """The n-grams of a block of test items; items of fewer than n words are one shorter n-gram each."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], n: int = 3):
+    def __init__(self, items: list[list[str]], n: int = 3):
         self.n = n
-        self.vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for _, ws in items for w in ws}))}
-        self.items = {k: np.array([self.vocabulary[w] for w in ws], np.int64) for k, ws in items if ws}
+        self.vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for ws in items for w in ws}))}
+        self.items = {k: np.array([self.vocabulary[w] for w in ws], np.int64) for k, ws in enumerate(items) if ws}
         self.counts = {k: np.unique(ids, return_counts=True) for k, ids in self.items.items()}
-        self.tables = {}
-        by_length: dict[int, list[tuple[int, int, int]]] = {}
+        by_length: dict[int, list[tuple[np.ndarray, int]]] = {}
         for k, ids in self.items.items():
-            m = min(n, len(ids))
-            for o, key in enumerate(self.keys(ids, m).tolist()):
-                by_length.setdefault(m, []).append((key, k, o))
-        for m, rows in by_length.items():
-            rows.sort()
-            self.tables[m] = (np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64))
+            by_length.setdefault(min(n, len(ids)), []).append((self.keys(ids, min(n, len(ids))), k))
+        #: For each length: its seeds' keys (ascending, distinct), the number of the first, where each one's places begin, their items and offsets.
+        self.tables: dict[int, tuple[np.ndarray, int, np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.seeds = 0
+        for m, parts in sorted(by_length.items()):
+            every = np.concatenate([x for x, _ in parts])
+            item = np.concatenate([np.full(len(x), k) for x, k in parts])
+            offset = np.concatenate([np.arange(len(x)) for x, _ in parts])
+            order = np.lexsort((offset, item, every))
+            keys, first = np.unique(every[order], return_index=True)
+            self.tables[m] = (keys, self.seeds, np.append(first, len(every)), item[order], offset[order])
+            self.seeds += len(keys)
 
     @staticmethod
     def keys(ids: np.ndarray, m: int) -> np.ndarray:
@@ -86,46 +93,72 @@ class SeedIndex:
             out ^= out >> np.uint64(29)
         return out
 
-    def hits(self, ids: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item, offset in the item, place in the text, key) of every seed in a text's word ids (0: no word of an item)."""
-        out = []
-        for m, (keys, item, offset) in self.tables.items():
+    def number(self, text: str) -> np.ndarray:
+        """A text's words as numbers of the vocabulary; 0 is a word of no item."""
+        get = self.vocabulary.get
+        return np.array([get(w, 0) for w in _TOKEN.findall(text.lower())], np.int64)
+
+    def found(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, indices into its table, places in the text) of the seeds of each length that a text holds."""
+        for m, (keys, *_) in self.tables.items():
             if len(ids) < m:
                 continue
-            known = ids > 0
-            run = known[: len(ids) - m + 1].copy()
+            run = ids[: len(ids) - m + 1] > 0
             for i in range(1, m):
-                run &= known[i : i + len(run)]
+                run = run & (ids[i : i + len(run)] > 0)
             places = np.flatnonzero(run)
-            if not len(places):
-                continue
-            text_keys = self.keys(ids, m)[places]
-            a, b = np.searchsorted(keys, text_keys, "left"), np.searchsorted(keys, text_keys, "right")
-            for k in np.flatnonzero(b > a).tolist():
-                out += [(int(item[x]), int(offset[x]), int(places[k]), int(text_keys[k])) for x in range(a[k], b[k])]
-        return out
+            if len(places):
+                text_keys = self.keys(ids, m)[places]
+                at = np.minimum(np.searchsorted(keys, text_keys), len(keys) - 1)
+                hit = keys[at] == text_keys
+                if hit.any():
+                    yield m, at[hit], places[hit]
 
-    def windows(self, ids: np.ndarray) -> Iterator[tuple[int, int, int, list[int]]]:
-        """(item, first word, end, seed keys) of the stretches of a text that seeds of one item point to.
+    def rare(self, documents: np.ndarray, share: float = RARE) -> list[np.ndarray]:
+        """Places of each length's table, as flags, whose seed is among the ``share`` of its item's that the fewest documents hold; ties stay.
 
-        A seed points to where its item would begin; stretches whose beginnings lie within half of the item are one.
+        What is rare is told item by item, so it doesn't depend on the number of documents.
         """
-        by_item: dict[int, list[tuple[int, int]]] = {}
-        for item, offset, place, key in self.hits(ids):
-            by_item.setdefault(item, []).append((place - offset, key))
-        for item, begins in by_item.items():
-            length = len(self.items[item])
-            slack = length // 2 + 2
-            begins.sort()
-            group = [begins[0]]
-            for b in [*begins[1:], None]:
-                if b is not None and b[0] - group[-1][0] <= slack:
-                    group.append(b)
-                    continue
-                first, end = max(0, group[0][0] - slack), min(len(ids), group[-1][0] + length + slack)
-                yield item, first, end, sorted({k for _, k in group})
-                group = [b]
+        wanted = []
+        for keys, number, first, item, _ in self.tables.values():
+            n = np.repeat(documents[number : number + len(keys)], np.diff(first))
+            order = np.lexsort((n, item))
+            starts = np.flatnonzero(np.r_[True, item[order][1:] != item[order][:-1]])
+            sizes = np.diff(np.append(starts, len(order)))
+            limit = n[order][starts + np.ceil(sizes * share).astype(int) - 1]
+            most = np.zeros(len(order), n.dtype)
+            most[order] = np.repeat(limit, sizes)
+            wanted.append(n <= most)
+        return wanted
 
+    def windows(self, ids: np.ndarray, rare: list[np.ndarray] | None = None) -> Iterator[tuple[int, int, int]]:
+        """(item, first word, end) of the stretches of a text that (rare) seeds of one item point to.
+
+        A seed points to where its item would begin; stretches whose beginnings lie within half of the item are one.
+        """
+        items, begins = [], []
+        lengths = list(self.tables)
+        for m, at, places in self.found(ids):
+            _, _, first, item, offset = self.tables[m]
+            many = first[at + 1] - first[at]
+            where = np.repeat(first[at], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            place = np.repeat(places, many)
+            if rare is not None:
+                kept = rare[lengths.index(m)][where]
+                where, place = where[kept], place[kept]
+            items.append(item[where])
+            begins.append(place - offset[where])
+        if not sum(map(len, items)):
+            return
+        item, begin = np.concatenate(items), np.concatenate(begins)
+        order = np.lexsort((begin, item))
+        item, begin = item[order], begin[order]
+        owners = np.unique(item)
+        slack = np.array([len(self.items[k]) // 2 + 2 for k in owners.tolist()], np.int64)[np.searchsorted(owners, item)]
+        new = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > slack[1:])]).tolist()
+        for s, e in zip(new, [*new[1:], len(item)], strict=True):
+            length, room = len(self.items[int(item[s])]), int(slack[s])
+            yield int(item[s]), max(0, int(begin[s]) - room), min(len(ids), int(begin[e - 1]) + length + room)
 
     def most_matches(self, item: int, window: np.ndarray) -> int:
         """Words that an alignment of the item and the window can match at most: those that both have, as often as both do."""
@@ -133,64 +166,113 @@ class SeedIndex:
         at = np.minimum(np.searchsorted(words, window), len(words) - 1)
         return int(np.minimum(np.bincount(at[words[at] == window], minlength=len(words)), counts).sum())
 
+    def leaks(self, ids: np.ndarray, least: float, rare: list[np.ndarray] | None, known: dict) -> Iterator[tuple[int, float, int, int]]:
+        """(item, ratio, first word, end) of the windows whose alignment reaches ``least``; ``known`` keeps those of equal windows."""
+        for item, first, end in self.windows(ids, rare):
+            own, window = self.items[item], ids[first:end]
+            if self.most_matches(item, window) / len(own) < least:
+                continue
+            key = (item, window.tobytes())
+            if key not in known:
+                known[key] = smith_waterman(own, window)
+            score, start, stop = known[key]
+            if (ratio := score / (2 * len(own))) >= least:
+                yield item, round(ratio, 6), first + start, first + stop
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.6, n: int = 3, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, item_id, ratio, start_word, end_word): alignments of test items in documents, the best of each pair.
 
-    ratio is the Smith-Waterman score (match 2, mismatch and gap -1, lower-cased words) over that of the item with
-    itself; 0.6 lets about one word in four be replaced or dropped.  Every window that seeds point to is aligned if the words
-    it shares with the item could reach that ratio, however often its seeds occur in the corpus.
+def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int, list[str]]]]:
+    """The test items (id, words), so many at a time that a block has about ``block_words`` words (a single longer item is a block)."""
+    items = benchmark.filter(F.col("item_id").isNotNull()).select(text_of().alias("text"), F.col("item_id").cast("long"))
 
-    Test items come in blocks of a bounded number of words, so what is broadcast is bounded; every block meets every document.
-    Null and empty texts, and items without a word, match nothing.  Repeated rows are one document by id: each (doc_id, item_id)
-    is returned once.  Rows without an id are ignored.  Empty tables give an empty result.
-    """
-    items = benchmark.filter(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long"), text_of().alias("text"))
-    words = items.agg(F.coalesce(F.sum(F.size(F.split("text", r"\W+"))), F.lit(0))).first()[0]
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            # a word counts once, and again for every 16 characters, so that long words are bounded too
+            yield record_batch("words long", [[sum(1 + len(w) // 16 for w in tokens(t)) for t in b.column(0).to_pylist()]])
+
+    words = items.mapInArrow(measure, "words long").agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
     blocks = -(-words // block_words) or 1
-    found = None
     for k in range(blocks):
-        own = items.filter(F.pmod(F.xxhash64("item_id", F.lit(3)), F.lit(blocks)) == k) if blocks > 1 else items
-        part = _leaks_of_block(docs, [(r.item_id, tokens(r.text)) for r in own.orderBy("item_id", "text").collect()], least, n)  # bounded by block_words
-        found = part if found is None else found.unionByName(part)
-    return found
+        own = items.filter(F.pmod(F.xxhash64("item_id", "text", F.lit(3)), F.lit(blocks)) == k) if blocks > 1 else items
+        yield [(r.item_id, tokens(r.text)) for r in own.orderBy("item_id", "text").collect()]  # bounded by block_words
 
 
-def _leaks_of_block(docs: DataFrame, items: list[tuple[int, list[str]]], least: float, n: int) -> DataFrame:
-    spark = docs.sparkSession
-    numbered = list(enumerate(items))  # repeated item ids stay apart until the end
-    shared = spark.sparkContext.broadcast([(i, ws) for i, (_, ws) in numbered])
-    schema = "item int, doc_id long, ratio double, start_word long, end_word long"
+def _rare_seeds(texts: DataFrame, shared, n: int, share: float) -> list[np.ndarray]:
+    """Flags of the rare seeds of a block, from the number of documents that hold each seed."""
 
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = SeedIndex(shared.value, n)
-        number = index.vocabulary.get
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = SeedIndex([ws for _, ws in shared.value], n)
+        sums = np.zeros(index.seeds, np.int64)
         for b in batches:
             for at in range(0, b.num_rows, 512):
-                out: list[tuple] = []
-                known: dict[tuple[int, bytes], tuple[int, int, int]] = {}  # equal windows of an item are aligned once
-                for text, doc in zip(b.column(0).slice(at, 512).to_pylist(), b.column(1).slice(at, 512).to_pylist(), strict=True):
-                    ids = np.array([number(w, 0) for w in _TOKEN.findall(text.lower())], np.int64)
-                    for item, first, end, _ in index.windows(ids):
-                        own, window = index.items[item], ids[first:end]
-                        if index.most_matches(item, window) / len(own) < least:
-                            continue
-                        key = (item, window.tobytes())
-                        if key not in known:
-                            known[key] = smith_waterman(own, window)
-                        score, start, stop = known[key]
-                        if (ratio := score / (2 * len(own))) >= least:
-                            out.append((item, doc, round(ratio, 6), first + start, first + stop))
-                yield record_batch(schema, list(zip(*out, strict=True)) or [[]] * 5)
-
-    texts = docs.filter(F.col("doc_id").isNotNull()).select(text_of().alias("text"), F.col("doc_id").cast("long"))
-    aligned = texts.mapInArrow(align, schema)
-    names = spark.createDataFrame([(i, k) for i, (k, _) in numbered], "item int, item_id long")
-    named = aligned.join(F.broadcast(names), "item")  # bounded by block_words
+                for text in b.column(0).slice(at, 512).to_pylist():
+                    for m, seeds, _ in index.found(index.number(text)):
+                        sums[index.tables[m][1] + np.unique(seeds)] += 1
+        some = np.flatnonzero(sums)
+        for s in range(0, len(some), 100_000):
+            part = some[s : s + 100_000]
+            yield record_batch("seed long, n long", [part, sums[part]])
+
+    index = SeedIndex([ws for _, ws in shared.value], n)
+    got = texts.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()  # at most a block's words
+    documents = np.zeros(index.seeds, np.int64)
+    documents[got["seed"].to_numpy()] = got["n"].to_numpy()
+    return index.rare(documents, share)
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, n: int = 3, share: float = RARE, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(doc_id, item_id, ratio, start_word, end_word): alignments of test items in documents, the best of each pair.
+
+    A first pass counts in how many documents each of the items' n-grams occurs.  The rarest ``share`` of every item's
+    then join documents to items: a window that one of them points to is aligned, if the words it shares with the item could reach
+    the ratio.  ratio is the Smith-Waterman score (match 2, mismatch and gap -1, lower-cased words) over that of the item with
+    itself; 0.5 lets about one word in three be replaced or dropped.
+
+    Test items come in blocks of a bounded number of words, so what is broadcast or counted is bounded; every block meets every document.
+    Null and empty texts, and items without a word, match nothing; very long texts are read whole.  Repeated rows are one document by
+    id: each (doc_id, item_id) is returned once, by the highest ratio, then the earliest start, then the latest end.  Rows
+    without an id are ignored.  Empty tables give an empty result.  Other columns are ignored, whatever their names.
+    """
+    texts = docs.filter(F.col("doc_id").isNotNull()).select(text_of().alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
+    schema = "doc_id long, item_id long, ratio double, start_word long, end_word long"
+    found = None
+    for items in _blocks(benchmark, block_words):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+        rare = docs.sparkSession.sparkContext.broadcast(_rare_seeds(texts, shared, n, share))
+
+        def align(batches: Iterator[pa.RecordBatch], shared=shared, rare=rare) -> Iterator[pa.RecordBatch]:
+            index = SeedIndex([ws for _, ws in shared.value], n)
+            for b in batches:
+                for at in range(0, b.num_rows, 512):
+                    out: list[tuple] = []
+                    known: dict = {}
+                    for text, doc in zip(b.column(0).slice(at, 512).to_pylist(), b.column(1).slice(at, 512).to_pylist(), strict=True):
+                        out += [(doc, shared.value[item][0], *rest) for item, *rest in index.leaks(index.number(text), least, rare.value, known)]
+                    yield record_batch(schema, list(zip(*out, strict=True)) or [[]] * 5)
+
+        part = texts.mapInArrow(align, schema)
+        found = part if found is None else found.unionByName(part)
     best = F.max(F.struct("ratio", (-F.col("start_word")).alias("s"), "end_word")).alias("best")
-    return named.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.ratio", (-F.col("best.s")).alias("start_word"), F.col("best.end_word").alias("end_word"))
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.ratio", (-F.col("best.s")).alias("start_word"), F.col("best.end_word").alias("end_word"))
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, n: int = 3, share: float = RARE, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Documents without a leaked test item, found as by ``find_leaks``.
+
+    Every row is judged by its own text: rows without an id and rows that share one like any other, repeated rows each.  Null and
+    empty texts stay.  Empty tables drop nothing.  All columns are kept, whatever their names.
+    """
+    at_text = docs.columns.index("text")
+    texts, kept = docs.select(text_of().alias("text")), docs
+    for items in _blocks(benchmark, block_words):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+        rare = docs.sparkSession.sparkContext.broadcast(_rare_seeds(texts, shared, n, share))
 
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared, rare=rare) -> Iterator[pa.RecordBatch]:
+            index = SeedIndex([ws for _, ws in shared.value], n)
+            for b in batches:
+                for at in range(0, b.num_rows, 512):
+                    part, known = b.slice(at, 512), {}
+                    yield part.filter(pa.array([next(index.leaks(index.number(t or ""), least, rare.value, known), None) is None for t in part.column(at_text).to_pylist()], pa.bool_()))
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.6) -> DataFrame:
-    """Documents without a leaked test item.  Rows without an id stay."""
-    return docs.join(find_leaks(docs, benchmark, least).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+        kept = kept.mapInArrow(clean, docs.schema)
+    return kept

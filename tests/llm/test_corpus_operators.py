@@ -188,15 +188,65 @@ def test_leaks_exact_edited_and_clean(spark, docs, sf):
 def test_leaks_shared_by_many_documents(spark):
     words = [f"w{i}" for i in range(40)]
     edited = " ".join("zzz" if i % 8 == 3 else w for i, w in enumerate(words))
-    table = spark.createDataFrame([(0, " ".join(words)), *((i, f"before {i} {edited} after") for i in range(1, 60)), (99, " ".join(words[:20]))], "doc_id long, text string")
+    table = spark.createDataFrame([(0, " ".join(words)), *((i, f"before {i} {edited} after") for i in range(1, 60)), (99, " ".join(words[:19]))], "doc_id long, text string")
     bench = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
     got = {r.doc_id: r.ratio for r in decontaminate.find_leaks(table, bench).collect()}
     assert got[0] == 1.0 and set(got) == set(range(60))
     own, window = list(range(1, 41)), [random.Random(5).randint(0, 50) for _ in range(60)]
-    index = decontaminate.SeedIndex([(0, [str(x) for x in own])])
+    index = decontaminate.SeedIndex([[str(x) for x in own]])
     assert index.most_matches(0, np.array([index.vocabulary.get(str(x), 0) for x in window])) == len(set(window) & set(own))
 
 
+def test_leaks_are_those_of_every_window(spark):
+    """Against the alignment of every item with every whole text, without seeds."""
+    rng = random.Random(6)
+    word = lambda: rng.choice(["of", "the", "and", *(f"w{i}" for i in range(60))])
+    items = [[word() for _ in range(rng.randint(1, 24))] for _ in range(12)]
+    texts = []
+    for k in range(60):
+        body = list(items[k % 12])
+        body = [word() if rng.random() < 0.15 else w for w in body]
+        texts.append([word() for _ in range(rng.randint(0, 30))] + body + [word() for _ in range(rng.randint(0, 30))])
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    number = {w: i for i, w in enumerate(sorted({w for t in texts + items for w in t}))}
+    as_ids = lambda ws: np.array([number[w] for w in ws])
+    grams = lambda ws, n: {tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)}
+    want = {}
+    for d, t in enumerate(texts):
+        for i, item in enumerate(items):
+            score = decontaminate.smith_waterman(as_ids(item), as_ids(t))[0] / (2 * len(item))
+            if score >= 0.5 and grams(item, min(3, len(item))) & grams(t, min(3, len(item))):
+                want[d, i] = round(score, 6)
+    got = {(r.doc_id, r.item_id): r.ratio for r in decontaminate.find_leaks(table, bench, share=1.0).collect()}
+    assert got == want and len(want) > 40
+    rare = {(r.doc_id, r.item_id): r.ratio for r in decontaminate.find_leaks(table, bench).collect()}
+    assert all(want[k] == v for k, v in rare.items()) and len(rare) >= 0.9 * len(want)
+    kept = {r.doc_id for r in decontaminate.drop_leaks(table, bench).collect()}
+    assert kept == set(range(60)) - {d for d, _ in rare}
+
+
+def test_rare_seeds_do_not_depend_on_the_number_of_documents():
+    index = decontaminate.SeedIndex([[f"a{i}" for i in range(12)], ["x", "y"], ["a0", "a1", "a2", "z"]])
+    n = np.random.default_rng(1).integers(0, 9, index.seeds)
+    for a, b in zip(index.rare(n), index.rare(n * 10**6), strict=True):
+        assert (a == b).all()
+    assert sum(x.sum() for x in index.rare(np.zeros(index.seeds))) == 10 + 1 + 2
+
+
+def test_words_of_blocks_are_those_of_the_tokenizer(spark):
+    bench = spark.createDataFrame([(i, "слова другие третьи " + "четыре " * i) for i in range(40)], "item_id long, text string")
+    blocks = list(decontaminate._blocks(bench, 100))
+    assert len(blocks) == 9 and sum(map(len, blocks)) == 40 and max(sum(len(ws) for _, ws in b) for b in blocks) < 400
+
+
+def test_rows_without_an_id_leak_too(spark):
+    item = "the quick brown fox jumps over the lazy dog again"
+    table = spark.createDataFrame([(None, f"so {item} he said"), (None, "clean words in here"), (1, item), (1, "other clean words"), (2, None)], "doc_id long, text string")
+    kept = decontaminate.drop_leaks(table, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(str(r.text) for r in kept.collect()) == ["None", "clean words in here", "other clean words"]
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_its_sql(spark, sf, name):
     con = duckdb.connect()
