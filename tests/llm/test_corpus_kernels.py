@@ -227,5 +227,19 @@ def test_folded_weights_equal_the_kernel_expansion():
 
 
 def test_distance_model_without_training_text():
-    m = toxicity.fit_distance([], [])
+    assert toxicity.train_dictionaries([], []) is None
+    m = toxicity.DistanceModel(b"", b"", 0, (0.5,))
     assert m.scorer()("whatever") == 0.5
+    assert len(toxicity.sampled_words("a b c d " * 100, 7)) == 7
+
+
+def test_calibration_counts_windows():
+    rng = random.Random(3)
+    plain, marked = (["".join(rng.choices("abcdefghij", k=6)) for _ in range(400)] for _ in range(2))
+    ordinary = [rng.choices(plain, k=30) for _ in range(300)]
+    toxic = [rng.choices(plain, k=28) + rng.choices(marked[:10], k=2) for _ in range(300)]
+    data = toxicity.train_dictionaries(toxic[:200], ordinary[:200])
+    unseen = [(1, g) for g in toxicity.fold_gains(data, toxic[200:])] + [(0, g) for g in toxicity.fold_gains(data, ordinary[200:])]
+    assert all(g.sum() == 30 for _, g in unseen)
+    score = toxicity.calibrate(data, unseen).scorer()
+    assert min(score(" ".join(t)) for t in toxic[:50]) > max(score(" ".join(t)) for t in ordinary[:50])

@@ -342,6 +342,19 @@ def test_many_matches_in_one_text(spark):
     assert got == plain_secrets(text)
 
 
+def test_a_first_row_over_the_bound_is_learnt_from(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    bad = [word() for _ in range(8)]
+    rows_ = [(i, " ".join(word() for _ in range(60)) + (" " + " ".join(rng.choices(bad, k=8)) if i % 2 else "")) for i in range(400)]
+    table = spark.createDataFrame(rows_, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows_], "doc_id long, toxic int")
+    model = toxicity.train_toxicity_model(table, labels, most_chars=30_000)
+    assert model.toxic and model.scorer()(" ".join(bad)) > 0.3 > model.scorer()(" ".join(word() for _ in range(60)))
+    one = toxicity.train_toxicity_model(table, labels, most_chars=10)  # a row of each class: too little, but no class is empty
+    assert one.weights == (0.5,)
+
+
 def test_classifiers_on_held_out_rows(spark):
     from pathlib import Path
 
