@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
 
@@ -15,36 +16,38 @@ from strandforge.llm.common import cut, record_batch
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)", re.DOTALL)
 _REST = re.compile(r"((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>")
 _ATTR = re.compile(r"""([a-zA-Z_:][\w:.-]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-#: What deeper elements hold goes to their last ancestor within this depth, so that no walk is deeper; ends still find their own element.
-_DEEPEST = 200
-#: Deeper elements that are noise, headers or articles hold their own text, up to so many within one another.
-_DEEP_MARKED = 40
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript xmp iframe".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label".split())
 _NEVER = frozenset("script style noscript template nav footer aside form button select option input textarea iframe svg canvas object embed audio video head menu dialog title meta link map".split())
+_CONTROLS = frozenset("form button select input textarea".split())
 _P_ENDS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("article main section div table ul ol body html td th blockquote aside nav footer header form".split())
-#: Words in class, id or role that mark what isn't the article.
-_NOISE = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navigation navbar breadcrumb breadcrumbs footer cookie cookies consent notice notices gdpr privacy popup modal overlay newsletter subscribe signup login share sharing social related recommended recommendations widget pagination pager toolbar masthead comment comments commentlist respond reply replies disqus discussion skip hidden complementary contentinfo search alert dialog".split()
-)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words that name what isn't the article, also beside other names.
+_NOISE = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored sidebar nav navigation navbar breadcrumb breadcrumbs footer cookie cookies gdpr popup modal newsletter signup login pagination pager toolbar comment comments commentlist respond replies disqus contentinfo complementary".split())
+#: Words that name it only alone, and that else are noise where links or controls say so too.
+_DOUBTFUL = frozenset("adv banner promo promotion menu consent notice notices privacy overlay subscribe share sharing social related recommended recommendations widget masthead reply discussion skip hidden search alert".split())
+#: Words beside which a name still stands alone.
+_FILLER = frozenset("a area bar block body bottom box btn button buttons col column container content cta group icons inline inner item items js l left link links list main module outer panel posts primary region right row secondary section side site slot text title top unit ui widget wrap wrapper".split())
 #: Names that mark noise however large it is; another name on most of a page's text (``with-sidebar``) marks a layout.
-_ALWAYS = frozenset("comment comments commentlist respond reply replies disqus discussion nav navigation menu footer".split())
+_ALWAYS = frozenset("comment comments commentlist respond replies disqus nav navigation footer".split())
 _HEADER = frozenset("header masthead topbar".split())
 _TOKEN = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
+#: Children that are aligned by a whole table on either side; more are anchored by what occurs once in both.
+_WIDE = 200
+#: Levels that one weight looks down; deeper pairs count by their own names and are aligned when they are reached.
+_LEVELS = 150
 
 
 class Node:
-    __slots__ = ("attrs", "children", "digest", "header", "kind", "size", "tag", "text")
+    __slots__ = ("attrs", "children", "digest", "header", "links", "noise", "order", "parent", "shape", "sign", "size", "sure", "tag", "text", "texts", "words")
 
-    def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.children, self.text = tag, attrs, [], ""
-        self.kind = self.digest = None
-        self.header = False
-        self.size = 1
+    def __init__(self, tag: str, attrs: str = "", parent: Node | None = None):
+        self.tag, self.attrs, self.children, self.text, self.parent = tag, attrs, [], "", parent
+        self.sign, self.noise, self.sure, self.header = tag, False, False, False
 
 
 def parse(html: str) -> Node:
@@ -54,35 +57,29 @@ def parse(html: str) -> Node:
 def parse_tree(html: str) -> Node:
     """A forgiving tree: void and raw elements, implied ends of p, li, dt, dd, td, th and tr, and stray end tags are handled.
 
-    Text nodes have tag "" and hold decoded text.
+    Text nodes have tag "" and hold decoded text.  The root's ``order`` lists all nodes, parents before children.
     """
     root = Node("#root")
+    order = root.order = [root]
     stack, at, n = [root], 0, len(html)
-    into = [root]  # where the content of each element of the stack goes
-    depth = [0]  # of that node
     opens: dict[str, int] = {}
     last = html.rfind(">")
 
     def close(k: int) -> None:
-        if k >= len(stack):
-            return
-        spilled = any(x is not y and x.tag not in _INLINE for x, y in zip(stack[k:], into[k:], strict=True))
         for x in stack[k:]:
             opens[x.tag] -= 1
-        del stack[k:], into[k:], depth[k:]
-        if spilled:
-            into[-1].children.append(Node("br"))  # the end of a block
+        del stack[k:]
+
+    def put(node: Node) -> Node:
+        stack[-1].children.append(node)
+        order.append(node)
+        return node
 
     def add(text: str) -> None:
-        children = into[-1].children
         if text and not text.isspace():
-            node = Node("")
-            node.text = unescape(text) if "&" in text else text
-            children.append(node)
-        elif text and children:
-            node = Node("")
-            node.text = " "
-            children.append(node)
+            put(Node("", "", stack[-1])).text = unescape(text) if "&" in text else text
+        elif text and stack[-1].children:
+            put(Node("", "", stack[-1])).text = " "
 
     while at < n:
         m, seek = _TAG.search(html, at), at
@@ -104,7 +101,7 @@ def parse_tree(html: str) -> Node:
         tag = tag.lower()
         if m[1]:
             if tag == "br":
-                into[-1].children.append(Node("br"))
+                put(Node("br", "", stack[-1]))
                 continue
             block = tag not in _INLINE
             for k in range(len(stack) - 1, 0, -1) if opens.get(tag) else ():
@@ -131,8 +128,7 @@ def parse_tree(html: str) -> Node:
                         break
                 elif stack[k].tag in ("ul", "ol", "dl", "table", "select"):
                     break
-        node = Node(tag, attrs)
-        into[-1].children.append(node)
+        node = put(Node(tag, attrs, stack[-1]))
         if tag in _VOID or attrs.endswith("/") and tag not in _INLINE and tag not in _P_ENDS and tag not in _SCOPE:
             continue
         if tag in _RAW:
@@ -142,124 +138,194 @@ def parse_tree(html: str) -> Node:
                 node.text = unescape(body)
             at = end.end() if end else n
             continue
-        own = depth[-1] + 1 < _DEEPEST
-        if not own and depth[-1] + 1 < _DEEPEST + _DEEP_MARKED:
-            _, noise, sure = _named(node)
-            own = bool(noise) or sure or node.header
         stack.append(node)
-        into.append(node if own else into[-1])
-        depth.append(depth[-1] + own)
         opens[tag] = opens.get(tag, 0) + 1
     return root
 
 
-def _marks(attrs: str) -> dict[str, str]:
-    return {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)} if "=" in attrs else {}
-
-
-def _named(node: Node) -> tuple[str, bool, bool]:
-    """(signature for alignment, noise by tag or name, article by tag or name)."""
-    if node.kind is None:
-        a = _marks(node.attrs) if node.attrs else {}
-        label = f"{a.get('class', '')} {a.get('id', '')} {a.get('role', '')}".lower() if a else ""
-        words = _TOKEN.findall(label)
-        sure = node.tag in ("article", "main") or a.get("role") == "main" or a.get("itemprop") == "articleBody"
-        noise = node.tag in _NEVER or not sure and node.tag not in ("html", "body", "#root") and (any(w in _NOISE for w in words) or "hidden" in node.attrs.lower().split() or a.get("aria-hidden") == "true")
-        if noise and node.tag not in _NEVER and not any(w in _ALWAYS for w in words):
-            noise = "layout?"  # settled by lay_out()
-        node.kind = (f"{node.tag}.{a.get('class', '')}", noise, sure)
-        if node.tag == "header" or any(w in _HEADER for w in words):
-            node.header = True
-    return node.kind
+def _name(node: Node) -> str:
+    """Set the node's signature for alignment and what its tag and names say; the kind of its name: "", noise, layout? or links?."""
+    a = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(node.attrs)} if "=" in node.attrs else {}
+    node.sign = f"{node.tag}.{a['class']}" if "class" in a else node.tag
+    node.sure = node.tag in ("article", "main") or a.get("role") == "main" or a.get("itemprop") == "articleBody"
+    tokens = [_TOKEN.findall(x) for x in f"{a.get('class', '')} {a.get('id', '')} {a.get('role', '')}".lower().split()] if a else []
+    words = [w for t in tokens for w in t]
+    node.header = node.tag == "header" or not _HEADER.isdisjoint(words)
+    if node.tag in _NEVER:
+        return "noise"
+    if node.sure or node.tag in ("html", "body"):
+        return ""
+    if "hidden" in node.attrs.lower().split() or a.get("aria-hidden") == "true":
+        return "layout?"
+    named = _NOISE | _DOUBTFUL
+    if named.isdisjoint(words):
+        return ""
+    # a name stands alone if nothing but fillers, numbers and such names are beside it
+    alone = [all(w in named or w in _FILLER or w.isdigit() for w in t) for t in tokens]
+    if any(x and not _NOISE.isdisjoint(t) for t, x in zip(tokens, alone, strict=True)) or all(alone):
+        return "noise" if not _ALWAYS.isdisjoint(words) else "layout?"
+    return "links?"
 
 
 def lay_out(root: Node) -> Node:
-    """Nodes named like noise that hold most of a page's text are layout, unless their name can only be noise."""
-    doubtful: list[tuple[Node, int]] = []
+    """Digests, sizes and kinds of all nodes, from the leaves up.
 
-    def words(node: Node) -> int:
+    Nodes named like noise that hold most of a page's text are layout, unless their name can only be noise; a name beside other
+    words is noise only on what is mostly links or has controls.
+    """
+    doubtful: list[Node] = []
+    controls: set[int] = set()
+    for node in reversed(root.order):
         if not node.tag:
-            return len(node.text.split())
-        noise = _named(node)[1]
-        if noise is True:
-            return 0
-        n = sum(map(words, node.children))
-        if noise:
-            doubtful.append((node, n))
-        return n
-
-    total = words(root)
-    for node, n in doubtful:
-        sign, _, sure = node.kind
-        node.kind = (sign, not (n > 0.6 * total and any(c.tag for c in node.children)), sure)
+            words = node.text.split()
+            node.digest, node.shape, node.size, node.words, node.links = hash(("", *words)), 0, 1, len(words), 0
+            continue
+        kind = _name(node) if node.attrs or node.tag in _NEVER else ""
+        if not node.attrs:
+            node.sure, node.header = node.tag in ("article", "main"), node.tag == "header"
+        size, words, links = 1, 0, 0
+        parts: list = [node.sign]
+        for c in node.children:
+            parts.append(c.digest)
+            size += c.size
+            if c.noise is not True:
+                words += c.words
+                links += c.links
+            if id(c) in controls or c.tag in _CONTROLS:
+                controls.add(id(node))
+        node.shape = hash((node.sign, *[c.shape for c in node.children]))
+        if node.text:
+            parts.append(node.text)
+        node.digest, node.size, node.words = hash(tuple(parts)), size, words
+        node.links = words if node.tag == "a" else links
+        if kind == "links?":
+            kind = "layout?" if 2 * node.links >= words or id(node) in controls else ""
+        if kind == "layout?":
+            doubtful.append(node)
+        node.noise = kind == "noise"
+    root.texts = frozenset([x.digest for x in root.order if not x.tag and x.words])
+    for node in doubtful:
+        node.noise = not (node.words > 0.6 * root.words and any(c.tag for c in node.children))
     return root
 
 
-def _digest(node: Node) -> int:
-    """A hash of the whole subtree, and its size."""
-    if node.digest is None:
-        node.digest = hash((node.tag, _SPACE.sub(" ", node.text).strip(), _named(node)[0] if node.tag else "", tuple(_digest(c) for c in node.children)))
-        node.size = 1 + sum(c.size for c in node.children)
-    return node.digest
-
-
-def _match(a: Node, b: Node, memo: dict) -> int:
+def _match(a: Node, b: Node, memo: dict, level: int = 0) -> int:
     """Simple tree matching: the most nodes of two trees that pair up in order, level by level."""
-    if a.tag != b.tag or a.tag and _named(a)[0] != _named(b)[0]:
+    if a.sign != b.sign:
         return 0
-    if _digest(a) == _digest(b):
-        return a.size
-    if not a.children or not b.children:
+    if a.shape == b.shape:
+        return a.size  # all their nodes pair up
+    if not a.children or not b.children or level > _LEVELS:
         return 1
     key = (id(a), id(b))
     if key not in memo:
-        memo[key] = 1 + _align(a.children, b.children, memo)[0]
+        memo[key] = 1 + _align(a.children, b.children, memo, level + 1)[0]
     return memo[key]
 
 
-def _deep(node: Node) -> bool:
-    return any(c.tag and c.tag not in _INLINE and c.tag != "br" or _deep(c) for c in node.children)
+def _table(a: list[Node], b: list[Node], memo: dict, level: int) -> tuple[int, list[tuple[int, int]]]:
+    """The best ordered pairing, from the table of all pairs."""
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        row, below, x = table[i], table[i + 1], a[i]
+        for j in range(len(b) - 1, -1, -1):
+            y = b[j]
+            best = below[j] if below[j] >= row[j + 1] else row[j + 1]
+            if x.sign == y.sign:
+                w = x.size if x.shape == y.shape else _match(x, y, memo, level)
+                if w + below[j + 1] >= best:
+                    best = w + below[j + 1]
+            row[j] = best
+    pairs, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        if table[i][j] == table[i + 1][j]:
+            i += 1
+        elif table[i][j] == table[i][j + 1]:
+            j += 1
+        else:
+            pairs.append((i, j))
+            i, j = i + 1, j + 1
+    return table[0][0], pairs
+
+
+def _anchors(a: list[Node], b: list[Node]) -> list[tuple[int, int]]:
+    """Pairs of equal subtrees that occur once on both sides: the longest run that is in order on both."""
+    once = []
+    for xs in (a, b):
+        seen: dict[int, int] = {}
+        for i, x in enumerate(xs):
+            seen[x.digest] = -1 if x.digest in seen else i
+        once.append(seen)
+    both = [(i, once[1][d]) for d, i in once[0].items() if i >= 0 and once[1].get(d, -1) >= 0]
+    tails: list[int] = []
+    ends: list[int] = []
+    back: list[int] = []
+    for k, (_, j) in enumerate(both):
+        at = bisect_left(tails, j)
+        back.append(ends[at - 1] if at else -1)
+        tails[at : at + 1], ends[at : at + 1] = [j], [k]
+    out, k = [], ends[-1] if ends else -1
+    while k >= 0:
+        out.append(both[k])
+        k = back[k]
+    return out[::-1]
+
+
+def _in_turn(a: list[Node], b: list[Node]) -> list[tuple[int, int]]:
+    """Pairs of the same signature, each with the next one that is left."""
+    places: dict[str, list[int]] = {}
+    for j, y in enumerate(b):
+        places.setdefault(y.sign, []).append(j)
+    out, j = [], 0
+    for i, x in enumerate(a):
+        own = places.get(x.sign, [])
+        k = bisect_left(own, j)
+        if k < len(own):
+            out.append((i, own[k]))
+            j = own[k] + 1
+    return out
+
 
+def _align(xs: list[Node], ys: list[Node], memo: dict, level: int = 0) -> tuple[int, list[tuple[int, int]]]:
+    """(nodes paired, pairs) of the best ordered pairing of two lists of children.
 
-def _align(xs: list[Node], ys: list[Node], memo: dict) -> tuple[int, list[tuple[int, int]]]:
-    """Best ordered pairing of two lists of children; equal heads and tails are paired at once."""
-    head = 0
-    while head < min(len(xs), len(ys)) and _digest(xs[head]) == _digest(ys[head]):
+    Equal heads and tails are paired at once.  More than _WIDE children on a side are first anchored by equal subtrees that occur once;
+    what then is still as wide pairs off in turn by signature, so that time grows with the children and not with their square.
+    """
+    head, least = 0, min(len(xs), len(ys))
+    while head < least and xs[head].digest == ys[head].digest:
         head += 1
     tail = 0
-    while tail < min(len(xs), len(ys)) - head and _digest(xs[-1 - tail]) == _digest(ys[-1 - tail]):
+    while tail < least - head and xs[-1 - tail].digest == ys[-1 - tail].digest:
         tail += 1
-    total = sum(x.size for x in xs[:head]) + sum(xs[-1 - k].size for k in range(tail))
+    total = sum([x.size for x in xs[:head]]) + sum([x.size for x in xs[len(xs) - tail :]])
     pairs = [(k, k) for k in range(head)]
-    a, b = xs[head : len(xs) - tail], ys[head : len(ys) - tail]
-    flat = a and b and not any(_deep(c) for c in a) and not any(_deep(c) for c in b)
-    if flat and not {_digest(c) for c in a}.intersection(map(_digest, b)):
-        # rows of leaves without an equal pair: any ordered pairing by signature is as good, and none is constant
-        total += min(len(a), len(b))
-    elif a and b:
-        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i in range(len(a) - 1, -1, -1):
-            row, below = table[i], table[i + 1]
-            sign = _named(a[i])[0] if a[i].tag else ""
-            for j in range(len(b) - 1, -1, -1):
-                if flat:
-                    w = 0 if a[i].tag != b[j].tag or b[j].tag and _named(b[j])[0] != sign else (a[i].size if _digest(a[i]) == _digest(b[j]) else 1)
-                else:
-                    w = _match(a[i], b[j], memo)
-                best = below[j] if below[j] >= row[j + 1] else row[j + 1]
-                if w and w + below[j + 1] >= best:
-                    best = w + below[j + 1]
-                row[j] = best
-        i = j = 0
-        while i < len(a) and j < len(b):
-            if table[i][j] == table[i + 1][j]:
-                i += 1
-            elif table[i][j] == table[i][j + 1]:
-                j += 1
-            else:
+    gaps = [(head, len(xs) - tail, head, len(ys) - tail)]
+    if len(xs) - head - tail > _WIDE or len(ys) - head - tail > _WIDE:
+        i0, j0, i1, j1 = head, head, len(xs) - tail, len(ys) - tail
+        gaps = []
+        for i, j in [*_anchors(xs[i0:i1], ys[j0:j1]), (i1 - head, j1 - head)]:
+            gaps.append((i0, head + i, j0, head + j))
+            if head + i < i1:
                 pairs.append((head + i, head + j))
-                i, j = i + 1, j + 1
-        total += table[0][0]
+                total += xs[head + i].size
+            i0, j0 = head + i + 1, head + j + 1
+    for i0, i1, j0, j1 in gaps:
+        a, b = xs[i0:i1], ys[j0:j1]
+        if not a or not b:
+            continue
+        if not {x.digest for x in a}.intersection([y.digest for y in b]) and len({x.shape for x in a}.union([y.shape for y in b])) == 1:
+            # rows of one shape without an equal pair: any ordered pairing is as good
+            total += a[0].size * min(len(a), len(b))
+            pairs += [(i0 + k, j0 + k) for k in range(min(len(a), len(b)))]
+            continue
+        if len(a) > _WIDE or len(b) > _WIDE:
+            found = _in_turn(a, b)
+            total += sum([x.size if x.shape == y.shape else 1 for x, y in ((a[i], b[j]) for i, j in found)])
+        else:
+            n, found = _table(a, b, memo, level)
+            total += n
+        pairs += [(i0 + i, j0 + j) for i, j in found]
     pairs += [(len(xs) - k, len(ys) - k) for k in range(tail, 0, -1)]
     return total, pairs
 
@@ -267,91 +333,104 @@ def _align(xs: list[Node], ys: list[Node], memo: dict) -> tuple[int, list[tuple[
 def constant_nodes(page: Node, other: Node) -> set[int]:
     """Ids of the page's text nodes that the aligned tree of another page repeats."""
     out: set[int] = set()
-    _digest(page), _digest(other)
-
-    def all_text(node: Node) -> None:
-        if not node.tag:
-            out.add(id(node))
-        for c in node.children:
-            all_text(c)
-
     memo: dict = {}
     todo = [(page, other)]
     while todo:
         a, b = todo.pop()
-        if _digest(a) == _digest(b):
-            all_text(a)
-        elif a.children and b.children:
+        if a.digest == b.digest:
+            under = [a]
+            while under:
+                x = under.pop()
+                if not x.tag:
+                    out.add(id(x))
+                under += x.children
+        elif a.children and b.children and a.noise is not True:  # what goes by its name needs no vote
             todo += [(a.children[i], b.children[j]) for i, j in _align(a.children, b.children, memo)[1]]
     return out
 
 
-def _text_nodes(node: Node, out: list[Node]) -> list[Node]:
-    if not node.tag:
-        out.append(node)
-    for c in node.children:
-        if not c.tag or not _named(c)[1]:
-            _text_nodes(c, out)
+def body_texts(page: Node) -> list[Node]:
+    """Text nodes that are under no noise, in page order."""
+    out, todo = [], [page]
+    while todo:
+        node = todo.pop()
+        if not node.tag:
+            out.append(node)
+        todo += [c for c in reversed(node.children) if c.noise is not True]
     return out
 
 
-def _words_of(nodes: list[Node]) -> int:
-    return sum(len(x.text.split()) for x in nodes)
+def _mark(node: Node) -> tuple[str, int]:
+    return node.parent.sign, node.digest
+
+
+def marks_of(page: Node) -> frozenset:
+    """What a page tells as a witness: its texts and the signatures of the elements that hold them."""
+    return frozenset(_mark(x) for x in body_texts(page) if x.words)
 
 
-def template_of(page: Node, others: list[Node]) -> set[int]:
-    """Text nodes that most of the other pages repeat at the aligned place.
+def template_of(page: Node, pivots: list[Node], witnesses: list[frozenset] | None = None, aligned: int = 3) -> dict[int, bool]:
+    """Constant text nodes of the page; the value tells whether that is firm.
 
-    A page whose content is mostly the same is a copy and tells nothing of the template; with fewer than two telling
-    pages nothing is certain.
+    The page is aligned with up to ``aligned`` pivots, and ``witnesses`` (the pivots, unless given) tell how much of the host
+    repeats a text.  A page whose content is mostly the same is a copy and tells nothing; of the others at least two must be aligned.
+    A node is constant if most of them and of the witnesses repeat it, and firmly so if all aligned pages do, and three in
+    four of at least three witnesses.
     """
-    body = _text_nodes(page, [])
-    total = max(1, _words_of(body))
+    body = [x for x in body_texts(page) if x.words]
+    total = max(1, sum([x.words for x in body]))
     votes: dict[int, int] = {}
     told = 0
-    for other in others:
-        same = constant_nodes(page, other)
-        if _words_of([x for x in body if id(x) in same]) > 0.6 * total:
+    own = {x.digest for x in body}
+    for other in pivots:
+        if told == aligned:
+            break
+        # without a text in common the alignment can find no constant node
+        same = set() if own.isdisjoint(other.texts) else constant_nodes(page, other)
+        if sum([x.words for x in body if id(x) in same]) > 0.6 * total:
             continue
         told += 1
         for x in same:
             votes[x] = votes.get(x, 0) + 1
-    return {x for x, v in votes.items() if v * 2 > told} if told >= 2 else set()
+    if told < 2:
+        return {}
+    nodes = [x for x in body if 2 * votes.get(id(x), 0) > told]
+    if not nodes:
+        return {}
+    telling = [w for w in (witnesses if witnesses is not None else map(marks_of, pivots)) if sum([x.words for x in body if _mark(x) in w]) <= 0.6 * total]
+    out = {}
+    for x in nodes:
+        share = sum([_mark(x) in w for w in telling])
+        if 2 * share > len(telling):
+            out[id(x)] = votes[id(x)] == told and len(telling) >= 3 and 4 * share >= 3 * len(telling)
+    return out
 
 
-def _content_root(root: Node, template: set[int]) -> tuple[Node, bool]:
+def _content_root(page: Node, template: dict[int, bool]) -> tuple[Node, bool]:
     """The article: a node so named with the most varying text, else the deepest that holds most of the varying text."""
-    sure: list[tuple[int, int, Node]] = []
-    order = 0
-
-    def varying(node: Node) -> int:
-        nonlocal order
-        if not node.tag:
-            return 0 if id(node) in template else len(node.text.split())
-        if node.tag == "a":
-            return 0  # link lists aren't the article
-        order += 1
-        place = order
-        n = sum(varying(c) for c in node.children if not c.tag or not (_named(c)[1] or c.header))
-        weights[id(node)] = n
-        if _named(node)[2]:
-            sure.append((n, -place, node))
-        return n
-
     weights: dict[int, int] = {}
-    total = varying(root)
-    if sure and max(sure, key=lambda x: x[:2])[0] > 0:
-        return max(sure, key=lambda x: x[:2])[2], True
-    node = root
+    sure, best = None, 0
+    for node in reversed(page.order):
+        if not node.tag:
+            weights[id(node)] = 0 if id(node) in template else node.words
+            continue
+        # link lists aren't the article
+        weights[id(node)] = 0 if node.tag == "a" else sum([weights[id(c)] for c in node.children if c.noise is not True and not c.header])
+        if node.sure and weights[id(node)] >= max(best, 1):  # of equal ones the first in page order
+            sure, best = node, weights[id(node)]
+    if sure is not None:
+        return sure, True
+    node, total = page, weights[id(page)]
     while total:
-        big = [c for c in node.children if weights.get(id(c), 0) >= 0.8 * total and c.tag not in _INLINE and c.tag not in ("p", "h1", "h2", "li")]
-        if not big or _named(big[0])[1]:
+        big = next((c for c in node.children if c.tag and weights[id(c)] >= 0.8 * total and c.tag not in _INLINE and c.tag not in ("p", "h1", "h2", "li")), None)
+        if big is None or big.noise is True:
             break
-        node = big[0]
+        node = big
     return node, False
 
 
-def main_text(page: Node, template: set[int]) -> str:
+def main_text(page: Node, template: dict[int, bool]) -> str:
+    """The article's blocks, without noise and without template: inside a named article what is firmly so, else whatever is constant."""
     root, sure = _content_root(page, template)
     blocks: list[str] = []
     line: list[str] = []
@@ -362,27 +441,21 @@ def main_text(page: Node, template: set[int]) -> str:
                 blocks.append(text)
             line.clear()
 
-    def walk(node: Node, in_header: bool) -> None:
-        if not node.tag:
-            # inside a named article only short constant text is template: shared passages belong to it
-            # blanks are never template: they keep words apart
-            if not in_header and not (id(node) in template and not node.text.isspace() and (not sure or len(node.text.split()) <= 3)):
+    todo: list[tuple[Node | None, bool]] = [(root, False)]
+    while todo:
+        node, in_header = todo.pop()
+        if node is None:
+            flush()
+        elif not node.tag:
+            if not in_header and not (template.get(id(node), False) if sure else id(node) in template):
                 line.append(node.text)
-            return
-        if node is not root and (_named(node)[1] or node.header and not sure):
-            return
-        if node.tag in _INLINE:
-            for c in node.children:
-                walk(c, in_header)
-            return
-        flush()
-        # of an article's own header the headings stay
-        inside = node.header and node is not root or in_header and node.tag not in ("h1", "h2", "h3", "h4", "h5", "h6")
-        for c in node.children:
-            walk(c, inside)
-        flush()
-
-    walk(root, False)
+        elif node is root or node.noise is not True and (sure or not node.header):
+            if node.tag not in _INLINE:
+                flush()
+                todo.append((None, False))
+                # of an article's own header the headings stay
+                in_header = node.header and node is not root or in_header and node.tag not in _HEADINGS
+            todo += [(c, in_header) for c in reversed(node.children)]
     flush()
     return " ".join(blocks)
 
@@ -393,61 +466,80 @@ def host_of(url: str = "url") -> Column:
     return F.when(host != "", host)
 
 
-def extract_text(pages: DataFrame, pivots: int = 3, group_rows: int = 1000, most_hot: int = 20_000, most_broadcast: int = 1_000_000) -> DataFrame:
+def extract_text(pages: DataFrame, pivots: int = 4, witnesses: int = 12, group_rows: int = 1000, most_hot: int = 20_000, most_broadcast: int = 1_000_000) -> DataFrame:
     """(page_id, url, text, n_chars) for every row: the article's text.
 
-    Every page is parsed and aligned by simple tree matching with ``pivots`` pages of its host, those with the least
-    hash of their html (copies count once).  Text that most of them repeat at the aligned place is template, the rest
-    fills slots.  Menus, adverts and the like, named as such by tag, class, id or role, are dropped whatever they hold,
-    because they may vary from page to page.  A host with too few different pages has no template, only names.
+    Every page is parsed and aligned by simple tree matching with ``pivots`` pages of its host.  Text that they repeat at the aligned
+    place, and that most of the host's ``witnesses`` have, is template; the rest fills slots.  Both are the pages with the least
+    hash of their html (copies count once).  Menus, adverts and the like, named as such by tag, class, id or role, are dropped
+    whatever they hold, because they may vary from page to page.  A host with too few different pages has no template, only names.
 
-    Pages are dealt by host, each group led by its pivots; a host of more than ``group_rows`` pages (or a ``most_hot``-th
+    Pages are dealt by host, each group led by its witnesses; a host of more than ``group_rows`` pages (or a ``most_hot``-th
     of all, so that the table of such hosts is bounded) is dealt in several groups.  A task holds one page and one
     host's pivots at a time.
 
-    Null html gives an empty text, and so does a page without text; a page without a host is aligned with none.  Repeated rows
-    give as many rows, a null id is kept, an empty table gives none, extra columns are ignored.
+    Null html gives an empty text, and so does a page without text; a page without a host is aligned with none.  Very long pages
+    are read whole, in time that grows with their nodes, at any depth.  Repeated rows give as many rows, a null id is kept,
+    an empty table gives none, extra columns are ignored.  Among nodes of equal weight the first in page order is the article.
     """
-    html, mark = F.coalesce(F.col("html").cast("string"), F.lit("")), F.xxhash64("html")
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), host_of().alias("host"))
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), host_of().alias("host"), F.xxhash64(html).alias("h"))
     n = pages.count()
     limit = max(group_rows, n // most_hot)
     hot = pages.select(host_of().alias("host")).filter("host is not null").groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") > limit)
     hot = hot.select("host", F.ceil(F.col("n") / limit).cast("long").alias("groups"))  # at most most_hot rows
-    useful = own.filter("host is not null and html <> '' and page_id is not null").select("host", "page_id", mark.alias("h"))
+    useful = own.filter("host is not null and html <> '' and page_id is not null").select("host", "page_id", "h")
     once = useful.groupBy("host", "h").agg(F.min("page_id").alias("page_id"))
     rank = F.row_number().over(Window.partitionBy("host").orderBy("h"))
-    picked = cut(once.withColumn("rank", rank).filter(F.col("rank") <= pivots).select("page_id", "h"))
-    if picked.count() <= most_broadcast:  # two longs a row; beyond it pages are shuffled by id
+    picked = cut(once.withColumn("rank", rank).filter(F.col("rank") <= witnesses).select(F.col("page_id").alias("_page"), F.col("h").alias("_h"), "rank"))
+    if picked.count() <= most_broadcast:  # two longs and a number a row; beyond it pages are shuffled by id
         picked = F.broadcast(picked)
-    fetched = own.select("host", "page_id", "html", mark.alias("own")).join(picked, "page_id").filter("own = h")
-    examples = fetched.groupBy("host", "h").agg(F.min("html").alias("html"))  # at most ``pivots`` a host
-    examples = examples.join(F.broadcast(hot), "host", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("groups", F.lit(1)) - 1)))
-    examples = examples.select("host", "salt", F.lit(0).alias("kind"), "h", "html", F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"))
-    dealt = own.join(F.broadcast(hot), "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.coalesce("groups", F.lit(1))))
-    dealt = dealt.withColumn("salt", F.when(F.col("host").isNull(), F.pmod(F.xxhash64("html"), F.lit(max(1, n // limit)))).otherwise(F.col("salt")))
-    dealt = dealt.select("host", "salt", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("h"), "html", "page_id", "url")
+    groups = F.coalesce("groups", F.lit(1).cast("long"))
+    dealt = own.join(F.broadcast(hot), "host", "left").join(picked, (own.page_id == F.col("_page")) & (own.h == F.col("_h")), "left")
+    salt = F.when(F.col("host").isNull(), F.pmod(F.col("h"), F.lit(max(1, n // limit)))).otherwise(F.pmod(F.xxhash64("page_id", "h"), groups))
+    # a witness leads every group of its host, and is a page of its own group
+    salts = F.when(F.col("rank").isNull(), F.array(salt)).otherwise(F.sequence(F.lit(0).cast("long"), groups - 1))
+    dealt = dealt.withColumn("own", salt).withColumn("salt", F.explode(salts)).select("host", "salt", F.coalesce("rank", F.lit(1 << 30)).alias("rank"), (F.col("salt") == F.col("own")).alias("counts"), "h", "html", "page_id", "url")
     group = ["host", "salt"]
     schema = "page_id long, url string, text string, n_chars long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, known = None, []
+        held, known, marks, seen, waiting = None, [], [], set(), []
+
+        def texts() -> Iterator[tuple]:
+            """The witnesses' own texts, once all of them are there."""
+            for page, url, html in waiting:
+                tree = parse(html)
+                yield page, url, main_text(tree, template_of(tree, known, marks))
+            waiting.clear()
+
+        def done(some) -> pa.RecordBatch:
+            some = list(some)
+            return record_batch(schema, [[x[0] for x in some], [x[1] for x in some], [x[2] for x in some], [len(x[2]) for x in some]])
+
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                ids, urls, texts = [], [], []
-                for host, salt, kind, _, html, page, url in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                out = []
+                for host, salt, rank_, counts, h, html, page, url in zip(*(c.to_pylist() for c in b.slice(at, 256).columns), strict=True):
                     if (host, salt) != held:
-                        held, known = (host, salt), []
-                    tree = parse(html)
-                    if not kind:
-                        known.append(tree)
+                        out += texts()
+                        held, known, marks, seen = (host, salt), [], [], set()
+                    if rank_ <= witnesses:
+                        if h not in seen:
+                            seen.add(h)
+                            tree = parse(html)
+                            if len(known) < pivots:
+                                known.append(tree)
+                            marks.append(marks_of(tree))
+                        if counts:
+                            waiting.append((page, url, html))
                         continue
-                    ids.append(page)
-                    urls.append(url)
-                    texts.append(main_text(tree, template_of(tree, known)))
-                yield record_batch(schema, [ids, urls, texts, [len(x) for x in texts]])
+                    out += texts()
+                    tree = parse(html)
+                    out.append((page, url, main_text(tree, template_of(tree, known, marks))))
+                yield done(out)
+        yield done(texts())
 
     # partitions follow the pages, so that a task's time doesn't
     parts = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(n // 2000, 100_000))
-    return examples.unionByName(dealt).repartition(parts, *group).sortWithinPartitions(*group, "kind", "h").mapInArrow(run, schema)
+    return dealt.repartition(parts, *group).sortWithinPartitions(*group, "rank", "h").mapInArrow(run, schema)

@@ -152,18 +152,18 @@ def _page(article, nav="Home", ad="Buy"):
 
 
 def test_article_text():
-    get = lambda s: html.main_text(html.parse(s), set())
+    get = lambda s: html.main_text(html.parse(s), {})
     assert get(_page("<article><h1>A &amp; B</h1><p><b>One<br><p>Two\n  three</p><div class='comments'><p>me too</p></div></article>")) == "A & B One Two three"
     assert get(_page("<article><header><h1>H</h1><span>by me</span></header><p>x <em>y</em>z</p><ul><li>p<li>q</ul><form>f</form><aside>s</aside></article>")) == "H x yz p q"
     assert get("") == "" and get("<p") == "" or get("<p") == "<p"
     assert get("<body><p>only text</p></body>") == "only text"
     assert get("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
     assert get("a<b " * 20_000).startswith("a")
-    assert html.template_of(html.parse("<div>" * 3000 + "x"), [html.parse("<div>" * 3000 + y) for y in "yz"]) == set()
+    assert html.template_of(html.parse("<div>" * 3000 + "x"), [html.parse("<div>" * 3000 + y) for y in "yz"]) == {}
 
 
 def test_deep_and_long_tags_keep_the_article():
-    get = lambda s: html.main_text(html.parse(s), set())
+    get = lambda s: html.main_text(html.parse(s), {})
     deep = lambda inner, n=400: "<div>" * n + inner + "</div>" * n
     assert get(f"<body><article><p>one</p>{deep('two')}<p>three</p></article><div><p>foot</p></div></body>") == "one two three"
     assert get(f"<body>{deep('<nav><div>menu</div></nav><article><p>a</p><div>b</div><aside><div>no</div></aside>c</article><div>out</div>')}</body>") == "a b c"
@@ -173,7 +173,7 @@ def test_deep_and_long_tags_keep_the_article():
 
 
 def test_article_without_article_tag():
-    get = lambda s: html.main_text(html.parse(s), set())
+    get = lambda s: html.main_text(html.parse(s), {})
     prose = "".join(f"<p>Sentence number {i} of the story goes on for a while.</p>" for i in range(5))
     want = " ".join(f"Sentence number {i} of the story goes on for a while." for i in range(5))
     for page in (
@@ -189,7 +189,7 @@ def test_template_is_what_aligned_pages_repeat():
     pages = [html.parse(body(" ".join(f"w{k}{i}" for i in range(20)))) for k in range(4)]
     template = html.template_of(pages[0], pages)
     assert html.main_text(pages[0], template).startswith("w00") and "Welcome" not in html.main_text(pages[0], template)
-    assert html.template_of(pages[0], [pages[0], pages[1]]) == set()  # one telling page proves nothing
+    assert html.template_of(pages[0], [pages[0], pages[1]]) == {}  # one telling page proves nothing
 
 
 def test_blanks_are_never_template():
@@ -201,11 +201,83 @@ def test_blanks_are_never_template():
 
 def test_tree_matching_counts_pairs():
     a, b = html.parse("<div><p>x</p><ul><li>1</li></ul></div>"), html.parse("<div><p>y</p><ul><li>1</li><li>2</li></ul></div>")
-    html._digest(a), html._digest(b)
     assert html._match(a, a, {}) == a.size == 7
     assert html._match(a, b, {}) == 7  # root, div, p and its slot, ul, li and its text
 
 
+def test_tree_matching_is_the_best_of_all_pairings():
+    def plain(a, b):
+        if a.sign != b.sign:
+            return 0
+        table = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
+        for i, x in enumerate(a.children, 1):
+            for j, y in enumerate(b.children, 1):
+                table[i][j] = max(table[i - 1][j], table[i][j - 1], table[i - 1][j - 1] + plain(x, y))
+        return 1 + table[-1][-1]
+
+    rng = random.Random(4)
+
+    def tree(depth):
+        kids = "".join(rng.choice(["x", "y", "<br>", *([tree(depth - 1)] * 4 if depth else "z")]) for _ in range(rng.randint(0, 4)))
+        tag = rng.choice(["div", "section", "span class=k"])
+        return f"<{tag}>{kids}</{tag.split()[0]}>"
+
+    for _ in range(300):
+        a, b = html.parse(tree(3) + tree(2)), html.parse(tree(3) + tree(2))
+        assert html._match(a, b, {}) == plain(a, b)
+
+
+def test_wide_pages_align_in_linear_time():
+    import time
+
+    rows = lambda k, n: "<table>" + "".join(f"<tr><td>{'same ' if i % 50 == 0 else f'k{k}'} {i}</td><td class=c{i % 3}><b>v{k}</b> w{i * k}</td></tr>" for i in range(n)) + "</table>"
+    began = time.time()
+    a, b = (html.parse(f"<body><p>The site of all</p>{rows(k, 8000)}</body>") for k in (1, 2))
+    same = html.constant_nodes(a, b)
+    assert time.time() - began < 8
+    assert len([x for x in html.body_texts(a) if id(x) in same]) >= 160
+
+
+def test_deep_pages():
+    deep = "<div>" * 100_000 + "<nav>Home Nav words</nav><p>story</p><p>more</p>" + "</div>" * 100_000 + "<footer>f</footer>"
+    page = html.parse(deep)
+    assert html.main_text(page, html.template_of(page, [html.parse(deep.replace("story", x).replace("more", x + "1")) for x in "abc"])) == "story more"
+    assert html.main_text(html.parse(f"<article>{'<div>' * 205}<nav>Home</nav>text here{'</div>' * 205}<p>end</p></article>"), {}) == "text here end"
+
+
+def test_names_beside_other_words_are_no_noise():
+    get = lambda s: html.main_text(html.parse(s), {})
+    sections = ["<section class='search-trees'><p>Search trees keep keys.</p></section>", "<section class='social-history'><p>The social history of it.</p></section>", "<div class='share price'>The share price rose.</div>", "<div class='menu-of-the-day'><p>Soup and bread.</p></div>"]
+    assert get(f"<article><h1>T</h1>{''.join(sections)}<p>End.</p></article>") == "T Search trees keep keys. The social history of it. The share price rose. Soup and bread. End."
+    noise = ["<div class='share-buttons'><a href=x>Share it</a></div>", "<div class='ad-slot ad-300'>Buy now</div>", "<div id=comments class='clearfix'><p>me too</p></div>", "<div class='related'><p>Read also</p></div>", "<ul class='social-icons-2x dark'><li><a>Tweet</a></li></ul>", "<div class='cookie-notice'>We bake</div>", "<div class='newsletter signup-form'><input>mail</div>"]
+    assert get(f"<article><p>One.</p>{''.join(noise)}<p>Two.</p></article>") == "One. Two."
+
+
+def _site(rng, k, article):
+    """A page of a site whose names tell nothing; what of it is content."""
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9)))
+    prose = [" ".join(word() for _ in range(rng.randint(8, 30))) for _ in range(rng.randint(2, 7))]
+    shared = "This passage of ten words or more is in some pages only"
+    if rng.random() < 0.3:
+        prose.insert(rng.randint(0, len(prose)), shared)
+    body = "".join(f"<p>{p}</p>" for p in prose)
+    tag = "article" if article else "div class='k2'"
+    end = "article" if article else "div"
+    promise = "<div class='z1'>We never sell what you tell us and neither do our friends</div>"
+    return f"<body><div class='q1'><span>The Daily Thing</span> <span>since 1900</span></div><{tag}>{promise}{body}<div class='z9'>Like what you read so far? Tell all of your friends</div></{end}><div class='w3'><p>All of this belongs to the Thing and to nobody else</p></div></body>", " ".join(prose)
+
+
+def test_template_decides_where_names_tell_nothing():
+    for article in (True, False):
+        rng = random.Random(11)
+        pages = [_site(rng, k, article) for k in range(40)]
+        trees = [html.parse(x) for x, _ in pages]
+        marks = [html.marks_of(t) for t in trees[:12]]
+        got = [html.main_text(t, html.template_of(t, trees[:4], marks)) for t in trees]
+        assert sum(g == w for g, (_, w) in zip(got, pages, strict=True)) >= 38
+        assert all(html.main_text(t, {}) != g for t, g in zip(trees, got, strict=True))  # without the template all differ
+
+
 def test_kernel_is_the_normalised_overlap():
     x, y = language.ngram_presence("The cat"), language.ngram_presence("the dog.")
     k = language.kernel([x], [y])[0, 0]
