@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from strandforge.functions.seq import ALT_STARTS, AMINO, STARTS, STOPS
+from strandforge.functions.seq import ALT_STARTS, AMINO, STARTS, STOPS, _blake2b
 
 _CODON = f"if(length(c) = 3 and instr('TCAG', substr(c, 1, 1)) > 0 and instr('TCAG', substr(c, 2, 1)) > 0 and instr('TCAG', substr(c, 3, 1)) > 0, substr('{AMINO}', 16 * (instr('TCAG', substr(c, 1, 1)) - 1) + 4 * (instr('TCAG', substr(c, 2, 1)) - 1) + instr('TCAG', substr(c, 3, 1)), 1), 'X')"
 _BODY = f"regexp_replace(array_join(transform(regexp_extract_all(upper(dna), '(?s)...', 0), c -> {_CODON}), ''), '[*]$', '')"
@@ -46,6 +44,5 @@ def register(spark: SparkSession) -> None:
     """Session functions: the native ones, ``peptide_digest`` (an Arrow UDF) and the table function ``six_frame_orfs``."""
     for name, parameters, result, body in NATIVE:
         spark.sql(f"create or replace temporary function {name}({parameters}) returns {result} return {body}")
-    digest = lambda s: s.map(lambda x: None if x is None else hashlib.blake2b(x.encode(), digest_size=16).hexdigest())
-    spark.udf.register("peptide_digest", F.pandas_udf(digest, "string", F.PandasUDFType.SCALAR))
+    spark.udf.register("peptide_digest", F.pandas_udf(_blake2b, "string"))
     spark.udtf.register("six_frame_orfs", SixFrameOrfs)

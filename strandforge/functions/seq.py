@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,14 +53,6 @@ def translate_bacterial(dna: Column) -> Column:
     return F.when(F.length(up) < 3, F.lit("")).otherwise(body)
 
 
-def is_start(codon: Column) -> Column:
-    return codon.isin(*STARTS)
-
-
-def is_stop(codon: Column) -> Column:
-    return codon.isin(*STOPS)
-
-
 def is_alt_start(codon: Column) -> Column:
     return F.upper(codon).isin(*ALT_STARTS)
 
@@ -104,11 +97,6 @@ def net_charge(seq: Column, ph: float = 7.0) -> Column:
     return F.when(F.length(seq) > 0, plus - minus).otherwise(F.lit(0.0))
 
 
-def flip_interval(start: Column, end: Column, length: Column, strand: Column) -> tuple[Column, Column]:
-    """Forward coordinates of an interval found on the reversed strand."""
-    return F.when(strand == "-", length - end).otherwise(start), F.when(strand == "-", length - start).otherwise(end)
-
-
 def interval_distance(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     """Gap between half-open intervals; touching or overlapping is 0."""
     return F.greatest(F.lit(0), s2 - e1, s1 - e2)
@@ -168,9 +156,10 @@ def masked_mean(rows: Column, mask: Column) -> Column:
     return F.transform(total, lambda x: x / F.greatest(F.size(kept), F.lit(1)))
 
 
-def peptide_digest(seq: Column) -> Column:
-    """BLAKE2b-128 in hex, which the JVM lacks: an Arrow UDF.  Joins inside the library use the sequence itself."""
-    def run(s):
-        return s.map(lambda x: None if x is None else hashlib.blake2b(x.encode(), digest_size=16).hexdigest())
+def _blake2b(s: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else hashlib.blake2b(x.encode(), digest_size=16).hexdigest() for x in s], index=s.index, dtype="object")
 
-    return F.pandas_udf(run, "string", F.PandasUDFType.SCALAR)(seq)
+
+def peptide_digest(seq: Column) -> Column:
+    """BLAKE2b-128 in hex, which the JVM lacks: a typed Arrow UDF.  Joins inside the library use the sequence itself."""
+    return F.pandas_udf(_blake2b, "string")(seq)

@@ -32,12 +32,10 @@ def slug(x: Column, most: int = 60) -> Column:
     return F.when(s == "", F.lit("unnamed")).otherwise(s)
 
 
-def normalise_accession(x: Column, unknown_is_empty: bool = True, drop_version: bool = True, no_break_spaces: bool = False) -> Column:
-    """First token of a trimmed accession without its version; null is empty, ``unknown`` too where asked."""
-    s = F.coalesce(x, F.lit(""))
-    if no_break_spaces:
-        s = F.translate(s, " ", "")
-    s = F.element_at(F.split(F.trim(s), r"\s+"), 1)
+def normalise_accession(x: Column, unknown_is_empty: bool = True, drop_version: bool = True) -> Column:
+    """First token of an accession without its version, no-break spaces counting as spaces; null is empty, ``unknown`` too where asked."""
+    s = F.trim(F.translate(F.coalesce(x, F.lit("")), "\u00a0", " "))
+    s = F.element_at(F.split(s, r"\s+"), 1)
     if unknown_is_empty:
         s = F.when(F.lower(s) == "unknown", F.lit("")).otherwise(s)
     return F.regexp_replace(s, r"\.[0-9]+$", "") if drop_version else s
@@ -130,17 +128,17 @@ PRODUCT_CLASSES = {
     "peptidase": ["b2 protein", "peptidase", "protease"],
     "cyclase": ["cyclase", "isopeptide", "transglutaminase"],
     "b_protein": ["asparagine synthase", "asparagine synthetase", "b1 protein", "b3 protein"],
-    "precursor": ["precursor", "lasso"],
+    "precursor": ["precursor"],
     "transporter": ["transporter", "abc", "export"],
     "regulator": ["regulator", "transcription"],
 }
 
 
-def product_class(product: Column) -> Column:
-    """Class of a gene product by the words in its name."""
+def product_class(product: Column, more: dict[str, list[str]] | None = None) -> Column:
+    """Class of a gene product by the words in its name; ``more`` has further words by class."""
     text, out = F.lower(F.coalesce(product, F.lit(""))), None
     for name, words in PRODUCT_CLASSES.items():
-        hit = text.rlike("|".join(words))
+        hit = text.rlike("|".join(words + (more or {}).get(name, [])))
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out.otherwise("other")
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandforge.functions.seq import bins_of, codon_residues, codons, p_value, reverse_complement, translate_window, window_of_bins, z_score
+from strandforge.functions.seq import AMINO, bins_of, codon_residues, codons, frame_offset, p_value, reverse_complement, translate_window, window_of_bins, z_score
 from strandforge.functions.text import codon_start, first_of
 from strandforge.lineage import cut
 from strandforge.operators.rules import dealt
@@ -43,9 +48,10 @@ def locus_keys(hits: DataFrame, bins: int = 20) -> DataFrame:
     return keyed.groupBy(*LOCUS).agg(F.count("*").alias("hit_events"), F.countDistinct("gbk_file", "record_id").alias("hit_genomes"))
 
 
-def select_loci(keys: DataFrame, min_genomes: int, limit: int) -> DataFrame:
-    """Loci seen in enough records, the most widespread first."""
-    return keys.filter(F.col("hit_genomes") >= min_genomes).orderBy(F.desc("hit_genomes"), F.desc("hit_events"), *LOCUS).limit(limit)
+def select_loci(keys: DataFrame, min_genomes: int, limit: int | None) -> DataFrame:
+    """Loci seen in enough records; with a ``limit`` the most widespread of them."""
+    own = keys.filter(F.col("hit_genomes") >= min_genomes)
+    return own if limit is None else own.orderBy(F.desc("hit_genomes"), F.desc("hit_events"), *LOCUS).limit(limit)
 
 
 def frame_mode(hits: DataFrame) -> DataFrame:
@@ -95,9 +101,11 @@ def pairwise_identity(peptides: DataFrame, group: list[str]) -> DataFrame:
     own = peptides.filter("peptide <> ''").select(*group, F.length("peptide").alias("len"), "peptide")
     letters = F.posexplode(F.transform(F.sequence(F.lit(1), F.col("len")), lambda i: F.substr("peptide", i, F.lit(1)))).alias("at", "residue")
     counts = own.select(*group, "len", letters).groupBy(*group, "at", "residue", "len").agg(F.count("*").alias("n"))
-    other = counts.withColumnsRenamed({"len": "len2", "n": "n2"})
-    same = F.when(F.col("len") == F.col("len2"), F.col("n") * (F.col("n") - 1) / 2).otherwise((F.col("n") * F.col("n2")).cast("double"))
-    agreed = counts.join(other, [*group, "at", "residue"]).filter("len <= len2").groupBy(*group).agg(F.sum(same / F.col("len")).alias("agreed"))
+    # of two lengths the shorter divides: by ascending length, an entry meets those before it at their own
+    lengths = counts.groupBy(*group, "at", "residue").agg(F.sort_array(F.collect_list(F.struct("len", "n"))).alias("l"))  # one entry a length
+    step = lambda acc, x: F.struct((acc["t"] + x["n"] * (x["n"] - 1) / 2 / x["len"] + x["n"] * acc["w"]).alias("t"), (acc["w"] + x["n"] / x["len"]).alias("w"))
+    same = F.aggregate("l", F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("w")), step, lambda acc: acc["t"])
+    agreed = lengths.groupBy(*group).agg(F.sum(same).alias("agreed"))
     pairs = own.groupBy(*group).agg(F.count("*").alias("n"))
     return pairs.join(agreed, group, "left").select(*group, F.when(F.col("n") > 1, F.col("agreed") / (F.col("n") * (F.col("n") - 1) / 2)).alias("identity")).filter("identity is not null")
 
@@ -117,33 +125,93 @@ def shuffled_codons(codon: Column, aas: Column, *seeds: Column) -> Column:
 
 
 def permutation_null(windows: DataFrame, iterations: int, seed: int = 0, mode: str = "zero") -> DataFrame:
-    """A row for each window and iteration: the window's peptide after a shuffle of its gene's codons."""
-    runs = dealt(windows).withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
-    ids = [F.lit(seed), *(F.col(c) for c in LOCUS), F.col("record_uid"), F.col("start"), F.col("iteration")]
-    cds = F.concat("cds_prefix", F.array_join(shuffled_codons(F.col("codons"), F.col("aas"), *ids), ""), "remainder")
-    runs = runs.withColumn("_cds", cds)
-    width = F.col("rel_end") - F.col("rel_start")
-    seq = F.when(F.col("strand") == "-", reverse_complement(F.substr("_cds", F.col("gene_len") - F.col("rel_end") + 1, width))).otherwise(F.substr("_cds", F.col("rel_start") + 1, width))
-    return window_peptide(runs.withColumn("window_seq", seq), mode).drop("_cds")
+    """(_locus, iteration, peptide) for each window and iteration: the window's peptide after a shuffle of its gene's codons.
+
+    A gene's instance is shuffled once an iteration, as by ``shuffled_codons`` seeded with seed, gene, record, start and iteration, and
+    every locus of the gene reads its window off the same shuffle.  ``_locus`` is a hash of the locus's names.  All
+    iterations of an instance are one matrix of bases in Python: column expressions took ten times as long.
+    """
+    instance = ["gene_name", "record_uid", "start", "end", "strand", "codon_start"]
+    whole = ["cds_prefix", "codons", "aas", "remainder"]
+    window = F.struct(F.xxhash64(*LOCUS).alias("locus"), "orf_strand", frame_offset(F.col("orf_frame"), F.col("orf_strand"), mode).alias("offset"), "rel_start", "rel_end")
+    genes = windows.groupBy(*instance).agg(*(F.first(c).alias(c) for c in whole), F.collect_list(window).alias("w"))  # as many windows as the gene has loci
+    complement = np.arange(256, dtype=np.uint8)
+    for x, y in zip(b"ACGTUacgtuRYKMBDHVrykmbdhv", b"TGCAAtgcaaYRMKVHDByrmkvhdb", strict=True):
+        complement[x] = y
+    place = np.full(256, 99, np.int64)
+    for k, c in enumerate("TCAG"):
+        place[ord(c)] = place[ord(c.lower())] = k
+    letters = np.frombuffer((AMINO + "X").encode(), np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                n = len(row["codons"])
+                bases = np.frombuffer("".join(row["codons"]).encode(), np.uint8).reshape(n, 3)
+                free = np.array([i for i in range(1, n) if row["aas"][i] != "X"], np.int64)
+                lead = f"{seed}:{row['gene_name']}:{row['record_uid']}:{row['start']}:"
+                codons = np.broadcast_to(bases, (iterations, n, 3)).copy()
+                if len(free):
+                    aas = [row["aas"][i].encode() for i in free]
+                    ties = [b"%010d" % (i + 1) for i in free]
+                    to = free[sorted(range(len(free)), key=lambda k: (aas[k], free[k]))]
+                    keys = np.array([[a + hashlib.md5(f"{lead}{it}:{i + 1}".encode()).hexdigest().encode() + t for a, i, t in zip(aas, free.tolist(), ties, strict=True)] for it in range(1, iterations + 1)])
+                    codons[:, to] = bases[free[np.argsort(keys, axis=1, kind="stable")]]
+                ends = [np.broadcast_to(np.frombuffer(row[c].encode(), np.uint8), (iterations, len(row[c]))) for c in ("cds_prefix", "remainder")]
+                plus = np.concatenate([ends[0], codons.reshape(iterations, 3 * n), ends[1]], axis=1)
+                if row["strand"] == "-":
+                    plus = complement[plus[:, ::-1]]
+                for w in row["w"]:
+                    own = plus[:, w["rel_start"] : w["rel_end"]]
+                    if w["orf_strand"] == "-":
+                        own = complement[own[:, ::-1]]
+                    own = own[:, w["offset"] :]
+                    m = own.shape[1] // 3
+                    at = place[own[:, : 3 * m]].reshape(iterations, m, 3) @ np.array([16, 4, 1])
+                    text = letters[np.where(at < 64, at, 64)]
+                    peptides = [x.tobytes().decode() for x in text]
+                    yield pa.RecordBatch.from_arrays([pa.array([w["locus"]] * iterations, pa.int64()), pa.array(range(1, iterations + 1), pa.int32()), pa.array(peptides, pa.string())], names=["_locus", "iteration", "peptide"])
+
+    return dealt(genes).mapInArrow(run, "_locus long, iteration int, peptide string")
 
 
 def survival(peptides: DataFrame, group: list[str]) -> DataFrame:
     return peptides.groupBy(*group).agg(F.avg(survives(F.col("peptide")).cast("double")).alias("survival"), F.count("*").alias("n"))
 
 
-def conservation_test(hits: DataFrame, cds: DataFrame, bins: int = 20, min_genomes: int = 2, limit: int = 100, iterations: int = 20, seed: int = 0, mode: str = "zero") -> DataFrame:
-    """Survival and identity of every selected locus against its own null, the highest z first."""
-    loci = cut(select_loci(locus_keys(hits, bins), min_genomes, limit))  # at most ``limit`` rows, read by every later step
+def spread(value: str) -> Column:
+    """Population deviation; what sums of equal numbers leave by rounding is 0."""
+    std = F.stddev_pop(value)
+    return F.when(std < 1e-12, F.lit(0.0)).otherwise(std)
+
+
+def conservation_test(hits: DataFrame, cds: DataFrame, bins: int = 20, min_genomes: int = 2, limit: int | None = 200, iterations: int = 200, seed: int = 0, mode: str = "auto", loci: DataFrame | None = None) -> DataFrame:
+    """Survival and identity of every selected locus against its own null, the highest z first.
+
+    ``loci`` names the loci to test (their hits are counted where there are any, else 0); without it they are selected from the
+    hits.  ``mode`` zero or one says how frames are numbered, auto reads it from the frames of the loci, or of the hits.
+    """
+    counted = locus_keys(hits, bins)
+    if mode == "auto":
+        mode = frame_mode(hits if loci is None else loci).first()[0]  # one row
+    if loci is None:
+        own = select_loci(counted, min_genomes, limit)
+    else:
+        own = loci.select(*LOCUS).distinct().join(counted, LOCUS, "left").select(*LOCUS, *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("hit_events", "hit_genomes")))
+    loci = cut(own)  # read by every later step
     windows = cut(window_peptide(locus_windows(loci, gene_instances(cds, loci), bins), mode))
     alive = windows.filter(survives(F.col("peptide")))
     observed = survival(windows, LOCUS).withColumnRenamed("n", "evaluated_instances").join(pairwise_identity(alive, LOCUS), LOCUS, "left")
     records = windows.groupBy(*LOCUS).agg(F.countDistinct("record_uid").alias("evaluated_records"))
-    null = cut(permutation_null(windows, iterations, seed, mode).select(*LOCUS, "iteration", "peptide"))
-    each = [*LOCUS, "iteration"]
+    # a number stands for a locus's names in the rows of the null
+    number = F.xxhash64(*LOCUS).alias("_locus")
+    null = cut(permutation_null(windows, iterations, seed, mode))
+    each = ["_locus", "iteration"]
+    null = null.repartition(*each)  # all that follows is counted where its rows are
     null_rows = survival(null, each).drop("n").join(pairwise_identity(null.filter(survives(F.col("peptide"))), each), each, "left").withColumnsRenamed({"survival": "null_survival", "identity": "null_identity"})
-    seen = null_rows.join(observed.select(*LOCUS, "survival", "identity"), LOCUS)
+    seen = null_rows.join(observed.select(number, *LOCUS, "survival", "identity"), "_locus")
     stats = seen.groupBy(*LOCUS).agg(
-        F.avg("null_survival").alias("null_survival_mean"), F.avg("null_identity").alias("null_mean"), F.stddev_pop("null_identity").alias("null_std"),
+        F.avg("null_survival").alias("null_survival_mean"), F.avg("null_identity").alias("null_mean"), spread("null_identity").alias("null_std"),
         F.count_if(F.col("null_identity") >= F.col("identity")).alias("ge"), F.count("null_identity").alias("null_n"),
     )
     out = loci.join(observed, LOCUS).join(records, LOCUS).join(stats, LOCUS)
@@ -152,7 +220,5 @@ def conservation_test(hits: DataFrame, cds: DataFrame, bins: int = 20, min_genom
 
 
 def null_summary(values: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Mean and population deviation; one value has deviation 0."""
-    return values.groupBy(*group).agg(F.avg(value).alias("null_mean"), F.stddev_pop(value).alias("null_std"), F.count(value).alias("null_n"))
-
-
+    """Mean and population deviation; one value, and equal ones, have deviation 0."""
+    return values.groupBy(*group).agg(F.avg(value).alias("null_mean"), spread(value).alias("null_std"), F.count(value).alias("null_n"))

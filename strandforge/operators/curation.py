@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandforge.functions.seq import interval_distance, window_around
-from strandforge.functions.text import core_is_prefix, core_is_suffix, sequence_hash
+from strandforge.functions.text import core_is_prefix, core_is_suffix, sequence_hash, slug
 from strandforge.operators.orf import orfs, with_protein
 from strandforge.operators.rank import keep_first, rank_loci
 
@@ -40,14 +40,33 @@ def merge_sources(parts: list[DataFrame], key: str = "sequence", ordinal: str =
     return keep_first(out, [key], ["_part", ordinal]).drop("_part")
 
 
+def merge_entries(old: DataFrame, new: DataFrame, dedupe: bool = False, key: str = "sequence", ordinal: str = "ord") -> tuple[DataFrame, int]:
+    """(all rows, how many were added): new rows after the old ones, with ``dedupe`` the first of each sequence alone."""
+    out = merge_sources([old, new], key, ordinal) if dedupe else old.unionByName(new, allowMissingColumns=True)
+    return out, 0 if new.isEmpty() else max(0, out.count() - old.count())
+
+
 def append_new(old: DataFrame, new: DataFrame, key: str = "sequence", id_column: str = "id", ordinal: str = "ord") -> DataFrame:
     """The rows to add: neither their sequence nor their id is known, and each comes once."""
     fresh = new.join(old.select(key).distinct(), key, "left_anti").join(old.select(id_column).distinct(), id_column, "left_anti")
     return keep_first(keep_first(fresh, [key], [ordinal]), [id_column], [ordinal])
 
 
-def with_curated_ids(df: DataFrame) -> DataFrame:
-    return df.withColumn("id", F.concat(F.lit("curated_"), sequence_hash(F.col("sequence"))))
+def update_curated(curated: DataFrame, entries: DataFrame, generated: DataFrame, source: str, orientation: str = "leader_core", added_at: str = "", origin: str = "") -> tuple[DataFrame, DataFrame]:
+    """(the curated table with new entries, the verified sequences: generated ones, then curated ones, each once).
+
+    ``curated``: the table's ten columns; ``entries``: name, sequence, core, ord; ``generated``: id, sequence, ord.  A sequence or id that
+    is known isn't added again.
+    """
+    clean = entries.withColumn("sequence", F.upper(F.regexp_replace("sequence", "[^A-Za-z]", ""))).filter("sequence <> ''")
+    locus = F.concat(F.lit("curated_"), sequence_hash(F.col("sequence")))
+    made = clean.withColumn("locus", locus).withColumn("id", F.concat("locus", F.lit("|locus="), F.col("locus"), F.lit("|name="), slug(F.col("name")), F.lit(f"|source={source}")))
+    added = append_new(curated, made, "sequence", "id", "ord").select(
+        "id", "name", "sequence", F.length("sequence").alias("length"), F.coalesce("core", F.lit("")).alias("core"), F.lit(orientation).alias("orientation"), "locus", F.lit(source).alias("source"), F.lit(added_at).alias("added_at"), F.lit(origin).alias("input"),
+    )
+    table = curated.select(added.columns).unionByName(added)
+    verified = merge_sources([generated.select("id", "sequence", F.col("ord").cast("string").alias("ord")), table.select("id", "sequence", F.col("id").alias("ord"))], "sequence", "ord").drop("ord")
+    return table, verified
 
 
 def renumber(df: DataFrame, ordinal: str = "index") -> DataFrame:
@@ -99,21 +118,27 @@ def locus_stats(loci: DataFrame, candidates: DataFrame) -> DataFrame:
     return out.withColumn("match_count", F.coalesce("match_count", F.lit(0)).cast("long")).withColumn("locus_span", F.coalesce("locus_span", F.lit(0)))
 
 
-def case_stats(ranked: DataFrame, cases: DataFrame) -> DataFrame:
-    """One row: cases, mapped, matched, unambiguous, ambiguous and unmatched ones, loci scanned and included."""
-    by_case = ranked.groupBy("case_id").agg(F.max("match_count").alias("best"), F.bool_or("ambiguous").alias("amb"), F.count("*").alias("loci"), F.count_if(F.col("match_count") > 0).alias("matched_loci"))
+def case_stats(ranked: DataFrame, cases: DataFrame, inverted: bool = False) -> DataFrame:
+    """One row: cases, mapped, matched, unambiguous, ambiguous and unmatched ones; loci scanned, included, and included though ambiguous; the orientation."""
+    by_case = ranked.groupBy("case_id").agg(F.max("match_count").alias("best"), F.bool_or("ambiguous").alias("amb"), F.count("*").alias("loci"), F.count_if(F.col("match_count") > 0).alias("matched_loci"), F.count_if((F.col("match_count") > 0) & F.col("ambiguous")).alias("amb_loci"))
     every = cases.select("case_id").distinct().join(by_case, "case_id", "left")
     hit = F.coalesce(F.col("best") > 0, F.lit(False))
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
     return every.agg(
         F.count("*").alias("total_cases"), F.count("loci").alias("mapped"), F.count_if(hit).alias("cases_with_match"), F.count_if(hit & ~F.col("amb")).alias("cases_unambiguous"),
-        F.count_if(hit & F.col("amb")).alias("cases_ambiguous"), F.count_if(F.col("loci").isNotNull() & ~hit).alias("cases_no_match"), F.coalesce(F.sum("loci"), F.lit(0)).alias("loci_scanned"), F.coalesce(F.sum("matched_loci"), F.lit(0)).alias("loci_included"),
-    )
+        F.count_if(hit & F.col("amb")).alias("cases_ambiguous"), F.count_if(F.col("loci").isNotNull() & ~hit).alias("cases_no_match"), total("loci", "loci_scanned"), total("matched_loci", "loci_included"), total("amb_loci", "ambiguous_loci_included"),
+    ).withColumn("orientation", F.lit("core_leader" if inverted else "leader_core"))
+
 
+def build_dataset(cds: DataFrame, cases: DataFrame, records: DataFrame, flank: int = 20_000, ambiguous_within: int = 1000, inverted: bool = False, **orf_limits) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(candidates, ranked loci, statistics) of the cases: anchor, search, match, rank.
 
-def build_dataset(cds: DataFrame, cases: DataFrame, records: DataFrame, flank: int = 20_000, ambiguous_within: int = 1000, **orf_limits) -> tuple[DataFrame, DataFrame]:
-    """(candidates, ranked loci) of the cases: anchor, search, match, rank."""
-    loci = anchor_loci(cds, cases, records, flank)
-    found = locus_candidates(loci, **orf_limits)
+    ``cases``: case_id, accession, core; one without an accession or core is counted and not searched.  ``cds`` and ``records`` as in ``anchor_loci``.
+    """
+    sound = cases.filter((F.coalesce("accession", F.lit("")) != "") & (F.coalesce("core", F.lit("")) != ""))
+    loci = anchor_loci(cds, sound, records, flank)
+    found = locus_candidates(loci, inverted=inverted, **orf_limits)
     ranked = rank_loci(locus_stats(loci, found), ambiguous_within)
     best = ranked.filter((F.col("match_count") > 0) & ((F.col("locus_rank") == 1) | F.col("ambiguous")))
-    return found.join(best.select("case_id", "gbk_path", "record_id", "start", "end", "locus_rank"), ["case_id", "gbk_path", "record_id", "start", "end"]), ranked
+    key = ["case_id", "gbk_path", "record_id", "start", "end"]
+    return found.join(best.select(*key, "locus_rank"), key), ranked, case_stats(ranked, cases, inverted)

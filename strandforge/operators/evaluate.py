@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandforge.functions.text import hit_at
+from strandforge.lineage import cut
+from strandforge.operators.curation import anchor_loci
+from strandforge.operators.orf import orfs, with_protein
+from strandforge.operators.rules import Rule, best_rule_score
 from strandforge.operators.similarity import best_by_locus
 
 
@@ -71,3 +75,40 @@ def core_topk(ranks: DataFrame, by: str | None = None, ks: tuple[int, ...] = (1,
     """Share of candidates, or of groups by their best rank, within each k."""
     own = ranks if by is None else ranks.groupBy(by).agg(F.min("rank").alias("rank"))
     return own.agg(F.count("*").alias("n"), *(F.avg(hit_at(F.col("rank"), k).cast("double")).alias(f"top_{k}") for k in ks))
+
+
+def retrieval_benchmark(
+    records: DataFrame, cds: DataFrame, references: DataFrame, embeddings: DataFrame, flank: int = 20_000, full_genome: bool = False, strict: bool = False,
+    cutoffs: dict[str, float] | None = None, rules: dict[str, Rule] | None = None, min_aa: int = 20, max_aa: int = 120,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ranks by locus, held-out candidates, summary): every anchored locus against the references of other accessions.
+
+    ``records``: gbk_path, record_id, sequence; ``cds``: gbk_path, record_id, start, end, accession; ``references``: accession, sequence,
+    ref_id, ref_ord, embedding; ``embeddings``: protein, embedding.  A locus is a coding sequence of a reference's accession with ``flank`` bases
+    around it, or with ``full_genome`` its whole record.  It is judged if some open frame of it is a reference of its accession;
+    those references are held out (with ``strict`` their sequences under any accession).  A candidate counts by its best similarity to the others,
+    of which only the two best accessions of a protein are kept, so no locus meets every reference.
+    """
+    cutoffs = {"rank_rule7": 7.0, "rank_rule8": 8.0} if cutoffs is None else cutoffs
+    refs = references.withColumn("sequence", F.upper("sequence"))
+    # a whole record: a flank that no record has
+    loci = anchor_loci(cds, refs.select("accession").distinct(), records, 1_000_000_000 if full_genome else flank)
+    named = loci.withColumn("locus", F.concat_ws(":", "gbk_path", "record_id", F.col("start").cast("string"), F.col("end").cast("string"), "accession"))
+    found = with_protein(orfs(named, min_aa, max_aa)).withColumn("candidate_id", F.concat_ws(":", "strand", F.col("genomic_start").cast("string"), F.col("genomic_end").cast("string")))
+    held = refs.select("accession", F.col("sequence").alias("protein")).distinct().withColumn("_held", F.lit(True))
+    marked = found.join(held, ["accession", "protein"], "left").withColumn("is_holdout", F.coalesce("_held", F.lit(False))).drop("_held")
+    judged = marked.filter("is_holdout").select("locus").distinct()
+    own = cut(marked.join(judged, "locus", "left_semi").select("locus", "accession", "candidate_id", "protein", "is_holdout"))
+    usable = without_same_sequence(refs, own.filter("is_holdout").select(F.col("protein").alias("sequence"))) if strict else refs
+    vectors = embeddings.join(own.select("protein").distinct(), "protein").select(F.col("protein").alias("candidate_id"), "embedding")
+    best = best_by_locus(vectors, usable.withColumn("locus", F.col("accession")).select("ref_id", "locus", "ref_ord", "embedding"))
+    two = best.groupBy(F.col("candidate_id").alias("protein")).agg(F.slice(F.sort_array(F.collect_list(F.struct("similarity", F.col("locus").alias("accession"))), asc=False), 1, 2).alias("two"))  # one entry an accession
+    other = F.filter("two", lambda x: x["accession"] != F.col("accession"))
+    scored = own.join(two, "protein").withColumn("best_similarity", F.try_element_at(other, F.lit(1))["similarity"]).filter("best_similarity is not null").drop("two")
+    raw = best_rule_score(scored.select(F.col("protein").alias("sequence")), rules).select(F.col("sequence").alias("protein"), F.col("rule_score_raw").alias("rule_score"))
+    scored = cut(scored.join(raw, "protein"))
+    ranks = cut(holdout_ranks(scored, cutoffs))
+    held_out = scored.filter("is_holdout").join(ranks.select("locus", "rank", *cutoffs), "locus")
+    sequences = held_out.select(F.col("protein").alias("sequence"), "locus").distinct()
+    totals = [named.select("locus").distinct().agg(F.count("*").alias("loci_total")), recall(ranks), sequence_recall(ranks, sequences).withColumnsRenamed({f"recall_{k}": f"sequence_recall_{k}" for k in (1, 5, 10, 50)})]
+    return ranks, held_out, totals[0].crossJoin(totals[1]).crossJoin(totals[2])  # one row each

@@ -10,6 +10,8 @@ from strandforge.functions.text import candidate_id
 
 #: Bases whose starts one tile owns.
 TILE = 1200
+#: Source of region ranges that a product annotation tells.
+PRODUCT = "product"
 
 
 def _tiles(own: Column, tile: int, reach: int) -> Column:
@@ -86,14 +88,14 @@ def windows_of(segments: DataFrame, restrict: bool = False) -> DataFrame:
     ``segments``: record_id, sequence, region_ranges (array of struct start, end), region_source.
     """
     whole = F.array(F.struct(F.lit(0).alias("start"), F.length("sequence").alias("end")))
-    use = (F.size(F.coalesce("region_ranges", F.array().cast("array<struct<start:int,end:int>>"))) > 0) & ~((F.coalesce("region_source", F.lit("")) == "lasso") & ~F.lit(restrict))
+    use = (F.size(F.coalesce("region_ranges", F.array().cast("array<struct<start:int,end:int>>"))) > 0) & ~((F.coalesce("region_source", F.lit("")) == PRODUCT) & ~F.lit(restrict))
     one = segments.withColumn("_w", F.explode(F.when(use, F.col("region_ranges")).otherwise(whole)))
     s, e = F.greatest(F.lit(0), F.col("_w.start")), F.least(F.length("sequence"), F.col("_w.end"))
     keep = [c for c in segments.columns if c not in ("sequence", "region_ranges", "region_source")]
     return one.filter(e > s).select(*keep, F.substr("sequence", s + 1, e - s).alias("sequence"), s.cast("int").alias("window_start"))
 
 
-def indexed_regions(features: DataFrame, word: str = "lasso") -> DataFrame:
+def indexed_regions(features: DataFrame, word: str) -> DataFrame:
     """Region and cluster features whose product has the word, numbered from 1 by record; an empty interval takes no number."""
     mine = features.filter(F.col("type").isin("region", "cluster") & F.exists("products", lambda p: F.contains(F.lower(p), F.lit(word))) & (F.col("end") > F.col("start")))
     number = F.row_number().over(Window.partitionBy("gbk_file", "record_id").orderBy("ordinal"))

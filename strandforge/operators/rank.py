@@ -47,9 +47,9 @@ def passing_rank(df: DataFrame, group: list[str], order: list[Column], passes: C
     return df.withColumn(name, F.when(passes, running))
 
 
-def by_z(df: DataFrame) -> DataFrame:
-    """Highest z first; missing and NaN ones last."""
-    return df.orderBy(F.when(F.isnan("z_score"), None).otherwise(F.col("z_score")).desc_nulls_last())
+def by_z(df: DataFrame, *ties: str) -> DataFrame:
+    """Highest z first; missing and NaN ones last; equal ones by ``ties``."""
+    return df.orderBy(F.when(F.isnan("z_score"), None).otherwise(F.col("z_score")).desc_nulls_last(), *ties)
 
 
 def rank_loci(entries: DataFrame, ambiguous_within: int) -> DataFrame:

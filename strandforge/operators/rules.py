@@ -218,7 +218,7 @@ def cleavage_sites(proteins: DataFrame, rules: dict[str, Rule], min_leader: int
 def predict(proteins: DataFrame, key: str, rules: dict[str, Rule] | None = None, top_n: int = 3, min_leader: int = 10, min_core: int | None = None, allow_inverted: bool = False) -> DataFrame:
     """The best cleavage sites by protein: score, then leader first, then the lower position.  Adds rank, confidence, reasons."""
     sites = cleavage_sites(proteins, rules or ruleset(), min_leader, min_core, allow_inverted)
-    order = Window.partitionBy(key).orderBy(F.desc("score"), F.desc("orientation"), "position")
+    order = Window.partitionBy(key).orderBy(F.round("score", 9).desc(), F.desc("orientation"), "position")  # sums of tenths tie where they are equal
     top = sites.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_n)
     return top.withColumn("confidence", confidence(F.col("score"))).withColumn("reasons", reasons(F.col("score_breakdown")))
 
@@ -250,7 +250,7 @@ def score_given_cores(rows: DataFrame, rules: dict[str, Rule] | None = None, inv
         places = occurrences(F.col("sequence"), F.col("known"))
     clean = clean.withColumn("places", places)
     sites = cleavage_sites(clean, rules, min_leader, min_core, allow_inverted=inverted).filter(F.col("orientation") == ("core_leader" if inverted else "leader_core"))
-    order = Window.partitionBy("name").orderBy(F.desc("score"), "position")
+    order = Window.partitionBy("name").orderBy(F.round("score", 9).desc(), "position")
     ranked = sites.withColumn("_rank", F.row_number().over(order)).withColumn("_own", F.array_contains("places", F.col("position")))
     stats = ranked.groupBy("name").agg(F.min(F.when(F.col("_own"), F.col("_rank"))).alias("core_rank"), F.max(F.when(F.col("_own"), F.col("score"))).alias("core_score"), F.count("*").alias("core_rank_total"))
     best = predict(clean.select("name", "sequence"), "name", rules, top_n, min_leader, min_core, allow_inverted=inverted)

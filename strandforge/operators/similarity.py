@@ -23,12 +23,6 @@ def top_n_mean(grouped: DataFrame, n: int) -> DataFrame:
     return grouped.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= max(1, n)).groupBy("candidate_id").agg(F.avg("similarity").alias("top_n_mean_similarity"))
 
 
-def best_match(pairs: DataFrame) -> DataFrame:
-    """The most similar reference; of equal ones the first in the reference set's order."""
-    best = F.max(F.struct("similarity", (-F.col("ref_ord")).alias("o"), "ref_id")).alias("b")
-    return pairs.groupBy("candidate_id").agg(best).select("candidate_id", F.col("b.similarity").alias("best_similarity"), F.col("b.ref_id").alias("best_match_id"))
-
-
 def _blocks(references: DataFrame, block_rows: int) -> Iterator[pd.DataFrame]:
     """The reference set in blocks of about ``block_rows``, each in the set's order."""
     blocks = max(1, -(-references.count() // block_rows))

@@ -23,8 +23,8 @@ def visible(candidates: DataFrame, threshold: float = 0.0, kind: str = "all", li
 
 
 def totals(segments: DataFrame, candidates: DataFrame, shown: DataFrame) -> DataFrame:
-    """One row: records, lasso records, candidates, visible candidates."""
-    a = segments.agg(F.count("*").alias("records"), F.count_if(F.coalesce("is_lasso", F.lit(False))).alias("lasso_records"))
+    """One row: records, target records, candidates, visible candidates."""
+    a = segments.agg(F.count("*").alias("records"), F.count_if(F.coalesce("is_target", F.lit(False))).alias("target_records"))
     return a.crossJoin(candidates.agg(F.count("*").alias("candidates"))).crossJoin(shown.agg(F.count("*").alias("visible")))  # one row each
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandforge.lineage import cut
 from strandforge.operators.index import build_index, lookup_genomes
-from strandforge.operators.orf import orfs, windows_of, with_candidate_ids, with_protein
+from strandforge.operators.orf import indexed_regions, orfs, region_orfs, windows_of, with_candidate_ids, with_protein
 from strandforge.operators.rank import rank_candidates
 from strandforge.operators.rules import Rule, predict
 from strandforge.operators.similarity import score_candidates
@@ -23,7 +23,7 @@ class Config:
     score_mode: str = "top_n_mean"
     min_rule_score: float = 0.0
     allow_inverted: bool = False
-    lasso_only: bool = False
+    target_only: bool = False
     restrict: bool = False
 
     def __post_init__(self):
@@ -32,7 +32,11 @@ class Config:
 
 
 def extract_candidates(segments: DataFrame, config: Config) -> DataFrame:
-    own = segments.filter("is_lasso") if config.lasso_only else segments
+    own = segments
+    if config.target_only:
+        own = segments.filter("is_target")
+        if own.isEmpty():
+            raise ValueError("no target segment is left")
     windows = windows_of(own, config.restrict).select("record_id", "sequence", "window_start")
     return with_candidate_ids(with_protein(orfs(windows, config.min_aa, config.max_aa)))
 
@@ -79,10 +83,12 @@ def run_pipeline(segments: DataFrame, embeddings: DataFrame, references: DataFra
     return lookup_genomes(mark_known(ranked, references), index)
 
 
-def index_pipeline(segments: DataFrame, genome: str = "record_id", **limits) -> DataFrame:
-    """Occurrence index of all open frames of the segments."""
-    found = with_protein(orfs(segments.select(genome, "sequence", F.lit(0).alias("window_start")), **limits))
-    return build_index(found.withColumnRenamed(genome, "gbk_file"))
+def index_pipeline(records: DataFrame, features: DataFrame, word: str, **limits) -> DataFrame:
+    """Occurrence index of the open frames of the regions and clusters whose product has ``word``.
+
+    ``records``: gbk_file, record_id, sequence; ``features``: gbk_file, record_id, ordinal, type, products, start, end.
+    """
+    return build_index(region_orfs(indexed_regions(features, word), records, **limits))
 
 
 def predict_selection(selection: DataFrame, candidates: DataFrame, rules: dict[str, Rule] | None = None, top_n: int = 3) -> DataFrame:

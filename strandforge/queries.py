@@ -43,6 +43,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 _HEX, _BASES = "0123456789abcdef", "ACGTACGTACGTACGT"
 _PARTS = 8
+_RESIDUES = "ACDEFGHIKLMNPQRS"
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +53,13 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(own)
 
 
+def long_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of 64 documents by number, one after another: some 16 kb each, so frames cross tiles and windows have flanks."""
+    own = segments(spark, sf_dir).groupBy(F.floor(F.col("doc_id") / 64).cast("long").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct(F.col("doc_id").alias("i"), "sequence"))).alias("parts"))
+    dna = F.array_join(F.transform("parts", lambda x: x["sequence"]), "")
+    return own.select(F.concat(F.lit("blk"), F.col("doc_id").cast("string")).alias("record_id"), "doc_id", F.concat(F.lit("f"), (F.col("doc_id") % 3).cast("string")).alias("gbk_file"), dna.alias("sequence"))
+
+
 def found_orfs(spark: SparkSession, sf_dir: str, min_aa: int = 20, max_aa: int = 120) -> DataFrame:
     own = segments(spark, sf_dir).withColumn("window_start", F.lit(0))
     return orf.with_protein(orf.orfs(own, min_aa, max_aa))
@@ -70,7 +78,8 @@ def _protein(dna: str) -> str:
     return f"case when substr({dna}, 1, 3) in ('GTG', 'TTG') then 'M' || substr({body}, 2) else {body} end"
 
 
-_STRANDS = _SEG + """,
+_LONG = f"""seg as (select 'blk' || (doc_id // 64) as record_id, doc_id // 64 as doc_id, 'f' || (doc_id // 64) % 3 as gbk_file, string_agg({_DNA}, '' order by doc_id) as dna from documents group by doc_id // 64)"""
+_STRANDS = """,
 both_ as (select record_id, doc_id, gbk_file, '+' as strand, dna as own from seg union all
   select record_id, doc_id, gbk_file, '-', reverse(translate(dna, 'ACGT', 'TGCA')) from seg),
 pos as (select record_id, doc_id, gbk_file, strand, own, unnest(range(0, length(own) - 2)) as i from both_),
@@ -78,8 +87,8 @@ cod as (select record_id, doc_id, gbk_file, strand, length(own) as len, i, subst
 nxt as (select *, min(case when codon in ('TAA', 'TAG', 'TGA') then i end) over (partition by record_id, strand, i % 3 order by i desc rows between unbounded preceding and current row) as stop from cod)"""
 
 
-def _orf_sql(min_aa: int = 20, max_aa: int = 120) -> str:
-    return f"""{_STRANDS},
+def _orf_sql(min_aa: int = 20, max_aa: int = 120, seg: str = _SEG) -> str:
+    return f"""{seg}{_STRANDS},
 hit as (select n.record_id, n.doc_id, n.gbk_file, n.strand, n.len, n.i, n.codon, n.stop - n.i as nt_len, substr(b.own, (n.i + 1)::int, (n.stop - n.i)::int) as dna
   from nxt n join both_ b using (record_id, strand) where n.codon in ('ATG', 'GTG', 'TTG') and n.stop > n.i and (n.stop - n.i) // 3 between {min_aa} and {max_aa}),
 orfs as (select record_id, doc_id, gbk_file, strand, (case when strand = '-' then -(i % 3 + 1) else i % 3 end)::int as frame, i::int as nt_start,
@@ -110,6 +119,11 @@ def orf_six_frames(spark, sf_dir):
     return found_orfs(spark, sf_dir).select(*_ORF_COLUMNS)
 
 
+@query(f"with {_orf_sql(8, 400, _LONG)} select {', '.join(_ORF_COLUMNS)} from orfs")
+def orf_long_frames(spark, sf_dir):
+    return orf.with_protein(orf.orfs(long_segments(spark, sf_dir).withColumn("window_start", F.lit(0)), 8, 400)).select(*_ORF_COLUMNS)
+
+
 @query(f"with {_orf_sql()} select record_id, strand, genomic_start, aa_len, protein from (select *, row_number() over (partition by record_id order by aa_len desc, strand, genomic_start) r from orfs) where r <= 3")
 def orf_top_longest(spark, sf_dir):
     by = [F.desc("aa_len"), F.col("strand"), F.col("genomic_start")]
@@ -160,13 +174,11 @@ def peptide_digests(spark, sf_dir):
     return found_orfs(spark, sf_dir).select("protein").distinct().withColumn("digest", seq.peptide_digest(F.col("protein")))
 
 
-@query(f"""with {_SEG} select record_id, reverse(translate(dna, 'ACGT', 'TGCA')) as reversed, {_protein('dna')} as protein_all,
+@query(f"""with {_SEG} select record_id, reverse(translate(dna, 'ACGT', 'TGCA')) as reversed, regexp_replace({_protein('dna')}, '\\*$', '') as protein,
 array_to_string(list_transform(range(0, length(dna) // 3), lambda k: replace({_aa('substr(dna, 3 * k + 1, 3)')}, '*', 'X')), '') as residues from (select record_id, dna from seg)""")
 def whole_translation(spark, sf_dir):
     d = F.col("sequence")
-    body = F.regexp_replace(seq.translate_bacterial(d), "$", "")
-    closing = F.when(F.substr(d, F.expr("3 * (length(sequence) div 3) - 2"), F.lit(3)).isin(*seq.STOPS), F.lit("*")).otherwise(F.lit(""))
-    return segments(spark, sf_dir).select("record_id", seq.reverse_complement(d).alias("reversed"), F.concat(body, closing).alias("protein_all"), F.array_join(seq.codon_residues(d), "").alias("residues"))
+    return segments(spark, sf_dir).select("record_id", seq.reverse_complement(d).alias("reversed"), seq.translate_bacterial(d).alias("protein"), F.array_join(seq.codon_residues(d), "").alias("residues"))
 
 
 @query("""select c_custkey, case when s = '' then 'unnamed' else s end as slug, upper(regexp_replace(c_name, '[^A-Za-z]', '', 'g')) as letters,
@@ -242,12 +254,6 @@ def cosine_to_first(spark, sf_dir):
     return e.join(head, "label").select("vec_id", F.round(seq.cosine(F.col("embedding"), F.col("first")), 6).alias("cosine"))
 
 
-@query("""with v as (select label, embedding::double[] e from embeddings), u as (select label, unnest(e) x, generate_subscripts(e, 1) i from v), m as (select label, i, avg(x) a from u group by label, i) select label, round(sum(a), 5) as total, round(max(a), 6) as most from m group by label""")
-def mean_pooling(spark, sf_dir):
-    e = read(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("a"))
-    return e.groupBy("label").agg(F.round(F.sum("a"), 5).alias("total"), F.round(F.max("a"), 6).alias("most"))
-
-
 @query("select vec_id, round((embedding[1]::double + embedding[3]::double) / 2, 6) as first, round((embedding[2]::double + embedding[4]::double) / 2, 6) as second from embeddings")
 def masked_pooling(spark, sf_dir):
     e = F.col("embedding")
@@ -294,9 +300,9 @@ def sequence_recall(spark, sf_dir):
 
 # ---------------------------------------------------------------- rules
 
-def _site_sql(table: str) -> str:
-    """Default rules for rows (key, sequence, position, leader, core) of leader_core sites, in SQL."""
-    r = rules.ruleset()
+def _site_sql(table: str, preset: str = "default", inverted: bool = False, tag: str = "") -> str:
+    """A preset's rules for rows (sequence, position, leader, core) of sites of one orientation, in SQL, as table scored + tag."""
+    r = rules.ruleset(preset)
     p = {k: v["parameters"] for k, v in r.items()}
     w = {k: v["weight"] for k, v in r.items()}
     cases = lambda e, t: "case " + " ".join(f"when {e} = '{k}' then {v}" for k, v in t.items()) + " end"
@@ -304,22 +310,24 @@ def _site_sql(table: str) -> str:
     ring = [(q, rc["position_weights"][str(q)]) for q in rc["allowed_positions"]]
     best = "greatest(" + ", ".join(f"case when substr(core, {q}, 1) in ('D', 'E') then {v} end" for q, v in ring) + ")"
     place = "case " + " ".join(f"when substr(core, {q}, 1) in ('D', 'E') and best = {v} then {q - 1}" for q, v in ring) + " end"
-    lw, cw = "right(leader, 10)", "left(core, 10)"
+    lw, cw = ("left(leader, 10)", "right(core, 10)") if inverted else ("right(leader, 10)", "left(core, 10)")
+    pair = "right(core, 1) || left(leader, 1)" if inverted else "right(leader, 1) || left(core, 1)"
+    penultimate = "0.0" if inverted else f"{w['leader_penultimate_residue']} * coalesce({cases('substr(leader, length(leader) - 1, 1)', {**p['leader_penultimate_residue']['preferred'], **p['leader_penultimate_residue']['allowed_rare']})}, {p['leader_penultimate_residue']['penalty_other']})"
     return f"""
-s0 as (select *, {best} as best, round({_charge_sql('leader')} - {_charge_sql('core')}, 9) as dq, round({_hydro_sql(cw)} - {_hydro_sql(lw)}, 9) as dh from {table}),
-s1 as (select *, {place} as acc from s0),
-s2 as (select *, substr(core, (acc + {sl['relative_to_acceptor']['start_offset']} + 1)::int, greatest(0, least(length(core) - 1, acc + {sl['relative_to_acceptor']['end_offset']}) - (acc + {sl['relative_to_acceptor']['start_offset']}) + 1)::int) as region from s1),
-s3 as (select *,
+s0{tag} as (select *, {best} as best, round({_charge_sql('leader')} - {_charge_sql('core')}, 9) as dq, round({_hydro_sql(cw)} - {_hydro_sql(lw)}, 9) as dh from {table}),
+s1{tag} as (select *, {place} as acc from s0{tag}),
+s2{tag} as (select *, substr(core, (acc + {sl['relative_to_acceptor']['start_offset']} + 1)::int, greatest(0, least(length(core) - 1, acc + {sl['relative_to_acceptor']['end_offset']}) - (acc + {sl['relative_to_acceptor']['start_offset']}) + 1)::int) as region from s1{tag}),
+s3{tag} as (select *,
   {w['core_start_residue']} * case when left(core, 1) = 'P' then {cs['penalty_forbidden']} else coalesce({cases('left(core, 1)', cs['scores'])}, {cs['penalty_other']}) end as core_start,
   {w['ring_closure_residue']} * coalesce(best, {rc['penalty_if_missing_in_allowed_window']}) as ring_closure,
   {w['core_length']} * case when length(core) between {cl['optimal_min']} and {cl['optimal_max']} then 1.0 when length(core) between {cl['min']} and {cl['max']} then 0.5 else -1.0 end as core_length,
-  {w['cleavage_motif']} * {cases('right(leader, 1) || left(core, 1)', p['cleavage_motif']['motifs'])} / 2 as cleavage_motif,
-  {w['leader_penultimate_residue']} * coalesce({cases('substr(leader, length(leader) - 1, 1)', {**p['leader_penultimate_residue']['preferred'], **p['leader_penultimate_residue']['allowed_rare']})}, {p['leader_penultimate_residue']['penalty_other']}) as leader_penultimate,
+  {w['cleavage_motif']} * {cases(pair, p['cleavage_motif']['motifs'])} / 2 as cleavage_motif,
+  {penultimate} as leader_penultimate,
   {w['leader_signature_motifs']} * greatest({', '.join(f"case when regexp_matches(leader, '{m}') then {v} end" for m, v in p['leader_signature_motifs']['patterns'].items())}) as leader_signature,
   case when dh >= {p['hydrophobicity_transition']['min_difference']} then {w['hydrophobicity_transition']} * least(dh / 2, 1.5) end as hydrophobicity,
   case when dq >= {p['charge_transition']['min_difference']} then {w['charge_transition']} * least(dq * 2, 1.0) end as charge_transition,
-  case when acc is not null and length(regexp_replace(region, '[^FWYHILVRK]', '', 'g')) >= 1 then {w['steric_lock_region']} end as steric_lock from s2),
-scored as (select *, (core_start + ring_closure + core_length + coalesce(cleavage_motif, 0) + leader_penultimate + coalesce(leader_signature, 0) + coalesce(hydrophobicity, 0) + coalesce(charge_transition, 0) + coalesce(steric_lock, 0))::double as score from s3)"""
+  case when acc is not null and length(regexp_replace(region, '[^FWYHILVRK]', '', 'g')) >= 1 then {w['steric_lock_region']} end as steric_lock from s2{tag}),
+scored{tag} as (select *, (core_start + ring_closure + core_length + coalesce(cleavage_motif, 0) + leader_penultimate + coalesce(leader_signature, 0) + coalesce(hydrophobicity, 0) + coalesce(charge_transition, 0) + coalesce(steric_lock, 0))::double as score from s3{tag})"""
 
 
 _SITES = f"{_orf_sql(40)}, prot as (select distinct protein as sequence from orfs), sites as (select sequence, position, left(sequence, position::int) as leader, substr(sequence, position::int + 1) as core from (select sequence, unnest(range(10, length(sequence) - 9)) as position from prot))"
@@ -349,10 +357,69 @@ def rule_cutoff(spark, sf_dir):
     return b.select("sequence", F.round("rule_score_raw", 6).alias("rule_score_raw"))
 
 
-@query()
+def _both_sql(preset: str = "default") -> str:
+    sides = "fwd as (select sequence, position, left(sequence, position::int) as leader, substr(sequence, position::int + 1) as core from places), inv as (select sequence, position, substr(sequence, position::int + 1) as leader, left(sequence, position::int) as core from places)"
+    return f"""with {_orf_sql(40)}, prot as (select distinct protein as sequence from orfs), places as (select sequence, unnest(range(10, length(sequence) - 9)) as position from prot), {sides}, {_site_sql('fwd', preset, False, '_f')}, {_site_sql('inv', preset, True, '_i')},
+every as (select sequence, 'leader_core' as orientation, position, core, score from scored_f union all select sequence, 'core_leader', position, core, score from scored_i),
+best as (select *, row_number() over (partition by sequence order by round(score, 9) desc, orientation desc, position) as rank from every)"""
+
+
+@query(f"{_both_sql('permissive')} select sequence, orientation, position::int as position, rank::int as rank, round(score, 6) as score from best where rank <= 3")
 def core_prediction_both_orientations(spark, sf_dir):
     p = rules.predict(proteins(spark, sf_dir), "sequence", rules.ruleset("permissive"), allow_inverted=True)
-    return p.select("sequence", "orientation", "position", "rank", F.round("score", 6).alias("score"), F.array_join("reasons", ";").alias("reasons"))
+    return p.select("sequence", "orientation", "position", "rank", F.round("score", 6).alias("score"))
+
+
+@query(f"{_both_sql('strict')} select sequence, orientation, position::int as position, round(score, 6) as score from best where rank = 1")
+def core_prediction_strict(spark, sf_dir):
+    p = rules.predict(proteins(spark, sf_dir), "sequence", rules.ruleset("strict"), top_n=1, min_core=10, allow_inverted=True)
+    return p.select("sequence", "orientation", "position", F.round("score", 6).alias("score"))
+
+
+@query(f"{_both_sql('discovery')} select sequence, orientation, position::int as position, round(score, 6) as score from best where rank = 1")
+def core_prediction_discovery(spark, sf_dir):
+    p = rules.predict(proteins(spark, sf_dir), "sequence", rules.ruleset("discovery"), top_n=1, min_core=10, allow_inverted=True)
+    return p.select("sequence", "orientation", "position", F.round("score", 6).alias("score"))
+
+
+@query(f"{_both_sql()}, chosen as (select sequence from prot where length(sequence) <= 70) select c.sequence as candidate_id, b.orientation, b.position::int as position, b.rank::int as core_rank, b.core, round(b.score, 6) as score from chosen c left join (select * from best where rank <= 3) b using (sequence)")
+def selection_prediction(spark, sf_dir):
+    p = proteins(spark, sf_dir).select(F.col("sequence").alias("candidate_id"), F.lower("sequence").alias("protein"))
+    found = pipeline.predict_selection(p.filter(F.length("protein") <= 70), p)
+    return found.select("candidate_id", "orientation", "position", "core_rank", "core", F.round("score", 6).alias("score"))
+
+
+@query()
+def prediction_reasons(spark, sf_dir):
+    p = rules.predict(proteins(spark, sf_dir), "sequence", allow_inverted=True)
+    return p.select("sequence", "rank", F.array_join("reasons", ";").alias("reasons"))
+
+
+#: Rules that the default set lacks.
+_OPTIONAL = {
+    "leader_length": {"enabled": True, "weight": 0.7, "parameters": {"min": 12, "max": 30}},
+    "leader_motifs": {"enabled": True, "weight": 0.6, "parameters": {"motifs": ["TQ", "PL", "S"]}},
+    "glycine_rich_core": {"enabled": True, "weight": 0.5, "parameters": {"min_ratio": 0.1}},
+    "tail_lock_residue": {"enabled": True, "weight": 0.9, "parameters": {"region_start": 4, "residues": ["F", "W"], "require_at_least": 2}},
+    "forbidden_core_patterns": {"enabled": True, "weight": 2.0, "parameters": {"patterns": ["PP", "CC"], "penalty_per_match": -1.5}},
+    **{name: {"enabled": True, "weight": 1.0, "parameters": {}} for name in rules.UNSCORED},
+}
+
+
+@query(f"""with {_SITES} select sequence, position::int as position, (case when length(leader) between 12 and 30 then 0.7 else -0.7 end)::double as leader_length, (case when contains(right(leader, 6), 'TQ') or contains(right(leader, 6), 'PL') or contains(right(leader, 6), 'S') then 0.6 end)::double as leader_motif,
+(case when {_count_sql('core', 'G')} / length(core)::double >= 0.1 then 0.5 end)::double as glycine_rich, (case when {_count_sql('substr(core, 5)', 'F')} + {_count_sql('substr(core, 5)', 'W')} >= 2 then 0.9 end)::double as tail_lock, (case when contains(core, 'PP') or contains(core, 'CC') then -3.0 end)::double as forbidden_pattern from sites""")
+def optional_rules(spark, sf_dir):
+    s = rules.cleavage_sites(proteins(spark, sf_dir), _OPTIONAL, min_core=10)
+    return s.select("sequence", "position", *(F.try_element_at("score_breakdown", F.lit(n)).alias(n) for n in ("leader_length", "leader_motif", "glycine_rich", "tail_lock", "forbidden_pattern")))
+
+
+@query(f"""{_SCORED}, ranked as (select *, row_number() over (partition by sequence order by round(score, 9) desc, position) as rank, substr(sequence, position::int + 1, 15) = right(sequence, 15) as own from scored)
+select sequence as name, min(case when own then rank end)::int as core_rank, round(max(case when own then score end), 6) as core_score, count(*) as core_rank_total, max(case when rank = 1 then core end) as best_pred_core, max(case when rank = 1 then position end)::int as best_pred_pos,
+round(max(case when rank = 1 then score end), 6) as best_pred_score, max(case when rank = 1 then case when score >= 8 then 'high' when score >= 5 then 'medium' else 'low' end end) as best_pred_confidence from ranked group by sequence""")
+def given_cores(spark, sf_dir):
+    rows = proteins(spark, sf_dir).select(F.col("sequence").alias("name"), F.lower("sequence").alias("sequence"), F.right("sequence", F.lit(15)).alias("core"))
+    g = rules.score_given_cores(rows)
+    return g.select("name", "core_rank", F.round("core_score", 6).alias("core_score"), "core_rank_total", "best_pred_core", "best_pred_pos", F.round("best_pred_score", 6).alias("best_pred_score"), "best_pred_confidence")
 
 
 @query(f"""{_SCORED}, truth as (select sequence, right(sequence, 18) as core_aa, 'g' || (length(sequence) % 7)::varchar as core_group from prot), ranked as (select *, row_number() over (partition by sequence order by round(score, 9) desc, position) as rank from scored),
@@ -375,76 +442,95 @@ def peptide_index(spark, sf_dir):
     return index.build_index(found_orfs(spark, sf_dir)).withColumn("aa_len", F.col("aa_len").cast("long"))
 
 
-@query(f"with {_orf_sql()}, a as (select protein, count(*) c from orfs where doc_id % 2 = 0 group by 1), b as (select protein, count(distinct gbk_file) g from orfs where doc_id % 3 = 0 group by 1) select p.protein, length(p.protein) as aa_len, coalesce(c, 0) as instance_count, coalesce(g, 0) as genome_count from (select distinct protein from orfs) p left join a using (protein) left join b using (protein)")
-def peptide_statistics(spark, sf_dir):
-    o = found_orfs(spark, sf_dir)
-    s = index.peptide_stats(index.peptides(o), index.instance_counts(o.filter("doc_id % 2 = 0")), index.genome_counts(o.filter("doc_id % 3 = 0")))
-    return s.withColumn("aa_len", F.col("aa_len").cast("long"))
+_KNOWN = "known as (select distinct protein from orfs union select reverse(protein) from orfs)"
 
 
-@query(f"with {_orf_sql()} select protein, sum(c)::bigint as instance_count from (select protein, count(*) c from orfs where doc_id % 2 = 0 group by 1 union all select protein, count(*) from orfs where doc_id % 2 = 1 group by 1) group by 1")
-def index_upsert(spark, sf_dir):
+def _known(o: DataFrame) -> DataFrame:
+    """Peptides to look up: those of the frames, and the same read backwards, which most often occur nowhere."""
+    p = o.select("protein")
+    return p.unionByName(p.select(F.reverse("protein").alias("protein")))
+
+
+@query(f"with {_orf_sql()}, {_KNOWN}, a as (select protein, count(*) c, count(distinct gbk_file) g from orfs group by 1) select p.protein, length(p.protein) as aa_len, coalesce(c, 0) as instance_count, coalesce(g, 0) as genome_count from known p left join a using (protein)")
+def peptide_statistics(spark, sf_dir):
     o = found_orfs(spark, sf_dir)
-    return index.merge_counts(index.instance_counts(o.filter("doc_id % 2 = 0")), index.instance_counts(o.filter("doc_id % 2 = 1")))
+    s = index.peptide_stats(index.peptides(_known(o)), index.instance_counts(o), index.genome_counts(o))
+    return s.withColumn("aa_len", F.col("aa_len").cast("long"))
 
 
-@query(f"with {_orf_sql()}, ix as (select protein, count(distinct gbk_file) g from orfs where doc_id % 2 = 0 group by 1) select distinct o.protein, coalesce(g, 0) as genome_count from orfs o left join ix using (protein)")
+@query(f"with {_orf_sql()}, {_KNOWN}, ix as (select protein, count(distinct gbk_file) g from orfs group by 1) select o.protein, coalesce(g, 0) as genome_count from known o left join ix using (protein)")
 def genome_lookup(spark, sf_dir):
     o = found_orfs(spark, sf_dir)
-    return index.lookup_genomes(o.select("protein").distinct(), index.build_index(o.filter("doc_id % 2 = 0"))).select("protein", "genome_count")
+    return index.lookup_genomes(_known(o).distinct(), index.build_index(o)).select("protein", "genome_count")
 
 
-@query("select d.doc_id, exists(select 1 from benchmark b where contains(d.text, b.text)) as is_known_precursor from documents d")
+@query(f"with {_orf_sql()}, p as (select distinct protein from orfs), r as (select protein as r from p where length(protein) <= 21), k as (select distinct p.protein from p join r on contains(p.protein, r.r)) select p.protein, k.protein is not null as is_known_precursor from p left join k using (protein)")
 def known_containment(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("protein"))
-    refs = read(spark, sf_dir, "benchmark").select(F.col("text").alias("sequence"))
-    listed = refs.agg(F.collect_list("sequence").alias("refs"))  # benchmark items: a reference set, one row
-    return d.crossJoin(F.broadcast(listed)).select("doc_id", F.exists("refs", lambda r: F.contains(F.col("protein"), r)).alias("is_known_precursor"))
+    p = found_orfs(spark, sf_dir).select("protein").distinct()
+    return pipeline.mark_known(p, p.filter(F.length("protein") <= 21).withColumnRenamed("protein", "sequence"), most=100).select("protein", "is_known_precursor")
+
 
+@query("select d.doc_id, exists(select 1 from benchmark b where b.text <> '' and contains(upper(d.text), upper(b.text))) as is_known_precursor from documents d")
+def known_containment_in_place(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", F.upper("text").alias("protein"))
+    return pipeline.mark_known(d, read(spark, sf_dir, "benchmark").select(F.col("text").alias("sequence"))).select("doc_id", "is_known_precursor")
 
-@query("select o_orderkey, o_custkey from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')")
-def accession_semi_join(spark, sf_dir):
-    return read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey", "o_custkey")
 
+@query("select count(*) as wanted, count(f) as matched from (select distinct c_custkey from customer) left join (select distinct o_custkey as f from orders) on f = c_custkey")
+def matched_accessions(spark, sf_dir):
+    return tables.matched_accessions(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("accession")), read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("accession")))
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null)")
-def accession_anti_join(spark, sf_dir):
-    return read(spark, sf_dir, "customer").join(read(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+
+@query(f"with {_orf_sql()} select protein, sum(c)::bigint as instance_count from (select protein, count(*) c from orfs where doc_id % 2 = 0 group by 1 union all select protein, count(*) from orfs where doc_id % 2 = 1 group by 1) group by 1")
+def index_upsert(spark, sf_dir):
+    o = found_orfs(spark, sf_dir)
+    return index.merge_counts(index.instance_counts(o.filter("doc_id % 2 = 0")), index.instance_counts(o.filter("doc_id % 2 = 1")))
 
 
 def _pipeline_inputs(spark, sf_dir):
-    """Embeddings of proteins for the pipeline: each protein takes the vector that its length names."""
+    """Embeddings of proteins for the pipeline: each protein takes the vector that its length and second residue name."""
     e = read(spark, sf_dir, "embeddings")
-    n = 500
-    p = found_orfs(spark, sf_dir).select("protein").distinct().withColumn("k", (F.length("protein") * 7 + F.ascii(F.substring("protein", 2, 1))) % n)
+    p = found_orfs(spark, sf_dir).select("protein").distinct().withColumn("k", (F.length("protein") * 7919 + F.ascii(F.substring("protein", 2, 1)) * 31 + F.ascii(F.right("protein", F.lit(1)))) % e.count())
     emb = p.join(e.select("vec_id", "embedding"), F.col("k") == F.col("vec_id")).select("protein", "embedding")
-    return segments(spark, sf_dir).withColumn("region_ranges", F.lit(None).cast("array<struct<start:int,end:int>>")).withColumn("region_source", F.lit(None).cast("string")).withColumn("is_lasso", F.col("doc_id") % 2 == 0).withColumnRenamed("gbk_file", "source_file"), emb
+    cds = F.array(F.struct(F.lit(32).alias("start"), F.lit(224).alias("end"), F.when(F.col("doc_id") % 2 == 1, "-").otherwise("+").alias("strand"), F.concat(F.lit("g"), (F.col("doc_id") % 12).cast("string")).alias("locus_tag")))
+    own = segments(spark, sf_dir).withColumn("region_ranges", F.lit(None).cast("array<struct<start:int,end:int>>")).withColumn("region_source", F.lit(None).cast("string")).withColumn("is_target", F.col("doc_id") % 2 == 0).withColumn("cds", cds)
+    return own.withColumnRenamed("gbk_file", "source_file"), emb
+
+
+def _reference_sequence(vec_id) :
+    """Three residues from the vector's number: some proteins have them."""
+    return F.substring(F.translate(F.md5(vec_id.cast("string")), _HEX, _RESIDUES), 1, 3)
 
 
-_PIPE = f"""with {_orf_sql()}, {_UNIT.replace("c.vec_id % 5 <> 0 and r", "r")},
-emb as (select protein, (length(protein) * 7 + ascii(substr(protein, 2, 1))) % 500 as k from (select distinct protein from orfs)),
+_REFSEQ = f"refseq as (select distinct substr(translate(md5(vec_id::varchar), '{_HEX}', '{_RESIDUES}'), 1, 3) as r from embeddings where vec_id % 5 = 0)"
+_PIPE = f"""with {_orf_sql()}, {_REFSEQ}, {_UNIT.replace("c.vec_id % 5 <> 0 and r", "r")},
+emb as (select protein, (length(protein) * 7919 + ascii(substr(protein, 2, 1)) * 31 + ascii(right(protein, 1))) % (select count(*) from embeddings) as k from (select distinct protein from orfs)),
 best as (select candidate_id, s, ref_ord from (select *, row_number() over (partition by candidate_id order by s desc, ref_ord) r from sims) where r = 1),
 topn as (select candidate_id, avg(g) m from (select candidate_id, locus, max(s) g, row_number() over (partition by candidate_id order by max(s) desc, locus) k from sims group by candidate_id, locus) where k <= 5 group by candidate_id),
 ids as (select *, record_id || '|orf' || case when length(n::varchar) >= 4 then n::varchar else lpad(n::varchar, 4, '0') end as candidate_id from (select *, row_number() over (partition by record_id order by strand, abs(frame), nt_start + nt_len, nt_start) n from orfs)),
-ranked as (select i.record_id, i.candidate_id, i.protein, b.ref_ord::varchar as best_match_id, b.s, t.m, row_number() over (partition by i.record_id order by t.m desc, b.s desc, i.candidate_id)::int as rank
+ranked as (select i.*, b.ref_ord::varchar as best_match_id, b.s, t.m, row_number() over (partition by i.record_id order by t.m desc, b.s desc, i.candidate_id)::int as rank
   from ids i join emb e using (protein) join best b on b.candidate_id = e.k join topn t on t.candidate_id = e.k)"""
 
 
 def _ranked(spark, sf_dir, **config) -> DataFrame:
     own, emb = _pipeline_inputs(spark, sf_dir)
-    refs = references(spark, sf_dir).withColumn("sequence", F.lit("MMMMMMMM"))
+    refs = references(spark, sf_dir).withColumn("sequence", _reference_sequence(F.col("ref_ord")))
     return pipeline.run_pipeline(own, emb, refs, pipeline.Config(**config))
 
 
-@query(f"{_PIPE} select record_id, candidate_id, rank, protein, best_match_id, round(s, 6) as best_similarity, round(m, 6) as embedding_score, contains(protein, 'MMMMMMMM') as is_known_precursor from ranked")
+@query(f"{_PIPE} select record_id, candidate_id, rank, protein, best_match_id, round(s, 6) as best_similarity, round(m, 6) as embedding_score, exists(select 1 from refseq where contains(protein, r)) as is_known_precursor from ranked")
 def semantic_pipeline(spark, sf_dir):
     r = _ranked(spark, sf_dir)
     return r.select("record_id", "candidate_id", "rank", "protein", "best_match_id", F.round("best_similarity", 6).alias("best_similarity"), F.round("embedding_score", 6).alias("embedding_score"), "is_known_precursor")
 
 
-@query()
+_PROT_SITES = "sites as (select sequence, position, left(sequence, position::int) as leader, substr(sequence, position::int + 1) as core from (select sequence, unnest(range(10, length(sequence) - 9)) as position from (select distinct protein as sequence from orfs where length(protein) >= 20)))"
+
+
+@query(f"""{_PIPE}, {_PROT_SITES}, {_site_sql('sites')}, raw as (select sequence as protein, max(score) as raw from scored group by 1)
+select record_id, candidate_id, row_number() over (partition by record_id order by s desc, candidate_id)::int as rank, round(raw, 6) as rule_score_raw from ranked join raw using (protein) where doc_id % 2 = 0 and raw >= 2.0""")
 def semantic_pipeline_rule_cutoff(spark, sf_dir):
-    return _ranked(spark, sf_dir, min_rule_score=2.0, score_mode="best_similarity", lasso_only=True).select("record_id", "candidate_id", "rank", F.round("rule_score_raw", 6).alias("rule_score_raw"))
+    return _ranked(spark, sf_dir, min_rule_score=2.0, score_mode="best_similarity", target_only=True).select("record_id", "candidate_id", "rank", F.round("rule_score_raw", 6).alias("rule_score_raw"))
 
 
 @query(f"{_PIPE} select record_id, candidate_id, round(m, 6) as shown_score, row_number() over (partition by record_id order by m desc, candidate_id)::int as view_rank from ranked where m >= 0.1 qualify view_rank <= 5")
@@ -453,7 +539,7 @@ def viewer_visible(spark, sf_dir):
     return v.select("record_id", "candidate_id", F.round("shown_score", 6).alias("shown_score"), "view_rank")
 
 
-@query(f"{_PIPE}, seen as (select *, row_number() over (partition by record_id order by m desc, candidate_id) v from ranked where m >= 0.1) select (select count(*) from documents) as records, (select count(*) from documents where doc_id % 2 = 0) as lasso_records, (select count(*) from ranked) as candidates, (select count(*) from seen where v <= 5) as visible")
+@query(f"{_PIPE}, seen as (select *, row_number() over (partition by record_id order by m desc, candidate_id) v from ranked where m >= 0.1) select (select count(*) from documents) as records, (select count(*) from documents where doc_id % 2 = 0) as target_records, (select count(*) from ranked) as candidates, (select count(*) from seen where v <= 5) as visible")
 def viewer_totals(spark, sf_dir):
     r = _ranked(spark, sf_dir)
     return viewer.totals(_pipeline_inputs(spark, sf_dir)[0], r, viewer.visible(r, 0.1, limit=5))
@@ -465,14 +551,29 @@ def viewer_lanes(spark, sf_dir):
     return viewer.pack_lanes(o, ["record_id"], 2)
 
 
-@query()
-def nested_export(spark, sf_dir):
-    return tables.nested_results(segments(spark, sf_dir), _ranked(spark, sf_dir))
+def _selected(spark, sf_dir) -> DataFrame:
+    return rank.top_k(_ranked(spark, sf_dir), [F.col("rank")], 10, ["record_id"])
 
 
-@query(f"{_PIPE} select record_id, candidate_id, rank, protein from ranked where rank <= 10")
+@query(f"""{_PIPE} select record_id, doc_id % 2 = 0 as is_target, 256 as segment_length_nt, 1 as num_annotated_cds, count(*)::int as num_candidates, string_agg(candidate_id || ':' || protein || ':' || dna || ':' || aa_len || strand || frame || ':' || genomic_start || '-' || genomic_end || ':' || best_match_id, ';' order by rank) as candidates,
+'32-224' || case when doc_id % 2 = 1 then '-' else '+' end || 'g' || doc_id % 12 || ':192' as annotated_cds, any_value(gbk_file) as source_file, '0-based half-open' as coordinate_system, 'base' as mode,
+10 as json_fields from ranked where rank <= 10 group by record_id, doc_id""")
+def nested_export(spark, sf_dir):
+    n = tables.nested_results(_pipeline_inputs(spark, sf_dir)[0], _selected(spark, sf_dir), {"mode": "base"})
+    text_of = lambda c: F.concat(c["candidate_id"], F.lit(":"), c["protein_sequence"], F.lit(":"), c["dna_sequence"], F.lit(":"), c["aa_length"].cast("string"), c["strand"], c["frame"].cast("string"), F.lit(":"), c["genomic_start"].cast("string"), F.lit("-"), c["genomic_end"].cast("string"), F.lit(":"), c["best_match_id"])
+    cds = F.col("annotated_cds")[0]
+    shown = F.concat(cds["start"].cast("string"), F.lit("-"), cds["end"].cast("string"), cds["strand"], cds["locus_tag"], F.lit(":"), cds["length_nt"].cast("string"))
+    return n.select(
+        "record_id", "is_target", "segment_length_nt", "num_annotated_cds", "num_candidates", F.array_join(F.transform("candidates", text_of), ";").alias("candidates"), shown.alias("annotated_cds"),
+        "source_file", "coordinate_system", F.col("pipeline_metadata")["mode"].alias("mode"), F.size(F.json_object_keys("json")).alias("json_fields"),
+    )
+
+
+@query(f"""{_PIPE} select record_id, doc_id % 2 = 0 as is_target, candidate_id, protein as protein_sequence, dna as dna_sequence, aa_len as aa_length, frame, strand, genomic_start, genomic_end, start_codon, is_alt_start, round(s, 6) as best_similarity, best_match_id,
+round(m, 6) as top_n_mean_similarity, round(m, 6) as embedding_score, round(m, 6) as combined_score, null::double as rule_score_raw, null::varchar as rule_orientation, exists(select 1 from refseq where contains(protein, r)) as is_known_precursor, null::bigint as genome_count from ranked where rank <= 10""")
 def flat_export(spark, sf_dir):
-    return tables.flat_results(rank.top_k(_ranked(spark, sf_dir).select("protein", "rank", "candidate_id", "record_id"), [F.col("rank")], 10, ["record_id"]))
+    scores = ["best_similarity", "top_n_mean_similarity", "embedding_score", "combined_score"]
+    return tables.flat_results(_selected(spark, sf_dir), _pipeline_inputs(spark, sf_dir)[0]).select(tables.FLAT).withColumns({c: F.round(c, 6) for c in scores})
 
 
 @query("""with d as (select doc_id, trim(source) as base from documents), n as (select *, row_number() over (partition by base order by doc_id) n from d) select doc_id, case when n > 1 then base || '__' || n else base end as record_id from n""")
@@ -515,7 +616,8 @@ def altframe_top_loci(spark, sf_dir):
     return conservation.select_loci(conservation.locus_keys(_hits(spark, sf_dir)), 2, 10)
 
 
-_WIN = f"""{_TOP}, gene as (select s.record_id, s.doc_id, s.gbk_file, 'g' || (doc_id % 12) as gene_name, substr(dna, 33, 192) as genomic from seg s),
+_ALL = f"{_HITS}, top as (select * from loci where hit_genomes >= 2)"
+_WIN = f"""{_ALL}, gene as (select s.record_id, s.doc_id, s.gbk_file, 'g' || (doc_id % 12) as gene_name, substr(dna, 33, 192) as genomic from seg s),
 win as (select t.*, g.record_id, g.doc_id, g.gbk_file, ((bin_first * 192 + 19) // 20)::int as rs, least(192, ((bin_last + 1) * 192 + 19) // 20)::int as re, genomic from top t join gene g using (gene_name)),
 own as (select *, case when orf_strand = '-' then reverse(translate(substr(genomic, rs + 1, re - rs), 'ACGT', 'TGCA')) else substr(genomic, rs + 1, re - rs) end as o, case when orf_strand = '-' then (abs(orf_frame) - 1) % 3 else orf_frame % 3 end as off from win),
 pep as (select gene_name, match_type, orf_strand, orf_frame, bin_first, bin_last, record_id, array_to_string(list_transform(range(0, (length(o) - off) // 3), lambda k: {_aa('substr(o, (off + 3 * k + 1)::int, 3)')}), '') as peptide from own)"""
@@ -524,7 +626,7 @@ _KEY = "gene_name, match_type, orf_strand, orf_frame, bin_first, bin_last"
 
 @query(f"with {_WIN} select {_KEY}, count(*) as n, round(avg((peptide <> '' and not contains(peptide, '*'))::int), 6) as survival from pep group by {_KEY}")
 def altframe_survival(spark, sf_dir):
-    loci = conservation.select_loci(conservation.locus_keys(_hits(spark, sf_dir)), 2, 10)
+    loci = conservation.select_loci(conservation.locus_keys(_hits(spark, sf_dir)), 2, None)
     w = conservation.window_peptide(conservation.locus_windows(loci, conservation.gene_instances(_cds(spark, sf_dir), loci)))
     return conservation.survival(w, conservation.LOCUS).withColumn("survival", F.round("survival", 6))
 
@@ -532,7 +634,7 @@ def altframe_survival(spark, sf_dir):
 @query(f"""with {_WIN}, alive as (select *, row_number() over () r from pep where peptide <> '' and not contains(peptide, '*')), pairs as (select a.*, b.peptide as other from alive a join alive b using ({_KEY}) where a.r < b.r)
 select {_KEY}, round(avg(len(list_filter(range(1, least(length(peptide), length(other)) + 1), lambda i: substr(peptide, i, 1) = substr(other, i, 1))) / least(length(peptide), length(other))::double), 6) as identity from pairs group by {_KEY}""")
 def altframe_identity(spark, sf_dir):
-    loci = conservation.select_loci(conservation.locus_keys(_hits(spark, sf_dir)), 2, 10)
+    loci = conservation.select_loci(conservation.locus_keys(_hits(spark, sf_dir)), 2, None)
     w = conservation.window_peptide(conservation.locus_windows(loci, conservation.gene_instances(_cds(spark, sf_dir), loci)))
     alive = w.filter(conservation.survives(F.col("peptide")))
     return conservation.pairwise_identity(alive, conservation.LOCUS).withColumn("identity", F.round("identity", 6))
@@ -585,6 +687,37 @@ def incremental_append(spark, sf_dir):
     return curation.append_new(d.filter("doc_id % 2 = 0"), d.filter("doc_id % 2 = 1"), "text", "doc_id", "doc_id").select("doc_id")
 
 
+_REGION = f"{_LONG.replace('seg as (', 'long as (', 1)}, seg as (select record_id, doc_id, gbk_file, substr(dna, 101, 4900) as dna from long)"
+
+
+@query(f"with {_orf_sql(seg=_REGION)} select protein, count(*) as instance_count, count(distinct gbk_file) as genome_count, length(protein) as aa_len from orfs group by protein")
+def region_index_counts(spark, sf_dir):
+    records = long_segments(spark, sf_dir)
+    one = lambda n, word, s, e: F.struct(F.lit(n).alias("ordinal"), F.lit("region").alias("type"), F.array(F.lit(word)).alias("products"), F.lit(s).alias("start"), F.lit(e).alias("end"))
+    features = records.select("gbk_file", "record_id", F.explode(F.array(one(1, "Knot peptide", 100, 5000), one(2, "other", 6000, 9000), one(3, "knot", 7, 7))).alias("f")).select("gbk_file", "record_id", "f.*")
+    return pipeline.index_pipeline(records, features, "knot").withColumn("aa_len", F.col("aa_len").cast("long"))
+
+
+@query("select (select count(*) from customer) + (select count(distinct c_mktsegment) from customer) as whole_rows, (select count(distinct c_mktsegment) from customer) as distinct_rows, (select count(distinct c_mktsegment) from customer) as added_all, greatest(0, (select count(distinct c_mktsegment) from customer) - (select count(*) from customer)) as added_once")
+def merge_added_counts(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("sequence"), F.col("c_custkey").alias("ord"))
+    new = rank.keep_first(c, ["sequence"], ["ord"])
+    whole, added_all = curation.merge_entries(c, new)
+    once, added_once = curation.merge_entries(c, new, dedupe=True)
+    return whole.agg(F.count("*").alias("whole_rows")).crossJoin(once.agg(F.count("*").alias("distinct_rows"))).withColumn("added_all", F.lit(added_all).cast("long")).withColumn("added_once", F.lit(added_once).cast("long"))  # one row each
+
+
+@query("""with d as (select doc_id, upper(regexp_replace(lang || source, '[^A-Za-z]', '', 'g')) as sequence, source as name from documents), old as (select doc_id, sequence from d where doc_id % 2 = 0), n as (select *, row_number() over (partition by sequence order by doc_id) r from d where doc_id % 2 = 1 and sequence not in (select sequence from old))
+select case when doc_id % 2 = 0 then 'old' || doc_id else 'curated_' || substr(sha1(sequence), 1, 10) || '|locus=curated_' || substr(sha1(sequence), 1, 10) || '|name=' || lower(name) || '|source=unit' end as id, sequence, length(sequence)::int as length, case when doc_id % 2 = 0 then 'c' else '' end as core from (select doc_id, sequence, name from d where doc_id % 2 = 0 union all select doc_id, sequence, name from n where r = 1)""")
+def curated_update(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", F.concat("lang", "source").alias("raw"), F.col("source").alias("name"))
+    old = d.filter("doc_id % 2 = 0").select(F.concat(F.lit("old"), F.col("doc_id").cast("string")).alias("id"), "name", text.clean_letters(F.col("raw")).alias("sequence"), F.lit("c").alias("core"), *(F.lit("").alias(c) for c in ("orientation", "locus", "source", "added_at", "input")))
+    old = old.withColumn("length", F.length("sequence"))
+    entries = d.filter("doc_id % 2 = 1").select("name", F.col("raw").alias("sequence"), F.lit(None).cast("string").alias("core"), F.col("doc_id").alias("ord"))
+    made, _ = curation.update_curated(old, entries, old.select("id", "sequence", F.col("id").alias("ord")), "unit")
+    return made.select("id", "sequence", "length", "core")
+
+
 @query("select c_custkey, c_acctbal, row_number() over (order by c_custkey) - 1 as index from (select c_custkey, case when c_custkey % 10 = 3 then 0.0 else c_acctbal end as c_acctbal from customer where c_custkey % 7 <> 0)")
 def dataset_edit(spark, sf_dir):
     c = read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", F.col("c_custkey").alias("index"))
@@ -592,6 +725,38 @@ def dataset_edit(spark, sf_dir):
     return curation.delete_rows(c, F.col("c_custkey") % 7 == 0)
 
 
+@query(f"with {_SEG} select record_id, gbk_file, length(dna)::int as length_nt, 1 as num_cds, doc_id % 2 = 0 as is_target from seg")
+def segment_summaries(spark, sf_dir):
+    return tables.segment_summary(_pipeline_inputs(spark, sf_dir)[0].withColumnRenamed("source_file", "gbk_file"))
+
+
+@query("select o_custkey::varchar as accession, string_agg(o_orderkey::varchar, ',' order by o_orderkey::varchar) as sequences, count(*) as n from orders group by 1")
+def accession_sequences(spark, sf_dir):
+    e = read(spark, sf_dir, "orders").select(F.concat(F.lit("x|pep="), F.col("o_custkey").cast("string"), F.lit(".1|k=2")).alias("id"), F.col("o_orderkey").cast("string").alias("sequence"))
+    a = tables.sequences_by_accession(e)
+    return a.select("accession", F.array_join("sequences", ",").alias("sequences"), "n")
+
+
+@query("select o_orderkey::varchar as accession, o_orderpriority as sequence, length(o_orderpriority)::int as sequence_length, c_name, c_mktsegment from orders left join customer on c_custkey = o_orderkey")
+def fasta_with_table(spark, sf_dir):
+    f = read(spark, sf_dir, "orders").select(F.concat(F.col("o_orderkey").cast("string"), F.lit(" some header")).alias("id"), F.col("o_orderpriority").alias("sequence"))
+    t = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("accession"), "c_name", "c_mktsegment")
+    return tables.with_table_rows(f, t)
+
+
+@query("""select l_orderkey, l_linenumber, case when l_quantity > 0 then (l_linenumber + 1) / (l_quantity + 1) end as p_value, case when l_tax > 0 then round((l_discount - 0.05) / l_tax, 6) end as z_score, case when l_linenumber in (1, 2, 3) then l_linenumber else 1 end::int as codon_start,
+case when l_linenumber % 3 = 0 then 'unk' when l_returnflag = 'R' then '-' || l_linenumber % 3 else '+' || l_linenumber % 3 end as frame_label, upper(trim(' ' || l_returnflag || l_linestatus || ' ')) as stripped, case when l_linestatus = 'O' then 'Unknown' else l_orderkey || '.' || l_linenumber end as accession from lineitem""")
+def scalar_functions(spark, sf_dir):
+    n = F.col("l_linenumber")
+    raw = F.when(F.col("l_linestatus") == "O", "Unknown x").otherwise(F.concat(F.lit("\u00a0 "), F.col("l_orderkey").cast("string"), F.lit("."), n.cast("string"), F.lit(" tail")))
+    frame = F.when(n % 3 != 0, n % 3)
+    return read(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", seq.p_value(n, F.col("l_quantity")).alias("p_value"), F.round(seq.z_score(F.col("l_discount"), F.lit(0.05), F.col("l_tax")), 6).alias("z_score"), text.codon_start(n.cast("string")).alias("codon_start"),
+        text.frame_label(F.when(F.col("l_returnflag") == "R", "-").otherwise("+"), F.when(F.col("l_returnflag") == "R", -frame).otherwise(frame)).alias("frame_label"),
+        text.strip_upper(F.concat(F.lit(" "), F.lower("l_returnflag"), "l_linestatus", F.lit(" "))).alias("stripped"), text.normalise_accession(raw, unknown_is_empty=False, drop_version=False).alias("accession"),
+    )
+
+
 _LOCI = """entries as (select o_custkey as case_id, o_orderkey as place, count(l_orderkey) as match_count, median(l_quantity) as median_distance, coalesce(max(l_partkey) - min(l_partkey), 0) as locus_span from orders left join lineitem on l_orderkey = o_orderkey group by 1, 2),
 ranked as (select *, row_number() over w as locus_rank, first_value(match_count) over w as m, first_value(median_distance) over w as d from entries window w as (partition by case_id order by match_count desc, median_distance asc nulls last, locus_span, place)),
 near as (select *, match_count = m and coalesce(abs(median_distance - d) <= 5, false) as near_ from ranked),
@@ -609,8 +774,8 @@ def locus_ranking(spark, sf_dir):
     return _loci(spark, sf_dir).select("case_id", "place", "match_count", "locus_rank", "ambiguous")
 
 
-@query(f"""with {_LOCI}, by_case as (select case_id, max(match_count) best, bool_or(ambiguous) amb, count(*) n, count(*) filter (match_count > 0) mn from loci group by 1), e as (select c_custkey, best, amb, n, mn from customer left join by_case on case_id = c_custkey)
-select count(*) as total_cases, count(n) as mapped, count(*) filter (best > 0) as cases_with_match, count(*) filter (best > 0 and not amb) as cases_unambiguous, count(*) filter (best > 0 and amb) as cases_ambiguous, count(*) filter (n is not null and not best > 0) as cases_no_match, coalesce(sum(n), 0)::bigint as loci_scanned, coalesce(sum(mn), 0)::bigint as loci_included from e""")
+@query(f"""with {_LOCI}, by_case as (select case_id, max(match_count) best, bool_or(ambiguous) amb, count(*) n, count(*) filter (match_count > 0) mn, count(*) filter (match_count > 0 and ambiguous) an from loci group by 1), e as (select c_custkey, best, amb, n, mn, an from customer left join by_case on case_id = c_custkey)
+select count(*) as total_cases, count(n) as mapped, count(*) filter (best > 0) as cases_with_match, count(*) filter (best > 0 and not amb) as cases_unambiguous, count(*) filter (best > 0 and amb) as cases_ambiguous, count(*) filter (n is not null and not best > 0) as cases_no_match, coalesce(sum(n), 0)::bigint as loci_scanned, coalesce(sum(mn), 0)::bigint as loci_included, coalesce(sum(an), 0)::bigint as ambiguous_loci_included, 'leader_core' as orientation from e""")
 def case_statistics(spark, sf_dir):
     return curation.case_stats(_loci(spark, sf_dir), read(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "case_id"))
 
@@ -625,6 +790,32 @@ def dataset_candidates(spark, sf_dir):
     return curation.locus_candidates(loci).select("case_id", "record_id", "genomic_start", "genomic_end", "protein", "distance")
 
 
+_CASES = f"""cases as (select doc_id as block, record_id, gbk_file, 'c' || doc_id % 3 as case_id, 1500 as a, 1560 as b, right(regexp_replace({_protein("substr(dna, 1, 60)")}, '\\*$', ''), 1) as core, dna as whole from long where doc_id % 4 <> 1),
+sound as (select *, greatest(0, a - 1000) as ws from cases where core <> ''), seg as (select record_id, block as doc_id, gbk_file, substr(whole, ws + 1, least(length(whole), b + 1000) - ws) as dna from sound)"""
+_BUILT = f"""with {_orf_sql(seg=_LONG.replace('seg as (', 'long as (', 1) + ', ' + _CASES)},
+found as (select s.case_id, s.record_id, s.gbk_file, o.genomic_start + s.ws as gs, o.genomic_end + s.ws as ge, o.protein, greatest(0, greatest(o.genomic_start + s.ws - s.b, s.a - o.genomic_end - s.ws))::int as distance from sound s join orfs o using (record_id) where ends_with(replace(o.protein, 'I', 'L'), replace(s.core, 'I', 'L'))),
+entries as (select s.case_id, s.record_id, s.gbk_file, count(f.protein) as match_count, median(f.distance) as md, coalesce(max(f.ge) - min(f.gs), 0) as span from sound s left join found f using (case_id, record_id) group by 1, 2, 3),
+ranked as (select *, row_number() over w as locus_rank, first_value(match_count) over w as m, first_value(md) over w as d from entries window w as (partition by case_id order by match_count desc, md asc nulls last, span, gbk_file, record_id)),
+near as (select *, match_count = m and coalesce(abs(md - d) <= 1000, false) as near_ from ranked), final as (select *, near_ and max((near_ and locus_rank > 1)::int) over (partition by case_id) = 1 as ambiguous from near)"""
+
+
+def _built(spark, sf_dir):
+    s = long_segments(spark, sf_dir).withColumnRenamed("gbk_file", "gbk_path")
+    cds = s.select("gbk_path", "record_id", F.lit(1500).alias("start"), F.lit(1560).alias("end"), F.col("record_id").alias("accession"))
+    cases = s.filter("doc_id % 4 <> 1").select(F.concat(F.lit("c"), (F.col("doc_id") % 3).cast("string")).alias("case_id"), F.col("record_id").alias("accession"), F.right(seq.translate_bacterial(F.substring("sequence", 1, 60)), F.lit(1)).alias("core"))
+    return curation.build_dataset(cds, cases, s.select("gbk_path", "record_id", "sequence"), flank=1000)
+
+
+@query(f"{_BUILT} select f.case_id, f.record_id, f.gs as genomic_start, f.ge as genomic_end, f.protein, f.distance, r.locus_rank::int as locus_rank from found f join final r using (case_id, record_id) where r.match_count > 0 and (r.locus_rank = 1 or r.ambiguous)")
+def dataset_build(spark, sf_dir):
+    return _built(spark, sf_dir)[0].select("case_id", "record_id", "genomic_start", "genomic_end", "protein", "distance", "locus_rank")
+
+
+@query(f"{_BUILT} select case_id, record_id, match_count, md::double as median_distance, span::int as locus_span, locus_rank::int as locus_rank, ambiguous from final")
+def dataset_build_loci(spark, sf_dir):
+    return _built(spark, sf_dir)[1].select("case_id", "record_id", "match_count", F.col("median_distance").cast("double").alias("median_distance"), "locus_span", "locus_rank", "ambiguous")
+
+
 @query("select lower(trim(p_name)) as name, coalesce(nullif(trim(p_type), ''), nullif(trim(p_brand), '')) as kind from part")
 def curated_aliases(spark, sf_dir):
     t = curation.curated_table(read(spark, sf_dir, "part"), {"name": ["p_name"], "kind": ["p_type", "p_brand"]})
@@ -641,36 +832,23 @@ def fasta_format(spark, sf_dir):
     return fasta.format_fasta(segments(spark, sf_dir).withColumnRenamed("record_id", "id"), 80)
 
 
-@query("""select p_partkey, case when contains(p, 'b2 protein') or contains(p, 'peptidase') or contains(p, 'protease') then 'peptidase' when contains(p, 'precursor') or contains(p, 'lasso') then 'precursor' when contains(p, 'export') or contains(p, 'transporter') or contains(p, 'abc') then 'transporter' when contains(p, 'regulator') or contains(p, 'transcription') then 'regulator' else 'other' end as class
-from (select p_partkey, lower(p_type || case p_partkey % 4 when 0 then ' ABC transporter' when 1 then ' lasso precursor' when 2 then ' regulator' else '' end) as p from part)""")
+@query("""select p_partkey, case when contains(p, 'b2 protein') or contains(p, 'peptidase') or contains(p, 'protease') then 'peptidase' when contains(p, 'precursor') or contains(p, 'knot') then 'precursor' when contains(p, 'export') or contains(p, 'transporter') or contains(p, 'abc') then 'transporter' when contains(p, 'regulator') or contains(p, 'transcription') then 'regulator' else 'other' end as class
+from (select p_partkey, lower(p_type || case p_partkey % 4 when 0 then ' ABC transporter' when 1 then ' knot peptide' when 2 then ' regulator' else '' end) as p from part)""")
 def product_classes(spark, sf_dir):
     k = F.col("p_partkey") % 4
-    name = F.concat("p_type", F.when(k == 0, " ABC transporter").when(k == 1, " lasso precursor").when(k == 2, " regulator").otherwise(""))
-    return read(spark, sf_dir, "part").select("p_partkey", text.product_class(name).alias("class"))
-
-
-@query("select source, lang, count(*) as records, sum(n_chars)::bigint as length_nt, max(n_chars) as longest from documents group by 1, 2")
-def segment_totals(spark, sf_dir):
-    return read(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("records"), F.sum("n_chars").alias("length_nt"), F.max("n_chars").alias("longest"))
-
-
-@query("select o_custkey, string_agg(o_orderkey::varchar, ',' order by o_orderkey) as sequences, count(*) as n from orders group by 1")
-def accession_lists(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("l"), F.count("*").alias("n"))
-    return o.select("o_custkey", F.array_join(F.transform("l", lambda x: x.cast("string")), ",").alias("sequences"), "n")
-
-
+    name = F.concat("p_type", F.when(k == 0, " ABC transporter").when(k == 1, " knot peptide").when(k == 2, " regulator").otherwise(""))
+    return read(spark, sf_dir, "part").select("p_partkey", text.product_class(name, {"precursor": ["knot"]}).alias("class"))
 
 
 # ---------------------------------------------------------------- regions, instances, rows of the conservation test
 
-@query(f"""with {_SEG}, r as (select *, case when doc_id % 3 = 0 then [{{'s': 10, 'e': 60}}, {{'s': 100, 'e': 400}}] when doc_id % 3 = 1 then [{{'s': 20, 'e': 90}}] end as ranges, case when doc_id % 2 = 0 then 'lasso' end as src from seg),
-w as (select record_id, dna, unnest(case when ranges is not null and coalesce(src, '') <> 'lasso' then ranges else [{{'s': 0, 'e': length(dna)}}] end) as w from r)
+@query(f"""with {_SEG}, r as (select *, case when doc_id % 3 = 0 then [{{'s': 10, 'e': 60}}, {{'s': 100, 'e': 400}}] when doc_id % 3 = 1 then [{{'s': 20, 'e': 90}}] end as ranges, case when doc_id % 2 = 0 then 'product' end as src from seg),
+w as (select record_id, dna, unnest(case when ranges is not null and coalesce(src, '') <> 'product' then ranges else [{{'s': 0, 'e': length(dna)}}] end) as w from r)
 select record_id, greatest(0, w.s)::int as window_start, substr(dna, (w.s + 1)::int, (least(length(dna), w.e) - w.s)::int) as sequence from w where least(length(dna), w.e) > w.s""")
 def region_windows(spark, sf_dir):
     k = F.col("doc_id") % 3
     one = lambda s, e: F.struct(F.lit(s).alias("start"), F.lit(e).alias("end"))
-    s = segments(spark, sf_dir).withColumn("region_ranges", F.when(k == 0, F.array(one(10, 60), one(100, 400))).when(k == 1, F.array(one(20, 90)))).withColumn("region_source", F.when(F.col("doc_id") % 2 == 0, "lasso"))
+    s = segments(spark, sf_dir).withColumn("region_ranges", F.when(k == 0, F.array(one(10, 60), one(100, 400))).when(k == 1, F.array(one(20, 90)))).withColumn("region_source", F.when(F.col("doc_id") % 2 == 0, orf.PRODUCT))
     return orf.windows_of(s).select("record_id", "window_start", "sequence")
 
 
@@ -694,11 +872,10 @@ def altframe_hits(spark, sf_dir):
     return _hits(spark, sf_dir).select("gbk_file", "record_id", "gene_name", "orf_strand", "orf_frame", "orf_start", "orf_end", "match_type")
 
 
-@query("select l_orderkey, l_linenumber, z::double as z_score from (select *, case when l_linenumber = 4 then null else round((l_quantity - 25.0) / 10.0, 6) end as z from lineitem where l_linenumber <= 4) order by z desc nulls last, l_orderkey, l_linenumber limit 100")
+@query("select l_orderkey, l_linenumber, z::double as z_score from (select *, case when l_linenumber = 4 then null else round((l_quantity - 25.0) / 10.0, 6) end as z from lineitem) order by z desc nulls last, l_orderkey, l_linenumber limit 100")
 def z_ranking(spark, sf_dir):
-    t = read(spark, sf_dir, "lineitem").filter("l_linenumber <= 4").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") == 4, F.lit(float("nan"))).otherwise(F.round((F.col("l_quantity") - 25.0) / 10.0, 6)).alias("z_score"))
-    key = F.when(F.isnan("z_score"), None).otherwise(F.col("z_score"))
-    return rank.top_k(t.withColumn("z_score", key), [F.col("z_score").desc_nulls_last(), F.col("l_orderkey"), F.col("l_linenumber")], 100)
+    t = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") == 4, F.lit(float("nan"))).otherwise(F.round((F.col("l_quantity") - 25.0) / 10.0, 6)).alias("z_score"))
+    return rank.by_z(t, "l_orderkey", "l_linenumber").limit(100)
 
 
 @query("select o_orderkey, case when o_custkey % 4 > 0 then sum((o_custkey % 4 > 0)::int) over (partition by o_custkey % 50 order by o_totalprice desc, o_orderkey rows unbounded preceding) end::bigint as rank_cut, (o_orderkey % 100 + 1)::bigint as shown_start from orders")

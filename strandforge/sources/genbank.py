@@ -1,4 +1,4 @@
-"""GenBank flat files as a Python data source, with an own parser."""
+"""GenBank: whole files through Spark's binary reader (2 GB each at most), parsed in the executors."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandforge.operators.orf import dedupe_record_ids
+from strandforge.operators.orf import PRODUCT, dedupe_record_ids
 
 EXTENSIONS = "*.{gb,gbk,gbff,genbank}"
 FEATURE = "struct<type:string,start:int,end:int,strand:string,ordinal:int,qualifiers:map<string,array<string>>>"
@@ -99,20 +99,20 @@ def read_genbank(spark: SparkSession, path: str | list[str], record_limit: int |
     return files.select("path", "content").mapInPandas(run, SCHEMA)
 
 
-def segments(records: DataFrame, word: str = "lasso") -> DataFrame:
-    """record_id, index, sequence, cds, region_ranges, region_source, is_lasso, gbk_file of sound records; ids made unique."""
+def segments(records: DataFrame, word: str) -> DataFrame:
+    """record_id, index, sequence, cds, region_ranges, region_source, is_target, gbk_file of sound records; targets are those with a region or cluster whose product has ``word``."""
     value = lambda f, k: F.element_at(F.try_element_at(f["qualifiers"], F.lit(k)), 1)
     cds = F.transform(F.filter("features", lambda f: f["type"] == "CDS"), lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"), f["strand"].alias("strand"), *(value(f, k).alias(n) for k, n in (("translation", "translation"), ("protein_id", "protein_id"), ("locus_tag", "locus_tag"), ("product", "product"), ("gene", "gene_name")))))
     products = lambda f: F.coalesce(F.try_element_at(f["qualifiers"], F.lit("product")), F.try_element_at(f["qualifiers"], F.lit("products")), F.array().cast("array<string>"))
     mine = F.filter("features", lambda f: f["type"].isin("region", "cluster") & F.exists(products(f), lambda p: F.contains(F.lower(p), F.lit(word))) & (f["end"] > f["start"]))
     out = records.filter("corrupt is null").withColumn("cds", cds).withColumn("region_ranges", F.transform(mine, lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"))))
-    out = out.withColumn("is_lasso", F.size("region_ranges") > 0).withColumn("region_source", F.when(F.col("is_lasso"), word))
-    return out.select("record_id", F.col("record_index").alias("index"), "sequence", "cds", "region_ranges", "region_source", "is_lasso", "gbk_file")
+    out = out.withColumn("is_target", F.size("region_ranges") > 0).withColumn("region_source", F.when(F.col("is_target"), PRODUCT))
+    return out.select("record_id", F.col("record_index").alias("index"), "sequence", "cds", "region_ranges", "region_source", "is_target", "gbk_file")
 
 
-def folder_segments(spark: SparkSession, path: str, **options) -> DataFrame:
+def folder_segments(spark: SparkSession, path: str, word: str, **options) -> DataFrame:
     """All segments of a folder by file and record, with unique ids."""
-    own = segments(read_genbank(spark, path, **options)).withColumn("_o", F.struct("gbk_file", "index"))
+    own = segments(read_genbank(spark, path, **options), word).withColumn("_o", F.struct("gbk_file", "index"))
     return dedupe_record_ids(own, "_o").drop("_o")
 
 

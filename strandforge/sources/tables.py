@@ -7,15 +7,23 @@ from pathlib import PurePosixPath
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandforge.functions.text import normalise_accession
+from strandforge.functions.text import header_token, normalise_accession
 from strandforge.sources.fasta import read_fasta
 
+#: Fields of a dataset.
 DATASET = "name string, sequence string, full_precursor string, leader string, core string, source string, validation_status string"
 PROTECTED = ("training", "validation")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def read_dataset(spark: SparkSession, path: str, schema: str | None = DATASET) -> DataFrame:
-    """CSV, TSV or JSON by suffix, any other as CSV; broken lines are skipped."""
+    """CSV, TSV or JSON by suffix, any other as CSV; broken lines are skipped, a path that isn't there is an empty table."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema or DATASET)
     suffix = PurePosixPath(path).suffix.lower()
     reader = spark.read if schema is None else spark.read.schema(schema)
     if suffix == ".json":
@@ -85,7 +93,7 @@ def html_rows(html: Column) -> Column:
     return F.filter(cells, lambda r: F.size(r) > 0)
 
 
-#: Fields of a class table: name, cell, and whether it is the text, the link or an accession.
+#: Fields of a class table: name, cell, and whether it is the text, the link or an accession.
 CLASS_FIELDS = [
     ("ambler_class", 0, "text"), ("protein_name", 1, "text"), ("alt_names", 2, "text"), ("subfamily", 3, "text"), ("genpept_id", 4, "id"), ("genpept_link", 4, "href"), ("genbank_id", 5, "id"), ("genbank_link", 5, "href"),
     ("pubmed", 6, "text"), ("sequence_link", 7, "href"), ("pdb_count", 8, "text"), ("mutants", 9, "text"), ("phenotype", 10, "text"), ("functional_info", 11, "text"), ("natural_or_acquired", 12, "text"),
@@ -98,7 +106,7 @@ def class_table(pages: DataFrame, wanted: str = "A", least: int = 8) -> DataFram
 
     def field(cell: int, kind: str) -> Column:
         value = F.coalesce(F.try_element_at("cells", F.lit(cell + 1))["href" if kind == "href" else "text"], F.lit(""))
-        return normalise_accession(value, unknown_is_empty=False, drop_version=False, no_break_spaces=True) if kind == "id" else value
+        return normalise_accession(value, unknown_is_empty=False, drop_version=False) if kind == "id" else value
 
     return rows.select("row", *(field(cell, kind).alias(name) for name, cell, kind in CLASS_FIELDS))
 
@@ -123,26 +131,58 @@ def region_rows(regions: DataFrame, base: str, cluster_base: str) -> DataFrame:
     )
 
 
-PREFERRED = ["record_id", "candidate_id", "rank", "protein", "aa_len", "strand", "frame", "genomic_start", "genomic_end", "start_codon", "is_alt_start", "best_similarity", "best_match_id", "top_n_mean_similarity", "embedding_score", "combined_score", "rule_score_raw", "rule_orientation", "is_known_precursor", "genome_count", "source_file"]
+#: The flat export's columns, in their order; the segment's target flag is the second.
+FLAT = [
+    "record_id", "is_target", "candidate_id", "protein_sequence", "dna_sequence", "aa_length", "frame", "strand", "genomic_start", "genomic_end", "start_codon",
+    "is_alt_start", "best_similarity", "best_match_id", "top_n_mean_similarity", "embedding_score", "combined_score", "rule_score_raw", "rule_orientation", "is_known_precursor", "genome_count",
+]
+#: Fields of a candidate and of a coding sequence in the nested export.
+CANDIDATE = [
+    "candidate_id", "protein_sequence", "dna_sequence", "aa_length", "strand", "frame", "genomic_start", "genomic_end",
+    "best_similarity", "best_match_id", "top_n_mean_similarity", "embedding_score", "is_known_precursor", "rule_orientation", "rule_score_raw", "genome_count",
+]
+CODING = ["start", "end", "strand", "translation", "protein_id", "locus_tag", "product"]
+
+
+def _exported(results: DataFrame) -> DataFrame:
+    """The plan's columns under the export's names."""
+    return results.withColumnsRenamed({"protein": "protein_sequence", "dna": "dna_sequence", "aa_len": "aa_length"})
 
 
-def flat_results(results: DataFrame) -> DataFrame:
-    """The known columns first, in their order, then the rest."""
-    first = [c for c in PREFERRED if c in results.columns]
-    return results.select(*first, *(c for c in results.columns if c not in first))
+def flat_results(results: DataFrame, segments: DataFrame | None = None) -> DataFrame:
+    """A row for each candidate: the known columns first, in their order, then the rest.  ``segments`` (record_id, is_target) brings the flag."""
+    out = _exported(results)
+    if segments is not None and "is_target" not in out.columns:
+        out = out.join(segments.select("record_id", "is_target"), "record_id")
+    first = [c for c in FLAT if c in out.columns]
+    return out.select(*first, *(c for c in out.columns if c not in first))
 
 
-def nested_results(segments: DataFrame, results: DataFrame) -> DataFrame:
-    """One JSON document a record: its coding sequences, and its candidates by rank."""
-    fields = [c for c in PREFERRED if c in results.columns and c != "record_id"]
-    lists = results.groupBy("record_id").agg(F.sort_array(F.collect_list(F.struct("rank", *(c for c in fields if c != "rank")))).alias("candidates"))
-    cds = F.transform("cds", lambda c: c.withField("length_nt", F.greatest(F.lit(0), c["end"] - c["start"]))).alias("annotated_cds") if "cds" in segments.columns else F.lit(None).cast("string").alias("annotated_cds")
-    joined = segments.join(lists, "record_id")  # a record without candidates isn't exported
-    return joined.select("record_id", F.to_json(F.struct("record_id", F.lit("0-based half-open").alias("coordinate_system"), cds, "candidates")).alias("json"))
+def nested_results(segments: DataFrame, results: DataFrame, metadata: dict[str, str] | None = None) -> DataFrame:
+    """One row a record that has candidates: its facts, its candidates by rank and its coding sequences; ``json`` is all of it as one document.
+
+    A field that the plan lacks is null.  A record's candidates and coding sequences are one row.
+    """
+    out = _exported(results)
+    fields = lambda names, have, of: [(of(c) if c in have else F.lit(None).cast("string")).alias(c) for c in names]
+    lists = out.groupBy("record_id").agg(F.sort_array(F.collect_list(F.struct("rank", F.struct(*fields(CANDIDATE, out.columns, F.col)).alias("c")))).alias("_ranked"))
+    lists = lists.select("record_id", F.transform("_ranked", lambda x: x["c"]).alias("candidates"))
+    if "cds" in segments.columns:
+        have = segments.schema["cds"].dataType.elementType.names
+        coding = F.transform(F.coalesce("cds", F.array()), lambda c: F.struct(*fields(CODING, have, lambda n: c[n]), F.greatest(F.lit(0), c["end"] - c["start"]).alias("length_nt")))
+    else:
+        coding = F.array().cast("array<struct<start:int,end:int,strand:string,translation:string,protein_id:string,locus_tag:string,product:string,length_nt:int>>")
+    told = F.create_map(*(F.lit(x) for pair in sorted((metadata or {}).items()) for x in pair)) if metadata else F.lit(None).cast("map<string,string>")
+    source = F.col("source_file") if "source_file" in segments.columns else F.col("gbk_file") if "gbk_file" in segments.columns else F.lit(None).cast("string")
+    whole = segments.withColumn("_coding", coding).join(lists, "record_id").select(
+        "record_id", "is_target", F.length("sequence").alias("segment_length_nt"), F.size("_coding").alias("num_annotated_cds"), F.size("candidates").alias("num_candidates"), "candidates",
+        F.col("_coding").alias("annotated_cds"), source.alias("source_file"), F.lit("0-based half-open").alias("coordinate_system"), told.alias("pipeline_metadata"),
+    )
+    return whole.withColumn("json", F.to_json(F.struct(*whole.columns), {"ignoreNullFields": "false"}))
 
 
 def segment_summary(segments: DataFrame) -> DataFrame:
-    return segments.select("record_id", "gbk_file", F.length("sequence").alias("length_nt"), F.size("cds").alias("num_cds"), "is_lasso")
+    return segments.select("record_id", "gbk_file", F.length("sequence").alias("length_nt"), F.size("cds").alias("num_cds"), "is_target")
 
 
 def list_sets(spark: SparkSession, path: str, pattern: str = "*", protected: tuple[str, ...] = PROTECTED) -> DataFrame:
@@ -150,3 +190,53 @@ def list_sets(spark: SparkSession, path: str, pattern: str = "*", protected: tup
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "length")
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
     return files.select(name.alias("name"), "path", F.col("length").alias("bytes")).filter(~F.col("name").isin(*protected))
+
+
+#: Columns that a table of loci must have.
+LOCI = ["gene_name", "match_type", "orf_strand", "orf_frame", "bin_start", "bin_end"]
+
+
+def read_loci(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """Loci of a TSV, the highest z_score first where there is one, ``limit`` of them; a missing column is an error.
+
+    Bins are called as in the conservation test.  Rows that tie in z keep the order of their keys.
+    """
+    raw = spark.read.csv(path, sep="\t", header=True)
+    if missing := sorted(set(LOCI) - set(raw.columns)):
+        raise ValueError(f"loci without {', '.join(missing)}")
+    z = F.expr("try_cast(z_score as double)") if "z_score" in raw.columns else F.lit(None).cast("double")
+    own = raw.select("gene_name", "match_type", "orf_strand", F.col("orf_frame").cast("int"), F.col("bin_start").cast("int").alias("bin_first"), F.col("bin_end").cast("int").alias("bin_last"), z.alias("z_score"))
+    own = own.orderBy(F.when(F.isnan("z_score"), None).otherwise(F.col("z_score")).desc_nulls_last(), "gene_name", "match_type", "orf_strand", "orf_frame", "bin_first", "bin_last")
+    return own if limit is None else own.limit(limit)
+
+
+def sequences_by_accession(entries: DataFrame, key: str = "pep") -> DataFrame:
+    """(accession, sequences, n): the sequences of every accession that headers name by ``key=``, in order.  ``entries``: id, sequence."""
+    named = entries.withColumn("accession", normalise_accession(header_token(F.col("id"), key))).filter("accession <> ''")
+    return named.groupBy("accession").agg(F.sort_array(F.collect_list("sequence")).alias("sequences"), F.count("*").alias("n"))
+
+
+def with_table_rows(fasta: DataFrame, table: DataFrame, accession: str = "accession") -> DataFrame:
+    """FASTA records with their row of a table by accession; a record without one keeps nulls.  ``fasta``: id, sequence."""
+    own = fasta.withColumn("_a", F.element_at(F.split("id", r"\s+"), 1))
+    once = table.dropDuplicates([accession]).withColumnRenamed(accession, "_b")
+    joined = own.join(once, F.col("_a") == F.col("_b"), "left")
+    return joined.select(F.col("_a").alias("accession"), "sequence", F.length("sequence").alias("sequence_length"), *(c for c in once.columns if c != "_b"))
+
+
+def matched_accessions(wanted: DataFrame, found: DataFrame) -> DataFrame:
+    """One row: accessions that were wanted, and those of them that were found."""
+    every = wanted.select("accession").distinct().join(found.select("accession").distinct().withColumn("_f", F.lit(1)), "accession", "left")
+    return every.agg(F.count("*").alias("wanted"), F.count("_f").alias("matched"))
+
+
+def write_benchmark(ranks: DataFrame, held_out: DataFrame, summary: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A benchmark's three outputs: ranks by locus and held-out candidates as TSV, the summary as JSON."""
+    ranks.write.mode(mode).csv(f"{path}/holdout_topk", sep="\t", header=True)
+    held_out.write.mode(mode).csv(f"{path}/holdout_candidates", sep="\t", header=True)
+    summary.write.mode(mode).json(f"{path}/holdout_summary")
+
+
+def write_selection(selection: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Selected candidates as JSON lines; FASTA goes through ``write_fasta``."""
+    selection.write.mode(mode).json(path)

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from strandforge.functions import seq
 from strandforge.operators import conservation, curation, evaluate, index, orf, rank, rules, similarity, viewer
 from strandforge.plans import pipeline
 
@@ -46,13 +47,13 @@ def test_nested_starts_share_a_stop(spark):
 
 
 def test_windows_and_ids(spark):
-    s = spark.createDataFrame([("a", "ACGTACGTAC", [(2, 6)], "x"), ("b", "ACGTACGTAC", [(2, 6)], "lasso"), ("c", "ACGT", None, None)], "record_id string, sequence string, region_ranges array<struct<start:int,end:int>>, region_source string")
+    s = spark.createDataFrame([("a", "ACGTACGTAC", [(2, 6)], "x"), ("b", "ACGTACGTAC", [(2, 6)], "product"), ("c", "ACGT", None, None)], "record_id string, sequence string, region_ranges array<struct<start:int,end:int>>, region_source string")
     assert [(r.record_id, r.window_start, r.sequence) for r in orf.windows_of(s).orderBy("record_id").collect()] == [("a", 2, "GTAC"), ("b", 0, "ACGTACGTAC"), ("c", 0, "ACGT")]
     assert orf.windows_of(s, True).filter("record_id = 'b'").first().window_start == 2
     ids = spark.createDataFrame([(1, "rec"), (2, " rec "), (3, None), (4, "rec")], "index int, record_id string")
     assert [r.record_id for r in orf.dedupe_record_ids(ids).orderBy("index").collect()] == ["rec", "rec__2", "segment_3", "rec__3"]
-    f = spark.createDataFrame([("g", "r", 1, "region", ["Lasso"], 0, 5), ("g", "r", 2, "region", ["lasso"], 5, 5), ("g", "r", 3, "cluster", ["lassopeptide"], 5, 9), ("g", "r", 4, "CDS", ["lasso"], 5, 9)], "gbk_file string, record_id string, ordinal int, type string, products array<string>, start int, end int")
-    assert [(r.region_index, r.region_start) for r in orf.indexed_regions(f).orderBy("region_index").collect()] == [(1, 0), (2, 5)]
+    f = spark.createDataFrame([("g", "r", 1, "region", ["Knot"], 0, 5), ("g", "r", 2, "region", ["knot"], 5, 5), ("g", "r", 3, "cluster", ["knotpeptide"], 5, 9), ("g", "r", 4, "CDS", ["knot"], 5, 9)], "gbk_file string, record_id string, ordinal int, type string, products array<string>, start int, end int")
+    assert [(r.region_index, r.region_start) for r in orf.indexed_regions(f, "knot").orderBy("region_index").collect()] == [(1, 0), (2, 5)]
 
 
 def score(spark, leader, core, names, inverted=False):
@@ -184,7 +185,9 @@ def test_index_and_stream(spark, tmp_path):
         spark.createDataFrame(rows, index_stream.SEGMENTS).write.mode("append").parquet(src)
         index_stream.run_index_stream(index_stream.segment_stream(spark, src), out, check, min_aa=5).awaitTermination()
     stream = {tuple(r) for r in index_stream.read_index(spark, out).select("protein", "instance_count", "genome_count").collect()}
-    batch = pipeline.index_pipeline(spark.read.parquet(src), min_aa=5)
+    records = spark.read.parquet(src).withColumn("gbk_file", F.col("record_id"))
+    whole = records.select("gbk_file", "record_id", F.lit(1).alias("ordinal"), F.lit("region").alias("type"), F.array(F.lit("knot")).alias("products"), F.lit(0).alias("start"), F.length("sequence").alias("end"))
+    batch = pipeline.index_pipeline(records, whole, "knot", min_aa=5)
     assert stream == {tuple(r) for r in batch.select("protein", "instance_count", "genome_count").collect()}
 
 
@@ -213,3 +216,113 @@ def test_missing_score_is_an_error(spark):
         pipeline.checked_join(c, s).collect()
     with pytest.raises(ValueError):
         pipeline.Config(score_mode="other")
+
+
+def test_retrieval_benchmark_against_a_plain_one(spark, sf):
+    from strandforge import queries
+
+    docs = spark.createDataFrame(queries.segments(spark, sf).orderBy("doc_id").limit(40).toPandas())
+    records = docs.select(F.col("gbk_file").alias("gbk_path"), "record_id", "sequence")
+    cds = records.select("gbk_path", "record_id", F.lit(100).alias("start"), F.lit(160).alias("end"), F.concat(F.lit("a"), F.pmod(F.hash("record_id"), F.lit(4)).cast("string")).alias("accession"))
+    found = orf.with_protein(orf.orfs(records.withColumn("window_start", F.lit(0)))).select("record_id", "protein").collect()
+    acc = {r.record_id: r.accession for r in cds.collect()}
+    vec = lambda p: [((len(p) * (k + 3) + ord(p[k % len(p)]) * 7) % 23) / 23 + 0.01 for k in range(6)]
+    proteins = sorted({r.protein for r in found})
+    longest = {}
+    for r in sorted(found, key=lambda r: (len(r.protein), r.protein)):
+        longest[r.record_id] = r.protein
+    refs = sorted({(acc[i], p) for i, p in longest.items()})
+    references = spark.createDataFrame([(a, p, f"r{k}", k, vec(p)) for k, (a, p) in enumerate(refs)], "accession string, sequence string, ref_id string, ref_ord long, embedding array<double>")
+    embeddings = spark.createDataFrame([(p, vec(p)) for p in proteins], "protein string, embedding array<double>")
+    ranks, held, summary = evaluate.retrieval_benchmark(records, cds, references, embeddings, full_genome=True)
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) ** 0.5 * sum(y * y for y in b) ** 0.5)
+    want = {}
+    for i, a in acc.items():
+        mine = [r.protein for r in found if r.record_id == i]
+        own = {p for b, p in refs if b == a}
+        if not own & set(mine):
+            continue
+        score = [(max(cos(vec(p), vec(q)) for b, q in refs if b != a), p in own) for p in mine]
+        top = max(s for s, h in score if h)
+        want[i] = (1 + sum(s > top + 1e-9 for s, _ in score), sum(s > top - 1e-9 for s, _ in score), len(mine), sum(h for _, h in score))
+    got = {r.locus.split(":")[1]: r for r in ranks.collect()}
+    assert set(got) == set(want) and len(want) >= 20
+    for i, (low, high, n, h) in want.items():
+        assert low <= got[i]["rank"] <= high and got[i].candidate_count == n and got[i].holdout_match_count == h
+    s = summary.first()
+    assert s.loci == len(want) <= s.loci_total == 40 and 0 <= s.recall_1 <= s.recall_5 <= 1 and s.sequences >= 1
+    assert held.count() >= len(want) and {"rank", "rank_rule7", "rank_rule8"} <= set(held.columns)
+    assert evaluate.retrieval_benchmark(records, cds, references, embeddings, flank=20, strict=True)[2].first().loci <= len(want)
+
+
+def test_an_empty_target_set_is_an_error(spark):
+    s = spark.createDataFrame([("a", "ACGT" * 40, False)], "record_id string, sequence string, is_target boolean").withColumn("region_ranges", F.lit(None).cast("array<struct<start:int,end:int>>")).withColumn("region_source", F.lit(None).cast("string"))
+    with pytest.raises(ValueError, match="no target"):
+        pipeline.extract_candidates(s, pipeline.Config(target_only=True))
+
+
+def test_given_loci_and_frame_mode(spark, sf):
+    from strandforge import queries
+
+    hits, cds = queries._hits(spark, sf), queries._cds(spark, sf)
+    top = conservation.select_loci(conservation.locus_keys(hits), 2, 3)
+    whole = {tuple(r[c] for c in conservation.LOCUS): r for r in conservation.conservation_test(hits, cds, limit=3, iterations=5, seed=1).collect()}
+    given = {tuple(r[c] for c in conservation.LOCUS): r for r in conservation.conservation_test(hits, cds, iterations=5, seed=1, loci=top).collect()}
+    assert whole == given and len(given) == 3
+    unseen = top.withColumn("gene_name", F.lit("no gene"))
+    assert conservation.conservation_test(hits, cds, iterations=2, loci=unseen).count() == 0
+    raw = spark.createDataFrame([("g", "1", "2", "3", "4", "x"), ("g", "1", "2", "3", "4", "5")], "gene_name string, orf_frame string, gene_start string, gene_end string, orf_start string, orf_end string")
+    assert conservation.clean_hits(raw).count() == 1
+
+
+def test_conservation_against_a_plain_null(spark, sf):
+    """Survival, identity and the null of one locus, codon by codon."""
+    import hashlib
+
+    from strandforge import queries
+
+    hits, cds = queries._hits(spark, sf), queries._cds(spark, sf)
+    got = conservation.conservation_test(hits, cds, limit=4, iterations=6, seed=3).collect()
+    genes = {r.record_id: r for r in cds.collect()}
+    comp = str.maketrans("ACGT", "TGCA")
+    code = {a + b + c: seq.AMINO[16 * i + 4 * j + k] for i, a in enumerate("TCAG") for j, b in enumerate("TCAG") for k, c in enumerate("TCAG")}
+
+    def peptide(bases, r):
+        own = bases[::-1].translate(comp) if r.orf_strand == "-" else bases
+        off = (abs(r.orf_frame) - 1) % 3 if r.orf_strand == "-" else r.orf_frame % 3
+        return "".join(code[own[k : k + 3]] for k in range(off, len(own) - 2, 3))
+
+    def identity(peps):
+        alive = [p for p in peps if p and "*" not in p]
+        pairs = [(a, b) for i, a in enumerate(alive) for b in alive[i + 1 :]]
+        return sum(sum(x == y for x, y in zip(a, b)) / min(len(a), len(b)) for a, b in pairs) / len(pairs) if pairs else None
+
+    for r in got:
+        own = [g for g in genes.values() if g.gene == r.gene_name]
+        s, e = -(-r.bin_first * 192 // 20), -(-(r.bin_last + 1) * 192 // 20)
+        peps = [peptide(g.genomic[s:e], r) for g in own]
+        assert r.evaluated_instances == len(own) and r.survival == pytest.approx(sum(bool(p) and "*" not in p for p in peps) / len(peps))
+        assert r.identity == pytest.approx(identity(peps)) if identity(peps) is not None else r.identity is None
+        null = []
+        for it in range(1, 7):
+            moved = []
+            for g in own:
+                cds_ = g.genomic[::-1].translate(comp) if g.strand == "-" else g.genomic
+                cells = [cds_[k : k + 3] for k in range(0, 192, 3)]
+                free = {}
+                for i, c in enumerate(cells, 1):
+                    if i > 1 and code[c] != "*":
+                        free.setdefault(code[c], []).append(i)
+                key = lambda i, g=g, it=it: hashlib.md5(":".join(map(str, [3, r.gene_name, f"{g.gbk_file}::{g.record_id}", g.start, it, i])).encode()).hexdigest()
+                out = list(cells)
+                for places in free.values():
+                    for to, i in zip(places, sorted(places, key=lambda i: (key(i), i))):
+                        out[to - 1] = cells[i - 1]
+                text = "".join(out)
+                moved.append(peptide((text[::-1].translate(comp) if g.strand == "-" else text)[s:e], r))
+            null.append(identity(moved))
+        told = [x for x in null if x is not None]
+        if told:
+            assert r.null_mean == pytest.approx(sum(told) / len(told))
+            if r.identity is not None:
+                assert r.p_value == pytest.approx((sum(x >= r.identity - 1e-12 for x in told) + 1) / (len(told) + 1))

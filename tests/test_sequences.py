@@ -73,7 +73,7 @@ def test_text_functions(spark):
         text.slug(F.lit("  A b/C ")).alias("d"), text.slug(F.lit("///")).alias("e"), text.header_token(F.lit("x|locus=l1|pep=p"), "pep").alias("f"),
         text.inject_locus(F.lit("a|b=1"), F.lit("L")).alias("g"), text.inject_locus(F.lit("a|locus=Z|b"), F.lit("L")).alias("h"), text.accession_or_link(F.lit(" "), F.lit("http://x/y/ABC_1/?q")).alias("i"),
         text.candidate_id(F.lit("r"), F.lit(7)).alias("j"), text.candidate_id(F.lit("r"), F.lit(12345)).alias("k"), text.confidence(F.lit(8.0)).alias("l"), text.hit_at(F.lit(None).cast("int"), 5).alias("m"),
-        text.frame_label(F.lit("-"), F.lit(-2)).alias("n"), text.frame_label(F.lit("+"), F.lit(0)).alias("o"), text.product_class(F.lit("Lasso precursor B2 protein")).alias("p"), text.product_class(F.lit(None).cast("string")).alias("q"),
+        text.frame_label(F.lit("-"), F.lit(-2)).alias("n"), text.frame_label(F.lit("+"), F.lit(0)).alias("o"), text.product_class(F.lit("Knot precursor B2 protein")).alias("p"), text.product_class(F.lit(None).cast("string")).alias("q"),
     )
     assert got == ("WP_1", "", "WP_031104469.1c", "a_bc", "unnamed", "p", "a|locus=L|b=1", "a|locus=Z|b", "ABC_1", "r|orf0007", "r|orf12345", "high", 0, "-2", "+0", "peptidase", "other")
     assert one(spark, text.occurrences(F.lit("AAAA"), F.lit("AA")).alias("a"), text.core_matches(F.lit("ILV"), F.lit("LLV")).alias("b"), text.core_matches(F.lit(""), F.lit("")).alias("c"), text.core_is_suffix(F.lit("MKGGIXX"), F.lit("GGL"), 2).alias("d")) == ([0, 1, 2], True, False, True)

@@ -12,7 +12,7 @@ VERSION     REC1.2
 FEATURES             Location/Qualifiers
      source          1..40
      region          5..30
-                     /product="Lassopeptide
+                     /product="Knotpeptide
                      cluster"
      CDS             complement(4..12)
                      /gene="abcA"
@@ -43,15 +43,15 @@ def test_genbank(spark, tmp_path):
     assert r.filter("corrupt is not null").count() == 1
     assert [x.record_id for x in r.filter("corrupt is null").orderBy("record_index").collect()] == ["REC1.2", "REC2"]
     assert genbank.read_genbank(spark, str(tmp_path), 1).filter("corrupt is null").count() == 1
-    s = genbank.folder_segments(spark, str(tmp_path)).orderBy("index").collect()
-    assert s[0].is_lasso and not s[1].is_lasso and len(s[0].sequence) == 40
+    s = genbank.folder_segments(spark, str(tmp_path), "knot").orderBy("index").collect()
+    assert s[0].is_target and not s[1].is_target and len(s[0].sequence) == 40
     assert [tuple(x) for x in s[0].region_ranges] == [(4, 30)]
     a, b = s[0].cds
     assert (a.start, a.end, a.strand, a.gene_name, a.translation, a.product) == (3, 12, "-", "abcA", "MKVLLA", 'a "quoted" name')
     assert (b.start, b.end, b.strand, b.locus_tag) == (0, 21, "+", "t_2")
     c = genbank.cds_features(r).filter("gene = 'abcA'").first()
     assert (c.codon_start, c.genomic) == ("2", "AAACCCTTT")
-    assert tables.segment_summary(genbank.segments(r)).filter("record_id = 'REC1.2'").first().num_cds == 2
+    assert tables.segment_summary(genbank.segments(r, "knot")).filter("record_id = 'REC1.2'").first().num_cds == 2
 
 
 def test_locations():
@@ -119,3 +119,50 @@ def test_region_rows(spark):
     a, b = tables.region_rows(df, "http://h", "http://m").collect()
     assert (a.cluster_url, a.gbk_url, a.mibig_url) == ("http://h/output/NC_1/index.html#r1c3", "http://h/output/NC_1/NC_1.gbk", "http://m/go/BGC1")
     assert (b.cluster_url, b.gbk_url, b.mibig_url, b.acc) == ("", "", "", "")
+
+
+def test_missing_dataset_is_empty(spark, tmp_path):
+    empty = tables.read_dataset(spark, str(tmp_path / "none.csv"))
+    assert empty.count() == 0 and empty.columns[:2] == ["name", "sequence"]
+
+
+def test_loci_table(spark, tmp_path):
+    at = tmp_path / "loci.tsv"
+    at.write_text("gene_name\tmatch_type\torf_strand\torf_frame\tbin_start\tbin_end\tz_score\na\tx\t+\t1\t0\t3\t1.5\nb\tx\t+\t1\t0\t3\t\nc\tx\t-\t-2\t4\t9\t7.25\n")
+    got = tables.read_loci(spark, str(at)).collect()
+    assert [(r.gene_name, r.bin_first, r.bin_last) for r in got] == [("c", 4, 9), ("a", 0, 3), ("b", 0, 3)]
+    assert tables.read_loci(spark, str(at), 1).count() == 1
+    at.write_text("gene_name\tmatch_type\na\tx\n")
+    with pytest.raises(ValueError, match="bin_end, bin_start, orf_frame, orf_strand"):
+        tables.read_loci(spark, str(at))
+
+
+def test_benchmark_outputs_and_selection(spark, tmp_path):
+    ranks = spark.createDataFrame([("l", 1)], "locus string, rank int")
+    tables.write_benchmark(ranks, ranks, ranks.selectExpr("count(*) as loci"), str(tmp_path / "b"))
+    assert spark.read.csv(str(tmp_path / "b/holdout_topk"), sep="\t", header=True).first().locus == "l"
+    assert spark.read.json(str(tmp_path / "b/holdout_summary")).first().loci == 1
+    tables.write_selection(ranks, str(tmp_path / "s"))
+    assert spark.read.json(str(tmp_path / "s")).first()["rank"] == 1
+
+
+def test_path_list_scan(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    (tmp_path / "a.gbk").write_text(GENBANK)
+    (tmp_path / "x" / "b.gb").write_text(GENBANK)
+    both = genbank.read_genbank(spark, [str(tmp_path / "a.gbk"), str(tmp_path / "x" / "b.gb")])
+    assert both.select("gbk_file").distinct().count() == 2
+
+
+def test_nested_export_has_all_fields(spark):
+    import json
+
+    s = spark.createDataFrame([("r", "ACGTACGT", True, "f.gbk", [(0, 6, "+", "MK", None, "t1", "p")])], "record_id string, sequence string, is_target boolean, source_file string, cds array<struct<start:int,end:int,strand:string,translation:string,protein_id:string,locus_tag:string,product:string>>")
+    c = spark.createDataFrame([("r", "c1", 2, "MK"), ("r", "c2", 1, "MV")], "record_id string, candidate_id string, rank int, protein string")
+    (row,) = tables.nested_results(s, c, {"model": "m"}).collect()
+    told = json.loads(row.json)
+    assert set(told) == {"record_id", "is_target", "segment_length_nt", "num_annotated_cds", "num_candidates", "candidates", "annotated_cds", "source_file", "coordinate_system", "pipeline_metadata"}
+    assert [x["candidate_id"] for x in told["candidates"]] == ["c2", "c1"] and set(told["candidates"][0]) == set(tables.CANDIDATE)
+    assert told["annotated_cds"][0]["length_nt"] == 6 and told["pipeline_metadata"] == {"model": "m"} and told["num_annotated_cds"] == 1
+    flat = tables.flat_results(c, s)
+    assert flat.columns == ["record_id", "is_target", "candidate_id", "protein_sequence", "rank"]
