@@ -25,7 +25,7 @@ def rank_candidates(scored: DataFrame, record: str = "record_id", mode: str = "t
         out = out.join(raw, F.upper(F.trim("protein")) == F.col("_seq")).drop("_seq").filter(F.col("rule_score_raw") >= min_rule_score)
     else:
         out = out.withColumn("rule_score_raw", F.lit(None).cast("double")).withColumn("rule_orientation", F.lit(None).cast("string"))
-    order = Window.partitionBy(record).orderBy(F.desc("embedding_score"), F.desc("best_similarity"), "ord")
+    order = Window.partitionBy(record).orderBy(F.round("embedding_score", 9).desc(), F.round("best_similarity", 9).desc(), "ord")  # what differs by rounding alone ties
     return out.withColumn("rank", F.row_number().over(order))
 
 

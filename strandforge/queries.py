@@ -508,7 +508,7 @@ emb as (select protein, (length(protein) * 7919 + ascii(substr(protein, 2, 1)) *
 best as (select candidate_id, s, ref_ord from (select *, row_number() over (partition by candidate_id order by s desc, ref_ord) r from sims) where r = 1),
 topn as (select candidate_id, avg(g) m from (select candidate_id, locus, max(s) g, row_number() over (partition by candidate_id order by max(s) desc, locus) k from sims group by candidate_id, locus) where k <= 5 group by candidate_id),
 ids as (select *, record_id || '|orf' || case when length(n::varchar) >= 4 then n::varchar else lpad(n::varchar, 4, '0') end as candidate_id from (select *, row_number() over (partition by record_id order by strand, abs(frame), nt_start + nt_len, nt_start) n from orfs)),
-ranked as (select i.*, b.ref_ord::varchar as best_match_id, b.s, t.m, row_number() over (partition by i.record_id order by t.m desc, b.s desc, i.candidate_id)::int as rank
+ranked as (select i.*, b.ref_ord::varchar as best_match_id, b.s, t.m, row_number() over (partition by i.record_id order by round(t.m, 9) desc, round(b.s, 9) desc, i.candidate_id)::int as rank
   from ids i join emb e using (protein) join best b on b.candidate_id = e.k join topn t on t.candidate_id = e.k)"""
 
 
@@ -528,7 +528,7 @@ _PROT_SITES = "sites as (select sequence, position, left(sequence, position::int
 
 
 @query(f"""{_PIPE}, {_PROT_SITES}, {_site_sql('sites')}, raw as (select sequence as protein, max(score) as raw from scored group by 1)
-select record_id, candidate_id, row_number() over (partition by record_id order by s desc, candidate_id)::int as rank, round(raw, 6) as rule_score_raw from ranked join raw using (protein) where doc_id % 2 = 0 and raw >= 2.0""")
+select record_id, candidate_id, row_number() over (partition by record_id order by round(s, 9) desc, candidate_id)::int as rank, round(raw, 6) as rule_score_raw from ranked join raw using (protein) where doc_id % 2 = 0 and raw >= 2.0""")
 def semantic_pipeline_rule_cutoff(spark, sf_dir):
     return _ranked(spark, sf_dir, min_rule_score=2.0, score_mode="best_similarity", target_only=True).select("record_id", "candidate_id", "rank", F.round("rule_score_raw", 6).alias("rule_score_raw"))
 
@@ -885,7 +885,7 @@ def passing_ranks(spark, sf_dir):
     return out.select("o_orderkey", "rank_cut", text.display_interval(F.col("o_orderkey") % 100, F.col("o_orderkey") % 100 + 5)[0].alias("shown_start"))
 
 
-@query(f"""with {_UNIT}, b as (select candidate_id, max(s) s from sims group by 1) select r.vec_id as candidate_id, round(b.s, 6) as best_similarity, round(coalesce(t.m, 0), 6) as embedding_score, row_number() over (partition by r.label order by coalesce(t.m, 0) desc, b.s desc, r.vec_id)::int as rank
+@query(f"""with {_UNIT}, b as (select candidate_id, max(s) s from sims group by 1) select r.vec_id as candidate_id, round(b.s, 6) as best_similarity, round(coalesce(t.m, 0), 6) as embedding_score, row_number() over (partition by r.label order by round(coalesce(t.m, 0), 9) desc, round(b.s, 9) desc, r.vec_id)::int as rank
 from unit r join b on b.candidate_id = r.vec_id left join (select candidate_id, avg(g) m from (select candidate_id, locus, max(s) g, row_number() over (partition by candidate_id order by max(s) desc) k from sims group by candidate_id, locus) where k <= 3 and candidate_id % 2 = 0 group by candidate_id) t on t.candidate_id = r.vec_id""")
 def two_stage_ranking(spark, sf_dir):
     c = candidates(spark, sf_dir)
