@@ -466,7 +466,7 @@ def host_of(url: str = "url") -> Column:
     return F.when(host != "", host)
 
 
-def extract_text(pages: DataFrame, pivots: int = 4, witnesses: int = 12, group_rows: int = 1000, most_hot: int = 20_000, most_broadcast: int = 1_000_000) -> DataFrame:
+def extract_text(pages: DataFrame, pivots: int = 4, witnesses: int = 12, group_rows: int = 300, most_hot: int = 20_000, most_broadcast: int = 1_000_000) -> DataFrame:
     """(page_id, url, text, n_chars) for every row: the article's text.
 
     Every page is parsed and aligned by simple tree matching with ``pivots`` pages of its host.  Text that they repeat at the aligned
@@ -490,8 +490,10 @@ def extract_text(pages: DataFrame, pivots: int = 4, witnesses: int = 12, group_r
     hot = hot.select("host", F.ceil(F.col("n") / limit).cast("long").alias("groups"))  # at most most_hot rows
     useful = own.filter("host is not null and html <> '' and page_id is not null").select("host", "page_id", "h")
     once = useful.groupBy("host", "h").agg(F.min("page_id").alias("page_id"))
-    rank = F.row_number().over(Window.partitionBy("host").orderBy("h"))
-    picked = cut(once.withColumn("rank", rank).filter(F.col("rank") <= witnesses).select(F.col("page_id").alias("_page"), F.col("h").alias("_h"), "rank"))
+    # by a part of the host first, so that no task ranks what all partitions hold of a hot host
+    rank = lambda *by: F.row_number().over(Window.partitionBy("host", *by).orderBy("h"))
+    first = once.withColumn("part", F.pmod("h", F.lit(64))).withColumn("rank", rank("part")).filter(F.col("rank") <= witnesses)
+    picked = cut(first.withColumn("rank", rank()).filter(F.col("rank") <= witnesses).select(F.col("page_id").alias("_page"), F.col("h").alias("_h"), "rank"))
     if picked.count() <= most_broadcast:  # two longs and a number a row; beyond it pages are shuffled by id
         picked = F.broadcast(picked)
     groups = F.coalesce("groups", F.lit(1).cast("long"))
