@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +43,11 @@ def find_hits(orfs: DataFrame, cds: DataFrame) -> DataFrame:
     return both.withColumn("match_type", kind).filter("match_type is not null").drop("_cell", "gene_strand")
 
 
-def locus_keys(hits: DataFrame, bins: int = 20) -> DataFrame:
-    """Hits by locus, with distinct records; hits outside of their gene are dropped."""
+def locus_keys(hits: DataFrame, bins: int = 20, outside: bool = False) -> DataFrame:
+    """Hits by locus, with distinct records; hits outside of their gene are dropped, or kept under null bins."""
     b = bins_of(F.col("gene_start"), F.col("gene_end"), F.col("orf_start"), F.col("orf_end"), bins)
-    keyed = hits.withColumn("_b", b).filter("_b is not null").withColumn("bin_first", F.col("_b.first")).withColumn("bin_last", F.col("_b.last"))
-    return keyed.groupBy(*LOCUS).agg(F.count("*").alias("hit_events"), F.countDistinct("gbk_file", "record_id").alias("hit_genomes"))
+    keyed = hits.withColumn("_b", b).withColumn("bin_first", F.col("_b.first")).withColumn("bin_last", F.col("_b.last"))
+    return (keyed if outside else keyed.filter("_b is not null")).groupBy(*LOCUS).agg(F.count("*").alias("hit_events"), F.countDistinct("gbk_file", "record_id").alias("hit_genomes"))
 
 
 def select_loci(keys: DataFrame, min_genomes: int, limit: int | None) -> DataFrame:
@@ -92,6 +94,13 @@ def survives(peptide: Column) -> Column:
     return (peptide != "") & ~F.contains(peptide, F.lit("*"))
 
 
+def agreements(lengths: str) -> Column:
+    """Over all pairs of peptides with one residue at one place, the sum of 1 / the shorter length; (len, n) by ascending length."""
+    # of two lengths the shorter divides: by ascending length, an entry meets those before it at their own
+    step = lambda acc, x: F.struct((acc["t"] + x["n"] * (x["n"] - 1) / 2 / x["len"] + x["n"] * acc["w"]).alias("t"), (acc["w"] + x["n"] / x["len"]).alias("w"))
+    return F.aggregate(lengths, F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("w")), step, lambda acc: acc["t"])
+
+
 def pairwise_identity(peptides: DataFrame, group: list[str]) -> DataFrame:
     """Mean over pairs of (equal residues / the shorter length); null for fewer than two peptides, empty ones don't count.
 
@@ -101,11 +110,8 @@ def pairwise_identity(peptides: DataFrame, group: list[str]) -> DataFrame:
     own = peptides.filter("peptide <> ''").select(*group, F.length("peptide").alias("len"), "peptide")
     letters = F.posexplode(F.transform(F.sequence(F.lit(1), F.col("len")), lambda i: F.substr("peptide", i, F.lit(1)))).alias("at", "residue")
     counts = own.select(*group, "len", letters).groupBy(*group, "at", "residue", "len").agg(F.count("*").alias("n"))
-    # of two lengths the shorter divides: by ascending length, an entry meets those before it at their own
     lengths = counts.groupBy(*group, "at", "residue").agg(F.sort_array(F.collect_list(F.struct("len", "n"))).alias("l"))  # one entry a length
-    step = lambda acc, x: F.struct((acc["t"] + x["n"] * (x["n"] - 1) / 2 / x["len"] + x["n"] * acc["w"]).alias("t"), (acc["w"] + x["n"] / x["len"]).alias("w"))
-    same = F.aggregate("l", F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("w")), step, lambda acc: acc["t"])
-    agreed = lengths.groupBy(*group).agg(F.sum(same).alias("agreed"))
+    agreed = lengths.groupBy(*group).agg(F.sum(agreements("l")).alias("agreed"))
     pairs = own.groupBy(*group).agg(F.count("*").alias("n"))
     return pairs.join(agreed, group, "left").select(*group, F.when(F.col("n") > 1, F.col("agreed") / (F.col("n") * (F.col("n") - 1) / 2)).alias("identity")).filter("identity is not null")
 
@@ -124,8 +130,18 @@ def shuffled_codons(codon: Column, aas: Column, *seeds: Column) -> Column:
     return F.transform(F.array_sort(F.concat(moved, kept)), lambda x: x["c"])
 
 
-def permutation_null(windows: DataFrame, iterations: int, seed: int = 0, mode: str = "zero") -> DataFrame:
-    """(_locus, iteration, peptide) for each window and iteration: the window's peptide after a shuffle of its gene's codons.
+RESIDUES = "".join(sorted(set(AMINO) | {"X"}))
+#: Iterations whose counts travel in one row.
+ITERATIONS = 20
+
+
+def null_counts(windows: DataFrame, iterations: int, seed: int = 0, mode: str = "zero", held_bytes: int = 128 << 20) -> DataFrame:
+    """(_locus, block, len, seen, alive, counts): residues of the windows' peptides after a shuffle of their genes' codons.
+
+    A row is a locus, a block of ITERATIONS iterations and a length: ``alive`` holds by iteration how many peptides of that length
+    survive, ``counts`` by iteration, place and residue how many of them have it there; ``seen`` counts all windows, in rows of
+    length 0.  Tasks count before they send, gene by gene, so that a locus's rows don't grow with its gene's instances; a count is
+    sent early where a gene's counts pass ``held_bytes``.  The rows of a key are to be summed.
 
     A gene's instance is shuffled once an iteration, as by ``shuffled_codons`` seeded with seed, gene, record, start and iteration, and
     every locus of the gene reads its window off the same shuffle.  ``_locus`` is a hash of the locus's names.  All
@@ -138,41 +154,119 @@ def permutation_null(windows: DataFrame, iterations: int, seed: int = 0, mode: s
     complement = np.arange(256, dtype=np.uint8)
     for x, y in zip(b"ACGTUacgtuRYKMBDHVrykmbdhv", b"TGCAAtgcaaYRMKVHDByrmkvhdb", strict=True):
         complement[x] = y
-    place = np.full(256, 99, np.int64)
+    place = np.full(256, 99, np.int16)
     for k, c in enumerate("TCAG"):
         place[ord(c)] = place[ord(c.lower())] = k
-    letters = np.frombuffer((AMINO + "X").encode(), np.uint8)
+    residue = np.array([RESIDUES.index(c) for c in AMINO + "X"], np.int8)
+    weight = np.array([16, 4, 1], np.int16)
+    stop = RESIDUES.index("*")
+
+    def shuffled(row: dict) -> np.ndarray:
+        """A row of bases on the plus strand for each iteration."""
+        n = len(row["codons"])
+        bases = np.frombuffer("".join(row["codons"]).encode(), np.uint8).reshape(n, 3)
+        free = np.array([i for i in range(1, n) if row["aas"][i] != "X"], np.int64)
+        codons = np.broadcast_to(bases, (iterations, n, 3)).copy()
+        if len(free):
+            aas = np.array([ord(row["aas"][i]) for i in free])
+            to = free[np.lexsort((free, aas))]
+            lead, ends = f"{seed}:{row['gene_name']}:{row['record_uid']}:{row['start']}:", [f":{i + 1}" for i in free.tolist()]
+            drawn = b"".join([hashlib.md5((at + e).encode(), usedforsecurity=False).digest() for at in [f"{lead}{it}" for it in range(1, iterations + 1)] for e in ends])
+            drawn = np.frombuffer(drawn, ">u8").astype(np.uint64).reshape(iterations, len(free), 2)
+            order = np.lexsort((drawn[..., 1], drawn[..., 0], np.broadcast_to(aas, (iterations, len(free)))), axis=-1)  # equal hashes stay in the order of places
+            codons[:, to] = bases[free[order]]
+        ends = [np.broadcast_to(np.frombuffer(row[c].encode(), np.uint8), (iterations, len(row[c]))) for c in ("cds_prefix", "remainder")]
+        plus = np.concatenate([ends[0], codons.reshape(iterations, 3 * n), ends[1]], axis=1)
+        return complement[plus[:, ::-1]] if row["strand"] == "-" else plus
+
+    def packed(counts: np.ndarray) -> bytes:
+        """Counts in the narrowest numbers that hold them."""
+        top = counts.max(initial=0)
+        return counts.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max)).tobytes()
+
+    def sent(held: dict, seen: dict) -> Iterator[pa.RecordBatch]:
+        rows = [(locus, block, 0, n, b"", b"") for locus, n in seen.items() for block in range(-(-iterations // ITERATIONS))]
+        for (locus, length), (alive, counts) in held.items():
+            for block, at in enumerate(range(0, iterations, ITERATIONS)):
+                rows.append((locus, block, length, 0, packed(alive[at : at + ITERATIONS]), packed(counts[at : at + ITERATIONS])))
+        for at in range(0, len(rows), 1000):
+            of = [pa.array(x, t) for x, t in zip(zip(*rows[at : at + 1000], strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays(of, names=["_locus", "block", "len", "seen", "alive", "counts"])
+        held.clear()
+        seen.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        seen: dict[int, int] = {}
+        gene, size = None, 0
         for b in batches:
-            for row in b.to_pylist():
-                n = len(row["codons"])
-                bases = np.frombuffer("".join(row["codons"]).encode(), np.uint8).reshape(n, 3)
-                free = np.array([i for i in range(1, n) if row["aas"][i] != "X"], np.int64)
-                lead = f"{seed}:{row['gene_name']}:{row['record_uid']}:{row['start']}:"
-                codons = np.broadcast_to(bases, (iterations, n, 3)).copy()
-                if len(free):
-                    aas = [row["aas"][i].encode() for i in free]
-                    ties = [b"%010d" % (i + 1) for i in free]
-                    to = free[sorted(range(len(free)), key=lambda k: (aas[k], free[k]))]
-                    keys = np.array([[a + hashlib.md5(f"{lead}{it}:{i + 1}".encode()).hexdigest().encode() + t for a, i, t in zip(aas, free.tolist(), ties, strict=True)] for it in range(1, iterations + 1)])
-                    codons[:, to] = bases[free[np.argsort(keys, axis=1, kind="stable")]]
-                ends = [np.broadcast_to(np.frombuffer(row[c].encode(), np.uint8), (iterations, len(row[c]))) for c in ("cds_prefix", "remainder")]
-                plus = np.concatenate([ends[0], codons.reshape(iterations, 3 * n), ends[1]], axis=1)
-                if row["strand"] == "-":
-                    plus = complement[plus[:, ::-1]]
-                for w in row["w"]:
-                    own = plus[:, w["rel_start"] : w["rel_end"]]
-                    if w["orf_strand"] == "-":
-                        own = complement[own[:, ::-1]]
-                    own = own[:, w["offset"] :]
-                    m = own.shape[1] // 3
-                    at = place[own[:, : 3 * m]].reshape(iterations, m, 3) @ np.array([16, 4, 1])
-                    text = letters[np.where(at < 64, at, 64)]
-                    peptides = [x.tobytes().decode() for x in text]
-                    yield pa.RecordBatch.from_arrays([pa.array([w["locus"]] * iterations, pa.int64()), pa.array(range(1, iterations + 1), pa.int32()), pa.array(peptides, pa.string())], names=["_locus", "iteration", "peptide"])
-
-    return dealt(genes).mapInArrow(run, "_locus long, iteration int, peptide string")
+            for at in range(0, b.num_rows, 256):
+                for row in b.slice(at, 256).to_pylist():
+                    if size > held_bytes or row["gene_name"] != gene:
+                        yield from sent(held, seen)
+                        gene, size = row["gene_name"], 0
+                    plus = shuffled(row)
+                    for w in row["w"]:
+                        locus = w["locus"]
+                        seen[locus] = seen.get(locus, 0) + 1
+                        own = plus[:, w["rel_start"] : w["rel_end"]]
+                        if w["orf_strand"] == "-":
+                            own = complement[own[:, ::-1]]
+                        own = own[:, w["offset"] :]
+                        m = own.shape[1] // 3
+                        if not m:
+                            continue
+                        acids = residue[np.minimum(place[own[:, : 3 * m]].reshape(iterations, m, 3) @ weight, 64)]
+                        alive = np.flatnonzero((acids != stop).all(axis=1))
+                        if not len(alive):
+                            continue
+                        if (locus, m) not in held:
+                            held[locus, m] = (np.zeros(iterations, np.int64), np.zeros((iterations, m, len(RESIDUES)), np.int32))
+                            size += held[locus, m][1].nbytes
+                        n, counts = held[locus, m]
+                        n[alive] += 1
+                        counts[alive[:, None], np.arange(m), acids[alive]] += 1  # no place of a peptide comes twice
+        yield from sent(held, seen)
+
+    return dealt(genes).sortWithinPartitions("gene_name").mapInArrow(run, "_locus long, block int, len int, seen long, alive binary, counts binary")
+
+
+def null_rows(counts: DataFrame, iterations: int) -> DataFrame:
+    """Survival and mean identity of every locus and iteration from ``null_counts``.
+
+    Rows of a locus and block come to one task by ascending length and are summed as they come; it holds the sums of one length.
+    Identity is that of ``pairwise_identity``: of two lengths the shorter divides, so a length meets the shorter ones at their own.
+    """
+
+    def unpacked(data: bytes, shape: tuple[int, ...]) -> np.ndarray:
+        return np.frombuffer(data, f"u{len(data) // math.prod(shape)}").reshape(shape)
+
+    def closed(locus: int, block: int, seen: int, alive: np.ndarray, agreed: np.ndarray) -> pa.RecordBatch:
+        k, pairs = len(alive), alive * (alive - 1) / 2
+        identity = pa.array(agreed / np.maximum(pairs, 1), mask=pairs < 1)
+        of = [pa.array([locus] * k, pa.int64()), pa.array(range(block * ITERATIONS + 1, block * ITERATIONS + 1 + k), pa.int32()), pa.array(alive / max(seen, 1)), identity]
+        return pa.RecordBatch.from_arrays(of, names=["_locus", "iteration", "null_survival", "null_identity"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (tuple(r.values()) for b in batches for r in b.to_pylist())
+        for (locus, block), of_key in groupby(rows, key=lambda r: r[:2]):
+            k = min(ITERATIONS, iterations - block * ITERATIONS)
+            seen, alive, agreed, before = 0, np.zeros(k, np.int64), np.zeros(k), np.zeros((k, 0, len(RESIDUES)))
+            for m, of_length in groupby(of_key, key=lambda r: r[2]):
+                if not m:
+                    seen = sum(r[3] for r in of_length)
+                    continue
+                n = np.zeros((k, m, len(RESIDUES)), np.int64)
+                for r in of_length:
+                    alive += unpacked(r[4], (k,)).astype(np.int64)
+                    n += unpacked(r[5], n.shape).astype(np.int64)
+                before = np.concatenate([before, np.zeros((k, m - before.shape[1], len(RESIDUES)))], axis=1)
+                agreed += (n * (n - 1) / 2 / m + n * before).sum(axis=(1, 2))
+                before += n / m
+            yield closed(locus, block, seen, alive, agreed)
+
+    key = ["_locus", "block"]
+    return counts.repartition(*key).sortWithinPartitions(*key, "len").mapInArrow(run, "_locus long, iteration int, null_survival double, null_identity double")
 
 
 def survival(peptides: DataFrame, group: list[str]) -> DataFrame:
@@ -191,9 +285,10 @@ def conservation_test(hits: DataFrame, cds: DataFrame, bins: int = 20, min_genom
     ``loci`` names the loci to test (their hits are counted where there are any, else 0); without it they are selected from the
     hits.  ``mode`` zero or one says how frames are numbered, auto reads it from the frames of the loci, or of the hits.
     """
-    counted = locus_keys(hits, bins)
+    keys = cut(locus_keys(hits, bins, outside=True))  # the hits are read once
+    counted = keys.filter("bin_first is not null")
     if mode == "auto":
-        mode = frame_mode(hits if loci is None else loci).first()[0]  # one row
+        mode = frame_mode(keys if loci is None else loci).first()[0]  # one row
     if loci is None:
         own = select_loci(counted, min_genomes, limit)
     else:
@@ -205,14 +300,11 @@ def conservation_test(hits: DataFrame, cds: DataFrame, bins: int = 20, min_genom
     records = windows.groupBy(*LOCUS).agg(F.countDistinct("record_uid").alias("evaluated_records"))
     # a number stands for a locus's names in the rows of the null
     number = F.xxhash64(*LOCUS).alias("_locus")
-    null = cut(permutation_null(windows, iterations, seed, mode))
-    each = ["_locus", "iteration"]
-    null = null.repartition(*each)  # all that follows is counted where its rows are
-    null_rows = survival(null, each).drop("n").join(pairwise_identity(null.filter(survives(F.col("peptide"))), each), each, "left").withColumnsRenamed({"survival": "null_survival", "identity": "null_identity"})
-    seen = null_rows.join(observed.select(number, *LOCUS, "survival", "identity"), "_locus")
+    null = null_rows(null_counts(windows, iterations, seed, mode), iterations)
+    seen = null.join(observed.select(number, *LOCUS, "survival", "identity"), "_locus")
     stats = seen.groupBy(*LOCUS).agg(
         F.avg("null_survival").alias("null_survival_mean"), F.avg("null_identity").alias("null_mean"), spread("null_identity").alias("null_std"),
-        F.count_if(F.col("null_identity") >= F.col("identity")).alias("ge"), F.count("null_identity").alias("null_n"),
+        F.count_if(F.col("null_identity") > F.col("identity") - 1e-12).alias("ge"), F.count("null_identity").alias("null_n"),
     )
     out = loci.join(observed, LOCUS).join(records, LOCUS).join(stats, LOCUS)
     out = out.withColumn("z_score", z_score(F.col("identity"), F.col("null_mean"), F.col("null_std"))).withColumn("p_value", p_value(F.col("ge"), F.col("null_n"))).drop("ge")
