@@ -275,6 +275,21 @@ def test_given_loci_and_frame_mode(spark, sf):
     assert conservation.clean_hits(raw).count() == 1
 
 
+def test_null_counts_in_parts(spark):
+    """Counts sent early, in several blocks and for genes of several lengths give what counts sent once give."""
+    rng = random.Random(4)
+    bases = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    cds = [("f", f"r{i}", 0, n, "+-"[i % 2], "1", bases(n), "g", None, None, None) for i, n in enumerate([60, 60, 90, 90, 120, 60, 90])]
+    cds = spark.createDataFrame(cds, "gbk_file string, record_id string, start int, end int, strand string, codon_start string, genomic string, gene string, locus_tag string, protein_id string, product string")
+    loci = spark.createDataFrame([("g", "antisense", "-", -1, 2, 5), ("g", "out_of_frame", "+", 1, 0, 3)], "gene_name string, match_type string, orf_strand string, orf_frame int, bin_first int, bin_last int")
+    windows = conservation.locus_windows(loci, conservation.gene_instances(cds))
+    # 21 iterations are two blocks, and the first one's rows are those of a run of one block
+    got = [{(r._locus, r.iteration): (r.null_survival, r.null_identity) for r in conservation.null_rows(conservation.null_counts(windows, n, held_bytes=held), n).collect()} for n, held in ((21, 0), (21, 1 << 20), (3, 1 << 20))]
+    assert len(got[0]) == 42 and got[0] == {k: (pytest.approx(a), b if b is None else pytest.approx(b)) for k, (a, b) in got[1].items()}
+    assert all(got[0][k] == (pytest.approx(a), b if b is None else pytest.approx(b)) for k, (a, b) in got[2].items())
+    assert any(b is not None for _, b in got[0].values()) and all(0 <= a <= 1 for a, _ in got[0].values())
+
+
 def test_conservation_against_a_plain_null(spark, sf):
     """Survival, identity and the null of one locus, codon by codon."""
     import hashlib
