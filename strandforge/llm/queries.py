@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandforge.llm import decontaminate, html, language, licenses, mixing, pii, quality, secrets, simhash, toxicity
+from strandforge.llm import decontaminate, html, language, licenses, mixing, pii, quality, runs, secrets, simhash, toxicity, url_filter
 from strandforge.llm.common import ensure_checkpoint_dir
 
 
@@ -65,12 +66,32 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _repeat_tail(doc_id: int | None, words: list) -> list:
+    """Every tenth document (by its id's hash) repeats what follows one of its words; a null id's stays."""
+    n = len(words)
+    if doc_id is None or not n or (h := zlib.crc32(str(doc_id).encode())) % 10:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.longest_run(runs.find_runs(_read(spark, sf_dir, "documents"), rewrite=_repeat_tail))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(_read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_extraction, op2_decontamination, op3_secret_scan, op4_quality_rules, op5_license_scan, op6_language_id, op7_mixing, op8_pii, op9_toxicity, op10_simhash)
+    f.__name__: f for f in (op1_html_extraction, op2_decontamination, op3_secret_scan, op4_quality_rules, op5_license_scan, op6_language_id, op7_mixing, op8_pii, op9_toxicity, op10_simhash, op11_periodic_runs, op12_url_filter)
 }
 ORACLES: dict[str, str] = {
     "op3_secret_scan": secrets.secrets_sql(),
     "op4_quality_rules": quality.quality_sql(),
     "op5_license_scan": licenses.license_sql(),
     "op7_mixing": mixing.mix_sql(),
+    "op12_url_filter": url_filter.judge_sql(),
 }
