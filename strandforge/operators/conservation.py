@@ -133,9 +133,140 @@ def shuffled_codons(codon: Column, aas: Column, *seeds: Column) -> Column:
 RESIDUES = "".join(sorted(set(AMINO) | {"X"}))
 #: Iterations whose counts travel in one row.
 ITERATIONS = 20
+#: Instances of a gene that are translated together.
+TOGETHER = 256
+_COUNTS = "_locus long, block int, len int, seen long, alive binary, counts binary"
+
+
+def with_windows(instances: DataFrame, loci: DataFrame, bins: int = 20, mode: str = "zero") -> DataFrame:
+    """Adds ``w`` to rows of gene_name and gene_len: the windows of all the gene's loci, as struct(locus, minus, skip, start, end).
+
+    A locus is named by a hash of its key.  A gene has as many loci as pairs of bins, frames and kinds allow, so its
+    windows fit in a row; genes without a locus go.
+    """
+    locus = F.struct(F.xxhash64(*LOCUS).alias("locus"), (F.col("orf_strand") == "-").alias("minus"), frame_offset(F.col("orf_frame"), F.col("orf_strand"), mode).alias("skip"), "bin_first", "bin_last")
+    of_gene = loci.groupBy("gene_name").agg(F.collect_list(locus).alias("_l"))
+    place = lambda x: window_of_bins(x["bin_first"], x["bin_last"], F.col("gene_len"), bins)
+    placed = F.transform("_l", lambda x: F.struct(x["locus"].alias("locus"), x["minus"].alias("minus"), x["skip"].alias("skip"), place(x)["start"].alias("start"), place(x)["end"].alias("end")))
+    return instances.join(of_gene, "gene_name").withColumn("w", F.filter(placed, lambda x: x["end"] > x["start"])).drop("_l")
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By byte: the complement and the number of a base (99: none); by codon number (64: unknown): the residue."""
+    complement = np.arange(256, dtype=np.uint8)
+    for x, y in zip(b"ACGTUacgtuRYKMBDHVrykmbdhv", b"TGCAAtgcaaYRMKVHDByrmkvhdb", strict=True):
+        complement[x] = y
+    place = np.full(256, 99, np.int16)
+    for k, c in enumerate("TCAG"):
+        place[ord(c)] = place[ord(c.lower())] = k
+    return complement, place, np.array([RESIDUES.index(c) for c in AMINO + "X"], np.int8)
+
+
+class _Tally:
+    """Counts by locus and length that a task holds of one gene until they pass ``most`` bytes; ``sent`` gives them as rows and forgets them."""
+
+    def __init__(self, iterations: int, most: int) -> None:
+        self.iterations, self.most = iterations, most
+        self.gene, self.size = None, 0
+        self.held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        self.seen: dict[int, int] = {}
+
+    def turn(self, gene: str) -> Iterator[pa.RecordBatch]:
+        """Before the rows of a gene: what is held of another one, or is too much, is sent."""
+        if self.size > self.most or gene != self.gene:
+            yield from self.sent()
+            self.gene, self.size = gene, 0
+
+    def of(self, locus: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+        if (locus, length) not in self.held:
+            self.held[locus, length] = (np.zeros(self.iterations, np.int64), np.zeros((self.iterations, length, len(RESIDUES)), np.int32))
+            self.size += self.held[locus, length][1].nbytes
+        return self.held[locus, length]
+
+    def sent(self) -> Iterator[pa.RecordBatch]:
+        def packed(counts: np.ndarray) -> bytes:
+            top = counts.max(initial=0)  # the narrowest numbers that hold them
+            return counts.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max)).tobytes()
+
+        rows = [(locus, block, 0, n, b"", b"") for locus, n in self.seen.items() for block in range(-(-self.iterations // ITERATIONS))]
+        for (locus, length), (alive, counts) in self.held.items():
+            for block, at in enumerate(range(0, self.iterations, ITERATIONS)):
+                rows.append((locus, block, length, 0, packed(alive[at : at + ITERATIONS]), packed(counts[at : at + ITERATIONS])))
+        for at in range(0, len(rows), 1000):
+            of = [pa.array(x, t) for x, t in zip(zip(*rows[at : at + 1000], strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays(of, names=["_locus", "block", "len", "seen", "alive", "counts"])
+        self.held.clear()
+        self.seen.clear()
+
+
+def observed_counts(instances: DataFrame, loci: DataFrame, bins: int = 20, mode: str = "zero", held_bytes: int = 128 << 20) -> DataFrame:
+    """Rows as of ``null_counts``, of one iteration: the peptides of the instances as they are.
+
+    Instances of one gene and length are translated together, at most some hundreds at once: both strands from every base on are all
+    six frames, and running counts of stops by frame tell what survives, so a window is two lookups and a slice.  Only
+    counts are shuffled, at most one row a task, locus and length, however many instances a gene has.
+    """
+    own = instances.select("gene_name", "gene_len", "genomic", F.xxhash64("record_uid", "start", "end", "strand", "codon_start").alias("_h"))
+    parts = own.groupBy("gene_name", "gene_len").agg(F.ceil(F.count("*") / TOGETHER).alias("_parts"))
+    groups = own.join(parts, ["gene_name", "gene_len"]).groupBy("gene_name", "gene_len", F.pmod("_h", F.col("_parts")).alias("_part")).agg(F.collect_list("genomic").alias("bases"))
+    rows = with_windows(groups, loci, bins, mode).select("gene_name", "gene_len", "bases", "w")
+    complement, place, residue = _tables()
+    stop = RESIDUES.index("*")
+
+    def strand(bases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The residue that begins at each base, and how many stops its frame has before it."""
+        p = place[bases]
+        acids = residue[np.minimum(16 * p[:, :-2] + 4 * p[:, 1:-1] + p[:, 2:], 64)]
+        n = -(-acids.shape[1] // 3)
+        stops = np.zeros((len(bases), n + 1, 3), np.int32)
+        padded = np.zeros((len(bases), n * 3), bool)
+        padded[:, : acids.shape[1]] = acids == stop
+        np.cumsum(padded.reshape(len(bases), n, 3), axis=1, out=stops[:, 1:])
+        return acids, stops.reshape(len(bases), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = _Tally(1, held_bytes)
+        for b in batches:
+            for k in range(b.num_rows):
+                gene, n = b.column(0)[k].as_py(), b.column(1)[k].as_py()
+                yield from tally.turn(gene)
+                w = b.column(3).slice(k, 1).flatten()
+                locus, minus, skip, start, end = (w.field(i).to_numpy(zero_copy_only=False) for i in range(5))
+                bases = np.frombuffer("".join(b.column(2)[k].as_py()).encode("ascii", "replace"), np.uint8).reshape(-1, n)
+                both = [strand(bases), strand(complement[bases[:, ::-1]])] if n >= 3 else []
+                first, length = np.where(minus, n - end, start) + skip, (end - start - skip) // 3
+                for name, back, s, m in zip(locus.tolist(), minus.tolist(), first.tolist(), length.tolist(), strict=True):
+                    tally.seen[name] = tally.seen.get(name, 0) + len(bases)
+                    if m < 1:
+                        continue
+                    acids, stops = both[back]
+                    alive = np.flatnonzero(stops[:, s + 3 * m] == stops[:, s])
+                    if len(alive):
+                        survived, counts = tally.of(name, m)
+                        survived[0] += len(alive)
+                        of = acids[alive, s : s + 3 * m : 3] + np.arange(m) * len(RESIDUES)
+                        counts[0] += np.bincount(of.ravel(), minlength=m * len(RESIDUES)).reshape(m, -1).astype(np.int32)
+        yield from tally.sent()
+
+    return dealt(rows).sortWithinPartitions("gene_name").mapInArrow(run, _COUNTS)
+
+
+def window_stats(loci: DataFrame, instances: DataFrame, bins: int = 20, mode: str = "zero") -> DataFrame:
+    """LOCUS, evaluated_instances, observed_survived, survival and identity (null for fewer than two survivors) of every locus that has windows."""
+    found = null_rows(observed_counts(instances, loci, bins, mode), 1)
+    named = loci.select(F.xxhash64(*LOCUS).alias("_locus"), *LOCUS)
+    return named.join(found, "_locus").select(*LOCUS, F.col("seen").alias("evaluated_instances"), F.col("alive").alias("observed_survived"), F.col("null_survival").alias("survival"), F.col("null_identity").alias("identity"))
 
 
 def null_counts(windows: DataFrame, iterations: int, seed: int = 0, mode: str = "zero", held_bytes: int = 128 << 20) -> DataFrame:
+    """``null_of_genes`` for rows of a locus and an instance each, as ``locus_windows`` gives them."""
+    instance = ["gene_name", "record_uid", "start", "end", "strand", "codon_start"]
+    whole = ["cds_prefix", "codons", "aas", "remainder"]
+    window = F.struct(F.xxhash64(*LOCUS).alias("locus"), (F.col("orf_strand") == "-").alias("minus"), frame_offset(F.col("orf_frame"), F.col("orf_strand"), mode).alias("skip"), F.col("rel_start").alias("start"), F.col("rel_end").alias("end"))
+    return null_of_genes(windows.groupBy(*instance).agg(*(F.first(c).alias(c) for c in whole), F.collect_list(window).alias("w")), iterations, seed, held_bytes)
+
+
+def null_of_genes(genes: DataFrame, iterations: int, seed: int = 0, held_bytes: int = 128 << 20) -> DataFrame:
     """(_locus, block, len, seen, alive, counts): residues of the windows' peptides after a shuffle of their genes' codons.
 
     A row is a locus, a block of ITERATIONS iterations and a length: ``alive`` holds by iteration how many peptides of that length
@@ -143,21 +274,11 @@ def null_counts(windows: DataFrame, iterations: int, seed: int = 0, mode: str =
     length 0.  Tasks count before they send, gene by gene, so that a locus's rows don't grow with its gene's instances; a count is
     sent early where a gene's counts pass ``held_bytes``.  The rows of a key are to be summed.
 
-    A gene's instance is shuffled once an iteration, as by ``shuffled_codons`` seeded with seed, gene, record, start and iteration, and
-    every locus of the gene reads its window off the same shuffle.  ``_locus`` is a hash of the locus's names.  All
-    iterations of an instance are one matrix of bases in Python: column expressions took ten times as long.
+    A gene's instance (``genes`` has one a row, with its windows as of ``with_windows``) is shuffled once an iteration, as by
+    ``shuffled_codons`` seeded with seed, gene, record, start and iteration, and every locus of the gene reads its window off the
+    same shuffle.  All iterations of an instance are one matrix of bases in Python: column expressions took ten times as long.
     """
-    instance = ["gene_name", "record_uid", "start", "end", "strand", "codon_start"]
-    whole = ["cds_prefix", "codons", "aas", "remainder"]
-    window = F.struct(F.xxhash64(*LOCUS).alias("locus"), "orf_strand", frame_offset(F.col("orf_frame"), F.col("orf_strand"), mode).alias("offset"), "rel_start", "rel_end")
-    genes = windows.groupBy(*instance).agg(*(F.first(c).alias(c) for c in whole), F.collect_list(window).alias("w"))  # as many windows as the gene has loci
-    complement = np.arange(256, dtype=np.uint8)
-    for x, y in zip(b"ACGTUacgtuRYKMBDHVrykmbdhv", b"TGCAAtgcaaYRMKVHDByrmkvhdb", strict=True):
-        complement[x] = y
-    place = np.full(256, 99, np.int16)
-    for k, c in enumerate("TCAG"):
-        place[ord(c)] = place[ord(c.lower())] = k
-    residue = np.array([RESIDUES.index(c) for c in AMINO + "X"], np.int8)
+    complement, place, residue = _tables()
     weight = np.array([16, 4, 1], np.int16)
     stop = RESIDUES.index("*")
 
@@ -179,60 +300,36 @@ def null_counts(windows: DataFrame, iterations: int, seed: int = 0, mode: str =
         plus = np.concatenate([ends[0], codons.reshape(iterations, 3 * n), ends[1]], axis=1)
         return complement[plus[:, ::-1]] if row["strand"] == "-" else plus
 
-    def packed(counts: np.ndarray) -> bytes:
-        """Counts in the narrowest numbers that hold them."""
-        top = counts.max(initial=0)
-        return counts.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max)).tobytes()
-
-    def sent(held: dict, seen: dict) -> Iterator[pa.RecordBatch]:
-        rows = [(locus, block, 0, n, b"", b"") for locus, n in seen.items() for block in range(-(-iterations // ITERATIONS))]
-        for (locus, length), (alive, counts) in held.items():
-            for block, at in enumerate(range(0, iterations, ITERATIONS)):
-                rows.append((locus, block, length, 0, packed(alive[at : at + ITERATIONS]), packed(counts[at : at + ITERATIONS])))
-        for at in range(0, len(rows), 1000):
-            of = [pa.array(x, t) for x, t in zip(zip(*rows[at : at + 1000], strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)]
-            yield pa.RecordBatch.from_arrays(of, names=["_locus", "block", "len", "seen", "alive", "counts"])
-        held.clear()
-        seen.clear()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        seen: dict[int, int] = {}
-        gene, size = None, 0
+        tally = _Tally(iterations, held_bytes)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 for row in b.slice(at, 256).to_pylist():
-                    if size > held_bytes or row["gene_name"] != gene:
-                        yield from sent(held, seen)
-                        gene, size = row["gene_name"], 0
+                    yield from tally.turn(row["gene_name"])
                     plus = shuffled(row)
                     for w in row["w"]:
                         locus = w["locus"]
-                        seen[locus] = seen.get(locus, 0) + 1
-                        own = plus[:, w["rel_start"] : w["rel_end"]]
-                        if w["orf_strand"] == "-":
+                        tally.seen[locus] = tally.seen.get(locus, 0) + 1
+                        own = plus[:, w["start"] : w["end"]]
+                        if w["minus"]:
                             own = complement[own[:, ::-1]]
-                        own = own[:, w["offset"] :]
+                        own = own[:, w["skip"] :]
                         m = own.shape[1] // 3
                         if not m:
                             continue
                         acids = residue[np.minimum(place[own[:, : 3 * m]].reshape(iterations, m, 3) @ weight, 64)]
                         alive = np.flatnonzero((acids != stop).all(axis=1))
-                        if not len(alive):
-                            continue
-                        if (locus, m) not in held:
-                            held[locus, m] = (np.zeros(iterations, np.int64), np.zeros((iterations, m, len(RESIDUES)), np.int32))
-                            size += held[locus, m][1].nbytes
-                        n, counts = held[locus, m]
-                        n[alive] += 1
-                        counts[alive[:, None], np.arange(m), acids[alive]] += 1  # no place of a peptide comes twice
-        yield from sent(held, seen)
+                        if len(alive):
+                            n, counts = tally.of(locus, m)
+                            n[alive] += 1
+                            counts[alive[:, None], np.arange(m), acids[alive]] += 1  # no place of a peptide comes twice
+        yield from tally.sent()
 
-    return dealt(genes).sortWithinPartitions("gene_name").mapInArrow(run, "_locus long, block int, len int, seen long, alive binary, counts binary")
+    return dealt(genes.select("gene_name", "record_uid", "start", "strand", "cds_prefix", "codons", "aas", "remainder", "w")).sortWithinPartitions("gene_name").mapInArrow(run, _COUNTS)
 
 
 def null_rows(counts: DataFrame, iterations: int) -> DataFrame:
-    """Survival and mean identity of every locus and iteration from ``null_counts``.
+    """Survival and mean identity of every locus and iteration from ``null_counts``, with the windows seen and those alive.
 
     Rows of a locus and block come to one task by ascending length and are summed as they come; it holds the sums of one length.
     Identity is that of ``pairwise_identity``: of two lengths the shorter divides, so a length meets the shorter ones at their own.
@@ -241,14 +338,16 @@ def null_rows(counts: DataFrame, iterations: int) -> DataFrame:
     def unpacked(data: bytes, shape: tuple[int, ...]) -> np.ndarray:
         return np.frombuffer(data, f"u{len(data) // math.prod(shape)}").reshape(shape)
 
-    def closed(locus: int, block: int, seen: int, alive: np.ndarray, agreed: np.ndarray) -> pa.RecordBatch:
-        k, pairs = len(alive), alive * (alive - 1) / 2
-        identity = pa.array(agreed / np.maximum(pairs, 1), mask=pairs < 1)
-        of = [pa.array([locus] * k, pa.int64()), pa.array(range(block * ITERATIONS + 1, block * ITERATIONS + 1 + k), pa.int32()), pa.array(alive / max(seen, 1)), identity]
-        return pa.RecordBatch.from_arrays(of, names=["_locus", "iteration", "null_survival", "null_identity"])
+    def closed(locus: int, block: int, seen: int, alive: np.ndarray, agreed: np.ndarray) -> list[tuple]:
+        pairs = alive * (alive - 1) / 2
+        identity = agreed / np.maximum(pairs, 1)
+        return [(locus, block * ITERATIONS + 1 + i, alive[i] / max(seen, 1), float(identity[i]) if pairs[i] >= 1 else None, seen, int(alive[i])) for i in range(len(alive))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (tuple(r.values()) for b in batches for r in b.to_pylist())
+        types = (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
+        batch = lambda done: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done, strict=True), types, strict=True)], names=["_locus", "iteration", "null_survival", "null_identity", "seen", "alive"])
+        done: list[tuple] = []
         for (locus, block), of_key in groupby(rows, key=lambda r: r[:2]):
             k = min(ITERATIONS, iterations - block * ITERATIONS)
             seen, alive, agreed, before = 0, np.zeros(k, np.int64), np.zeros(k), np.zeros((k, 0, len(RESIDUES)))
@@ -263,10 +362,15 @@ def null_rows(counts: DataFrame, iterations: int) -> DataFrame:
                 before = np.concatenate([before, np.zeros((k, m - before.shape[1], len(RESIDUES)))], axis=1)
                 agreed += (n * (n - 1) / 2 / m + n * before).sum(axis=(1, 2))
                 before += n / m
-            yield closed(locus, block, seen, alive, agreed)
+            done += closed(locus, block, seen, alive, agreed)
+            if len(done) > 4000:
+                yield batch(done)
+                done = []
+        if done:
+            yield batch(done)
 
     key = ["_locus", "block"]
-    return counts.repartition(*key).sortWithinPartitions(*key, "len").mapInArrow(run, "_locus long, iteration int, null_survival double, null_identity double")
+    return counts.repartition(*key).sortWithinPartitions(*key, "len").mapInArrow(run, "_locus long, iteration int, null_survival double, null_identity double, seen long, alive long")
 
 
 def survival(peptides: DataFrame, group: list[str]) -> DataFrame:
@@ -294,20 +398,23 @@ def conservation_test(hits: DataFrame, cds: DataFrame, bins: int = 20, min_genom
     else:
         own = loci.select(*LOCUS).distinct().join(counted, LOCUS, "left").select(*LOCUS, *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("hit_events", "hit_genomes")))
     loci = cut(own)  # read by every later step
-    windows = cut(window_peptide(locus_windows(loci, gene_instances(cds, loci), bins), mode))
-    alive = windows.filter(survives(F.col("peptide")))
-    observed = survival(windows, LOCUS).withColumnRenamed("n", "evaluated_instances").join(pairwise_identity(alive, LOCUS), LOCUS, "left")
-    records = windows.groupBy(*LOCUS).agg(F.countDistinct("record_uid").alias("evaluated_records"))
-    # a number stands for a locus's names in the rows of the null
+    instances = cut(gene_instances(cds, loci))
+    genes = with_windows(instances, loci, bins, mode)
+    observed = cut(window_stats(loci, instances, bins, mode))
     number = F.xxhash64(*LOCUS).alias("_locus")
-    null = null_rows(null_counts(windows, iterations, seed, mode), iterations)
-    seen = null.join(observed.select(number, *LOCUS, "survival", "identity"), "_locus")
-    stats = seen.groupBy(*LOCUS).agg(
-        F.avg("null_survival").alias("null_survival_mean"), F.avg("null_identity").alias("null_mean"), spread("null_identity").alias("null_std"),
-        F.count_if(F.col("null_identity") > F.col("identity") - 1e-12).alias("ge"), F.count("null_identity").alias("null_n"),
+    records = genes.select("record_uid", F.explode("w.locus").alias("_locus")).distinct().groupBy("_locus").agg(F.count("*").alias("evaluated_records"))
+    # a number stands for a locus's names in the rows of the null
+    null = null_rows(null_of_genes(genes, iterations, seed), iterations)
+    seen = null.drop("seen", "alive").join(observed.select(number, *LOCUS, "survival", "identity"), "_locus")
+    seen = seen.repartition("_locus").sortWithinPartitions("_locus", "iteration")  # means and deviations are summed in one order
+    at_least = lambda null, own: F.count_if(F.col(null) > F.col(own) - 1e-12)
+    stats = seen.groupBy("_locus", *LOCUS).agg(
+        F.avg("null_survival").alias("null_survival_mean"), spread("null_survival").alias("null_survival_std"), at_least("null_survival", "survival").alias("ge_survival"), F.count("null_survival").alias("null_samples_survival"),
+        F.avg("null_identity").alias("null_mean"), spread("null_identity").alias("null_std"), at_least("null_identity", "identity").alias("ge"), F.count("null_identity").alias("null_n"),
     )
-    out = loci.join(observed, LOCUS).join(records, LOCUS).join(stats, LOCUS)
-    out = out.withColumn("z_score", z_score(F.col("identity"), F.col("null_mean"), F.col("null_std"))).withColumn("p_value", p_value(F.col("ge"), F.col("null_n"))).drop("ge")
+    out = loci.join(observed, LOCUS).join(stats, LOCUS).join(records, "_locus").drop("_locus")
+    out = out.withColumn("z_score", z_score(F.col("identity"), F.col("null_mean"), F.col("null_std"))).withColumn("p_value", F.when(F.col("identity").isNotNull(), p_value(F.col("ge"), F.col("null_n"))))
+    out = out.withColumn("p_survival", p_value(F.col("ge_survival"), F.col("null_samples_survival"))).drop("ge", "ge_survival")
     return out.orderBy(F.col("z_score").desc_nulls_last(), *LOCUS)
 
 

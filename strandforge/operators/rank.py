@@ -29,11 +29,13 @@ def rank_candidates(scored: DataFrame, record: str = "record_id", mode: str = "t
     return out.withColumn("rank", F.row_number().over(order))
 
 
-def top_k(df: DataFrame, by: list[Column], k: int, group: list[str] | None = None) -> DataFrame:
-    """The first k rows of a total order, of each group where there is one."""
+def top_k(df: DataFrame, by: list[Column], k: int, group: list[str] | None = None, keep: str | None = None) -> DataFrame:
+    """The first k rows of a total order, of each group where there is one; ``keep`` names the rank within the group."""
     if not group:
         return df.orderBy(*by).limit(k)
-    return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*group).orderBy(*by))).filter(F.col("_rank") <= k).drop("_rank")
+    name = keep or "_rank"
+    top = df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*by))).filter(F.col(name) <= k)
+    return top if keep else top.drop(name)
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:

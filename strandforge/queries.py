@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandforge.functions import seq, text
+from strandforge.lineage import cut
 from strandforge.operators import conservation, curation, evaluate, index, orf, rank, rules, similarity, viewer
 from strandforge.plans import pipeline
 from strandforge.sources import fasta, tables
@@ -626,18 +627,17 @@ _KEY = "gene_name, match_type, orf_strand, orf_frame, bin_first, bin_last"
 
 @query(f"with {_WIN} select {_KEY}, count(*) as n, round(avg((peptide <> '' and not contains(peptide, '*'))::int), 6) as survival from pep group by {_KEY}")
 def altframe_survival(spark, sf_dir):
-    loci = conservation.select_loci(conservation.locus_keys(_hits(spark, sf_dir)), 2, None)
-    w = conservation.window_peptide(conservation.locus_windows(loci, conservation.gene_instances(_cds(spark, sf_dir), loci)))
-    return conservation.survival(w, conservation.LOCUS).withColumn("survival", F.round("survival", 6))
+    loci = cut(conservation.select_loci(conservation.locus_keys(_hits(spark, sf_dir)), 2, None))
+    own = conservation.window_stats(loci, cut(conservation.gene_instances(_cds(spark, sf_dir), loci)))
+    return own.select(*conservation.LOCUS, F.col("evaluated_instances").alias("n"), F.round("survival", 6).alias("survival"))
 
 
 @query(f"""with {_WIN}, alive as (select *, row_number() over () r from pep where peptide <> '' and not contains(peptide, '*')), pairs as (select a.*, b.peptide as other from alive a join alive b using ({_KEY}) where a.r < b.r)
 select {_KEY}, round(avg(len(list_filter(range(1, least(length(peptide), length(other)) + 1), lambda i: substr(peptide, i, 1) = substr(other, i, 1))) / least(length(peptide), length(other))::double), 6) as identity from pairs group by {_KEY}""")
 def altframe_identity(spark, sf_dir):
-    loci = conservation.select_loci(conservation.locus_keys(_hits(spark, sf_dir)), 2, None)
-    w = conservation.window_peptide(conservation.locus_windows(loci, conservation.gene_instances(_cds(spark, sf_dir), loci)))
-    alive = w.filter(conservation.survives(F.col("peptide")))
-    return conservation.pairwise_identity(alive, conservation.LOCUS).withColumn("identity", F.round("identity", 6))
+    loci = cut(conservation.select_loci(conservation.locus_keys(_hits(spark, sf_dir)), 2, None))
+    own = conservation.window_stats(loci, cut(conservation.gene_instances(_cds(spark, sf_dir), loci)))
+    return own.filter("identity is not null").select(*conservation.LOCUS, F.round("identity", 6).alias("identity"))
 
 
 @query(f"""with {_SEG}, c as (select record_id, list_transform(range(0, length(dna) // 3), lambda k: substr(dna, 3 * k + 1, 3)) as cs from seg),
@@ -654,7 +654,7 @@ def codon_shuffle(spark, sf_dir):
 @query()
 def altframe_conservation(spark, sf_dir):
     t = conservation.conservation_test(_hits(spark, sf_dir), _cds(spark, sf_dir), min_genomes=2, limit=200, iterations=200, seed=3)
-    return t.select(*conservation.LOCUS, "hit_genomes", "hit_events", "evaluated_records", "evaluated_instances", *(F.round(c, 6).alias(c) for c in ("survival", "identity", "null_survival_mean", "null_mean", "null_std", "z_score", "p_value")))
+    return t.select(*conservation.LOCUS, "hit_genomes", "hit_events", "evaluated_records", "evaluated_instances", *(F.round(c, 6).alias(c) for c in ("survival", "identity", "null_survival_mean", "null_mean", "null_std", "z_score", "p_value", "null_survival_std", "p_survival")), "observed_survived", "null_samples_survival")
 
 
 @query("select l_returnflag, avg(l_quantity) as null_mean, stddev_pop(l_quantity) as null_std, count(l_quantity) as null_n from lineitem group by 1")
