@@ -6,11 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Reference rows of one block; a block's matrix is what a task holds or a broadcast carries.
 BLOCK_ROWS = 20_000
+#: Candidates of one chunk, and chunks that one task meets with a block, where references are of several blocks.
+CHUNK_ROWS = 2_000
+CHUNKS_A_TASK = 32
 
 
 def group_max(pairs: DataFrame) -> DataFrame:
@@ -47,12 +51,110 @@ def best_by_locus(candidates: DataFrame, references: DataFrame, block_rows: int
     return best.select("candidate_id", "locus", F.col("b.similarity").alias("similarity"), (-F.col("b.o")).alias("ref_ord"), F.col("b.ref_id").alias("ref_id"))
 
 
+def top_loci(candidates: DataFrame, references: DataFrame, n: int = 5, block_rows: int = BLOCK_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """(candidate_id, best): each candidate's n best loci, as an array of struct(similarity, ref_ord, ref_id, locus), the best first.
+
+    A locus counts by its best reference; equal similarities keep the references' order.  A task selects the n best loci of its
+    candidates against one block of references before anything is shuffled: a locus among a candidate's n best is among the n best of
+    the block that holds its best reference, so n rows a block suffice and what moves doesn't grow with the loci.  References of one
+    block (a checked number of rows) are broadcast and nothing is shuffled.  More of them stay off the driver: chunks of
+    candidates meet blocks of references by a shuffle on block and share of the chunks, and a candidate's arrays, one a
+    block, are merged.
+    """
+    n, total = max(1, n), references.count()
+    kind = dict(candidates.dtypes)["candidate_id"]
+    if total <= block_rows:
+        return _top_of_one_block(candidates, references, n, kind)
+    blocks = -(-total // block_rows)
+    chunks = max(1, -(-candidates.count() // chunk_rows))
+    shares = max(1, -(-chunks // CHUNKS_A_TASK))
+    ref = F.struct(F.col("locus").cast("string").alias("locus"), F.col("ref_ord").cast("long").alias("ref_ord"), F.col("ref_id").cast("string").alias("ref_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    refs = references.select(F.pmod(F.xxhash64("ref_id", "ref_ord"), F.lit(blocks)).alias("block"), ref.alias("r")).groupBy("block").agg(F.sort_array(F.collect_list("r")).alias("refs"))
+    own = candidates.select(F.pmod(F.xxhash64("candidate_id"), F.lit(chunks)).alias("chunk"), F.struct("candidate_id", F.col("embedding").cast("array<double>").alias("embedding")).alias("c")).groupBy("chunk").agg(F.collect_list("c").alias("own"))
+    spread = lambda to: F.explode(F.sequence(F.lit(0), F.lit(to - 1)).cast("array<long>"))
+    pairs = own.withColumn("share", F.pmod("chunk", F.lit(shares))).withColumn("block", spread(blocks)).join(refs.withColumn("share", spread(shares)), ["block", "share"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                ids, vectors = (b.column(0).slice(k, 1).flatten().field(i) for i in range(2))
+                yield from _selected(ids, _matrix(vectors), _Block(*(b.column(1).slice(k, 1).flatten().field(i) for i in range(4))), n)
+
+    found = pairs.select("own", "refs").mapInArrow(run, _BEST.format(kind))
+    merged = F.sort_array(F.flatten(F.collect_list("best")), asc=False)  # n structs a block
+    return found.groupBy("candidate_id").agg(merged.alias("all")).select("candidate_id", _first_of_locus(n).alias("best"))
+
+
 def score_candidates(candidates: DataFrame, references: DataFrame, n: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(candidate_id, best_similarity, best_match_id, top_n_mean_similarity)."""
-    order = Window.partitionBy("candidate_id").orderBy(F.desc("similarity"), "ref_ord")
-    top = best_by_locus(candidates, references, block_rows).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= max(1, n))
-    first = F.max(F.when(F.col("_rank") == 1, F.struct("similarity", "ref_id"))).alias("b")
-    return top.groupBy("candidate_id").agg(first, F.avg("similarity").alias("top_n_mean_similarity")).select("candidate_id", F.col("b.similarity").alias("best_similarity"), F.col("b.ref_id").alias("best_match_id"), "top_n_mean_similarity")
+    best = top_loci(candidates, references, n, block_rows).filter(F.size("best") > 0)
+    mean = F.aggregate("best", F.lit(0.0), lambda t, x: t + x["similarity"]) / F.size("best")
+    return best.select("candidate_id", F.col("best")[0]["similarity"].alias("best_similarity"), F.col("best")[0]["ref_id"].alias("best_match_id"), mean.alias("top_n_mean_similarity"))
+
+
+_BEST = "candidate_id {}, best array<struct<similarity:double,o:long,ref_id:string,locus:string>>"
+_STRUCT = pa.struct([("similarity", pa.float64()), ("o", pa.int64()), ("ref_id", pa.string()), ("locus", pa.string())])
+
+
+def _first_of_locus(n: int) -> Column:
+    """The first n loci of ``all``, which is in order, each at its first entry."""
+    seen = lambda out, x: F.exists(out, lambda y: y["locus"].eqNullSafe(x["locus"]))
+    step = lambda out, x: F.when((F.size(out) >= n) | seen(out, x), out).otherwise(F.concat(out, F.array(x)))
+    return _named(F.aggregate("all", F.array().cast("array<struct<similarity:double,o:long,ref_id:string,locus:string>>"), step))
+
+
+def _named(best: Column) -> Column:
+    return F.transform(best, lambda x: F.struct(x["similarity"].alias("similarity"), (-x["o"]).alias("ref_ord"), x["ref_id"].alias("ref_id"), x["locus"].alias("locus")))
+
+
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """Equally long lists of numbers as unit rows; without a row it has one column."""
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    return _unit(flat.reshape(len(vectors), -1).astype(float)) if len(flat) else np.zeros((len(vectors), 1))
+
+
+class _Block:
+    """References by locus, and in their own order within one."""
+
+    def __init__(self, locus: pa.Array, ords: pa.Array, ids: pa.Array, vectors: pa.Array) -> None:
+        number, names = pd.factorize(locus.to_pandas(), use_na_sentinel=False)
+        ords = ords.to_numpy(zero_copy_only=False)
+        order = np.lexsort((ords, number))
+        self.vectors, self.ords, self.number, self.names = _matrix(vectors)[order], ords[order], number[order], list(names)
+        self.ids = ids.to_pandas().to_numpy()[order]
+        self.firsts = np.flatnonzero(np.r_[True, np.diff(self.number) > 0])
+        self.ends = np.r_[self.firsts[1:], len(order)]
+
+
+def _selected(ids: pa.Array, vectors: np.ndarray, refs: _Block, n: int) -> Iterator[pa.RecordBatch]:
+    """The n best loci of every candidate, some hundreds of candidates at once."""
+    for at in range(0, len(ids), 256):
+        sims = vectors[at : at + 256] @ refs.vectors.T
+        best = np.maximum.reduceat(sims, refs.firsts, axis=1)
+        m = best.shape[1]
+        least = np.partition(best, m - n, axis=1)[:, m - n] if m > n else np.full(len(best), -np.inf)
+        out = []
+        for row, all_, bound in zip(sims, best, least, strict=True):
+            found = []
+            for g in np.flatnonzero(all_ >= bound):  # n loci, and any that equal the last of them
+                j = refs.firsts[g] + int(np.argmax(row[refs.firsts[g] : refs.ends[g]]))
+                found.append((-row[j], refs.ords[j], j))
+            out.append([{"similarity": -s, "o": -int(o), "ref_id": refs.ids[j], "locus": refs.names[refs.number[j]]} for s, o, j in sorted(found)[:n]])
+        yield pa.RecordBatch.from_arrays([ids.slice(at, 256), pa.array(out, pa.list_(_STRUCT))], names=["candidate_id", "best"])
+
+
+def _top_of_one_block(candidates: DataFrame, references: DataFrame, n: int, kind: str) -> DataFrame:
+    own = references.select(F.col("locus").cast("string"), F.col("ref_ord").cast("long"), F.col("ref_id").cast("string"), F.col("embedding").cast("array<double>")).toArrow().combine_chunks()
+    shared = candidates.sparkSession.sparkContext.broadcast(own)  # at most a block's rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        refs = _Block(*(c.combine_chunks() for c in shared.value.columns)) if shared.value.num_rows else None
+        for b in batches:
+            if refs is not None and b.num_rows:
+                yield from _selected(b.column(0), _matrix(b.column(1)), refs, n)
+
+    found = candidates.select("candidate_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, _BEST.format(kind))
+    return found.select("candidate_id", _named(F.col("best")).alias("best"))
 
 
 def similarity_rows(candidates: DataFrame, references: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:

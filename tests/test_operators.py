@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -341,3 +342,51 @@ def test_conservation_against_a_plain_null(spark, sf):
             assert r.null_mean == pytest.approx(sum(told) / len(told))
             if r.identity is not None:
                 assert r.p_value == pytest.approx((sum(x >= r.identity - 1e-12 for x in told) + 1) / (len(told) + 1))
+
+
+def test_top_loci_of_one_block_and_of_many(spark):
+    """Blocks of any size, chunks and shares give the n best loci that a full sort gives; equal similarities keep the references' order."""
+    rng = np.random.default_rng(2)
+    vectors = rng.integers(-2, 3, (90, 4)).astype(float)  # many equal directions
+    refs = [(f"r{i}", f"l{i % 17}", i, v.tolist()) for i, v in enumerate(vectors)]
+    cands = [(i, v.tolist()) for i, v in enumerate(rng.integers(-2, 3, (40, 4)).astype(float))]
+    references = spark.createDataFrame(refs, "ref_id string, locus string, ref_ord long, embedding array<double>")
+    candidates = spark.createDataFrame(cands, "candidate_id long, embedding array<double>")
+    unit = lambda v: np.array(v) / (np.linalg.norm(v) or 1)
+    for n in (1, 3, 50):
+        want = {}
+        for i, v in cands:
+            best = {}
+            for ref_id, locus, o, w in refs:
+                key = (-round(float(unit(v) @ unit(w)), 9), o, ref_id)
+                best[locus] = min(best.get(locus, key), key)
+            want[i] = [(k[0], locus) for locus, k in sorted(best.items(), key=lambda x: x[1])][:n]
+        for block, chunk in ((1000, 1000), (20, 7), (1, 1000)):
+            got = {r.candidate_id: r.best for r in similarity.top_loci(candidates, references, n, block, chunk).collect()}
+            assert set(got) == set(want)
+            for i, best in got.items():
+                assert [-round(x.similarity, 9) + 0.0 for x in best] == [s + 0.0 for s, _ in want[i]]
+                assert len({x.locus for x in best}) == len(best)
+    none = similarity.score_candidates(candidates, references.limit(0))
+    assert none.count() == 0
+
+
+def test_what_is_shuffled_does_not_grow_with_the_loci(spark):
+    """100,000 loci: without blocks nothing is shuffled, with blocks each hands on n structs a candidate."""
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(100_000, 4))
+    import pandas as pd
+
+    references = spark.createDataFrame(pd.DataFrame({"ref_id": [f"r{i}" for i in range(100_000)], "locus": [f"l{i}" for i in range(100_000)], "ref_ord": range(100_000), "embedding": vectors.tolist()}))
+    cands = rng.normal(size=(30, 4))
+    candidates = spark.createDataFrame(pd.DataFrame({"candidate_id": range(30), "embedding": cands.tolist()}))
+    sims = (cands / np.linalg.norm(cands, axis=1, keepdims=True)) @ (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).T
+    for block in (100_000, 30_000):
+        got = similarity.score_candidates(candidates, references, 5, block)
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString() or block < 100_000
+        for r in got.collect():
+            best = np.sort(sims[r.candidate_id])[::-1][:5]
+            assert r.best_similarity == pytest.approx(best[0])
+            assert r.top_n_mean_similarity == pytest.approx(best.mean())
+            assert r.best_match_id == f"r{int(np.argmax(sims[r.candidate_id]))}"
+    assert similarity.top_loci(candidates, references, 5, 30_000).select(F.max(F.size("best"))).first()[0] == 5
