@@ -1,11 +1,12 @@
-"""GenBank: whole files through Spark's binary reader (2 GB each at most), parsed in the executors."""
+"""GenBank: a splittable reader by records, parsed in the executors."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandforge.operators.orf import PRODUCT, dedupe_record_ids
@@ -76,27 +77,44 @@ def parse_genbank(text: str, limit: int | None = None) -> Iterator[tuple[int, st
 
 
 def read_genbank(spark: SparkSession, path: str | list[str], record_limit: int | None = None, recursive: bool = False) -> DataFrame:
-    """One row a record; a file that can't be parsed gives one row with its error in ``corrupt``.
+    """One row a record; a record that can't be parsed gives a row with its error in ``corrupt``.
 
-    Files come through Spark's reader (any store it knows) and are parsed in the executors, one at a time.
+    Files come through Spark's text reader (any store it knows) with the record's end as the line's, so a large file is read by
+    many tasks, each from the first record that begins in its part, and only a single record must fit in a row.  A line that
+    begins with // ends a record.  ``record_limit`` keeps the first records of each file; a task parses no more of its part.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", EXTENSIONS).option("recursiveFileLookup", str(recursive).lower()).load(path)
-
-    def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            rows = []
-            for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                try:
-                    rows += [(name, i, k, s, f, None) for i, k, s, f in parse_genbank(content.decode("utf-8", "replace"), record_limit)]
-                except ValueError as e:
-                    rows.append((name, None, None, None, [], str(e)))
-            keys = ("type", "start", "end", "strand", "ordinal", "qualifiers")
-            rows = [(n, i, k, s, [dict(zip(keys, x, strict=True)) for x in f], c) for n, i, k, s, f, c in rows]
-            yield pd.DataFrame(rows, columns=["gbk_file", "record_index", "record_id", "sequence", "features", "corrupt"])
-
-    return files.select("path", "content").mapInPandas(run, SCHEMA)
+    texts = spark.read.option("pathGlobFilter", EXTENSIONS).option("recursiveFileLookup", str(recursive).lower()).text(path, lineSep="\n//")
+    part = F.struct(*(F.col(f"_metadata.{c}").alias(c) for c in ("file_path", "file_block_start", "file_block_length", "file_size")))
+    texts = texts.select("value", part.alias("part")).select(F.make_valid_utf8("value").alias("value"), "part.*").filter(F.rlike("value", F.lit(r"\S")))
+    found = texts.select("file_path", "file_block_start", "value").mapInPandas(lambda batches: _records(batches, record_limit), f"file_block_start long, {SCHEMA}")
+    # a part of a file that isn't the first counts on from the records before it
+    counts = texts.filter(F.col("file_block_length") < F.col("file_size")).groupBy("file_path", "file_block_start").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file_path").orderBy("file_block_start").rowsBetween(Window.unboundedPreceding, -1))
+    shift = counts.select(F.col("file_path").alias("_path"), F.col("file_block_start").alias("_start"), F.coalesce(before, F.lit(0)).alias("_before")).filter("_start > 0")
+    out = found.join(shift, (F.col("gbk_file") == F.col("_path")) & (F.col("file_block_start") == F.col("_start")), "left")
+    out = out.withColumn("record_index", (F.col("record_index") + F.coalesce("_before", F.lit(0))).cast("int"))
+    if record_limit is not None:
+        out = out.filter(F.col("record_index") <= record_limit)
+    return out.select("gbk_file", "record_index", "record_id", "sequence", "features", "corrupt")
+
+
+def _records(batches: Iterator[pd.DataFrame], limit: int | None) -> Iterator[pd.DataFrame]:
+    """The records of a task's parts of files, numbered from 1 within each part."""
+    keys = ("type", "start", "end", "strand", "ordinal", "qualifiers")
+    part, n = None, 0
+    for pdf in batches:
+        rows = []
+        for name, start, text in zip(pdf["file_path"], pdf["file_block_start"], pdf["value"], strict=True):
+            n = n + 1 if part == (name, start) else 1
+            part = name, start
+            if limit is not None and n > limit:
+                continue
+            try:
+                _, key, sequence, features = next(parse_genbank(text))
+                rows.append((start, name, n, key, sequence, [dict(zip(keys, x, strict=True)) for x in features], None))
+            except ValueError as e:
+                rows.append((start, name, n, None, None, [], str(e)))
+        yield pd.DataFrame(rows, columns=["file_block_start", "gbk_file", "record_index", "record_id", "sequence", "features", "corrupt"])
 
 
 def segments(records: DataFrame, word: str) -> DataFrame:

@@ -166,3 +166,62 @@ def test_nested_export_has_all_fields(spark):
     assert told["annotated_cds"][0]["length_nt"] == 6 and told["pipeline_metadata"] == {"model": "m"} and told["num_annotated_cds"] == 1
     flat = tables.flat_results(c, s)
     assert flat.columns == ["record_id", "is_target", "candidate_id", "protein_sequence", "rank"]
+
+
+def _many_records(n, rng):
+    out = []
+    for i in range(n):
+        bases = "".join(rng.choice("acgt") for _ in range(rng.randint(0, 150)))
+        body = "\n".join(f"{k + 1:>9} {bases[k : k + 60]}" for k in range(0, len(bases), 60))
+        out.append(f"LOCUS       R{i} {len(bases)} bp\nVERSION     R{i}.1\nFEATURES             Location/Qualifiers\n     CDS             1..{max(1, len(bases))}\n                     /gene=\"g{i}\"\nORIGIN\n{body}\n//\n")
+    return out
+
+
+def test_a_large_genbank_file_is_read_by_many_tasks(spark, tmp_path):
+    """Parts that begin anywhere in a record give every record once, numbered by its place in the file."""
+    import random
+
+    records = _many_records(120, random.Random(7))
+    (tmp_path / "big.gbk").write_text("".join(records))
+    (tmp_path / "small.gb").write_text(records[3])
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in (97, 350, 1013, 10_000, 1 << 27):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            r = genbank.read_genbank(spark, str(tmp_path))
+            if size < 1 << 20:
+                assert spark.read.text(str(tmp_path / "big.gbk"), lineSep="\n//").rdd.getNumPartitions() > 2
+            got = sorted((x.gbk_file.rsplit("/", 1)[1], x.record_index, x.record_id, x.sequence, len(x.features), x.corrupt) for x in r.collect())
+            want = [("big.gbk", i + 1, f"R{i}.1", next(genbank.parse_genbank(t))[2], 1, None) for i, t in enumerate(records)] + [("small.gb", 1, "R3.1", next(genbank.parse_genbank(records[3]))[2], 1, None)]
+            assert got == sorted(want), size
+            first = genbank.read_genbank(spark, str(tmp_path), 2).collect()
+            assert sorted((x.gbk_file.rsplit("/", 1)[1], x.record_id) for x in first) == [("big.gbk", "R0.1"), ("big.gbk", "R1.1"), ("small.gb", "R3.1")]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", held[1])
+
+
+def test_a_bad_record_costs_no_other(spark, tmp_path):
+    good = _many_records(2, __import__("random").Random(1))
+    (tmp_path / "a.gbk").write_bytes((good[0] + "junk\n//\n" + good[1]).replace("\n", "\r\n").encode() + b"\n\xff\n")
+    rows = sorted(genbank.read_genbank(spark, str(tmp_path)).collect(), key=lambda r: r.record_index)
+    assert [(r.record_index, r.record_id) for r in rows] == [(1, "R0.1"), (2, None), (3, "R1.1"), (4, None)]
+    assert [r.corrupt for r in rows] == [None, "no LOCUS line", None, "no LOCUS line"]
+
+
+def test_fasta_split_anywhere(spark, tmp_path):
+    import random
+
+    rng = random.Random(5)
+    want = [(f"s{i}", "".join(rng.choice("ACGT") for _ in range(rng.randint(1, 90)))) for i in range(150)]
+    (tmp_path / "a.fa").write_text("".join(f">{k} d\n" + "\n".join(s[x : x + 20] for x in range(0, len(s), 20)) + "\n" for k, s in want))
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in (61, 333, 2000):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            assert sorted(map(tuple, fasta.read_fasta(spark, str(tmp_path)).collect())) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", held[1])
