@@ -1,7 +1,8 @@
-"""From segments to ranked candidates in one lazy plan."""
+"""From segments to ranked candidates: one plan, of which only known sequences (and, with a model, the frames) are written in between."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -13,6 +14,8 @@ from strandforge.operators.orf import indexed_regions, orfs, region_orfs, window
 from strandforge.operators.rank import rank_candidates
 from strandforge.operators.rules import Rule, predict
 from strandforge.operators.similarity import score_candidates
+from strandforge.plans.embed import Model, embed
+from strandforge.plans.progress import Progress
 
 
 @dataclass(frozen=True)
@@ -69,18 +72,37 @@ def checked_join(candidates: DataFrame, scores: DataFrame, key: str = "candidate
     return out.withColumn("best_similarity", sound)
 
 
-def run_pipeline(segments: DataFrame, embeddings: DataFrame, references: DataFrame, config: Config | None = None, index: DataFrame | None = None, rules: dict[str, Rule] | None = None) -> DataFrame:
+def run_pipeline(segments: DataFrame, embeddings: DataFrame, references: DataFrame, config: Config | None = None, index: DataFrame | None = None, rules: dict[str, Rule] | None = None, progress: Progress | None = None) -> DataFrame:
     """Segments, an embedding by distinct protein, and labelled references to ranked candidates.
 
     ``embeddings``: protein, embedding (made by any model); ``references``: ref_id, locus, ref_ord, embedding, sequence.  Distinct proteins are
-    scored once and joined back.
+    scored once and joined back.  ``progress`` counts the rows of each stage while the plan runs.
     """
     config = config or Config()
-    found = extract_candidates(segments, config)
+    count = progress.stage if progress else lambda df, *_: df
+    found = count(extract_candidates(count(segments, 1, "{rows} segments"), config), 2, f"{{rows}} candidates of {config.min_aa} to {config.max_aa} residues in six frames")
+    return _ranked(found, count(embeddings, 3, "{rows} distinct proteins embedded"), references, config, index, rules, count)
+
+
+def run_embedded_pipeline(segments: DataFrame, references: DataFrame, load: Callable[[], Model], name: str, config: Config | None = None, index: DataFrame | None = None, rules: dict[str, Rule] | None = None, progress: Progress | None = None, **batching: int) -> DataFrame:
+    """From sequences to ranks: ``run_pipeline`` with embeddings of candidates and references by the model that ``load`` gives.
+
+    ``references``: ref_id, locus, ref_ord, sequence.  Distinct sequences are embedded once.
+    """
+    config = config or Config()
+    count = progress.stage if progress else lambda df, *_: df
+    # written once: the model's input and the ranking's rows come from the same frames
+    found = cut(count(extract_candidates(count(segments, 1, "{rows} segments"), config), 2, f"{{rows}} candidates of {config.min_aa} to {config.max_aa} residues in six frames"))
+    vectors = count(embed(found, load, name, **batching), 3, "{rows} distinct proteins embedded")
+    known = embed(references, load, name, "sequence", **batching)
+    return _ranked(found, vectors, references.join(known, "sequence"), config, index, rules, count)
+
+
+def _ranked(found: DataFrame, embeddings: DataFrame, references: DataFrame, config: Config, index: DataFrame | None, rules: dict[str, Rule] | None, count: Callable[..., DataFrame]) -> DataFrame:
     scores = score_candidates(embeddings.select(F.col("protein").alias("candidate_id"), "embedding"), references, config.top_n).withColumnRenamed("candidate_id", "protein")
-    scored = checked_join(found, scores, "protein")
+    scored = count(checked_join(found, scores, "protein"), 4, "{rows} candidates scored")
     ranked = rank_candidates(scored.withColumn("ord", F.col("candidate_id")), "record_id", config.score_mode, config.min_rule_score, rules, config.allow_inverted)
-    return lookup_genomes(mark_known(ranked, references), index)
+    return count(lookup_genomes(mark_known(count(ranked, 5, "{rows} candidates ranked"), references), index), 6, "{rows} results")
 
 
 def index_pipeline(records: DataFrame, features: DataFrame, word: str, **limits) -> DataFrame:

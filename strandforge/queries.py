@@ -525,6 +525,46 @@ def semantic_pipeline(spark, sf_dir):
     return r.select("record_id", "candidate_id", "rank", "protein", "best_match_id", F.round("best_similarity", 6).alias("best_similarity"), F.round("embedding_score", 6).alias("embedding_score"), "is_known_precursor")
 
 
+_ALPHABET, _WIDTH = "ACDEFGHIKLMNPQRSTVWY", 8
+
+
+def _toy_model():
+    """A deterministic stand-in for a language model, with marks of begin, end and padding as one has them."""
+    import numpy as np
+
+    def states(texts: list[str]):
+        longest = max(map(len, texts)) + 2
+        out, mask = np.full((len(texts), longest, _WIDTH), 77.0), np.zeros((len(texts), longest), bool)
+        for row, held, t in zip(out, mask, texts):
+            letters = np.array([_ALPHABET.find(c) + 1 for c in t])
+            row[1 : len(t) + 1] = (letters[:, None] * (np.arange(_WIDTH) + 2) + np.arange(len(t))[:, None]) % 13 - 6
+            held[1 : len(t) + 1] = True
+        return out, mask
+
+    return states
+
+
+_EMBEDDED = f"""with {_orf_sql()}, prot as (select distinct protein from orfs),
+emb as (select protein, list_transform(range(0, {_WIDTH}), lambda k: list_sum(list_transform(range(0, length(protein)), lambda i: (instr('{_ALPHABET}', substr(protein, (i + 1)::int, 1)) * (k + 2) + i) % 13 - 6)) / length(protein)::double) as v from prot),
+unit as (select protein, case when list_sum(list_transform(v, lambda x: x * x)) > 0 then list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) else v end as v from emb),
+refs as (select protein as r, left(protein, 2) as locus, v from unit where length(protein) <= 22),
+sims as (select c.protein, r.r, r.locus, list_dot_product(c.v, r.v) as s from unit c, refs r),
+best as (select protein, max(s) as s from sims group by protein),
+topn as (select protein, avg(g) as m from (select protein, locus, max(s) g, row_number() over (partition by protein order by max(s) desc, locus) k from sims group by protein, locus) where k <= 5 group by protein)
+select i.record_id, i.protein, i.strand, i.genomic_start, round(s, 6) as best_similarity, round(m, 6) as embedding_score, exists(select 1 from refs where contains(i.protein, r)) as is_known_precursor
+from orfs i join best using (protein) join topn using (protein)"""
+
+
+@query(_EMBEDDED)
+def embedded_pipeline(spark, sf_dir):
+    """From sequences to scores with a model: the proteins of at most 22 residues are the references, by their first two letters."""
+    own, _ = _pipeline_inputs(spark, sf_dir)
+    short = found_orfs(spark, sf_dir).select(F.col("protein").alias("sequence")).filter(F.length("sequence") <= 22).distinct()
+    refs = short.select(F.col("sequence").alias("ref_id"), F.left("sequence", F.lit(2)).alias("locus"), F.xxhash64("sequence").alias("ref_ord"), "sequence")
+    r = pipeline.run_embedded_pipeline(own, refs, _toy_model, "toy")
+    return r.select("record_id", "protein", "strand", "genomic_start", F.round("best_similarity", 6).alias("best_similarity"), F.round("embedding_score", 6).alias("embedding_score"), "is_known_precursor")
+
+
 _PROT_SITES = "sites as (select sequence, position, left(sequence, position::int) as leader, substr(sequence, position::int + 1) as core from (select sequence, unnest(range(10, length(sequence) - 9)) as position from (select distinct protein as sequence from orfs where length(protein) >= 20)))"
 
 

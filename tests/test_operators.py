@@ -390,3 +390,67 @@ def test_what_is_shuffled_does_not_grow_with_the_loci(spark):
             assert r.top_n_mean_similarity == pytest.approx(best.mean())
             assert r.best_match_id == f"r{int(np.argmax(sims[r.candidate_id]))}"
     assert similarity.top_loci(candidates, references, 5, 30_000).select(F.max(F.size("best"))).first()[0] == 5
+
+
+def test_embedding_batches_and_pooling(spark):
+    from strandforge.plans import embed
+
+    for lengths in ([5, 5, 6, 9, 100, 3], [], [7], [50] * 9):
+        ranges = list(embed.batches_of(lengths, 20, 3))
+        assert [i for a, b in ranges for i in range(a, b)] == list(range(len(lengths)))
+        assert all(b - a <= 3 and (b - a == 1 or max(lengths[a:b]) * (b - a) <= 20) for a, b in ranges)
+    states, mask = np.arange(24.0).reshape(2, 4, 3), np.array([[0, 1, 1, 0], [0, 0, 0, 0]])
+    got = embed.pooled(states, mask)
+    assert got.tolist() == [[4.5, 5.5, 6.5], [0.0, 0.0, 0.0]]
+    native = spark.createDataFrame([(states[0].tolist(), [bool(x) for x in mask[0]])], "r array<array<double>>, m array<boolean>").select(seq.masked_mean(F.col("r"), F.col("m"))).first()[0]
+    assert native == got[0].tolist()
+
+
+def test_a_model_is_loaded_once_a_worker(spark, tmp_path):
+    from strandforge.plans import embed
+
+    folder = str(tmp_path)
+
+    def load():
+        import os
+        import uuid
+
+        open(f"{folder}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+
+        def model(texts):
+            n = max(map(len, texts))
+            return np.array([[[float(len(t))]] * n for t in texts]), np.array([[i < len(t) for i in range(n)] for t in texts])
+
+        return model
+
+    df = spark.createDataFrame([("M" * (1 + i % 40),) for i in range(500)] + [(None,), ("",)], "protein string")
+    got = {r.protein: r.embedding for r in embed.embed(df, load, f"length-{folder}", most_residues=64).collect()}
+    embed.embed(df, load, f"length-{folder}").collect()
+    assert got == {"M" * n: [float(n)] for n in range(1, 41)}
+    pids = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+    assert len(pids) == len(set(pids))
+
+
+def test_progress_tells_every_stage_without_a_job_of_its_own(spark, sf):
+    from strandforge import queries
+    from strandforge.plans.progress import Progress
+
+    own, emb = queries._pipeline_inputs(spark, sf)
+    refs = queries.references(spark, sf).withColumn("sequence", queries._reference_sequence(F.col("ref_ord")))
+    jobs = lambda group: len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    def run(group, progress):
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            return len(pipeline.run_pipeline(own, emb, refs, progress=progress).collect())
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    told = []
+    p = Progress(told.append)
+    plain, counted = run("plain", None), run("counted", p)
+    p.tell_all()
+    assert plain == counted
+    assert jobs("counted") <= jobs("plain") + 1  # adaptive planning may split a job differently, no counting job is added
+    assert [m[:5] for m in told] == [f"[{k}/6]" for k in range(1, 7)]
+    assert told[0] == f"[1/6] {own.count()} segments" and told[5] == f"[6/6] {counted} results"
