@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from strandforge.functions.seq import interval_distance, window_around
 from strandforge.functions.text import core_is_prefix, core_is_suffix, sequence_hash, slug
+from strandforge.lineage import cut
+from strandforge.operators.ordered import exact_medians
 from strandforge.operators.orf import orfs, with_protein
 from strandforge.operators.rank import keep_first, rank_loci
 
@@ -111,9 +113,10 @@ def locus_candidates(loci: DataFrame, min_aa: int = 20, max_aa: int = 120, slack
 
 
 def locus_stats(loci: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Matches, median distance (null without) and span of every locus."""
+    """Matches, median distance (null without) and span of every locus; the candidates are written once, and the exact medians gather in no task."""
     key = ["case_id", "gbk_path", "record_id", "start", "end"]
-    stats = candidates.groupBy(*key).agg(F.count("*").alias("match_count"), F.median("distance").alias("median_distance"), (F.max("genomic_end") - F.min("genomic_start")).alias("locus_span"))
+    candidates = cut(candidates.select(*key, "distance", "genomic_start", "genomic_end"))
+    stats = candidates.groupBy(*key).agg(F.count("*").alias("match_count"), (F.max("genomic_end") - F.min("genomic_start")).alias("locus_span")).join(exact_medians(candidates, key, "distance", "median_distance"), key)
     out = loci.select(*key).distinct().join(stats, key, "left")
     return out.withColumn("match_count", F.coalesce("match_count", F.lit(0)).cast("long")).withColumn("locus_span", F.coalesce("locus_span", F.lit(0)))
 

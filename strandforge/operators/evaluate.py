@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from strandforge.functions.text import hit_at
 from strandforge.lineage import cut
 from strandforge.operators.curation import anchor_loci
+from strandforge.operators.ordered import exact_medians
 from strandforge.operators.orf import orfs, with_protein
-from strandforge.operators.rules import Rule, best_rule_score
+from strandforge.operators.rules import Rule, best_rule_score, cleavage_sites, dealt, reasons
 from strandforge.operators.similarity import best_by_locus
 
 
@@ -48,11 +49,16 @@ def holdout_ranks(scored: DataFrame, cutoffs: dict[str, float] | None = None, de
 
 
 def recall(ranks: DataFrame, ks: tuple[int, ...] = (1, 5, 10, 50), rank: str = "rank") -> DataFrame:
-    """One row of recall at each k (no rank counts as a miss), and the candidate counts' mean, median, least and most."""
-    return ranks.agg(
+    """One row of recall at each k (no rank counts as a miss), and the candidate counts' mean, median, least and most.
+
+    ``ranks`` is written once; the median is exact and gathers in no task.
+    """
+    ranks = cut(ranks)
+    row = ranks.agg(
         F.count("*").alias("loci"), *(F.avg(hit_at(F.col(rank), k).cast("double")).alias(f"recall_{k}") for k in ks),
-        F.avg("candidate_count").alias("candidates_mean"), F.median("candidate_count").alias("candidates_median"), F.min("candidate_count").alias("candidates_min"), F.max("candidate_count").alias("candidates_max"),
+        F.avg("candidate_count").alias("candidates_mean"), F.min("candidate_count").alias("candidates_min"), F.max("candidate_count").alias("candidates_max"),
     )
+    return row.join(exact_medians(ranks, [], "candidate_count", "candidates_median"), how="left")  # one row each
 
 
 def sequence_recall(ranks: DataFrame, sequences: DataFrame, ks: tuple[int, ...] = (1, 5, 10, 50)) -> DataFrame:
@@ -77,6 +83,58 @@ def core_topk(ranks: DataFrame, by: str | None = None, ks: tuple[int, ...] = (1,
     return own.agg(F.count("*").alias("n"), *(F.avg(hit_at(F.col("rank"), k).cast("double")).alias(f"top_{k}") for k in ks))
 
 
+def core_summary(ranks: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+    """One row: how many candidates, groups and cases there are, and at each level the share within each k (``candidate_top_1`` and so on).
+
+    A group and a case count by their best rank.  Levels are made distinct as keys before they are counted.
+    """
+    out = None
+    for name, by in (("candidate", None), ("group", "core_group"), ("case", "case_id")):
+        own = core_topk(ranks, by, ks)
+        own = own.select(F.col("n").alias({"candidate": "candidates", "group": "groups", "case": "cases"}[name]), *(F.col(f"top_{k}").alias(f"{name}_top_{k}") for k in ks))
+        out = own if out is None else out.join(own, how="cross")  # one row each
+    return out
+
+
+def core_benchmark(candidates: DataFrame, variants: dict[str, dict[str, Rule]], top_n: int = 5, allow_inverted: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(summary, cases, misses) of the core predictor on candidates with a given core, under each rule set.
+
+    ``candidates``: candidate_id, case_id, core_group, core_aa, protein_sequence; those without a core or protein aren't judged.  ``summary``: a row a
+    variant with ``core_summary``; ``cases``: a row a candidate with the true core's rank among the ``top_n`` (null: none) and the best prediction;
+    ``misses``: the candidates whose best prediction isn't the true core, with why: the true core's own rank and score among all allowed
+    sites, and its reasons and those of the prediction, or ``true_status`` ``not in protein`` or ``site not allowed``.  Each
+    distinct protein's sites are scored once a variant.
+    """
+    same = lambda c: F.translate(F.upper(F.trim(c)), "I", "L")
+    known = candidates.withColumns({"protein_sequence": F.upper(F.trim("protein_sequence")), "core_aa": F.upper(F.trim("core_aa"))}).filter("protein_sequence <> '' and core_aa <> ''")
+    known = cut(known.select("candidate_id", "case_id", "core_group", "core_aa", "protein_sequence"))
+    every, wrong = None, None
+    for name, own_rules in variants.items():
+        sites = cleavage_sites(dealt(known.select(F.col("protein_sequence").alias("sequence")).distinct()), own_rules, allow_inverted=allow_inverted)
+        order = Window.partitionBy("sequence").orderBy(F.round("score", 9).desc(), F.desc("orientation"), "position")
+        site = F.struct(F.row_number().over(order).alias("rank"), F.round("score", 6).alias("score"), "orientation", "position", "core", F.array_join(reasons(F.col("score_breakdown")), "; ").alias("reasons"))
+        ranked = cut(sites.select("sequence", site.alias("s")))
+        best = ranked.filter("s.rank = 1").select("sequence", F.col("s").alias("best"))
+        cores = known.select(F.col("protein_sequence").alias("sequence"), "core_aa").distinct()
+        true = ranked.join(cores, "sequence").filter(same(F.col("s.core")) == same(F.col("core_aa"))).groupBy("sequence", "core_aa").agg(F.min("s").alias("true"))
+        found = known.withColumnRenamed("protein_sequence", "sequence").join(best, "sequence", "left").join(true, ["sequence", "core_aa"], "left")
+        found = found.withColumn("variant", F.lit(name)).withColumn("rank", F.when(F.col("true.rank") <= top_n, F.col("true.rank")))
+        cases = found.select("variant", "candidate_id", "case_id", "core_group", "core_aa", F.col("sequence").alias("protein_sequence"), "rank", F.col("best.core").alias("best_core"), F.col("best.position").alias("best_position"), F.col("best.score").alias("best_score"), F.col("best.orientation").alias("best_orientation"))
+        status = F.when(~F.contains(same(F.col("sequence")), same(F.col("core_aa"))), "not in protein").when(F.col("true").isNull(), "site not allowed").otherwise("outranked")
+        missed = found.filter(F.coalesce(F.col("true.rank") > 1, F.lit(True))).select(
+            "variant", "candidate_id", "case_id", "core_group", "core_aa", F.col("best.core").alias("best_core"), F.col("best.position").alias("best_position"), F.col("best.score").alias("best_score"), F.col("best.reasons").alias("best_reasons"),
+            status.alias("true_status"), F.col("true.rank").alias("true_rank"), F.col("true.position").alias("true_position"), F.col("true.score").alias("true_score"), F.col("true.reasons").alias("true_reasons"),
+        )
+        every = cases if every is None else every.unionByName(cases)
+        wrong = missed if wrong is None else wrong.unionByName(missed)
+    every = cut(every)
+    summary = None
+    for name in variants:
+        own = core_summary(every.filter(F.col("variant") == name)).withColumn("variant", F.lit(name))
+        summary = own if summary is None else summary.unionByName(own)
+    return summary, every, wrong
+
+
 def retrieval_benchmark(
     records: DataFrame, cds: DataFrame, references: DataFrame, embeddings: DataFrame, flank: int = 20_000, full_genome: bool = False, strict: bool = False,
     cutoffs: dict[str, float] | None = None, rules: dict[str, Rule] | None = None, min_aa: int = 20, max_aa: int = 120,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandforge.functions.seq import STARTS, STOPS, reverse_complement, translate_bacterial
 from strandforge.functions.text import candidate_id
+from strandforge.operators.ordered import numbered
 
 #: Bases whose starts one tile owns.
 TILE = 1200
@@ -75,11 +76,18 @@ def with_protein(found: DataFrame) -> DataFrame:
     return found.withColumn("protein", translate_bacterial(F.col("dna"))).withColumn("is_alt_start", F.col("start_codon").isin("GTG", "TTG"))
 
 
-def with_candidate_ids(found: DataFrame, record: str = "record_id") -> DataFrame:
-    """Numbers a record's frames over its windows: forward before reverse, by frame, stop and start."""
+def with_candidate_ids(found: DataFrame, record: str = "record_id", bucket: int | None = None) -> DataFrame:
+    """Numbers a record's frames over its windows: forward before reverse, by frame, stop and start.
+
+    With a ``bucket`` of bases, records as long as a chromosome are numbered by many tasks: each strand, frame and stretch of stops is
+    one task's, and counts of those before it give its first number.  The ids are the same; the frames are then read twice.
+    """
     stop = F.col("nt_start") + F.col("nt_len")
-    order = Window.partitionBy(record).orderBy("window_start", "strand", F.abs("frame"), stop, "nt_start")
-    return found.withColumn("candidate_id", candidate_id(F.col(record), F.row_number().over(order)))
+    if bucket is None:
+        order = Window.partitionBy(record).orderBy("window_start", "strand", F.abs("frame"), stop, "nt_start")
+        return found.withColumn("candidate_id", candidate_id(F.col(record), F.row_number().over(order)))
+    coarse = [F.col("window_start"), F.col("strand"), F.abs("frame"), F.floor(stop / bucket)]
+    return numbered(found, [record], coarse, [stop, F.col("nt_start")], "_n").withColumn("candidate_id", candidate_id(F.col(record), F.col("_n"))).drop("_n")
 
 
 def windows_of(segments: DataFrame, restrict: bool = False) -> DataFrame:
@@ -109,9 +117,15 @@ def region_orfs(regions: DataFrame, records: DataFrame, min_aa: int = 20, max_aa
     return with_protein(orfs(cut, min_aa, max_aa))
 
 
-def dedupe_record_ids(segments: DataFrame, ordinal: str = "index") -> DataFrame:
-    """Trims ids; a blank one becomes segment_<ordinal>, the nth repeat gets __n."""
+def dedupe_record_ids(segments: DataFrame, ordinal: str = "index", bucket: int | None = None) -> DataFrame:
+    """Trims ids; a blank one becomes segment_<ordinal>, the nth repeat gets __n.
+
+    With a ``bucket`` of (whole-number) ordinals, an id that very many segments share is numbered by many tasks.
+    """
     base = F.when(F.trim(F.coalesce("record_id", F.lit(""))) == "", F.concat(F.lit("segment_"), F.col(ordinal).cast("string"))).otherwise(F.trim("record_id"))
-    n = F.row_number().over(Window.partitionBy("_base").orderBy(ordinal))
-    named = segments.withColumn("_base", base).withColumn("_n", n)
+    based = segments.withColumn("_base", base)
+    if bucket is None:
+        named = based.withColumn("_n", F.row_number().over(Window.partitionBy("_base").orderBy(ordinal)))
+    else:
+        named = numbered(based, ["_base"], [F.floor(F.col(ordinal) / bucket)], [F.col(ordinal)], "_n")
     return named.withColumn("record_id", F.when(F.col("_n") > 1, F.concat("_base", F.lit("__"), F.col("_n").cast("string"))).otherwise(F.col("_base"))).drop("_base", "_n")

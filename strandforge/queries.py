@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from strandforge.functions import seq, text
 from strandforge.lineage import cut
 from strandforge.operators import conservation, curation, evaluate, index, orf, rank, rules, similarity, viewer
-from strandforge.plans import pipeline
+from strandforge.plans import embed, pipeline
 from strandforge.sources import fasta, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -390,7 +390,17 @@ def selection_prediction(spark, sf_dir):
     return found.select("candidate_id", "orientation", "position", "core_rank", "core", F.round("score", 6).alias("score"))
 
 
-@query()
+#: Contributions in the order in which equal ones are told.
+_CONTRIBUTIONS = ["core_start", "ring_closure", "core_length", "cleavage_motif", "leader_penultimate", "leader_signature", "hydrophobicity", "charge_transition", "steric_lock"]
+# a double's shortest decimal is rounded half up
+_REASONS = f"""array_to_string(list_transform(list_sort(list_filter([{', '.join(f"struct_pack(k := -abs({c}::double), i := {i}, t := '{c}:' || printf('%+.2f', round({c}::double::varchar::decimal(24, 12), 2)::double), v := {c}::double)" for i, c in enumerate(_CONTRIBUTIONS))}], lambda x: x.v is not null and x.v <> 0)), lambda x: x.t), ';')"""
+
+
+def _told(table: str, orientation: str) -> str:
+    return f"select sequence, '{orientation}' as orientation, position, core, score, {_REASONS} as reasons from {table}"
+
+
+@query(f"{_both_sql()}, told as ({_told('scored_f', 'leader_core')} union all {_told('scored_i', 'core_leader')}) select sequence, rank::int as rank, reasons from (select *, row_number() over (partition by sequence order by round(score, 9) desc, orientation desc, position) as rank from told) where rank <= 3")
 def prediction_reasons(spark, sf_dir):
     p = rules.predict(proteins(spark, sf_dir), "sequence", allow_inverted=True)
     return p.select("sequence", "rank", F.array_join("reasons", ";").alias("reasons"))
@@ -436,6 +446,55 @@ def core_benchmark(spark, sf_dir):
     return evaluate.core_topk(ranks).withColumn("level", F.lit("candidate")).unionByName(evaluate.core_topk(ranks, "core_group").withColumn("level", F.lit("group")))
 
 
+_GIVEN = f"""truth as (select doc_id || ':' || strand || ':' || genomic_start || ':' || genomic_end as candidate_id, gbk_file as case_id, 'g' || doc_id % 97 as core_group, protein as sequence,
+  case doc_id % 5 when 0 then right(protein, 15) when 1 then right(protein, 18) when 2 then replace(right(protein, 20), 'I', 'L') when 3 then substr(protein, 12, 14) else 'CCCCC' || right(protein, 9) end as core_aa from orfs where length(protein) >= 40)"""
+#: Rule sets of the core benchmark by variant.
+_VARIANTS = ("default", "strict")
+
+
+def _core_cases_sql() -> str:
+    parts, cases = [], []
+    for v in _VARIANTS:
+        least = rules.ruleset(v)["core_length"]["parameters"]["min"]
+        parts.append(f"""sites_{v} as (select sequence, position, left(sequence, position::int) as leader, substr(sequence, position::int + 1) as core from (select sequence, unnest(range(10, length(sequence) - {least} + 1)) as position from prot)), {_site_sql(f"sites_{v}", v, False, f"_{v}")},
+told_{v} as (select *, row_number() over (partition by sequence order by round(score, 9) desc, position) as rank from ({_told(f"scored_{v}", "leader_core").replace("';')", "'; ')")})),
+true_{v} as (select t.candidate_id, min(r.rank) as rank from truth t join told_{v} r on t.sequence = r.sequence and replace(t.core_aa, 'I', 'L') = replace(r.core, 'I', 'L') group by 1)""")
+        cases.append(f"""select '{v}' as variant, t.*, x.rank as true_rank, case when x.rank <= 5 then x.rank end as rank, b.core as best_core, b.position as best_position, round(b.score, 6) as best_score, b.reasons as best_reasons, y.position as true_position, round(y.score, 6) as true_score, y.reasons as true_reasons
+  from truth t left join true_{v} x using (candidate_id) left join told_{v} b on b.sequence = t.sequence and b.rank = 1 left join told_{v} y on y.sequence = t.sequence and y.rank = x.rank""")
+    return f"with {_orf_sql()}, prot as (select distinct protein as sequence from orfs where length(protein) >= 40), {_GIVEN}, {', '.join(parts)}, every as ({' union all '.join(cases)})"
+
+
+_CORE_CASES = _core_cases_sql()
+
+
+def _core_benchmark(spark, sf_dir):
+    """Frames with a given core: their own end, one with I and L mixed up, one from the middle, and one that isn't in the protein."""
+    o = found_orfs(spark, sf_dir, 40)
+    k, p = F.col("doc_id") % 5, F.col("protein")
+    core = F.when(k == 0, F.right(p, F.lit(15))).when(k == 1, F.right(p, F.lit(18))).when(k == 2, F.translate(F.right(p, F.lit(20)), "I", "L")).when(k == 3, F.substring(p, 12, 14)).otherwise(F.concat(F.lit("CCCCC"), F.right(p, F.lit(9))))
+    name = F.concat_ws(":", F.col("doc_id").cast("string"), "strand", F.col("genomic_start").cast("string"), F.col("genomic_end").cast("string"))
+    given = o.select(name.alias("candidate_id"), F.col("gbk_file").alias("case_id"), F.concat(F.lit("g"), (F.col("doc_id") % 97).cast("string")).alias("core_group"), core.alias("core_aa"), p.alias("protein_sequence"))
+    return evaluate.core_benchmark(given, {v: rules.ruleset(v) for v in _VARIANTS})
+
+
+@query(f"{_CORE_CASES}, g as (select variant, core_group, min(rank) as rank from every group by 1, 2), c as (select variant, case_id, min(rank) as rank from every group by 1, 2) select * from "
+       + " join ".join(f"(select variant, count(*) as {n}, {', '.join(f'avg(coalesce(rank <= {k}, false)::int) as {level}_top_{k}' for k in (1, 3, 5))} from {t} group by variant)" + (" using (variant)" if i else "") for i, (level, n, t) in enumerate((("candidate", "candidates", "every"), ("group", "groups", "g"), ("case", "cases", "c")))))
+def core_benchmark_summary(spark, sf_dir):
+    return _core_benchmark(spark, sf_dir)[0]
+
+
+@query(f"{_CORE_CASES} select variant, candidate_id, case_id, core_group, core_aa, sequence as protein_sequence, rank::int as rank, best_core, best_position::int as best_position, best_score, 'leader_core' as best_orientation from every")
+def core_benchmark_cases(spark, sf_dir):
+    return _core_benchmark(spark, sf_dir)[1]
+
+
+@query(f"""{_CORE_CASES} select variant, candidate_id, case_id, core_group, core_aa, best_core, best_position::int as best_position, best_score, best_reasons,
+case when not contains(replace(sequence, 'I', 'L'), replace(core_aa, 'I', 'L')) then 'not in protein' when true_rank is null then 'site not allowed' else 'outranked' end as true_status, true_rank::int as true_rank, true_position::int as true_position, true_score, true_reasons
+from every where coalesce(true_rank > 1, true)""")
+def core_benchmark_misses(spark, sf_dir):
+    return _core_benchmark(spark, sf_dir)[2]
+
+
 # ---------------------------------------------------------------- index, joins, pipeline
 
 @query(f"with {_orf_sql()} select protein, count(*) as instance_count, count(distinct gbk_file) as genome_count, length(protein) as aa_len from orfs group by protein")
@@ -565,9 +624,51 @@ def embedded_pipeline(spark, sf_dir):
     return r.select("record_id", "protein", "strand", "genomic_start", F.round("best_similarity", 6).alias("best_similarity"), F.round("embedding_score", 6).alias("embedding_score"), "is_known_precursor")
 
 
+def _retrieval_sql(at: int, end: int) -> str:
+    """Ranks by locus where a locus is bases ``at`` to ``end`` of a segment."""
+    seg = f"seg as (select 'doc' || doc_id as record_id, doc_id, source || '/' || lang as gbk_file, substr({_DNA}, {at + 1}, {end - at}) as dna from documents)"
+    return f"""{_EMBEDDED[: _EMBEDDED.index("refs as")].replace(_orf_sql(), _orf_sql(seg=seg))}
+found as (select *, 'a' || doc_id % 12 as accession, gbk_file || ':' || record_id || ':32:224:a' || doc_id % 12 as locus, strand || ':' || (genomic_start + {at}) || ':' || (genomic_end + {at}) as cid from orfs),
+refs as (select distinct accession, protein from found where length(protein) >= 40),
+sims as (select c.protein, r.accession, max(list_dot_product(c.v, u.v)) as s from unit c, refs r join unit u on u.protein = r.protein group by 1, 2),
+{_PROT_SITES}, {_site_sql('sites')}, raw as (select sequence as protein, max(score) as raw from scored group by 1),
+marked as (select f.locus, f.accession, f.cid, f.protein, r.protein is not null as held from found f left join refs r using (accession, protein)),
+best as (select m.locus, m.cid, m.held, coalesce(any_value(w.raw), 0) as raw, max(s.s) as s from marked m join sims s on s.protein = m.protein and s.accession <> m.accession left join raw w on w.protein = m.protein
+  where m.locus in (select locus from marked where held) group by 1, 2, 3),
+numbered as (select *, row_number() over o as rank, case when raw >= 7 then sum((raw >= 7)::int) over o end as r7, case when raw >= 8 then sum((raw >= 8)::int) over o end as r8 from best window o as (partition by locus order by round(s, 9) desc, cid))
+select locus, min(case when held then rank end)::int as rank, min(case when held then r7 end)::bigint as rank_rule7, min(case when held then r8 end)::bigint as rank_rule8, count(*) as candidate_count, count_if(held)::bigint as holdout_match_count,
+round(max(case when rank = 1 then s end) - max(case when rank = 2 then s end), 6) + 0.0::double as top1_top2_gap from numbered group by locus"""
+
+
+def _retrieval(spark, sf_dir, **options) -> DataFrame:
+    """Every pseudo gene's locus against the frames of at least 40 residues at genes of other accessions."""
+    o = found_orfs(spark, sf_dir)
+    accession = F.concat(F.lit("a"), (F.col("doc_id") % 12).cast("string")).alias("accession")
+    records = segments(spark, sf_dir).select(F.col("gbk_file").alias("gbk_path"), "record_id", "sequence")
+    cds = segments(spark, sf_dir).select(F.col("gbk_file").alias("gbk_path"), "record_id", F.lit(32).alias("start"), F.lit(224).alias("end"), accession)
+    vectors = cut(embed.embed(o, _toy_model, "toy"))
+    if options.get("flank"):
+        at = F.lit(32 - options["flank"])
+        o = orf.with_protein(orf.orfs(segments(spark, sf_dir).withColumn("sequence", F.substr("sequence", at + 1, F.lit(192 + 2 * options["flank"]))).withColumn("window_start", at)))
+    refs = o.filter(F.length("protein") >= 40).select(accession, F.col("protein").alias("sequence")).distinct()
+    refs = refs.join(vectors.withColumnRenamed("protein", "sequence"), "sequence").withColumns({"ref_id": F.concat_ws(":", "accession", "sequence"), "ref_ord": F.xxhash64("accession", "sequence")})
+    ranks = evaluate.retrieval_benchmark(records, cds, refs, vectors, **options)[0]
+    return ranks.withColumn("top1_top2_gap", F.round("top1_top2_gap", 6) + 0.0)  # no minus zero
+
+
 _PROT_SITES = "sites as (select sequence, position, left(sequence, position::int) as leader, substr(sequence, position::int + 1) as core from (select sequence, unnest(range(10, length(sequence) - 9)) as position from (select distinct protein as sequence from orfs where length(protein) >= 20)))"
 
 
+@query(_retrieval_sql(0, 256))
+def retrieval_full_genome(spark, sf_dir):
+    return _retrieval(spark, sf_dir, full_genome=True)
+
+
+@query(_retrieval_sql(16, 240))
+def retrieval_windows(spark, sf_dir):
+    return _retrieval(spark, sf_dir, flank=16)
+
+
 @query(f"""{_PIPE}, {_PROT_SITES}, {_site_sql('sites')}, raw as (select sequence as protein, max(score) as raw from scored group by 1)
 select record_id, candidate_id, row_number() over (partition by record_id order by round(s, 9) desc, candidate_id)::int as rank, round(raw, 6) as rule_score_raw from ranked join raw using (protein) where doc_id % 2 = 0 and raw >= 2.0""")
 def semantic_pipeline_rule_cutoff(spark, sf_dir):

@@ -237,6 +237,13 @@ def write_benchmark(ranks: DataFrame, held_out: DataFrame, summary: DataFrame, p
     summary.write.mode(mode).json(f"{path}/holdout_summary")
 
 
+def write_core_benchmark(summary: DataFrame, cases: DataFrame, misses: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """The core benchmark's three outputs, by variant: the summary as JSON, cases and misses as TSV."""
+    summary.write.mode(mode).json(f"{path}/core_summary")
+    cases.write.mode(mode).partitionBy("variant").csv(f"{path}/core_cases", sep="\t", header=True)
+    misses.write.mode(mode).partitionBy("variant").csv(f"{path}/core_misses", sep="\t", header=True)
+
+
 def write_selection(selection: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Selected candidates as JSON lines; FASTA goes through ``write_fasta``."""
     selection.write.mode(mode).json(path)

@@ -454,3 +454,64 @@ def test_progress_tells_every_stage_without_a_job_of_its_own(spark, sf):
     assert jobs("counted") <= jobs("plain") + 1  # adaptive planning may split a job differently, no counting job is added
     assert [m[:5] for m in told] == [f"[{k}/6]" for k in range(1, 7)]
     assert told[0] == f"[1/6] {own.count()} segments" and told[5] == f"[6/6] {counted} results"
+
+
+def test_exact_medians_of_hot_groups(spark):
+    from strandforge.operators.ordered import exact_medians
+
+    rng = random.Random(8)
+    table = [("hot", rng.randrange(50) if i % 2 else rng.random() * 1e6) for i in range(6000)] + [("even", 1.0), ("even", 4.0), ("one", 7.0), ("none", None), (None, 2.0), (None, 3.0), (None, None)] + [("same", 5.0)] * 9
+    df = spark.createDataFrame([(g, None if v is None else float(v)) for g, v in table], "g string, v double")
+    want = {r.g: r.m for r in df.groupBy("g").agg(F.median("v").alias("m")).collect()}
+    for accuracy in (10_000, 100):
+        assert {r.g: r.median for r in exact_medians(df, ["g"], "v", accuracy=accuracy).collect()} == want
+        assert exact_medians(df, [], "v", "m", accuracy).first().m == df.agg(F.median("v")).first()[0]
+    assert exact_medians(df.limit(0), ["g"], "v").count() == 0
+
+
+def test_numbers_by_buckets_are_those_of_one_window(spark, sf):
+    from strandforge import queries
+
+    found = queries.found_orfs(spark, sf).withColumn("record_id", F.lit("one"))  # one hot record
+    found = found.withColumn("window_start", (F.col("doc_id") % 3).cast("int")).withColumn("nt_start", (F.col("nt_start") + 1000 * F.col("doc_id")).cast("int"))
+    plain = {(r.doc_id, r.strand, r.frame, r.nt_start, r.dna): r.candidate_id for r in orf.with_candidate_ids(found).collect()}
+    for bucket in (500, 40_000):
+        assert {(r.doc_id, r.strand, r.frame, r.nt_start, r.dna): r.candidate_id for r in orf.with_candidate_ids(found, bucket=bucket).collect()} == plain
+    ids = spark.createDataFrame([(i, [" a", "a ", None, ""][i % 4]) for i in range(40)], "index long, record_id string")
+    assert sorted(map(tuple, orf.dedupe_record_ids(ids, bucket=7).collect())) == sorted(map(tuple, orf.dedupe_record_ids(ids).collect()))
+
+
+def test_lanes_of_a_large_record_are_packed_by_islands(spark):
+    rng = random.Random(9)
+    table = [(g, f"c{i:04}", s, s + rng.choice([0, 1, 5, 30, 200])) for g in ("a", "b", None) for i, s in enumerate(rng.randrange(4000) for _ in range(300))]
+    df = spark.createDataFrame(table, "record_id string, candidate_id string, start int, end int")
+    want = {}
+    for g in ("a", "b", None):
+        ends = []
+        for _, name, s, e in sorted((r for r in table if r[0] == g), key=lambda r: (r[2], r[1])):
+            k = next((i for i, x in enumerate(ends) if s >= x), len(ends))
+            ends[k : k + 1] = [max([e, *ends[k : k + 1]])]
+            want[g, name] = k
+    for bucket in (50, 10_000):
+        assert {(r.record_id, r.candidate_id): r.lane for r in viewer.pack_lanes(df, ["record_id"], bucket=bucket).collect()} == want
+        held = viewer.islands(df, ["record_id"], bucket).groupBy("record_id", "_island").count().agg(F.max("count")).first()[0]
+        assert held < 300
+
+
+def test_core_benchmark_and_its_files(spark, tmp_path):
+    from strandforge.sources import tables
+
+    lead = "MKTLLAVAVALLASGAATA"
+    rows = [("a", "k1", "g1", "GGAGHVPEYFVGIGTPISFYG", lead + "GGAGHVPEYFVGIGTPISFYG"), ("b", "k1", "g2", "CCCC", lead + "GGAGHVPEYFVGIGTPISFYG"), ("c", "k2", "g1", lead[3:], lead + "GGAGHVPEYFVGIGTPISFYG"), ("d", "k3", "g3", "", "MKT"), ("e", "k3", "g3", "GG", None)]
+    given = spark.createDataFrame(rows, "candidate_id string, case_id string, core_group string, core_aa string, protein_sequence string")
+    summary, cases, misses = evaluate.core_benchmark(given, {"default": rules.ruleset(), "strict": rules.ruleset("strict")})
+    s = {r.variant: r for r in summary.collect()}
+    assert {(r.candidates, r.groups, r.cases) for r in s.values()} == {(3, 2, 2)}
+    assert s["default"].group_top_5 >= s["default"].candidate_top_5
+    why = {(r.variant, r.candidate_id): r.true_status for r in misses.collect()}
+    assert why["default", "b"] == "not in protein" and why["default", "c"] == "site not allowed"
+    assert all(r.rank is None for r in cases.filter("candidate_id = 'b'").collect())
+    tables.write_core_benchmark(summary, cases, misses, str(tmp_path))
+    assert spark.read.json(str(tmp_path / "core_summary")).count() == 2
+    back = spark.read.csv(str(tmp_path / "core_misses"), sep="\t", header=True)
+    assert back.count() == misses.count() and set(back.columns) == set(misses.columns)
