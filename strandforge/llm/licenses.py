@@ -15,7 +15,7 @@ GNU = {
     "gnu lesser general public license": ("lgpl", {"2 1": "february 1999", "3": "29 june 2007"}),
     "gnu affero general public license": ("agpl", {"3": "19 november 2007"}),
 }
-#: Known licence sentences, normalised (lower case, runs of anything but a-z and 0-9 as one space): sentence to identifier.  A star stands for one to twelve words.
+#: Known licence sentences, normalised (lower case, runs of anything but a-z and 0-9 as one space): sentence to identifier.  A star stands for any words of the sentence.
 SENTENCES = {
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit-keep",
@@ -67,6 +67,7 @@ for _name, (_short, _versions) in GNU.items():
 NOTICES = {
     "mit license": "mit-notice", "isc license": "isc-notice", "apache license version 2 0": "apache-notice-short", "apache license 2 0": "apache-notice-short", "apache 2 0 license": "apache-notice-short",
     "gnu general public license version 2": "gpl-2-notice", "gnu general public license version 3": "gpl-3-notice", "gnu affero general public license version 3": "agpl-3-notice", "gnu lesser general public license version 3": "lgpl-3-notice", "gnu lesser general public license version 2 1": "lgpl-2.1-notice",
+    "mit": "mit-notice", "isc": "isc-notice", "apache 2 0": "apache-notice-short", "bsd 2 clause": "bsd2-notice", "bsd 3 clause": "bsd3-notice", "mpl 2 0": "mpl-notice", "epl 2 0": "epl-notice",
     "bsd 2 clause license": "bsd2-notice", "bsd 3 clause license": "bsd3-notice", "mozilla public license version 2 0": "mpl-notice", "eclipse public license 2 0": "epl-notice",
 }
 for _kind in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd"):
@@ -102,6 +103,8 @@ RULES += [(f"CC-{n[3:-7].upper()}", [n]) for n in sorted(set(NOTICES.values()))
 #: After ``SPDX-License-Identifier:`` any licence of the rules may be named.
 NAMES = {n.lower().replace("-", " ").replace(".", " "): f"name-{n}" for n in sorted({n for n, _ in RULES} | {"GPL-2.0", "GPL-3.0", "CC0-1.0"})}
 RULES += [(n[5:], ["spdx", n]) for n in NAMES.values()]
+#: A plus after a version, which the normalisation writes as a word: the same or a later one.
+NAMES |= {f"{s.removesuffix(' or later')} plus": n for s, n in NAMES.items() if s.endswith(" or later")}
 RULES.sort()
 #: A rule that another one contains counts only where the longer one doesn't match.
 SHADOWED = {"BSD-2-Clause": "BSD-3-Clause"}
@@ -110,21 +113,31 @@ HINTS = "(?i)licens|distribut|software|permission|copyright|warrant|liable"
 #: Mark of a sentence's end, and of a line's end within a sentence.
 _END, _LINE = "\x01", "\x02"
 _GAP = r"(?: |\x02\x02)"
+#: An exception to a licence in an expression; it changes no licence's name.
+_EXCEPTION = rf"(?:{_GAP}with{_GAP}(?:[a-z0-9]+{_GAP})+?(?:exception|note)(?:{_GAP}[0-9]+)*)?"
 _VERB = r"(?:this (?:work|project|software|program|library|file|code|document) is )?(?:licensed|released|distributed|made available) under (?:the )?"
 _BY_VERB = f"^{_VERB}"
 
 
 def _pattern() -> str:
     """A known sentence between two ends of lines or sentences, perhaps numbered; longer ones first."""
-    words = lambda s: "".join(rf"(?:[a-z0-9]+{_GAP}){{1,12}}?" if w == "*" else w + (_GAP if i < n - 1 else "") for n in [len(s.split())] for i, w in enumerate(s.split()))
-    every = sorted([*SENTENCES, *NAMES], key=lambda s: (-len(s.split()), s))
-    notices = "|".join(words(s) for s in sorted(NOTICES, key=lambda s: (-len(s.split()), s)))
-    return rf"[\x01\x02](?:(?:[a-z]|[0-9]{{1,2}}|[ivx]+){_GAP})?({'|'.join(map(words, every))}|{_VERB.replace(' ', _GAP)}(?:{notices}))[\x01\x02]"
+    words = lambda s: "".join(rf"[a-z0-9][a-z0-9\x02 ]*?{_GAP}" if w == "*" else w + (_GAP if i < n - 1 else "") for n in [len(s.split())] for i, w in enumerate(s.split()))
+    longest = lambda table: sorted(table, key=lambda s: (-len(s.split()), s))
+    notices = "|".join(map(words, longest(NOTICES)))
+    name = rf"(?:{'|'.join(map(words, longest(NAMES)))}){_EXCEPTION}"
+    expression = rf"{name}(?:{_GAP}(?:or|and){_GAP}{name})*"
+    return rf"[\x01\x02](?:(?:[a-z]|[0-9]{{1,2}}|[ivx]+){_GAP})?({'|'.join(map(words, longest(SENTENCES)))}|{expression}|{_VERB.replace(' ', _GAP)}(?:{notices}))[\x01\x02]"
+
+
+def _names() -> str:
+    """A licence's name within an expression, the longest that stands there."""
+    return rf"\b({'|'.join(sorted(NAMES, key=lambda s: (-len(s.split()), s)))})\b"
 
 
 #: Steps that turn lower-cased text into words with marked ends: (pattern, replacement).
 _STEPS = [
     (r"[\x01\x02]", " "),
+    (r"([0-9])\+", "$1 plus "),
     (r"([.!?;:][\"')\]]*)[\x20\x09-\x0D]", "\x01"),  # a sentence's end
     (r"\n[^a-z0-9\n\x01]*\n", "\x01"),  # a line without a word ends a paragraph
     (r"\n", "\x02"),
@@ -151,13 +164,19 @@ def _lookup() -> dict[str, str]:
 _CANONICAL = [(r"\x02\x02", " "), (_BY_VERB, "under "), ("^neither the name of .* nor the names of its", "neither the name of * nor the names of its"), ("^in no event shall .* or contributors be liable for any direct", "in no event shall * or contributors be liable for any direct")]
 
 
+def _named_rule(name: str) -> str:
+    """A name somewhere in the expression that follows an SPDX tag."""
+    return f",spdx(?:,name-[^,]+)*,{re.escape(name)},"
+
+
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """(doc_id, n_sentences, sentence_ids, licenses): known sentences in text order, and the licences by name.
 
     A sentence begins and ends where a line or a sentence does (after one of . ! ? ; : and white space, or at a line without a word)
     and may run over lines, whatever marks of comments or numbering stand before it.  Normalised, it is looked up among the known ones;
     of known sentences that begin together the longest counts, and they do not overlap.
-    A rule matches where its identifiers stand next to one another in the text's sequence of known sentences,
+    After ``SPDX-License-Identifier:`` an expression of several licences (``or``, ``and``, brackets, ``with`` an exception) gives an
+    identifier for each.  A rule matches where its identifiers stand next to one another in the text's sequence of known sentences,
     whatever unknown text lies between.  Null and empty texts have none (n_sentences 0, both strings empty); very long ones are
     read whole, in linear time.  Every row is judged alone: repeated rows give as many rows, a null id is kept, an empty table gives
     none, extra columns are ignored.  The tables of sentences and rules are constants, so a row needs no join and no shuffle.
@@ -167,15 +186,16 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     def named(sentence: Column) -> Column:
         for pattern, new in _CANONICAL:
             sentence = F.regexp_replace(sentence, pattern, new)
-        return known[sentence]
+        one = known[sentence]
+        return F.when(one.isNotNull(), F.array(one)).otherwise(F.transform(F.regexp_extract_all(sentence, F.lit(_names()), F.lit(1)), lambda x: known[x]))
 
-    ids = F.filter(F.transform(F.regexp_extract_all(marked(F.col("_text")), F.lit(_pattern()), F.lit(1)), named), lambda x: x.isNotNull())
+    ids = F.filter(F.flatten(F.transform(F.regexp_extract_all(marked(F.col("_text")), F.lit(_pattern()), F.lit(1)), named)), lambda x: x.isNotNull())
     found = docs.select("doc_id", text_of().alias("_text")).select("doc_id", F.when(F.col("_text").rlike(HINTS), ids).otherwise(F.array().cast("array<string>")).alias("ids"))
     told = found.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"))
     chain = F.concat(F.lit(","), F.col("sentence_ids"), F.lit(","))
     hit: dict[str, Column] = {}
     for name, rule in RULES:
-        one = chain.contains("," + ",".join(rule) + ",")
+        one = F.rlike(chain, F.lit(_named_rule(rule[1]))) if rule[0] == "spdx" else chain.contains("," + ",".join(rule) + ",")
         hit[name] = hit[name] | one if name in hit else one
     listed = F.filter(F.array(*(F.when(hit[n] & ~hit[SHADOWED[n]] if n in SHADOWED else hit[n], F.lit(n)) for n in sorted(hit))), lambda x: x.isNotNull())
     return told.select("doc_id", "n_sentences", "sentence_ids", F.when(F.col("n_sentences") > 0, F.array_join(listed, ",")).otherwise(F.lit("")).alias("licenses"))
@@ -187,13 +207,13 @@ def license_sql() -> str:
     table = ", ".join(f"({q(s)}, {q(i)})" for s, i in _lookup().items())
     enc = "translate(chr(10) || chr(10) || t || chr(10) || chr(10), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     for pattern, new in _STEPS:
-        enc = f"regexp_replace({enc}, {q(pattern)}, {q(new) if new == ' ' else f'chr({ord(new)})'}, 'g')"
+        enc = f"regexp_replace({enc}, {q(pattern)}, {f'chr({ord(new)})' if new in (_END, _LINE) else q(new.replace('$1', chr(92) + '1'))}, 'g')"
     s = "s"
     for pattern, new in _CANONICAL:
         s = f"regexp_replace({s}, {q(pattern)}, {q(new)}, 'g')"
     tests: dict[str, list[str]] = {}
     for name, rule in RULES:
-        tests.setdefault(name, []).append(f"contains(chain, {q(',' + ','.join(rule) + ',')})")
+        tests.setdefault(name, []).append(f"regexp_matches(chain, {q(_named_rule(rule[1]))})" if rule[0] == "spdx" else f"contains(chain, {q(',' + ','.join(rule) + ',')})")
     told = {n: "(" + " or ".join(x) + ")" for n, x in tests.items()}
     cases = ", ".join(f"case when {told[n]}{' and not ' + told[SHADOWED[n]] if n in SHADOWED else ''} then {q(n)} end" for n in sorted(told))
     return f"""
@@ -201,7 +221,8 @@ with known(sentence, id) as (values {table}),
 rows as (select row_number() over () r, doc_id, coalesce(text, '') t from documents),
 marked as (select r, regexp_replace(chr(1) || {enc} || chr(1), '([\\x01\\x02])', '\\1\\1', 'g') m from rows where regexp_matches(t, {q(HINTS)})),
 parts as (select r, unnest(e) s, generate_subscripts(e, 1) i from (select r, regexp_extract_all(m, {q(_pattern())}, 1) e from marked)),
-named as (select r, i, k.id from (select r, i, {s} s from parts) join known k on k.sentence = s),
-ids as (select r, count(*) n, string_agg(id, ',' order by i) ids from named group by r),
+clean as (select r, i, case when k.sentence is not null then [c.s] else regexp_extract_all(c.s, {q(_names())}, 1) end l from (select r, i, {s} s from parts) c left join known k on k.sentence = c.s),
+named as (select r, i, j, k.id from (select r, i, unnest(l) s, generate_subscripts(l, 1) j from clean) join known k on k.sentence = s),
+ids as (select r, count(*) n, string_agg(id, ',' order by i, j) ids from named group by r),
 chains as (select doc_id, coalesce(n, 0) n_sentences, coalesce(ids, '') sentence_ids, ',' || coalesce(ids, '') || ',' as chain from rows left join ids using (r))
 select doc_id, n_sentences::bigint n_sentences, sentence_ids, array_to_string(list_filter([{cases}], lambda x: x is not null), ',') licenses from chains"""

@@ -145,3 +145,30 @@ def test_long_separators_take_linear_time(spark):
     texts = ["-" * 2_000_000 + " Licensed under the MIT License", "license" + "\n" * 500_000 + "." * 500_000 + " :" * 300_000, "license " + "a\n" * 500_000]
     got = sorted(tuple(r) for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
     assert [r[3] for r in got] == ["MIT", "", ""]
+
+
+@pytest.mark.parametrize(
+    ("text", "licences"),
+    [
+        ("// SPDX-License-Identifier: MIT OR Apache-2.0\n", "Apache-2.0,MIT"),
+        ("# SPDX-License-Identifier: (MIT OR Apache-2.0) AND ISC\ncode", "Apache-2.0,ISC,MIT"),
+        ("SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0", "GPL-2.0-or-later"),
+        ("/* SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note OR MIT */", "GPL-2.0,MIT"),
+        ("SPDX-License-Identifier: LGPL-2.1+\n", "LGPL-2.1-or-later"),
+        ("SPDX-License-Identifier: LGPL-2.1", "LGPL-2.1"),
+        ("SPDX-License-Identifier: MIT", "MIT"),
+        ("Licensed under MIT.", "MIT"),
+        ("MIT OR Apache-2.0", ""),
+    ],
+)
+def test_licence_expressions(spark, text, licences):
+    assert licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().licenses == licences
+
+
+def test_a_holder_of_any_length(spark):
+    """A name of many words stands where a sentence has a holder's."""
+    head = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n"
+    for n in (1, 12, 13, 60, 20_000):
+        holder = "\n".join(" ".join(f"word{i}" for i in range(at, min(n, at + 9))) for at in range(0, n, 9))
+        text = f"{head}3. Neither the name of {holder} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+        assert licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().licenses == "BSD-3-Clause", n
