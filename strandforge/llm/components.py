@@ -21,22 +21,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Edges (a, b) to (node, root) for every node that has an edge; root is the component's least node.
 
     Nodes are of any type that has an order: a struct whose first field is what the least is wanted of spares a step by component.
 
     Each round is two aggregations and two joins on node ids; the aggregations are partial before the shuffle and
-    a hub's edges are split by the adaptive skew join.  Rounds grow with the logarithm of the size.  Lineage is cut in
+    a hub's edges are split by the adaptive skew join.  Rounds go on until none changes an edge; they grow with the logarithm of the
+    size.  Lineage is cut in
     the reliable checkpoint folder after every round.  Self edges and repeated edges are ignored, an empty edge
     table gives an empty result.
     """
     now = cut(edges.select("a", "b").filter("a <> b").distinct())
     mark = None
-    for _ in range(max_rounds):
+    while True:
         row = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(row) == mark or row[0] == 0:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = tuple(row)
         now = cut(_small_star(_large_star(now)))
-    raise RuntimeError("components did not settle")

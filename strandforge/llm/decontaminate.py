@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ _TOKEN = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Words of a block of test items; one block's seeds are broadcast at a time.
 BLOCK_WORDS = 1_000_000
-#: Share of an item's seeds, the rarest in the corpus, that lead to it.
+#: Share of an item's seeds, the rarest in the corpus, whose windows are aligned first.
 RARE = 0.8
 
 
@@ -132,31 +133,31 @@ class SeedIndex:
         return wanted
 
     def windows(self, ids: np.ndarray, rare: list[np.ndarray] | None = None) -> Iterator[tuple[int, int, int]]:
-        """(item, first word, end) of the stretches of a text that (rare) seeds of one item point to.
+        """(item, first word, end) of the stretches of a text that seeds of one item point to, those of a rare seed first.
 
         A seed points to where its item would begin; stretches whose beginnings lie within half of the item are one.
         """
-        items, begins = [], []
+        items, begins, seldom = [], [], []
         lengths = list(self.tables)
         for m, at, places in self.found(ids):
             _, _, first, item, offset = self.tables[m]
             many = first[at + 1] - first[at]
             where = np.repeat(first[at], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
             place = np.repeat(places, many)
-            if rare is not None:
-                kept = rare[lengths.index(m)][where]
-                where, place = where[kept], place[kept]
+            seldom.append(np.ones(len(where), bool) if rare is None else rare[lengths.index(m)][where])
             items.append(item[where])
             begins.append(place - offset[where])
         if not sum(map(len, items)):
             return
-        item, begin = np.concatenate(items), np.concatenate(begins)
+        item, begin, led = np.concatenate(items), np.concatenate(begins), np.concatenate(seldom)
         order = np.lexsort((begin, item))
-        item, begin = item[order], begin[order]
+        item, begin, led = item[order], begin[order], led[order]
         owners = np.unique(item)
         slack = np.array([len(self.items[k]) // 2 + 2 for k in owners.tolist()], np.int64)[np.searchsorted(owners, item)]
-        new = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > slack[1:])]).tolist()
-        for s, e in zip(new, [*new[1:], len(item)], strict=True):
+        new = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > slack[1:])])
+        ends = np.append(new[1:], len(item))
+        for k in np.argsort(~np.logical_or.reduceat(led, new), kind="stable").tolist():
+            s, e = int(new[k]), int(ends[k])
             length, room = len(self.items[int(item[s])]), int(slack[s])
             yield int(item[s]), max(0, int(begin[s]) - room), min(len(ids), int(begin[e - 1]) + length + room)
 
@@ -167,19 +168,36 @@ class SeedIndex:
         return int(np.minimum(np.bincount(at[words[at] == window], minlength=len(words)), counts).sum())
 
     def leaks(self, ids: np.ndarray, least: float, rare: list[np.ndarray] | None, known: dict) -> Iterator[tuple[int, float, int, int]]:
-        """(item, ratio, first word, end) of the windows whose alignment reaches ``least``; ``known`` keeps those of equal windows."""
+        """(item, ratio, first word, end) of the windows whose alignment reaches ``least``; ``known`` keeps those of equal windows.
+
+        Windows of rare seeds come first.  A window whose words in common can't reach what its item has already reached is not aligned.
+        """
+        best: dict[int, float] = {}
         for item, first, end in self.windows(ids, rare):
             own, window = self.items[item], ids[first:end]
-            if self.most_matches(item, window) / len(own) < least:
+            if self.most_matches(item, window) / len(own) < best.get(item, least):
                 continue
             key = (item, window.tobytes())
             if key not in known:
                 known[key] = smith_waterman(own, window)
             score, start, stop = known[key]
             if (ratio := score / (2 * len(own))) >= least:
+                best[item] = max(ratio, best.get(item, least))
                 yield item, round(ratio, 6), first + start, first + stop
 
 
+_INDEXES: dict[str, SeedIndex] = {}
+
+
+def _index_of(key: str, items: list[tuple[int, list[str]]], n: int) -> SeedIndex:
+    """The worker's index of a block: built by its first task, kept for the others; of earlier blocks two stay."""
+    if key not in _INDEXES:
+        while len(_INDEXES) > 2:
+            del _INDEXES[next(iter(_INDEXES))]
+        _INDEXES[key] = SeedIndex([ws for _, ws in items], n)
+    return _INDEXES[key]
+
+
 def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int, list[str]]]]:
     """The test items (id, words), so many at a time that a block has about ``block_words`` words (a single longer item is a block)."""
     items = benchmark.filter(F.col("item_id").isNotNull()).select(text_of().alias("text"), F.col("item_id").cast("long"))
@@ -196,11 +214,11 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int,
         yield [(r.item_id, tokens(r.text)) for r in own.orderBy("item_id", "text").collect()]  # bounded by block_words
 
 
-def _rare_seeds(texts: DataFrame, shared, n: int, share: float) -> list[np.ndarray]:
+def _rare_seeds(texts: DataFrame, shared, key: str, n: int, share: float) -> list[np.ndarray]:
     """Flags of the rare seeds of a block, from the number of documents that hold each seed."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = SeedIndex([ws for _, ws in shared.value], n)
+        index = _index_of(key, shared.value, n)
         sums = np.zeros(index.seeds, np.int64)
         for b in batches:
             for at in range(0, b.num_rows, 512):
@@ -212,7 +230,7 @@ def _rare_seeds(texts: DataFrame, shared, n: int, share: float) -> list[np.ndarr
             part = some[s : s + 100_000]
             yield record_batch("seed long, n long", [part, sums[part]])
 
-    index = SeedIndex([ws for _, ws in shared.value], n)
+    index = _index_of(key, shared.value, n)
     got = texts.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()  # at most a block's words
     documents = np.zeros(index.seeds, np.int64)
     documents[got["seed"].to_numpy()] = got["n"].to_numpy()
@@ -222,9 +240,10 @@ def _rare_seeds(texts: DataFrame, shared, n: int, share: float) -> list[np.ndarr
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, n: int = 3, share: float = RARE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, ratio, start_word, end_word): alignments of test items in documents, the best of each pair.
 
-    A first pass counts in how many documents each of the items' n-grams occurs.  The rarest ``share`` of every item's
-    then join documents to items: a window that one of them points to is aligned, if the words it shares with the item could reach
-    the ratio.  ratio is the Smith-Waterman score (match 2, mismatch and gap -1, lower-cased words) over that of the item with
+    A first pass counts in how many documents each of the items' n-grams occurs.  The n-grams then join documents to items: windows
+    that one of the rarest ``share`` of an item's points to are aligned first, if the words they share with the item could reach
+    the ratio, and those of common n-grams alone only where they could also beat what the item has reached by then.  So ``share``
+    changes the work and no row.  ratio is the Smith-Waterman score (match 2, mismatch and gap -1, lower-cased words) over that of the item with
     itself; 0.5 lets about one word in three be replaced or dropped.
 
     Test items come in blocks of a bounded number of words, so what is broadcast or counted is bounded; every block meets every document.
@@ -236,11 +255,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, n: int
     schema = "doc_id long, item_id long, ratio double, start_word long, end_word long"
     found = None
     for items in _blocks(benchmark, block_words):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
-        rare = docs.sparkSession.sparkContext.broadcast(_rare_seeds(texts, shared, n, share))
+        shared, key = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
+        rare = docs.sparkSession.sparkContext.broadcast(_rare_seeds(texts, shared, key, n, share))
 
-        def align(batches: Iterator[pa.RecordBatch], shared=shared, rare=rare) -> Iterator[pa.RecordBatch]:
-            index = SeedIndex([ws for _, ws in shared.value], n)
+        def align(batches: Iterator[pa.RecordBatch], shared=shared, rare=rare, key=key) -> Iterator[pa.RecordBatch]:
+            index = _index_of(key, shared.value, n)
             for b in batches:
                 for at in range(0, b.num_rows, 512):
                     out: list[tuple] = []
@@ -264,11 +283,11 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, n: int
     at_text = docs.columns.index("text")
     texts, kept = docs.select(text_of().alias("text")), docs
     for items in _blocks(benchmark, block_words):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
-        rare = docs.sparkSession.sparkContext.broadcast(_rare_seeds(texts, shared, n, share))
+        shared, key = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
+        rare = docs.sparkSession.sparkContext.broadcast(_rare_seeds(texts, shared, key, n, share))
 
-        def clean(batches: Iterator[pa.RecordBatch], shared=shared, rare=rare) -> Iterator[pa.RecordBatch]:
-            index = SeedIndex([ws for _, ws in shared.value], n)
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared, rare=rare, key=key) -> Iterator[pa.RecordBatch]:
+            index = _index_of(key, shared.value, n)
             for b in batches:
                 for at in range(0, b.num_rows, 512):
                     part, known = b.slice(at, 512), {}

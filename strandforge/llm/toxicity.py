@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from strandforge.llm.common import cut, held_out, least_hashed, record_batch, text_of
 
-_WORD = re.compile(r"\w{1,64}")
+_WORD = re.compile(r"\w+")
 LEVEL = 15
 #: Predicted label 1 from this score on.
 DECISION = 0.3
@@ -28,7 +28,7 @@ LONG_WORDS = 200_000
 #: Gains are counted from -GAINS up to below GAINS.
 GAINS = 64
 _CACHE: dict[str, dict[str, int]] = {}
-_CACHE_WORDS = 600_000
+_CACHE_WORDS, _CACHE_LETTERS = 600_000, 64
 _CODES: dict[str, bytes] = {}
 
 
@@ -77,10 +77,12 @@ class DistanceModel:
             for w in words_of(text):
                 g = gains.get(w)
                 if g is None:
-                    if len(gains) >= _CACHE_WORDS:
-                        gains.clear()
                     q = expand([w])
-                    g = gains[w] = len(ordinary(q)) - len(toxic(q))
+                    g = len(ordinary(q)) - len(toxic(q))
+                    if len(w) <= _CACHE_LETTERS:
+                        if len(gains) >= _CACHE_WORDS:
+                            gains.clear()
+                        gains[w] = g
                 got.append(g)
             z = sum(a * b for a, b in zip(self.weights, statistics(got, self.threshold), strict=True))
             return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
@@ -159,9 +161,13 @@ def calibrate(data: tuple[bytes, bytes], unseen: list[tuple[int, np.ndarray]], a
     return DistanceModel(*data, threshold, tuple(w.tolist()))
 
 
-def train_toxicity_model(docs: DataFrame, labels: DataFrame, most_toxic: int = 1500, most_ordinary: int = 3000, most_chars: int = 8_000_000, folds: int = 3) -> DistanceModel:
+def train_toxicity_model(
+    docs: DataFrame, labels: DataFrame, most_toxic: int = 1500, most_ordinary: int = 3000, most_chars: int = 8_000_000, folds: int = 3,
+    long_words: int = LONG_WORDS, toxic_words: int = 60_000, ordinary_words: int = 200_000,
+) -> DistanceModel:
     """Fit on a bounded sample of labelled rows that aren't held out: by class the rows with the least hash of the id, up to a
-    number of rows and, beyond the first, of characters; of a text of more than LONG_WORDS words a sample of them.
+    number of rows and, beyond the first, of characters; of a text of more than ``long_words`` words a
+    sample of them.  At most ``toxic_words`` and ``ordinary_words`` of their words go into the dictionaries.
 
     An executor trains the dictionaries of all the sample, others those without each fold and what these gain on it; the driver
     gets both dictionaries and a row of counts for each sampled text, and fits threshold and weights.
@@ -181,8 +187,8 @@ def train_toxicity_model(docs: DataFrame, labels: DataFrame, most_toxic: int = 1
     def train(sample):
         k = int(sample["k"].iloc[0])
         sample = sample.sort_values(["order", "doc_id"])
-        rows = [(y, f, sampled_words(t)) for y, f, t in zip(sample["toxic"].tolist(), sample["fold"].tolist(), sample["text"].tolist(), strict=True)]
-        data = train_dictionaries(*([ws for y, f, ws in rows if y == label and f != k] for label in (1, 0)))
+        rows = [(y, f, sampled_words(t, long_words)) for y, f, t in zip(sample["toxic"].tolist(), sample["fold"].tolist(), sample["text"].tolist(), strict=True)]
+        data = train_dictionaries(*([ws for y, f, ws in rows if y == label and f != k] for label in (1, 0)), toxic_words=toxic_words, ordinary_words=ordinary_words)
         empty = {"k": k, "toxic": b"", "ordinary": b"", "label": -1, "gains": b""}
         if data is None or k == folds:
             return pd.DataFrame([empty | ({} if data is None else {"toxic": data[0], "ordinary": data[1]})])
@@ -198,15 +204,16 @@ def train_toxicity_model(docs: DataFrame, labels: DataFrame, most_toxic: int = 1
     return calibrate(whole, unseen)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame | None = None, model: DistanceModel | None = None) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame | None = None, model: DistanceModel | None = None, **bounds: int) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row; labels, language, source and id are no inputs of a score.
 
+    ``bounds`` are those of ``train_toxicity_model``'s sample.
     Null and empty texts have no windows and get the calibration's lowest evidence; very long texts are scored whole.  Without
     anything to learn from every score is the base rate.  An id that is labelled several times is toxic if any label says so; rows that
     tie in the sample's order come by id.  A score of exactly 0.3 is predicted 1.  Repeated rows give as many rows, a null id is kept,
     an empty table gives none, extra columns are ignored.
     """
-    model = model or train_toxicity_model(docs, labels)
+    model = model or train_toxicity_model(docs, labels, **bounds)
     shared = docs.sparkSession.sparkContext.broadcast((model.toxic, model.ordinary, model.threshold, model.weights))  # two dictionaries of set size
     schema = "doc_id long, held_out boolean, score double, predicted int"
 

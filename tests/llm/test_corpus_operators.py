@@ -220,10 +220,12 @@ def test_leaks_are_those_of_every_window(spark):
                 want[d, i] = round(score, 6)
     got = {(r.doc_id, r.item_id): r.ratio for r in decontaminate.find_leaks(table, bench, share=1.0).collect()}
     assert got == want and len(want) > 40
-    rare = {(r.doc_id, r.item_id): r.ratio for r in decontaminate.find_leaks(table, bench).collect()}
-    assert all(want[k] == v for k, v in rare.items()) and len(rare) >= 0.9 * len(want)
+    for share in (decontaminate.RARE, 0.1):
+        assert {(r.doc_id, r.item_id): r.ratio for r in decontaminate.find_leaks(table, bench, share=share).collect()} == want
+    rows_of = lambda **k: sorted(map(tuple, decontaminate.find_leaks(table, bench, **k).collect()))
+    assert rows_of() == rows_of(share=1.0) == rows_of(block_words=40)
     kept = {r.doc_id for r in decontaminate.drop_leaks(table, bench).collect()}
-    assert kept == set(range(60)) - {d for d, _ in rare}
+    assert kept == set(range(60)) - {d for d, _ in want}
 
 
 def test_rare_seeds_do_not_depend_on_the_number_of_documents():
@@ -342,6 +344,23 @@ def test_many_matches_in_one_text(spark):
     assert got == plain_secrets(text)
 
 
+def test_words_of_any_length_are_one_window():
+    assert toxicity.words_of("ab " + "x" * 500 + " cd") == ["ab", "x" * 500, "cd"]
+
+
+def test_components_of_a_long_chain(spark):
+    n = 3000
+    chain = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = components.connected_components(chain)
+    assert got.count() in (n - 1, n) and [r[0] for r in got.select("root").distinct().collect()] == [0]
+
+
+def test_bounds_of_the_toxicity_sample_are_parameters(spark):
+    docs = spark.createDataFrame([(i, ("vile " if i % 2 else "kind ") * 20) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    assert toxicity.score_toxicity(docs, labels, most_toxic=10, most_ordinary=10, long_words=5, toxic_words=50, ordinary_words=50).count() == 60
+
+
 def test_a_first_row_over_the_bound_is_learnt_from(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choices("abcdefgh", k=5))
