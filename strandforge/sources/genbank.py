@@ -76,14 +76,14 @@ def parse_genbank(text: str, limit: int | None = None) -> Iterator[tuple[int, st
             return
 
 
-def read_genbank(spark: SparkSession, path: str | list[str], record_limit: int | None = None, recursive: bool = False) -> DataFrame:
-    """One row a record; a record that can't be parsed gives a row with its error in ``corrupt``.
+def read_genbank(spark: SparkSession, path: str | list[str], record_limit: int | None = None, recursive: bool = False, pattern: str = EXTENSIONS) -> DataFrame:
+    """One row a record of the files whose names match ``pattern``; a record that can't be parsed gives a row with its error in ``corrupt``.
 
     Files come through Spark's text reader (any store it knows) with the record's end as the line's, so a large file is read by
     many tasks, each from the first record that begins in its part, and only a single record must fit in a row.  A line that
     begins with // ends a record.  ``record_limit`` keeps the first records of each file; a task parses no more of its part.
     """
-    texts = spark.read.option("pathGlobFilter", EXTENSIONS).option("recursiveFileLookup", str(recursive).lower()).text(path, lineSep="\n//")
+    texts = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).text(path, lineSep="\n//")
     part = F.struct(*(F.col(f"_metadata.{c}").alias(c) for c in ("file_path", "file_block_start", "file_block_length", "file_size")))
     texts = texts.select("value", part.alias("part")).select(F.make_valid_utf8("value").alias("value"), "part.*").filter(F.rlike("value", F.lit(r"\S")))
     found = texts.select("file_path", "file_block_start", "value").mapInPandas(lambda batches: _records(batches, record_limit), f"file_block_start long, {SCHEMA}")

@@ -21,13 +21,18 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_dataset(spark: SparkSession, path: str, schema: str | None = DATASET) -> DataFrame:
-    """CSV, TSV or JSON by suffix, any other as CSV; broken lines are skipped, a path that isn't there is an empty table."""
+    """CSV, TSV or JSON by suffix, any other as CSV; broken lines are skipped, a path that isn't there is an empty table.
+
+    JSON may be one array or object over many lines, or an object a line, as ``write_dataset`` writes it.
+    """
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema or DATASET)
     suffix = PurePosixPath(path).suffix.lower()
     reader = spark.read if schema is None else spark.read.schema(schema)
     if suffix == ".json":
-        return reader.json(path, multiLine=True, mode="DROPMALFORMED")
+        first = spark.read.text(path).filter(F.trim("value") != "").first()
+        lines = first is not None and first.value.strip().startswith("{") and first.value.strip().endswith("}")
+        return reader.json(path, multiLine=not lines, mode="DROPMALFORMED")
     return reader.csv(path, sep="\t" if suffix == ".tsv" else ",", header=True, mode="DROPMALFORMED", enforceSchema=False)
 
 

@@ -2,7 +2,11 @@
 
 import json
 import logging
+import os
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -128,3 +132,59 @@ def test_query_equals_its_sql(spark, sf, name):
     show = lambda v: f"{v:.9g}" if isinstance(v, float) else str(v)
     assert sorted(tuple(map(show, r)) for r in df.select(*cols).collect()) == sorted(tuple(map(show, r)) for r in want)
     assert want
+
+
+def test_a_run_that_breaks_off_is_finished_by_the_next(spark, docs, tmp_path, monkeypatch):
+    """The pairs are written and the counts aren't: the next run replays the batch over the same partitions."""
+    c = {**config(index_peptides), "buckets": 4}
+    at = [str(tmp_path / x) for x in ("in", "out", "checkpoint")]
+    docs.filter("doc_id < 100").coalesce(1).write.parquet(at[0])
+    index_peptides.run(spark, *at, c)
+    docs.filter("doc_id >= 100").coalesce(1).write.mode("append").parquet(at[0])
+
+    def breaks(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(kept_index, "refresh", breaks)
+        with pytest.raises(Exception, match="lost"):
+            index_peptides.run(spark, *at, c)
+    assert kept_index.read_pairs(spark, at[1]).filter("batch = 1").count() > 0
+    done = index_peptides.run(spark, *at, c)
+    assert [d["batch"] for d in done] == [1]
+    whole = index.build_index(orf.with_protein(orf.orfs(index_peptides.segments(docs, c), c["min_aa"], c["max_aa"])))
+    assert rows(kept_index.read_counts(spark, at[1]).select("protein", "instance_count", "genome_count")) == rows(whole.select("protein", "instance_count", "genome_count"))
+
+
+def test_many_files_come_in_batches(spark, docs, tmp_path):
+    """``files_at_once`` cuts a backlog into batches; the index is that of one batch."""
+    c = {**config(index_peptides), "buckets": 4, "files_at_once": 2}
+    docs.repartition(5).write.parquet(str(tmp_path / "in"))
+    done = index_peptides.run(spark, *(str(tmp_path / x) for x in ("in", "out", "checkpoint")), c)
+    assert [d["batch"] for d in done] == [0, 1, 2] and sum(d["rows"] for d in done) == docs.count()
+    whole = index.build_index(orf.with_protein(orf.orfs(index_peptides.segments(docs, c), c["min_aa"], c["max_aa"])))
+    assert rows(kept_index.read_counts(spark, str(tmp_path / "out")).select("protein", "instance_count", "genome_count")) == rows(whole.select("protein", "instance_count", "genome_count"))
+
+
+def test_settings_are_left_as_they_were(spark, docs, tmp_path):
+    before = dict(spark.conf.getAll)
+    docs.limit(20).write.parquet(str(tmp_path / "in"))
+    index_peptides.run(spark, *(str(tmp_path / x) for x in ("in", "out", "checkpoint")), config(index_peptides))
+    candidate_report.run(spark, str(tmp_path / "in"), str(tmp_path / "report"), config(candidate_report))
+    assert dict(spark.conf.getAll) == before
+
+
+@pytest.mark.parametrize("job", [index_peptides, candidate_report])
+def test_command_line(sf, tmp_path, job):
+    """Each command makes and stops a session of its own, logs, and can be run again."""
+    name = job.__name__
+    small = {**config(job), **({"buckets": 2} if job is index_peptides else {"best": 1})}
+    (tmp_path / "c.json").write_text(json.dumps(small))
+    paths = ["--input", f"{sf}/{{documents}}.parquet", "--out", str(tmp_path / "out"), "--config", str(tmp_path / "c.json")] + (["--checkpoint", str(tmp_path / "cp")] if job is index_peptides else [])
+    command = [sys.executable, "-m", name, *paths]
+    env = {**os.environ, "PYSPARK_SUBMIT_ARGS": "--master local[2] --conf spark.sql.shuffle.partitions=2 --conf spark.ui.enabled=false pyspark-shell"}
+    logs = [subprocess.run(command, cwd=Path(job.__file__).parents[1], env=env, capture_output=True, text=True, timeout=300) for _ in range(2)]
+    assert [x.returncode for x in logs] == [0, 0], logs[0].stderr[-2000:]
+    assert f"INFO:{name}" in logs[0].stderr and "read" in logs[0].stderr
+    if job is index_peptides:
+        assert "0 new batches" in logs[1].stderr

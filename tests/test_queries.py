@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from strandforge import file_queries  # noqa: F401  (registers its queries)
 from strandforge.queries import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -225,3 +225,18 @@ def test_fasta_split_anywhere(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", held[0])
         spark.conf.set("spark.sql.files.openCostInBytes", held[1])
+
+
+def test_json_datasets_of_either_form(spark, tmp_path):
+    """An object a line, an array, and an object over many lines; written sets come back whole."""
+    import json
+
+    rows = [{"name": f"n{i}", "sequence": "MK" * i} for i in range(30)]
+    (tmp_path / "lines.json").write_text("\n" + "\n".join(map(json.dumps, rows)))
+    (tmp_path / "array.json").write_text(json.dumps(rows, indent=1))
+    (tmp_path / "one.json").write_text(json.dumps(rows[3], indent=1))
+    read = lambda name: sorted((r.name, r.sequence) for r in tables.read_dataset(spark, str(tmp_path / name), "name string, sequence string").collect())
+    want = sorted((r["name"], r["sequence"]) for r in rows)
+    assert read("lines.json") == read("array.json") == want and read("one.json") == [("n3", "MKMKMK")]
+    tables.write_dataset(spark.createDataFrame(rows, "name string, sequence string"), str(tmp_path / "set.json"))
+    assert read("set.json") == want
