@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandforge import queries as q
 from strandforge.functions.register import register
 from strandforge.lineage import ensure_checkpoint_dir
-from strandforge.operators import conservation, rank
+from strandforge.operators import conservation, kept_index, rank
 from strandforge.sources import fasta, genbank, tables
 from strandforge.streaming import index_stream
 
@@ -194,6 +194,26 @@ def index_stream_counts(spark, sf_dir):
     return index_stream.read_index(spark, f"{at}/out")
 
 
+def _kept(spark, sf_dir) -> tuple[str, DataFrame]:
+    """An index of two batches, the second of which came twice."""
+    at, o = f"{folder(spark)}/index", q.found_orfs(spark, sf_dir)
+    for batch, part in ((0, 0), (1, 1), (1, 1)):
+        kept_index.add_batch(o.filter(F.col("doc_id") % 2 == part), at, batch, 8)
+    return at, o
+
+
+@q.query(q.ORACLES["peptide_index"])
+def kept_index_counts(spark, sf_dir):
+    at, _ = _kept(spark, sf_dir)
+    return kept_index.read_counts(spark, at).select("protein", "instance_count", "genome_count", F.col("aa_len").cast("long").alias("aa_len"))
+
+
+@q.query(f"with {q._orf_sql()}, {q._KNOWN}, ix as (select protein, count(*) n, count(distinct gbk_file) g from orfs group by 1) select o.protein, coalesce(n, 0) as instance_count, coalesce(g, 0) as genome_count from known o left join ix using (protein)")
+def kept_index_lookup(spark, sf_dir):
+    at, o = _kept(spark, sf_dir)
+    return kept_index.lookup(q._known(o).distinct(), at, 8).select("protein", "instance_count", "genome_count")
+
+
 @q.query(f"with {q._SEG} select record_id, reverse(translate(dna, 'ACGT', 'TGCA')) as reversed, regexp_replace({q._protein('dna')}, '[*]$', '') as protein, 'core_' || left(sha1(translate(left(dna, 20), 'I', 'L')), 10) as core from seg")
 def session_functions(spark, sf_dir):
     """The sequence functions by name in SQL over a table given as a parameter."""

@@ -43,9 +43,10 @@ def merge_sources(parts: list[DataFrame], key: str = "sequence", ordinal: str =
 
 
 def merge_entries(old: DataFrame, new: DataFrame, dedupe: bool = False, key: str = "sequence", ordinal: str = "ord") -> tuple[DataFrame, int]:
-    """(all rows, how many were added): new rows after the old ones, with ``dedupe`` the first of each sequence alone."""
+    """(all rows, how many were added): new rows after the old ones, with ``dedupe`` the first of each sequence alone.  One job counts both."""
     out = merge_sources([old, new], key, ordinal) if dedupe else old.unionByName(new, allowMissingColumns=True)
-    return out, 0 if new.isEmpty() else max(0, out.count() - old.count())
+    counts = out.agg(F.count("*").alias("n")).join(old.agg(F.count("*").alias("before")), how="cross").first()  # one row each
+    return out, max(0, counts.n - counts.before)
 
 
 def append_new(old: DataFrame, new: DataFrame, key: str = "sequence", id_column: str = "id", ordinal: str = "ord") -> DataFrame:

@@ -137,14 +137,16 @@ def orf_candidate_ids(spark, sf_dir):
     return orf.with_candidate_ids(found_orfs(spark, sf_dir)).select("candidate_id", "protein")
 
 
-@query(f"""with {_SEG}, w as (select record_id, substr(dna, 33, 128) as win from seg) , fr as (select *, unnest([0, 1, 2]) f from w), st as (select *, unnest(['+', '-']) strand from fr),
+@query(f"""with {_SEG}, w as (select record_id, window_at, substr(dna, window_at + 1, 128) as win from seg, (values (0), (64), (128)) x(window_at)), fr as (select *, unnest([0, 1, 2]) f from w), st as (select *, unnest(['+', '-']) strand from fr),
 own as (select *, case when strand = '-' then reverse(translate(win, 'ACGT', 'TGCA')) else win end as o, case when strand = '-' then (abs(f + 1) - 1) % 3 else f % 3 end as off from st),
 body as (select *, substr(o, off::int + 1) as b from own)
-select record_id, strand, (case when strand = '-' then -(f + 1) else f end)::int as frame, array_to_string(list_transform(range(0, length(b) // 3), lambda k: {_aa('substr(b, 3 * k + 1, 3)')}), '') as peptide from body""")
+select record_id, window_at::int as window_at, strand, (case when strand = '-' then -(f + 1) else f end)::int as frame, array_to_string(list_transform(range(0, length(b) // 3), lambda k: {_aa('substr(b, 3 * k + 1, 3)')}), '') as peptide from body""")
 def window_translation(spark, sf_dir):
-    w = segments(spark, sf_dir).select("record_id", F.substring("sequence", 33, 128).alias("w")).withColumn("f", F.explode(F.array(*map(F.lit, range(3))))).withColumn("strand", F.explode(F.array(F.lit("+"), F.lit("-"))))
+    """Overlapping windows over the whole of every segment."""
+    tiles = F.sequence(F.lit(0), F.length("sequence") - 128, F.lit(64))
+    w = segments(spark, sf_dir).withColumn("window_at", F.explode(tiles)).select("record_id", "window_at", F.substr("sequence", F.col("window_at") + 1, F.lit(128)).alias("w")).withColumn("f", F.explode(F.array(*map(F.lit, range(3))))).withColumn("strand", F.explode(F.array(F.lit("+"), F.lit("-"))))
     w = w.withColumn("frame", F.when(F.col("strand") == "-", -(F.col("f") + 1)).otherwise(F.col("f")))
-    return w.select("record_id", "strand", "frame", seq.translate_window(F.col("w"), F.col("strand"), F.col("frame")).alias("peptide"))
+    return w.select("record_id", "window_at", "strand", "frame", seq.translate_window(F.col("w"), F.col("strand"), F.col("frame")).alias("peptide"))
 
 
 def _count_sql(s: str, letter: str) -> str:
@@ -839,6 +841,15 @@ def region_index_counts(spark, sf_dir):
     return pipeline.index_pipeline(records, features, "knot").withColumn("aa_len", F.col("aa_len").cast("long"))
 
 
+@query("select c_custkey, case when c_custkey % 3 = 0 then c_mktsegment when c_custkey % 3 = 1 then 'c' || c_custkey end as derived, case when c_custkey % 3 = 2 then c_name else '' end as required from customer where c_custkey % 3 < 2 union all select c_custkey, c_name, c_name from customer where c_custkey % 3 = 2")
+def locus_headers(spark, sf_dir):
+    """The locus that a header's protein token or first word gives, and the locus token where one must stand."""
+    k = F.col("c_custkey")
+    header = F.when(k % 3 == 0, F.concat(F.lit("x|prot="), "c_mktsegment", F.lit("|y=1"))).when(k % 3 == 1, F.concat(F.lit("c"), k.cast("string"), F.lit(" some words"))).otherwise(F.concat(F.lit("x|locus="), "c_name", F.lit("|prot="), "c_name"))
+    named = read(spark, sf_dir, "customer").select("c_custkey", header.alias("h"))
+    return named.select("c_custkey", text.derive_locus(F.col("h")).alias("derived"), F.when(k % 3 == 2, text.require_locus(F.col("h"))).otherwise("").alias("required"))
+
+
 @query("select (select count(*) from customer) + (select count(distinct c_mktsegment) from customer) as whole_rows, (select count(distinct c_mktsegment) from customer) as distinct_rows, (select count(distinct c_mktsegment) from customer) as added_all, greatest(0, (select count(distinct c_mktsegment) from customer) - (select count(*) from customer)) as added_once")
 def merge_added_counts(spark, sf_dir):
     c = read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("sequence"), F.col("c_custkey").alias("ord"))

@@ -319,7 +319,8 @@ def test_conservation_against_a_plain_null(spark, sf):
         peps = [peptide(g.genomic[s:e], r) for g in own]
         assert r.evaluated_instances == len(own) and r.survival == pytest.approx(sum(bool(p) and "*" not in p for p in peps) / len(peps))
         assert r.identity == pytest.approx(identity(peps)) if identity(peps) is not None else r.identity is None
-        null = []
+        assert r.observed_survived == sum(bool(p) and "*" not in p for p in peps)
+        null, lived = [], []
         for it in range(1, 7):
             moved = []
             for g in own:
@@ -337,6 +338,9 @@ def test_conservation_against_a_plain_null(spark, sf):
                 text = "".join(out)
                 moved.append(peptide((text[::-1].translate(comp) if g.strand == "-" else text)[s:e], r))
             null.append(identity(moved))
+            lived.append(sum(bool(p) and "*" not in p for p in moved) / len(moved))
+        assert r.null_samples_survival == 6 and r.null_survival_mean == pytest.approx(np.mean(lived)) and r.null_survival_std == pytest.approx(np.std(lived), abs=1e-12)
+        assert r.p_survival == pytest.approx((sum(x >= r.survival - 1e-12 for x in lived) + 1) / 7)
         told = [x for x in null if x is not None]
         if told:
             assert r.null_mean == pytest.approx(sum(told) / len(told))
