@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,191 +15,165 @@ BLOCK_ROWS = 20_000
 #: Candidates of one chunk, and chunks that one task meets with a block, where references are of several blocks.
 CHUNK_ROWS = 2_000
 CHUNKS_A_TASK = 32
+#: Candidates that are multiplied with a block at once.
+AT_ONCE = 256
+#: What is done with some candidates (ids, unit vectors) and a block of references.
+Work = Callable[[pa.Array, np.ndarray, "Block"], Iterator[pa.RecordBatch]]
 
 
-def group_max(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("candidate_id", "locus").agg(F.max("similarity").alias("similarity"))
-
+class Block:
+    """References by locus, and in their own order within one, as unit vectors."""
 
-def top_n_mean(grouped: DataFrame, n: int) -> DataFrame:
-    """Mean of each candidate's n best loci; n is at least 1, fewer loci give the mean of all."""
-    order = Window.partitionBy("candidate_id").orderBy(F.desc("similarity"), "locus")
-    return grouped.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= max(1, n)).groupBy("candidate_id").agg(F.avg("similarity").alias("top_n_mean_similarity"))
+    def __init__(self, locus: pa.Array, ords: pa.Array, ids: pa.Array, vectors: pa.Array) -> None:
+        number, names = pd.factorize(locus.to_pandas(), use_na_sentinel=False)
+        ords = ords.to_numpy(zero_copy_only=False)
+        order = np.lexsort((ords, number))
+        self.vectors, self.ords, self.number, self.names = _matrix(vectors)[order], ords[order], number[order], [x if isinstance(x, str) else None for x in names]
+        self.ids = ids.to_pandas().to_numpy()[order]
+        self.firsts = np.flatnonzero(np.r_[True, np.diff(self.number) > 0])
+        self.ends = np.r_[self.firsts[1:], len(order)]
 
 
-def _blocks(references: DataFrame, block_rows: int) -> Iterator[pd.DataFrame]:
-    """The reference set in blocks of about ``block_rows``, each in the set's order."""
-    blocks = max(1, -(-references.count() // block_rows))
-    refs = references.select(F.col("ref_id").cast("string").alias("ref_id"), F.col("locus").cast("string").alias("locus"), F.col("ref_ord").cast("long").alias("ref_ord"), F.col("embedding").cast("array<double>").alias("embedding"))
-    for k in range(blocks):
-        own = refs.filter(F.pmod(F.xxhash64("ref_id"), F.lit(blocks)) == k) if blocks > 1 else refs
-        yield own.orderBy("ref_ord").toPandas()
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """Equally long lists of numbers as unit rows, the zero vector as it is; without a number there is one column."""
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    m = flat.reshape(len(vectors), -1).astype(float) if len(flat) else np.zeros((len(vectors), 1))
+    norms = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(norms > 0, norms, 1)
 
 
-def best_by_locus(candidates: DataFrame, references: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(candidate_id, locus, ref_id, ref_ord, similarity): each candidate's best reference of every locus, by matrix products.
+def over_blocks(candidates: DataFrame, references: DataFrame, work: Work, schema: str, block_rows: int = BLOCK_ROWS, chunk_rows: int = CHUNK_ROWS) -> tuple[DataFrame, int]:
+    """(what ``work`` gives for all candidates and each block of references, how many blocks there are).
 
-    ``candidates``: candidate_id, embedding; ``references``: ref_id, locus, ref_ord, embedding.  A task multiplies one Arrow batch of
-    candidates by one block of references and keeps each locus's best, so pairs are never rows; the blocks' results meet in a partial
-    aggregation by candidate and locus.
+    ``candidates``: candidate_id, embedding; ``references``: ref_id, locus, ref_ord, embedding.  References of one block (a checked
+    number of rows) are broadcast, and nothing is shuffled.  More of them stay off the driver: chunks of candidates meet
+    blocks of references by a shuffle on the block and a share of the chunks, so no task meets all candidates or all references.
+    ``schema`` has {} for the type of candidate_id.
     """
-    found = None
-    for own in _blocks(references, block_rows):
-        part = _against_block(candidates, own)
-        found = part if found is None else found.unionByName(part)
-    best = found.groupBy("candidate_id", "locus").agg(F.max(F.struct("similarity", (-F.col("ref_ord")).alias("o"), "ref_id")).alias("b"))
-    return best.select("candidate_id", "locus", F.col("b.similarity").alias("similarity"), (-F.col("b.o")).alias("ref_ord"), F.col("b.ref_id").alias("ref_id"))
-
+    total = references.count()
+    made = schema.format(dict(candidates.dtypes)["candidate_id"])
+    named = [F.col("locus").cast("string").alias("locus"), F.col("ref_ord").cast("long").alias("ref_ord"), F.col("ref_id").cast("string").alias("ref_id"), F.col("embedding").cast("array<double>").alias("embedding")]
+    vector = F.col("embedding").cast("array<double>").alias("embedding")
+    if total <= block_rows:
+        shared = candidates.sparkSession.sparkContext.broadcast(references.select(*named).toArrow().combine_chunks())  # at most a block's rows
 
-def top_loci(candidates: DataFrame, references: DataFrame, n: int = 5, block_rows: int = BLOCK_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """(candidate_id, best): each candidate's n best loci, as an array of struct(similarity, ref_ord, ref_id, locus), the best first.
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            refs = Block(*(c.combine_chunks() for c in shared.value.columns)) if shared.value.num_rows else None
+            for b in batches:
+                if refs is not None and b.num_rows:
+                    yield from work(b.column(0), _matrix(b.column(1)), refs)
 
-    A locus counts by its best reference; equal similarities keep the references' order.  A task selects the n best loci of its
-    candidates against one block of references before anything is shuffled: a locus among a candidate's n best is among the n best of
-    the block that holds its best reference, so n rows a block suffice and what moves doesn't grow with the loci.  References of one
-    block (a checked number of rows) are broadcast and nothing is shuffled.  More of them stay off the driver: chunks of
-    candidates meet blocks of references by a shuffle on block and share of the chunks, and a candidate's arrays, one a
-    block, are merged.
-    """
-    n, total = max(1, n), references.count()
-    kind = dict(candidates.dtypes)["candidate_id"]
-    if total <= block_rows:
-        return _top_of_one_block(candidates, references, n, kind)
+        return candidates.select("candidate_id", vector).mapInArrow(whole, made), 1
     blocks = -(-total // block_rows)
     chunks = max(1, -(-candidates.count() // chunk_rows))
     shares = max(1, -(-chunks // CHUNKS_A_TASK))
-    ref = F.struct(F.col("locus").cast("string").alias("locus"), F.col("ref_ord").cast("long").alias("ref_ord"), F.col("ref_id").cast("string").alias("ref_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    refs = references.select(F.pmod(F.xxhash64("ref_id", "ref_ord"), F.lit(blocks)).alias("block"), ref.alias("r")).groupBy("block").agg(F.sort_array(F.collect_list("r")).alias("refs"))
-    own = candidates.select(F.pmod(F.xxhash64("candidate_id"), F.lit(chunks)).alias("chunk"), F.struct("candidate_id", F.col("embedding").cast("array<double>").alias("embedding")).alias("c")).groupBy("chunk").agg(F.collect_list("c").alias("own"))
+    refs = references.select(F.pmod(F.xxhash64("ref_id", "ref_ord"), F.lit(blocks)).alias("block"), F.struct(*named).alias("r")).groupBy("block").agg(F.collect_list("r").alias("refs"))
+    own = candidates.select(F.pmod(F.xxhash64("candidate_id"), F.lit(chunks)).alias("chunk"), F.struct("candidate_id", vector).alias("c")).groupBy("chunk").agg(F.collect_list("c").alias("own"))
     spread = lambda to: F.explode(F.sequence(F.lit(0), F.lit(to - 1)).cast("array<long>"))
     pairs = own.withColumn("share", F.pmod("chunk", F.lit(shares))).withColumn("block", spread(blocks)).join(refs.withColumn("share", spread(shares)), ["block", "share"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
                 ids, vectors = (b.column(0).slice(k, 1).flatten().field(i) for i in range(2))
-                yield from _selected(ids, _matrix(vectors), _Block(*(b.column(1).slice(k, 1).flatten().field(i) for i in range(4))), n)
+                yield from work(ids, _matrix(vectors), Block(*(b.column(1).slice(k, 1).flatten().field(i) for i in range(4))))
 
-    found = pairs.select("own", "refs").mapInArrow(run, _BEST.format(kind))
-    merged = F.sort_array(F.flatten(F.collect_list("best")), asc=False)  # n structs a block
-    return found.groupBy("candidate_id").agg(merged.alias("all")).select("candidate_id", _first_of_locus(n).alias("best"))
+    return pairs.select("own", "refs").mapInArrow(parts, made), blocks
 
 
-def score_candidates(candidates: DataFrame, references: DataFrame, n: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(candidate_id, best_similarity, best_match_id, top_n_mean_similarity)."""
-    best = top_loci(candidates, references, n, block_rows).filter(F.size("best") > 0)
-    mean = F.aggregate("best", F.lit(0.0), lambda t, x: t + x["similarity"]) / F.size("best")
-    return best.select("candidate_id", F.col("best")[0]["similarity"].alias("best_similarity"), F.col("best")[0]["ref_id"].alias("best_match_id"), mean.alias("top_n_mean_similarity"))
+def group_max(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("candidate_id", "locus").agg(F.max("similarity").alias("similarity"))
 
 
-_BEST = "candidate_id {}, best array<struct<similarity:double,o:long,ref_id:string,locus:string>>"
-_STRUCT = pa.struct([("similarity", pa.float64()), ("o", pa.int64()), ("ref_id", pa.string()), ("locus", pa.string())])
+def top_n_mean(grouped: DataFrame, n: int) -> DataFrame:
+    """Mean of each candidate's n best loci; n is at least 1, fewer loci give the mean of all."""
+    order = Window.partitionBy("candidate_id").orderBy(F.desc("similarity"), "locus")
+    return grouped.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= max(1, n)).groupBy("candidate_id").agg(F.avg("similarity").alias("top_n_mean_similarity"))
 
 
-def _first_of_locus(n: int) -> Column:
-    """The first n loci of ``all``, which is in order, each at its first entry."""
-    seen = lambda out, x: F.exists(out, lambda y: y["locus"].eqNullSafe(x["locus"]))
-    step = lambda out, x: F.when((F.size(out) >= n) | seen(out, x), out).otherwise(F.concat(out, F.array(x)))
-    return _named(F.aggregate("all", F.array().cast("array<struct<similarity:double,o:long,ref_id:string,locus:string>>"), step))
-
+def best_by_locus(candidates: DataFrame, references: DataFrame, block_rows: int = BLOCK_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """(candidate_id, locus, ref_id, ref_ord, similarity): each candidate's best reference of every locus, by matrix products.
 
-def _named(best: Column) -> Column:
-    return F.transform(best, lambda x: F.struct(x["similarity"].alias("similarity"), (-x["o"]).alias("ref_ord"), x["ref_id"].alias("ref_id"), x["locus"].alias("locus")))
+    ``candidates`` and ``references`` as in ``over_blocks``.  A task keeps each locus's best of a block, so pairs are never rows; the results of
+    several blocks meet in a partial aggregation by candidate and locus.
+    """
 
+    def every(ids: pa.Array, vectors: np.ndarray, refs: Block) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(ids), AT_ONCE):
+            sims = vectors[at : at + AT_ONCE] @ refs.vectors.T
+            best = np.stack([np.argmax(sims[:, a:b], axis=1) + a for a, b in zip(refs.firsts, refs.ends, strict=True)], axis=1)
+            n, m = best.shape
+            locus = pa.array([refs.names[refs.number[j]] for j in refs.firsts] * n, pa.string())
+            of = np.repeat(np.arange(at, at + n), m)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), locus, pa.array(refs.ids[best].ravel(), pa.string()), pa.array(refs.ords[best].ravel()), pa.array(np.take_along_axis(sims, best, 1).ravel())], names=["candidate_id", "locus", "ref_id", "ref_ord", "similarity"])
+
+    found, blocks = over_blocks(candidates, references, every, "candidate_id {}, locus string, ref_id string, ref_ord long, similarity double", block_rows, chunk_rows)
+    if blocks == 1:
+        return found
+    best = found.groupBy("candidate_id", "locus").agg(F.max(F.struct("similarity", (-F.col("ref_ord")).alias("o"), "ref_id")).alias("b"))
+    return best.select("candidate_id", "locus", F.col("b.ref_id").alias("ref_id"), (-F.col("b.o")).alias("ref_ord"), F.col("b.similarity").alias("similarity"))
 
-def _matrix(vectors: pa.Array) -> np.ndarray:
-    """Equally long lists of numbers as unit rows; without a row it has one column."""
-    flat = vectors.flatten().to_numpy(zero_copy_only=False)
-    return _unit(flat.reshape(len(vectors), -1).astype(float)) if len(flat) else np.zeros((len(vectors), 1))
 
+_FOUND = "array<struct<similarity:double,o:long,ref_id:string,locus:string>>"
+_STRUCT = pa.struct([("similarity", pa.float64()), ("o", pa.int64()), ("ref_id", pa.string()), ("locus", pa.string())])
 
-class _Block:
-    """References by locus, and in their own order within one."""
 
-    def __init__(self, locus: pa.Array, ords: pa.Array, ids: pa.Array, vectors: pa.Array) -> None:
-        number, names = pd.factorize(locus.to_pandas(), use_na_sentinel=False)
-        ords = ords.to_numpy(zero_copy_only=False)
-        order = np.lexsort((ords, number))
-        self.vectors, self.ords, self.number, self.names = _matrix(vectors)[order], ords[order], number[order], list(names)
-        self.ids = ids.to_pandas().to_numpy()[order]
-        self.firsts = np.flatnonzero(np.r_[True, np.diff(self.number) > 0])
-        self.ends = np.r_[self.firsts[1:], len(order)]
+def top_loci(candidates: DataFrame, references: DataFrame, n: int = 5, block_rows: int = BLOCK_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """(candidate_id, best): each candidate's n best loci, as an array of struct(similarity, ref_ord, ref_id, locus), the best first.
 
+    A locus counts by its best reference; equal similarities keep the references' order.  A task selects the n best loci of its
+    candidates against one block of references before anything is shuffled: a locus among a candidate's n best is among the n best of
+    the block that holds its best reference, so n structs a block suffice and what moves doesn't grow with the loci.  A candidate's
+    arrays, one a block, are then merged.
+    """
+    n = max(1, n)
+
+    def selected(ids: pa.Array, vectors: np.ndarray, refs: Block) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(ids), AT_ONCE):
+            sims = vectors[at : at + AT_ONCE] @ refs.vectors.T
+            best = np.maximum.reduceat(sims, refs.firsts, axis=1)
+            m = best.shape[1]
+            least = np.partition(best, m - n, axis=1)[:, m - n] if m > n else np.full(len(best), -np.inf)
+            out = []
+            for row, of_loci, bound in zip(sims, best, least, strict=True):
+                found = []
+                for g in np.flatnonzero(of_loci >= bound):  # n loci, and any that equal the last of them
+                    j = refs.firsts[g] + int(np.argmax(row[refs.firsts[g] : refs.ends[g]]))
+                    found.append((-row[j], refs.ords[j], j))
+                out.append([{"similarity": -s, "o": -int(o), "ref_id": refs.ids[j], "locus": refs.names[refs.number[j]]} for s, o, j in sorted(found)[:n]])
+            yield pa.RecordBatch.from_arrays([ids.slice(at, AT_ONCE), pa.array(out, pa.list_(_STRUCT))], names=["candidate_id", "best"])
+
+    found, blocks = over_blocks(candidates, references, selected, f"candidate_id {{}}, best {_FOUND}", block_rows, chunk_rows)
+    if blocks == 1:
+        return found.select("candidate_id", _named(F.col("best")).alias("best"))
+    merged = found.groupBy("candidate_id").agg(F.sort_array(F.flatten(F.collect_list("best")), asc=False).alias("all"))  # n structs a block
+    return merged.select("candidate_id", _named(_first_of_locus(n)).alias("best"))
 
-def _selected(ids: pa.Array, vectors: np.ndarray, refs: _Block, n: int) -> Iterator[pa.RecordBatch]:
-    """The n best loci of every candidate, some hundreds of candidates at once."""
-    for at in range(0, len(ids), 256):
-        sims = vectors[at : at + 256] @ refs.vectors.T
-        best = np.maximum.reduceat(sims, refs.firsts, axis=1)
-        m = best.shape[1]
-        least = np.partition(best, m - n, axis=1)[:, m - n] if m > n else np.full(len(best), -np.inf)
-        out = []
-        for row, all_, bound in zip(sims, best, least, strict=True):
-            found = []
-            for g in np.flatnonzero(all_ >= bound):  # n loci, and any that equal the last of them
-                j = refs.firsts[g] + int(np.argmax(row[refs.firsts[g] : refs.ends[g]]))
-                found.append((-row[j], refs.ords[j], j))
-            out.append([{"similarity": -s, "o": -int(o), "ref_id": refs.ids[j], "locus": refs.names[refs.number[j]]} for s, o, j in sorted(found)[:n]])
-        yield pa.RecordBatch.from_arrays([ids.slice(at, 256), pa.array(out, pa.list_(_STRUCT))], names=["candidate_id", "best"])
-
-
-def _top_of_one_block(candidates: DataFrame, references: DataFrame, n: int, kind: str) -> DataFrame:
-    own = references.select(F.col("locus").cast("string"), F.col("ref_ord").cast("long"), F.col("ref_id").cast("string"), F.col("embedding").cast("array<double>")).toArrow().combine_chunks()
-    shared = candidates.sparkSession.sparkContext.broadcast(own)  # at most a block's rows
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        refs = _Block(*(c.combine_chunks() for c in shared.value.columns)) if shared.value.num_rows else None
-        for b in batches:
-            if refs is not None and b.num_rows:
-                yield from _selected(b.column(0), _matrix(b.column(1)), refs, n)
 
-    found = candidates.select("candidate_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, _BEST.format(kind))
-    return found.select("candidate_id", _named(F.col("best")).alias("best"))
+def _first_of_locus(n: int) -> Column:
+    """The first n loci of ``all``, which is in order, each at its first entry."""
+    seen = lambda out, x: F.exists(out, lambda y: y["locus"].eqNullSafe(x["locus"]))
+    step = lambda out, x: F.when((F.size(out) >= n) | seen(out, x), out).otherwise(F.concat(out, F.array(x)))
+    return F.aggregate("all", F.array().cast(_FOUND), step)
 
 
-def similarity_rows(candidates: DataFrame, references: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The similarity matrix: a row for each candidate and block, with the block's reference ids and similarities as arrays."""
-    found = None
-    kind = dict(candidates.dtypes)["candidate_id"]
-    for own in _blocks(references, block_rows):
-        vectors = _unit(np.stack(own["embedding"].to_numpy()) if len(own) else np.zeros((0, 1)))
-        shared = candidates.sparkSession.sparkContext.broadcast((vectors, own["ref_id"].tolist()))  # about block_rows
+def _named(best: Column) -> Column:
+    return F.transform(best, lambda x: F.struct(x["similarity"].alias("similarity"), (-x["o"]).alias("ref_ord"), x["ref_id"].alias("ref_id"), x["locus"].alias("locus")))
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            refs, ids = shared.value
-            for pdf in batches:
-                if len(pdf) and len(refs):
-                    sims = _unit(np.stack(pdf["embedding"].to_numpy()).astype(float)) @ refs.T
-                    yield pd.DataFrame({"candidate_id": pdf["candidate_id"], "ref_ids": [ids] * len(pdf), "similarities": list(sims)})
 
-        part = candidates.select("candidate_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInPandas(run, f"candidate_id {kind}, ref_ids array<string>, similarities array<double>")
-        found = part if found is None else found.unionByName(part)
-    return found
+def score_candidates(candidates: DataFrame, references: DataFrame, n: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(candidate_id, best_similarity, best_match_id, top_n_mean_similarity)."""
+    best = top_loci(candidates, references, n, block_rows).filter(F.size("best") > 0)
+    mean = F.aggregate("best", F.lit(0.0), lambda t, x: t + x["similarity"]) / F.size("best")
+    return best.select("candidate_id", F.col("best")[0]["similarity"].alias("best_similarity"), F.col("best")[0]["ref_id"].alias("best_match_id"), mean.alias("top_n_mean_similarity"))
 
 
-def _unit(m: np.ndarray) -> np.ndarray:
-    norms = np.linalg.norm(m, axis=1, keepdims=True)
-    return m / np.where(norms > 0, norms, 1)
+def similarity_rows(candidates: DataFrame, references: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The similarity matrix: a row for each candidate and block, with the block's reference ids and similarities as arrays."""
 
+    def matrix(ids: pa.Array, vectors: np.ndarray, refs: Block) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(ids), AT_ONCE):
+            sims = vectors[at : at + AT_ONCE] @ refs.vectors.T
+            yield pa.RecordBatch.from_arrays([ids.slice(at, AT_ONCE), pa.array([refs.ids.tolist()] * len(sims), pa.list_(pa.string())), pa.array(list(sims), pa.list_(pa.float64()))], names=["candidate_id", "ref_ids", "similarities"])
 
-def _against_block(candidates: DataFrame, own: pd.DataFrame) -> DataFrame:
-    vectors = np.stack(own["embedding"].to_numpy()) if len(own) else np.zeros((0, 1))
-    locus, names = pd.factorize(own["locus"])
-    order = np.argsort(locus, kind="stable")  # by locus, and in reference order within one
-    shared = candidates.sparkSession.sparkContext.broadcast((_unit(vectors)[order], locus[order], list(names), own["ref_id"].to_numpy()[order], own["ref_ord"].to_numpy()[order]))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        refs, of, names, ids, ords = shared.value
-        for pdf in batches:
-            if not len(pdf) or not len(refs):
-                continue
-            sims = _unit(np.stack(pdf["embedding"].to_numpy()).astype(float)) @ refs.T
-            firsts = np.flatnonzero(np.r_[True, np.diff(of) > 0])
-            cols = [(np.argmax(sims[:, a:b], axis=1) + a) for a, b in zip(firsts, np.r_[firsts[1:], len(of)], strict=True)]
-            at = np.stack(cols, axis=1)
-            n, m = at.shape
-            yield pd.DataFrame({"candidate_id": np.repeat(pdf["candidate_id"].to_numpy(), m), "locus": [names[of[j]] for j in firsts] * n, "ref_id": ids[at].ravel(), "ref_ord": ords[at].ravel(), "similarity": np.take_along_axis(sims, at, 1).ravel()})
-
-    kinds = dict(candidates.dtypes)
-    schema = f"candidate_id {kinds['candidate_id']}, locus string, ref_id string, ref_ord long, similarity double"
-    return candidates.select("candidate_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInPandas(run, schema)
+    return over_blocks(candidates, references, matrix, "candidate_id {}, ref_ids array<string>, similarities array<double>", block_rows)[0]

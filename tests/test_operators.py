@@ -519,3 +519,22 @@ def test_core_benchmark_and_its_files(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "core_summary")).count() == 2
     back = spark.read.csv(str(tmp_path / "core_misses"), sep="\t", header=True)
     assert back.count() == misses.count() and set(back.columns) == set(misses.columns)
+
+
+def test_best_by_locus_of_one_block_and_of_many(spark):
+    rng = np.random.default_rng(12)
+    refs = [(f"r{i}", [None, "a", "b", "c"][i % 4], i, rng.normal(size=3).tolist()) for i in range(60)]
+    cands = [(f"c{i}", rng.normal(size=3).tolist()) for i in range(25)] + [("zero", [0.0, 0.0, 0.0])]
+    references, candidates = spark.createDataFrame(refs, "ref_id string, locus string, ref_ord long, embedding array<double>"), spark.createDataFrame(cands, "candidate_id string, embedding array<double>")
+    unit = lambda v: np.array(v) / (np.linalg.norm(v) or 1)
+    want = {}
+    for name, v in cands:
+        for ref_id, locus, o, w in refs:
+            s = (round(float(unit(v) @ unit(w)), 9), -o, ref_id)
+            want[name, locus] = max(want.get((name, locus), s), s)
+    for block, chunk in ((100, 100), (13, 4)):
+        got = {(r.candidate_id, r.locus): (round(r.similarity, 9), -r.ref_ord, r.ref_id) for r in similarity.best_by_locus(candidates, references, block, chunk).collect()}
+        assert got == want
+        whole = {(r.candidate_id, k): s for r in similarity.similarity_rows(candidates, references, block).collect() for k, s in zip(r.ref_ids, r.similarities, strict=True)}
+        assert len(whole) == len(refs) * len(cands)
+        assert similarity.best_by_locus(candidates, references.limit(0), block).count() == 0
