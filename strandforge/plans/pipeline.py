@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandforge.lineage import cut
@@ -44,25 +44,32 @@ def extract_candidates(segments: DataFrame, config: Config) -> DataFrame:
     return with_candidate_ids(with_protein(orfs(windows, config.min_aa, config.max_aa)))
 
 
-def mark_known(candidates: DataFrame, references: DataFrame, most: int = 5000) -> DataFrame:
+def mark_known(candidates: DataFrame, references: DataFrame, most: int = 5000, gram: int = 8) -> DataFrame:
     """is_known_precursor: some reference sequence stands within the protein.
 
-    Up to ``most`` references are tried in place; more of them meet the distinct proteins by their first eight residues, so
-    no protein meets every reference.
+    Up to ``most`` references are tried in place.  More of them meet the distinct proteins by one of their stretches of ``gram``
+    residues, the one that the fewest proteins have: a reference with a stretch that none has is done with, and a common stretch brings
+    references to proteins only where all of theirs are common.  Shorter references are their own stretch.
     """
     refs = references.select(F.upper("sequence").alias("r")).filter("r <> ''").distinct()
     listed = cut(refs)
     if listed.count() <= most:
         row = F.broadcast(listed.agg(F.collect_list("r").alias("_refs")))  # at most ``most`` strings, one row
         return candidates.join(row, how="cross").withColumn("is_known_precursor", F.exists("_refs", lambda r: F.contains(F.col("protein"), r))).drop("_refs")
-    proteins = candidates.select("protein").distinct()
-    short = listed.filter(F.length("r") < 8)
-    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("protein") - 7))
-    grams = proteins.withColumn("g", F.explode(F.array_distinct(F.transform(places, lambda i: F.substr("protein", i, F.lit(8))))))
-    known = grams.join(listed.filter(F.length("r") >= 8).withColumn("g", F.substring("r", 1, 8)), "g").filter(F.contains("protein", F.col("r"))).select("protein")
-    parts = F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(7)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("protein") - n + 1)), lambda i: F.substr("protein", i, n))))))
-    known = known.unionByName(proteins.withColumn("r", parts).join(short, "r").select("protein"))
-    return candidates.join(known.distinct().withColumn("_known", F.lit(True)), "protein", "left").withColumn("is_known_precursor", F.coalesce("_known", F.lit(False))).drop("_known")
+
+    def stretches(text: str, n: int) -> Column:
+        places = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(places, lambda i: F.substr(text, i, F.lit(n))))
+
+    sizes = sorted(r[0] for r in listed.select(F.least(F.length("r"), F.lit(gram))).distinct().collect())  # at most ``gram`` numbers
+    own = F.when(F.length("r") >= gram, stretches("r", gram)).otherwise(F.array("r"))
+    wanted = listed.select("r", F.explode(own).alias("g"))
+    grams = candidates.select("protein").distinct().select("protein", F.explode(F.flatten(F.array(*(stretches("protein", n) for n in sizes)))).alias("g"))
+    hits = cut(grams.join(wanted.select("g").distinct(), "g"))
+    counts = hits.groupBy("g").agg(F.count("*").alias("n"))
+    rarest = wanted.join(counts, "g", "left").groupBy("r").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("b")).filter("b.n > 0").select("r", F.col("b.g").alias("g"))
+    known = hits.join(rarest, "g").filter(F.contains("protein", F.col("r"))).select("protein").distinct()
+    return candidates.join(known.withColumn("_known", F.lit(True)), "protein", "left").withColumn("is_known_precursor", F.coalesce("_known", F.lit(False))).drop("_known")
 
 
 def checked_join(candidates: DataFrame, scores: DataFrame, key: str = "candidate_id") -> DataFrame:

@@ -538,3 +538,17 @@ def test_best_by_locus_of_one_block_and_of_many(spark):
         whole = {(r.candidate_id, k): s for r in similarity.similarity_rows(candidates, references, block).collect() for k, s in zip(r.ref_ids, r.similarities, strict=True)}
         assert len(whole) == len(refs) * len(cands)
         assert similarity.best_by_locus(candidates, references.limit(0), block).count() == 0
+
+
+def test_known_sequences_by_their_rarest_stretch(spark):
+    """Common stretches, short references and absent ones against plain containment."""
+    rng = random.Random(13)
+    hot = "MKTAYIAKQR"
+    proteins = ["".join(rng.choice("ACD") for _ in range(rng.randint(0, 30))) for _ in range(150)] + [hot + "".join(rng.choice("ACD") for _ in range(12)) for _ in range(60)] + [None]
+    refs = [hot + proteins[160][10:15], hot + "CCCCCCCC", "AC", "D", "zz", "ACDACDAC", "", None, *(p[3:14] for p in proteins[:40]), *(p[1:6] for p in proteins[40:50])]
+    c = spark.createDataFrame([(p, i) for i, p in enumerate(proteins)], "protein string, k int")
+    r = spark.createDataFrame([(x,) for x in refs], "sequence string")
+    wanted = {x.upper() for x in refs if x}
+    for most in (0, 10_000):
+        got = {x.k: x.is_known_precursor for x in pipeline.mark_known(c, r, most).collect()}
+        assert {k: bool(v) for k, v in got.items()} == {i: p is not None and any(x in p for x in wanted) for i, p in enumerate(proteins)}
