@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from strandforge.lineage import cut
 from strandforge.operators import index, orf, rank, rules
+from strandforge.plans.progress import observed
 
 CONFIG = Path(__file__).with_suffix(".json")
 CANDIDATES = "record_id string, gbk_file string, rank int, strand string, frame int, genomic_start int, genomic_end int, protein string, position int, core string, score double, confidence string, genome_count long, origin string"
@@ -58,7 +59,7 @@ def run(spark: SparkSession, source: str, out: str, config: dict, only: list[str
     seen = Observation()
     shown, by_origin = candidates(table.observe(seen, F.count(F.lit(1)).alias("rows")), config)
     _put(shown, f"{out}/candidates")
-    counts = {"rows": seen.get["rows"]}
+    counts = {"rows": observed(seen, "rows")}
     written = read_candidates(spark, out).groupBy("origin").agg(F.count("*").alias("candidates"), F.count_if(F.col("confidence") == "high").alias("high"), F.max("score").alias("best_score"))
     summary = by_origin.join(written, "origin", "left").select("records", "frames", F.coalesce("candidates", F.lit(0)).cast("long").alias("candidates"), F.coalesce("high", F.lit(0)).cast("long").alias("high"), "best_score", "origin")
     _put(summary, f"{out}/summary")

@@ -6,7 +6,8 @@ replays its batch over the same partitions.
 
     python -m jobs.index_peptides --input PATH --out PATH --checkpoint PATH [--config jobs/index_peptides.json]
 
-``--input`` is a folder or a glob (a stream can't name a single file otherwise); ``--out`` receives ``pairs/bucket=/batch=`` and ``counts/bucket=``.
+``--input`` is a folder or a glob (a stream can't name a single file otherwise); ``--out`` receives ``pairs/batch=/bucket=``, ``genomes/batch=`` and ``counts/bucket=``; ``fold_after`` batches the counts are brought up to date,
+and until then readers add what came later.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from strandforge.operators import kept_index, orf
+from strandforge.plans.progress import observed
 
 CONFIG = Path(__file__).with_suffix(".json")
 log = logging.getLogger("jobs.index_peptides")
@@ -39,8 +41,9 @@ def run(spark: SparkSession, source: str, out: str, checkpoint: str, config: dic
         rows = batch.observe(seen, F.count(F.lit(1)).alias("rows"))
         found = orf.with_protein(orf.orfs(segments(rows, config), config["min_aa"], config["max_aa"]))
         counts = {"batch": number, **kept_index.add_batch(found, out, number, config["buckets"])}
-        counts["rows"] = seen.get["rows"]
-        log.info("batch %(batch)d: read %(rows)d rows, %(frames)d frames; wrote %(pairs)d pairs and the counts of %(buckets)d buckets", counts)
+        counts["rows"] = observed(seen, "rows")
+        counts["folded"] = kept_index.fold(spark, out, number) if kept_index.fold_due(spark, out, number, config["fold_after"]) else 0
+        log.info("batch %(batch)d: read %(rows)d rows, %(frames)d frames; wrote %(pairs)d pairs, %(fresh)d of them new, and the counts of %(folded)d buckets", counts)
         done.append(counts)
 
     stream = spark.readStream.schema(config["schema"]).option("maxFilesPerTrigger", config["files_at_once"]).parquet(source)

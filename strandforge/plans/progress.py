@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
+def observed(seen: Observation, name: str) -> int:
+    """A counter's value after the action; 0 where the optimiser knew the rows to be none and left the counter out."""
+    try:
+        return seen.get[name]
+    except Py4JJavaError:
+        return 0
+
+
 class Progress:
     """Stages of a lazy plan and what is told of them.
 
@@ -27,5 +36,5 @@ class Progress:
 
     def tell_all(self) -> None:
         for number, message, seen in sorted(self._open, key=lambda x: x[0]):
-            self.tell(f"[{number}/{self.stages}] {message.format(rows=seen.get['rows'])}")
+            self.tell(f"[{number}/{self.stages}] {message.format(rows=observed(seen, 'rows'))}")
         self._open = []

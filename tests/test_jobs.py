@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobs import candidate_report, index_peptides, registered
+from strandforge.lineage import cut
 from strandforge.operators import index, kept_index, orf
 
 
@@ -46,7 +47,7 @@ def test_the_index_takes_only_what_is_new(spark, docs, tmp_path, caplog):
     docs.filter("doc_id % 3 = 1").coalesce(1).write.mode("append").parquet(at[0])
     second = index_peptides.run(spark, *at, c)
     assert [(d["batch"], d["rows"]) for d in second] == [(1, docs.filter("doc_id % 3 = 1").count())]
-    assert {k: v for k, v in files(tmp_path, "out/pairs").items() if "batch=0" in k} == {k: v for k, v in before.items() if "batch=0" in k}
+    assert {k: v for k, v in files(tmp_path, "out").items() if "batch=0" in k} == {k: v for k, v in before.items() if "batch=0" in k}
     whole = index.build_index(orf.with_protein(orf.orfs(index_peptides.segments(docs.filter("doc_id % 3 < 2"), c), c["min_aa"], c["max_aa"])))
     assert rows(kept_index.read_counts(spark, at[1]).select("protein", "instance_count", "genome_count")) == rows(whole.select("protein", "instance_count", "genome_count"))
     assert f"read {second[0]['rows']} rows" in caplog.text
@@ -56,27 +57,45 @@ def test_the_index_takes_only_what_is_new(spark, docs, tmp_path, caplog):
 def test_a_batch_that_runs_again_counts_once(spark, tmp_path):
     at = str(tmp_path / "index")
     frames = spark.createDataFrame([("MAA", "g1"), ("MAA", "g1"), ("MAA", "g2"), ("MCC", "g1")], "protein string, gbk_file string")
-    assert kept_index.add_batch(frames, at, 0, 4) == {"frames": 4, "pairs": 3, "buckets": len({r[0] for r in frames.select(kept_index.bucket_of(F.col("protein"), 4)).collect()})}
+    counts = lambda: rows(kept_index.read_counts(spark, at).select("protein", "instance_count", "genome_count"))
+    assert kept_index.add_batch(frames, at, 0, 4) == {"frames": 4, "pairs": 3, "fresh": 3}
     more = spark.createDataFrame([("MAA", "g2"), ("MAA", "g3")], "protein string, gbk_file string")
-    kept_index.add_batch(more, at, 1, 4)
     want = [("MAA", 5, 3), ("MCC", 1, 1)]
-    assert rows(kept_index.read_counts(spark, at).select("protein", "instance_count", "genome_count")) == want
-    kept_index.add_batch(more, at, 1, 4)
-    assert rows(kept_index.read_counts(spark, at).select("protein", "instance_count", "genome_count")) == want
-    assert kept_index.add_batch(more.limit(0), at, 2, 4) == {"frames": 0, "pairs": 0, "buckets": 0}
-    assert rows(kept_index.read_counts(spark, at).select("protein", "instance_count", "genome_count")) == want
-
-
-def test_an_upsert_rewrites_only_its_buckets(spark, tmp_path):
+    for _ in range(2):
+        assert kept_index.add_batch(more, at, 1, 4) == {"frames": 2, "pairs": 2, "fresh": 1}
+        assert counts() == want
+    assert kept_index.add_batch(more.limit(0), at, 2, 4) == {"frames": 0, "pairs": 0, "fresh": 0}
+    assert counts() == want
+    assert kept_index.fold_due(spark, at, 1, 2) and not kept_index.fold_due(spark, at, 1, 3)
+    assert kept_index.fold(spark, at, 1) == kept_index.fold(spark, at, 1) <= 2
+    assert counts() == want and not kept_index.fold_due(spark, at, 2, 2)
+    kept_index.add_batch(more, at, 1, 4)  # again, though it is folded
+    assert counts() == want
+    kept_index.add_batch(more, at, 3, 4)
+    assert counts() == [("MAA", 7, 3), ("MCC", 1, 1)]
+    kept_index.fold(spark, at, 3)
+    assert counts() == [("MAA", 7, 3), ("MCC", 1, 1)]
+
+
+def test_an_upsert_writes_its_own_partitions_alone(spark, tmp_path):
+    """What is there stays; a batch of a few peptides writes a few files, and one of new genomes reads no older pairs."""
     at = tmp_path / "index"
     frames = spark.range(5000).select(F.concat(F.lit("M"), F.col("id").cast("string")).alias("protein"), F.lit("g").alias("gbk_file"))
     kept_index.add_batch(frames, str(at), 0, 64)
-    before = files(at, "counts")
-    got = kept_index.add_batch(frames.limit(3), str(at), 1, 64)
-    after = files(at, "counts")
-    kept = {k for k, v in before.items() if after.get(k) == v}
-    assert got["buckets"] <= 3
-    assert len(before) - len(kept) == got["buckets"]
+    kept_index.fold(spark, str(at), 0)
+    before = files(at, "")
+    assert kept_index.add_batch(frames.limit(3), str(at), 1, 64) == {"frames": 3, "pairs": 3, "fresh": 0}
+    after = files(at, "")
+    assert {k: v for k, v in after.items() if k in before} == before
+    assert 2 <= len(after) - len(before) <= 4
+    assert kept_index.add_batch(frames.limit(3).withColumn("gbk_file", F.lit("h")), str(at), 2, 64)["fresh"] == 3
+    got = kept_index.read_counts(spark, str(at)).filter("genome_count = 2").count()
+    assert got == 3 and kept_index.read_counts(spark, str(at)).count() == 5000
+    # a fold that broke off: half of the buckets are of batch 2, the others of batch 0
+    half = kept_index._summed(kept_index._parts(spark, str(at)), "bucket", "protein").filter("bucket % 2 = 0").withColumn("upto", F.lit(2).cast("long"))
+    kept_index._put(cut(half), f"{at}/counts", ["bucket"])
+    assert kept_index.read_counts(spark, str(at)).filter("genome_count = 2").count() == 3
+    assert kept_index.read_counts(spark, str(at)).agg(F.sum("instance_count")).first()[0] == 5006
 
 
 def test_lookup_reads_the_index_without_a_shuffle(spark, tmp_path):
@@ -85,6 +104,9 @@ def test_lookup_reads_the_index_without_a_shuffle(spark, tmp_path):
     kept_index.add_batch(frames, at, 0, 16)
     asked = spark.createDataFrame([("M5", 1), ("M5", 2), ("Mx", 3), (None, 4), ("M899", 5)], "protein string, k int")
     want = [(1, 4, 4), (2, 4, 4), (3, 0, 0), (4, 0, 0), (5, 3, 3)]
+    kept_index.fold(spark, at, 0)
+    kept_index.add_batch(frames.filter("protein = 'M5'").withColumn("gbk_file", F.lit("new")).limit(1), at, 1, 16)
+    want = [(1, 5, 5), (2, 5, 5), *want[2:]]
     for most in (1000, 1):
         assert rows(kept_index.lookup(asked, at, 16, most).select("k", "instance_count", "genome_count")) == want
     plan = kept_index.lookup(asked, at, 16)._jdf.queryExecution().executedPlan().toString()
@@ -118,6 +140,7 @@ def test_the_report_takes_odd_rows(spark, tmp_path):
     c = config(candidate_report)
     table.write.parquet(str(tmp_path / "in"))
     candidate_report.run(spark, str(tmp_path / "in"), str(tmp_path / "out"), c)
+    assert candidate_report.run(spark, str(tmp_path / "in"), str(tmp_path / "out"), c, ["no such origin"])["records"] == 0
     assert {r.origin for r in candidate_report.read_summary(spark, str(tmp_path / "out")).collect()} <= {"unknown", "from-"}
 
 
@@ -146,7 +169,7 @@ def test_a_run_that_breaks_off_is_finished_by_the_next(spark, docs, tmp_path, mo
         raise RuntimeError("lost")
 
     with monkeypatch.context() as m:
-        m.setattr(kept_index, "refresh", breaks)
+        m.setattr(kept_index, "fold_due", breaks)
         with pytest.raises(Exception, match="lost"):
             index_peptides.run(spark, *at, c)
     assert kept_index.read_pairs(spark, at[1]).filter("batch = 1").count() > 0
@@ -158,10 +181,10 @@ def test_a_run_that_breaks_off_is_finished_by_the_next(spark, docs, tmp_path, mo
 
 def test_many_files_come_in_batches(spark, docs, tmp_path):
     """``files_at_once`` cuts a backlog into batches; the index is that of one batch."""
-    c = {**config(index_peptides), "buckets": 4, "files_at_once": 2}
+    c = {**config(index_peptides), "buckets": 4, "files_at_once": 2, "fold_after": 2}
     docs.repartition(5).write.parquet(str(tmp_path / "in"))
     done = index_peptides.run(spark, *(str(tmp_path / x) for x in ("in", "out", "checkpoint")), c)
-    assert [d["batch"] for d in done] == [0, 1, 2] and sum(d["rows"] for d in done) == docs.count()
+    assert [(d["batch"], d["folded"]) for d in done] == [(0, 0), (1, 4), (2, 0)] and sum(d["rows"] for d in done) == docs.count()
     whole = index.build_index(orf.with_protein(orf.orfs(index_peptides.segments(docs, c), c["min_aa"], c["max_aa"])))
     assert rows(kept_index.read_counts(spark, str(tmp_path / "out")).select("protein", "instance_count", "genome_count")) == rows(whole.select("protein", "instance_count", "genome_count"))
 
