@@ -794,10 +794,41 @@ def codon_shuffle(spark, sf_dir):
     return s.select("record_id", F.array_join(conservation.shuffled_codons(F.col("codons"), F.col("aas"), F.lit(5), F.col("record_id")), "").alias("shuffled"))
 
 
-@query()
+def _conservation_sql(limit: int, iterations: int, seed: int) -> str:
+    """The conservation test, codon by codon; all genes are of one length, so a locus's peptides are too."""
+    flip = lambda x: f"reverse(translate({x}, 'ACGT', 'TGCA'))"
+    return f"""with {_HITS}, top as (select * from loci where hit_genomes >= 2 order by hit_genomes desc, hit_events desc, {_KEY} limit {limit}),
+gene as (select record_id, gbk_file, 'g' || doc_id % 12 as gene_name, doc_id % 2 = 1 as minus, substr(dna, 33, 192) as genomic from seg where 'g' || doc_id % 12 in (select gene_name from top)),
+coding as (select *, case when minus then {flip('genomic')} else genomic end as cds from gene),
+cells as (select record_id, gbk_file, gene_name, i, substr(cds, (3 * i - 2)::int, 3) as codon from coding, range(1, 65) r(i)),
+named as (select *, {_aa('codon')} as aa from cells),
+free as (select n.*, it, row_number() over (partition by record_id, it, aa order by i) as p,
+  row_number() over (partition by record_id, it, aa order by md5('{seed}:' || gene_name || ':' || gbk_file || '::' || record_id || ':32:' || it || ':' || i), i) as q from named n, range(1, {iterations} + 1) t(it) where i >= 2 and aa <> '*'),
+moved as (select x.record_id, x.it, x.i, y.codon from free x join free y on x.record_id = y.record_id and x.it = y.it and x.aa = y.aa and x.p = y.q),
+kept as (select n.record_id, it, i, codon from named n, range(1, {iterations} + 1) t(it) where i < 2 or aa = '*'),
+texts as (select record_id, it, string_agg(codon, '' order by i) as cds from (select * from moved union all select * from kept) group by record_id, it),
+plus as (select c.record_id, c.gene_name, it, case when minus then {flip('t.cds')} else t.cds end as genomic from texts t join coding c using (record_id) union all select record_id, gene_name, 0, genomic from coding),
+win as (select t.*, record_id, it, substr(genomic, (((bin_first * 192 + 19) // 20) + 1)::int, (least(192, ((bin_last + 1) * 192 + 19) // 20) - (bin_first * 192 + 19) // 20)::int) as w from top t join plus using (gene_name)),
+own as (select *, case when orf_strand = '-' then {flip('w')} else w end as o, case when orf_strand = '-' then (abs(orf_frame) - 1) % 3 else orf_frame % 3 end as off from win),
+pep as (select {_KEY}, it, array_to_string(list_transform(range(0, (length(o) - off) // 3), lambda k: {_aa('substr(o, (off + 3 * k + 1)::int, 3)')}), '') as peptide from own),
+told as (select {_KEY}, it, count(*) as seen, count_if(peptide <> '' and not contains(peptide, '*')) as alive from pep group by all),
+letters as (select {_KEY}, it, length(peptide) as len, j, substr(peptide, j::int, 1) as residue, count(*) as n from pep, range(1, 65) r(j) where j <= length(peptide) and not contains(peptide, '*') group by all),
+agreed as (select {_KEY}, it, sum(n * (n - 1) / 2 / len) as agreed from letters group by all),
+each as (select t.*, alive / seen as survival, case when alive > 1 then agreed / (alive * (alive - 1) / 2) end as identity from told t left join agreed using ({_KEY}, it)),
+seen as (select n.*, o.seen as own_seen, o.alive as own_alive, o.survival as own_survival, o.identity as own_identity from each n join (select * from each where it = 0) o using ({_KEY}) where n.it > 0),
+stats as (select {_KEY}, any_value(own_seen) as evaluated_instances, any_value(own_alive) as observed_survived, any_value(own_survival) as survival, any_value(own_identity) as identity, avg(s.survival) as sm, stddev_pop(s.survival) as ss, count_if(s.survival > own_survival - 1e-12) as sg, count(s.survival) as sn,
+  avg(s.identity) as im, stddev_pop(s.identity) as is_, count_if(s.identity > own_identity - 1e-12) as ig, count(s.identity) as n from seen s group by all)
+select {_KEY}, hit_genomes, hit_events, evaluated_instances as evaluated_records, evaluated_instances, round(survival, 6) as survival, round(identity, 6) as identity, round(sm, 6) as null_survival_mean, round(im, 6) as null_mean, round(case when is_ < 1e-12 then 0 else is_ end, 6) as null_std,
+round(case when is_ >= 1e-12 then (identity - im) / is_ end, 6) as z_score, round(case when identity is not null and n > 0 then (ig + 1) / (n + 1) end, 6) as p_value, round(case when ss < 1e-12 then 0 else ss end, 6) as null_survival_std, round((sg + 1) / (sn + 1), 6) as p_survival, observed_survived::bigint as observed_survived, sn as null_samples_survival
+from stats join top using ({_KEY})"""
+
+
+@query(_conservation_sql(200, 200, 3))
 def altframe_conservation(spark, sf_dir):
+    """The 200 most widespread loci with 200 shuffles of every instance."""
     t = conservation.conservation_test(_hits(spark, sf_dir), _cds(spark, sf_dir), min_genomes=2, limit=200, iterations=200, seed=3)
-    return t.select(*conservation.LOCUS, "hit_genomes", "hit_events", "evaluated_records", "evaluated_instances", *(F.round(c, 6).alias(c) for c in ("survival", "identity", "null_survival_mean", "null_mean", "null_std", "z_score", "p_value", "null_survival_std", "p_survival")), "observed_survived", "null_samples_survival")
+    rounded = ("survival", "identity", "null_survival_mean", "null_mean", "null_std", "z_score", "p_value", "null_survival_std", "p_survival")
+    return t.select(*conservation.LOCUS, "hit_genomes", "hit_events", "evaluated_records", "evaluated_instances", *(F.round(c, 6).alias(c) for c in rounded), "observed_survived", "null_samples_survival")
 
 
 @query("select l_returnflag, avg(l_quantity) as null_mean, stddev_pop(l_quantity) as null_std, count(l_quantity) as null_n from lineitem group by 1")
