@@ -689,10 +689,15 @@ def viewer_totals(spark, sf_dir):
     return viewer.totals(_pipeline_inputs(spark, sf_dir)[0], r, viewer.visible(r, 0.1, limit=5))
 
 
-@query()
+@query(f"""with recursive {_orf_sql()}, ids as (select *, record_id || '|orf' || case when length(n::varchar) >= 4 then n::varchar else lpad(n::varchar, 4, '0') end as candidate_id from (select *, row_number() over (partition by record_id order by strand, abs(frame), nt_start + nt_len, nt_start) n from orfs)),
+placed as (select record_id, candidate_id, genomic_start as s, genomic_end as e, row_number() over (partition by record_id order by genomic_start, candidate_id) as k from ids),
+walk as (select record_id, candidate_id, s, e, k, 0 as lane, [e] as ends from placed where k = 1 union all
+  select record_id, candidate_id, s, e, k, lane, case when lane = len(ends) then list_append(ends, e) else list_concat(list_concat(ends[:lane], [greatest(ends[lane + 1], e)]), ends[lane + 2:]) end
+  from (select p.*, w.ends, (coalesce(list_position(list_transform(w.ends, lambda x: p.s >= x), true), len(w.ends) + 1) - 1)::int as lane from walk w join placed p on p.record_id = w.record_id and p.k = w.k + 1))
+select record_id, candidate_id, s as first_base, e as after_last, least(lane, 2)::int as lane from walk""")
 def viewer_lanes(spark, sf_dir):
     o = orf.with_candidate_ids(found_orfs(spark, sf_dir)).select("record_id", "candidate_id", F.col("genomic_start").alias("start"), F.col("genomic_end").alias("end"))
-    return viewer.pack_lanes(o, ["record_id"], 2)
+    return viewer.pack_lanes(o, ["record_id"], 2).withColumnsRenamed({"start": "first_base", "end": "after_last"})
 
 
 def _selected(spark, sf_dir) -> DataFrame:
