@@ -278,7 +278,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, n: int
     """Documents without a leaked test item, found as by ``find_leaks``.
 
     Every row is judged by its own text: rows without an id and rows that share one like any other, repeated rows each.  Null and
-    empty texts stay.  Empty tables drop nothing.  All columns are kept, whatever their names.
+    empty texts stay; very long ones are read whole.  Empty tables drop nothing.  All columns are kept, whatever their names.
     """
     at_text = docs.columns.index("text")
     texts, kept = docs.select(text_of().alias("text")), docs

@@ -245,8 +245,10 @@ def scan_pii(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for every row.
 
     Counts and digest are of the exact patterns; spans also has the disguised identifiers, at their places in the source.
-    Null counts as empty.  Repeated rows give as many rows, null ids are kept, an empty table gives an empty result, extra columns
-    are ignored.
+    Null counts as empty; an empty text has no spans; a very long one is read whole, and no span is bounded in length.  Base spans of one
+    kind never overlap; those of different kinds may, and an added span is dropped where it overlaps one of its own kind.  Spans come by
+    kind and then start, so equal starts of different kinds tie by kind.  Repeated rows give as many rows, null ids are kept, an
+    empty table gives an empty result, extra columns of any name are ignored.
     """
     return map_rows(docs.select(text_of().alias("text"), F.col("doc_id").cast("long")), _digest, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string", 1)
 
@@ -262,7 +264,12 @@ def mask(text: str) -> str:
 
 
 def mask_pii(docs: DataFrame) -> DataFrame:
-    """``docs`` with masked texts; n_chars follows where the table has it.  A null text stays null."""
+    """``docs`` with masked texts; n_chars follows where the table has it.
+
+    A null text stays null and an empty one empty; a very long one is masked whole.  Of overlapping spans the one that starts first (of
+    equal starts the longest) gives the tag, and the others' places go with it.  Repeated rows are masked each, a null id doesn't
+    matter, an empty table gives an empty one, and all columns are kept, whatever their names.
+    """
     schema, names = docs.schema, docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -344,6 +344,21 @@ def test_many_matches_in_one_text(spark):
     assert got == plain_secrets(text)
 
 
+def test_very_long_texts_are_read_whole(spark):
+    """An item, an address and marked words at the end of a text of some megabytes."""
+    item = "zebras quietly juggle seventeen copper lanterns beneath the frozen viaduct tonight"
+    filler = " ".join(f"w{i % 977}" for i in range(500_000))
+    table = spark.createDataFrame([(1, f"{filler} {item}", "en", "s", 0), (2, filler, "en", "s", 0), (3, f"{filler} write to anna@firm.example.org", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert [(r.doc_id, r.item_id, r.ratio, r.start_word) for r in decontaminate.find_leaks(table, bench).collect()] == [(1, 7, 1.0, 500_000)]
+    assert sorted(r.doc_id for r in decontaminate.drop_leaks(table, bench).select("doc_id").collect()) == [2, 3]
+    assert table.filter("doc_id = 3").transform(pii.mask_pii).select(F.right("text", F.lit(16))).first()[0] == "write to <email>"
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert toxicity.score_toxicity(table, labels).filter("score between 0 and 1").count() == 3
+    assert simhash.keep_one_per_group(table).count() == 1
+    assert mixing.mix_sources(table).filter(F.length("text") < 2_000_000).count() == 0
+
+
 def test_words_of_any_length_are_one_window():
     assert toxicity.words_of("ab " + "x" * 500 + " cd") == ["ab", "x" * 500, "cd"]
 
