@@ -13,7 +13,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if sc.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and not sc.master.startswith("local["):
+    if shared is None and not (sc.master == "local" or sc.master.startswith("local[")):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
 
