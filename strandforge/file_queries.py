@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandforge import queries as q
 from strandforge.functions.register import register
 from strandforge.lineage import ensure_checkpoint_dir
-from strandforge.operators import conservation, kept_index, rank
+from strandforge.operators import conservation, kept_index, rank, rules
 from strandforge.sources import fasta, genbank, tables
 from strandforge.streaming import index_stream
 
@@ -194,6 +194,21 @@ def index_stream_counts(spark, sf_dir):
     return index_stream.read_index(spark, f"{at}/out")
 
 
+def _edited() -> dict:
+    """The default rules with two of them changed."""
+    own = rules.update_rule(rules.ruleset(), "core_length", weight=2.0, parameters={"optimal_min": 12, "optimal_max": 30})
+    return rules.update_rule(own, "charge_transition", weight=0.9, parameters={"min_difference": 0.5})
+
+
+@q.query(f"with {q._SITES}, {q._site_sql('sites', _edited())} select sequence, round(max(score), 6) as rule_score_raw from scored group by sequence")
+def edited_rules(spark, sf_dir):
+    """Rules that were changed, saved to the shared folder, loaded again and applied; a path without any gives the fallback."""
+    at = folder(spark)
+    rules.save_rules(_edited(), at, spark)
+    loaded = rules.load_rules(f"{at}/none", rules.load_rules(at, spark=spark), spark)
+    return rules.best_rule_score(q.proteins(spark, sf_dir), loaded).select("sequence", F.round("rule_score_raw", 6).alias("rule_score_raw"))
+
+
 def _kept(spark, sf_dir) -> tuple[str, DataFrame]:
     """An index of two batches, the second of which came twice."""
     at, o = f"{folder(spark)}/index", q.found_orfs(spark, sf_dir)

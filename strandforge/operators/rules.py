@@ -7,7 +7,8 @@ from copy import deepcopy
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandforge.functions.seq import hydropathy_mean, net_charge, residue_count
@@ -72,17 +73,26 @@ def update_rule(rules: dict[str, Rule], name: str, enabled: bool | None = None,
     return out
 
 
-def load_rules(path: str | None, fallback: dict[str, Rule] | None = None) -> dict[str, Rule]:
-    """Rules from JSON ({"rules": {name: ...}}); a missing or invalid file gives the fallback, by default the default ruleset."""
+def load_rules(path: str | None, fallback: dict[str, Rule] | None = None, spark: SparkSession | None = None) -> dict[str, Rule]:
+    """Rules from JSON ({"rules": {name: ...}}); a missing or invalid file gives the fallback, by default the default ruleset.
+
+    With a session the path may be any that Spark reads, a file or a folder with one.
+    """
     try:
-        told = json.loads(Path(path).read_text())["rules"]
+        text = Path(path).read_text() if spark is None else spark.read.text(path, wholetext=True).first()[0]
+        told = json.loads(text)["rules"]
         return {k: {"enabled": bool(v.get("enabled", True)), "weight": float(v["weight"]), "parameters": dict(v["parameters"])} for k, v in told.items()}
-    except (OSError, ValueError, KeyError, TypeError, AttributeError):
+    except (OSError, ValueError, KeyError, TypeError, AttributeError, AnalysisException):
         return ruleset() if fallback is None else fallback
 
 
-def save_rules(rules: dict[str, Rule], path: str) -> None:
-    Path(path).write_text(json.dumps({"version": 1, "rules": rules}, indent=2))
+def save_rules(rules: dict[str, Rule], path: str, spark: SparkSession | None = None) -> None:
+    """Rules as JSON: a local file, or with a session a folder anywhere that Spark writes."""
+    text = json.dumps({"version": 1, "rules": rules}, indent=2)
+    if spark is None:
+        Path(path).write_text(text)
+    else:
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def dealt(df: DataFrame) -> DataFrame:

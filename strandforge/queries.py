@@ -303,9 +303,9 @@ def sequence_recall(spark, sf_dir):
 
 # ---------------------------------------------------------------- rules
 
-def _site_sql(table: str, preset: str = "default", inverted: bool = False, tag: str = "") -> str:
-    """A preset's rules for rows (sequence, position, leader, core) of sites of one orientation, in SQL, as table scored + tag."""
-    r = rules.ruleset(preset)
+def _site_sql(table: str, preset: str | dict = "default", inverted: bool = False, tag: str = "") -> str:
+    """A preset's rules (or given ones) for rows (sequence, position, leader, core) of sites of one orientation, in SQL, as table scored + tag."""
+    r = preset if isinstance(preset, dict) else rules.ruleset(preset)
     p = {k: v["parameters"] for k, v in r.items()}
     w = {k: v["weight"] for k, v in r.items()}
     cases = lambda e, t: "case " + " ".join(f"when {e} = '{k}' then {v}" for k, v in t.items()) + " end"
