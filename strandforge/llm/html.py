@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from html import unescape
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -38,8 +39,6 @@ _TOKEN = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 #: Children that are aligned by a whole table on either side; more are anchored by what occurs once in both.
 _WIDE = 200
-#: Levels that one weight looks down; deeper pairs count by their own names and are aligned when they are reached.
-_LEVELS = 150
 
 
 class Node:
@@ -209,21 +208,48 @@ def lay_out(root: Node) -> Node:
     return root
 
 
-def _match(a: Node, b: Node, memo: dict, level: int = 0) -> int:
-    """Simple tree matching: the most nodes of two trees that pair up in order, level by level."""
+#: Steps of an alignment: it asks for the weights of pairs that aren't known yet and returns its result.
+Steps = Generator[tuple[Node, Node], int, Any]
+
+
+def _known(a: Node, b: Node, memo: dict) -> int | None:
+    """The weight of a pair where no children need to be aligned for it."""
     if a.sign != b.sign:
         return 0
     if a.shape == b.shape:
         return a.size  # all their nodes pair up
-    if not a.children or not b.children or level > _LEVELS:
+    if not a.children or not b.children:
         return 1
-    key = (id(a), id(b))
-    if key not in memo:
-        memo[key] = 1 + _align(a.children, b.children, memo, level + 1)[0]
-    return memo[key]
+    return memo.get((id(a), id(b)))
+
+
+def _run(steps: Steps, memo: dict) -> Any:
+    """The result of some steps; weights that they ask for are found on a stack of one's own, so depth is bounded by memory alone."""
+    stack: list[tuple[tuple[int, int] | None, Steps]] = [(None, steps)]
+    value = None
+    while True:
+        pair, own = stack[-1]
+        try:
+            x, y = own.send(value)
+        except StopIteration as done:
+            stack.pop()
+            if pair is None:
+                return done.value
+            value = memo[pair] = 1 + done.value[0]
+        else:
+            stack.append(((id(x), id(y)), _aligned(x.children, y.children, memo)))
+            value = None
 
 
-def _table(a: list[Node], b: list[Node], memo: dict, level: int) -> tuple[int, list[tuple[int, int]]]:
+def _match(a: Node, b: Node, memo: dict) -> int:
+    """Simple tree matching: the most nodes of two trees that pair up in order, level by level."""
+    known = _known(a, b, memo)
+    if known is None:
+        known = memo[id(a), id(b)] = 1 + _run(_aligned(a.children, b.children, memo), memo)[0]
+    return known
+
+
+def _table(a: list[Node], b: list[Node], memo: dict) -> Steps:
     """The best ordered pairing, from the table of all pairs."""
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
@@ -232,7 +258,9 @@ def _table(a: list[Node], b: list[Node], memo: dict, level: int) -> tuple[int, l
             y = b[j]
             best = below[j] if below[j] >= row[j + 1] else row[j + 1]
             if x.sign == y.sign:
-                w = x.size if x.shape == y.shape else _match(x, y, memo, level)
+                w = x.size if x.shape == y.shape else _known(x, y, memo)
+                if w is None:
+                    w = yield x, y
                 if w + below[j + 1] >= best:
                     best = w + below[j + 1]
             row[j] = best
@@ -286,7 +314,11 @@ def _in_turn(a: list[Node], b: list[Node]) -> list[tuple[int, int]]:
     return out
 
 
-def _align(xs: list[Node], ys: list[Node], memo: dict, level: int = 0) -> tuple[int, list[tuple[int, int]]]:
+def _align(xs: list[Node], ys: list[Node], memo: dict) -> tuple[int, list[tuple[int, int]]]:
+    return _run(_aligned(xs, ys, memo), memo)
+
+
+def _aligned(xs: list[Node], ys: list[Node], memo: dict) -> Steps:
     """(nodes paired, pairs) of the best ordered pairing of two lists of children.
 
     Equal heads and tails are paired at once.  More than _WIDE children on a side are first anchored by equal subtrees that occur once;
@@ -323,7 +355,7 @@ def _align(xs: list[Node], ys: list[Node], memo: dict, level: int = 0) -> tuple[
             found = _in_turn(a, b)
             total += sum([x.size if x.shape == y.shape else 1 for x, y in ((a[i], b[j]) for i, j in found)])
         else:
-            n, found = _table(a, b, memo, level)
+            n, found = yield from _table(a, b, memo)
             total += n
         pairs += [(i0 + i, j0 + j) for i, j in found]
     pairs += [(len(xs) - k, len(ys) - k) for k in range(tail, 0, -1)]

@@ -238,6 +238,20 @@ def test_wide_pages_align_in_linear_time():
     assert len([x for x in html.body_texts(a) if id(x) in same]) >= 160
 
 
+def test_deep_pairs_weigh_all_their_nodes():
+    """Beyond any depth of recursion, two trees that differ at the bottom alone pair up in all but that."""
+    tree = lambda inner, n: html.parse("<div><i>a</i>" * n + inner + "<b>z</b></div>" * n)
+    for n in (10, 149, 151, 400, 5000):
+        a, b = tree("<p>x</p>", n), tree("<ul><li>y</li></ul>", n)
+        assert html._match(a, b, {}) == 1 + n * 5  # the root, and of each level div, i, b and their texts
+    # the deeper of two places to pair with is worth more, though that shows only far down
+    n = 300
+    a = html.parse("<section>" + "<div>" * n + "<p>1</p><p>2</p>" + "</div>" * n + "</section>")
+    b = html.parse("<section>" + "<div>" * n + "<em>1</em>" + "</div>" * n + "<div>" * n + "<p>3</p><p>4</p><p>5</p>" + "</div>" * n + "</section>")
+    pairs = html._align(a.children[0].children, b.children[0].children, {})[1]
+    assert pairs == [(0, 1)]
+
+
 def test_deep_pages():
     deep = "<div>" * 100_000 + "<nav>Home Nav words</nav><p>story</p><p>more</p>" + "</div>" * 100_000 + "<footer>f</footer>"
     page = html.parse(deep)
