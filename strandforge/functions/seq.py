@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -97,6 +99,38 @@ def net_charge(seq: Column, ph: float = 7.0) -> Column:
     return F.when(F.length(seq) > 0, plus - minus).otherwise(F.lit(0.0))
 
 
+#: Charge that each residue's side chain adds, at pH 7.
+SIDE_CHARGE = {**{k: 1 / (10 ** (7.0 - v) + 1) for k, v in PK_POSITIVE.items()}, **{k: -1 / (10 ** (v - 7.0) + 1) for k, v in PK_NEGATIVE.items()}}
+
+
+def end_charge(first: Column, last: Column, ph: float = 7.0) -> Column:
+    """Charge of the two ends of a sequence that has residues, by its first and last one."""
+    n_end, c_end = F.lit(1 / (10 ** (ph - PK_N) + 1)), F.lit(-1 / (10 ** (PK_C - ph) + 1))
+    for k, v in PK_N_BY_RESIDUE.items():
+        n_end = F.when(first == k, F.lit(1 / (10 ** (ph - v) + 1))).otherwise(n_end)
+    for k, v in PK_C_BY_RESIDUE.items():
+        c_end = F.when(last == k, F.lit(-1 / (10 ** (v - ph) + 1))).otherwise(c_end)
+    return n_end + c_end
+
+
+def running_sums(seq: Column, weights: dict[str, float]) -> Column:
+    """Array of n + 1 sums of the letters' weights: of the first 0, 1, ..., n letters.  Other letters weigh nothing; null counts as empty."""
+    table = np.zeros(128)
+    for k, v in weights.items():
+        table[ord(k)] = v
+
+    def sums(s: pa.Array) -> pa.Array:
+        texts = [x or "" for x in s.to_pylist()]
+        own = table[np.minimum(np.frombuffer("".join(texts).encode("utf-32-le"), "<u4"), 127)]
+        ends = np.cumsum([0, *map(len, texts)])
+        out = np.zeros(len(own) + len(texts))
+        for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):  # each from its own start: sums don't depend on a batch's other rows
+            np.cumsum(own[a:b], out=out[a + i + 1 : b + i + 1])
+        return pa.ListArray.from_arrays(pa.array((ends + np.arange(len(ends))).astype(np.int32)), pa.array(out))
+
+    return F.arrow_udf(sums, "array<double>")(seq)
+
+
 def interval_distance(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     """Gap between half-open intervals; touching or overlapping is 0."""
     return F.greatest(F.lit(0), s2 - e1, s1 - e2)

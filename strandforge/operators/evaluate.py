@@ -10,7 +10,7 @@ from strandforge.lineage import cut
 from strandforge.operators.curation import anchor_loci
 from strandforge.operators.ordered import exact_medians
 from strandforge.operators.orf import orfs, with_protein
-from strandforge.operators.rules import Rule, best_rule_score, cleavage_sites, dealt, reasons
+from strandforge.operators.rules import Rule, best_rule_score, dealt, predicted_and_known, reasons
 from strandforge.operators.similarity import best_by_locus
 
 
@@ -108,12 +108,17 @@ def core_benchmark(candidates: DataFrame, variants: dict[str, dict[str, Rule]],
     same = lambda c: F.translate(F.upper(F.trim(c)), "I", "L")
     known = candidates.withColumns({"protein_sequence": F.upper(F.trim("protein_sequence")), "core_aa": F.upper(F.trim("core_aa"))}).filter("protein_sequence <> '' and core_aa <> ''")
     known = cut(known.select("candidate_id", "case_id", "core_group", "core_aa", "protein_sequence"))
+    end = F.endswith(same(F.col("sequence")), F.col("c"))
+    at_end = end | F.startswith(same(F.col("sequence")), F.col("c")) if allow_inverted else end
+    cores = known.select(F.col("protein_sequence").alias("sequence"), same(F.col("core_aa")).alias("c")).distinct()
+    # what ends (or begins) a protein: at most twice its length
+    wanted = cores.groupBy("sequence").agg(F.collect_list(F.when(at_end, F.col("c"))).alias("cores"))
+    proteins = cut(dealt(wanted, "sequence"))
     every, wrong = None, None
     for name, own_rules in variants.items():
-        sites = cleavage_sites(dealt(known.select(F.col("protein_sequence").alias("sequence")).distinct()), own_rules, allow_inverted=allow_inverted)
-        order = Window.partitionBy("sequence").orderBy(F.round("score", 9).desc(), F.desc("orientation"), "position")
-        site = F.struct(F.row_number().over(order).alias("rank"), F.round("score", 6).alias("score"), "orientation", "position", "core", F.array_join(reasons(F.col("score_breakdown")), "; ").alias("reasons"))
-        ranked = cut(sites.select("sequence", site.alias("s")))
+        told = predicted_and_known(proteins, own_rules, allow_inverted)
+        site = F.struct("rank", F.round("score", 6).alias("score"), "orientation", "position", "core", F.array_join(reasons(F.col("score_breakdown")), "; ").alias("reasons"))
+        ranked = cut(told.select("sequence", site.alias("s")))
         best = ranked.filter("s.rank = 1").select("sequence", F.col("s").alias("best"))
         cores = known.select(F.col("protein_sequence").alias("sequence"), "core_aa").distinct()
         true = ranked.join(cores, "sequence").filter(same(F.col("s.core")) == same(F.col("core_aa"))).groupBy("sequence", "core_aa").agg(F.min("s").alias("true"))

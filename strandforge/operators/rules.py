@@ -11,7 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandforge.functions.seq import hydropathy_mean, net_charge, residue_count
+from strandforge.functions.seq import HYDROPATHY, SIDE_CHARGE, end_charge, running_sums
 from strandforge.functions.text import confidence, occurrences
 
 #: Parameters of the default ruleset, as (weight, parameters) by rule.
@@ -95,16 +95,14 @@ def save_rules(rules: dict[str, Rule], path: str, spark: SparkSession | None = N
         spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def dealt(df: DataFrame) -> DataFrame:
+def dealt(df: DataFrame, *by: str) -> DataFrame:
     """Few bytes with much work in each row: in as many tasks as the session shuffles to, where small partitions would be merged."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
 def _by_letter(table: dict[str, float], letter: Column) -> Column:
-    out = F.lit(None).cast("double")
-    for k, v in table.items():
-        out = F.when(letter == k, F.lit(float(v))).otherwise(out)
-    return out
+    """The letter's value, else null; a constant map, so the plan's code doesn't grow with the table."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for k, v in table.items() for x in (k, float(v)))), letter) if table else F.lit(None).cast("double")
 
 
 def _any(tests: list[Column]) -> Column:
@@ -112,19 +110,45 @@ def _any(tests: list[Column]) -> Column:
 
 
 def acceptor(core: Column, params: dict) -> tuple[Column, Column]:
-    """(weight, 0-based place) of the best ring-closing residue; of equal weights the first listed place."""
-    tries = [(p, float(params.get("position_weights", {}).get(str(p), 1.0)), F.substring(core, p, 1).isin(*params["residues"])) for p in params["allowed_positions"]]
-    best = F.array_max(F.array(*(F.when(ok, F.lit(w)) for _, w, ok in tries)))
-    place = F.lit(None).cast("int")
-    for p, w, ok in reversed(tries):
-        place = F.when(ok & (best == w), F.lit(p - 1)).otherwise(place)
-    return best, place
+    """(weight, 0-based place) of the best ring-closing residue; of equal weights the first listed place.
+
+    The lambda also keeps the rules' projection out of whole-stage code, where all rules would be one method too long for the JIT.
+    """
+    tries = F.array(*(F.struct(F.lit(float(params.get("position_weights", {}).get(str(p), 1.0))).alias("w"), F.lit(-i).alias("i"), F.lit(p).alias("p")) for i, p in enumerate(params["allowed_positions"])))
+    best = F.array_max(F.filter(tries, lambda t: F.substr(core, t["p"], F.lit(1)).isin(*params["residues"])))
+    return best["w"], best["p"] - 1
+
+
+def _counted(rules: dict[str, Rule]) -> dict[str, dict[str, float]]:
+    """Letter weights by name, of whose sums the rules need those of stretches of a protein."""
+    on = {k: r["parameters"] for k, r in rules.items() if r["enabled"]}
+    out: dict[str, dict[str, float]] = {}
+    if "hydrophobicity_transition" in on:
+        out["hydropathy"] = {k: round(10 * v) for k, v in HYDROPATHY.items()}  # whole tenths: their sums are exact
+    if "charge_transition" in on:
+        out["charge"] = SIDE_CHARGE
+    if "glycine_rich_core" in on:
+        out["glycine"] = {"G": 1}
+    if "tail_lock_residue" in on:
+        out["tail"] = {k: 1 for x in on["tail_lock_residue"]["residues"] for k in x}
+    if "steric_lock_region" in on and "ring_closure_residue" in on:
+        out["bulky"] = {k: 1 for x in on["steric_lock_region"]["bulky_residues"] for k in x}
+    return out
+
+
+def with_sums(proteins: DataFrame, rules: dict[str, Rule]) -> DataFrame:
+    """Adds _sums: running sums along each protein, made once; what a rule asks of a stretch is then a difference of two of them."""
+    return proteins.withColumn("_sums", F.struct(F.lit(None).cast("int").alias("_"), *(running_sums(F.col("sequence"), w).alias(k) for k, w in _counted(rules).items())))
 
 
 def rule_scores(leader: Column, core: Column, inverted: bool, rules: dict[str, Rule]) -> dict[str, Column]:
-    """Each rule's contribution, null where its condition doesn't hold."""
+    """Each rule's contribution, null where its condition doesn't hold; of a row with sequence, position and ``_sums``."""
     out: dict[str, Column] = {}
     has_core, has_leader = F.length(core) > 0, F.length(leader) > 0
+    zero, at, n = F.lit(0), F.col("position"), F.length("sequence")
+    (leader_at, leader_end), (core_at, core_end) = ((at, n), (zero, at)) if inverted else ((zero, at), (at, n))
+    total = lambda name, a, b: F.get(F.col(f"_sums.{name}"), b) - F.get(F.col(f"_sums.{name}"), a)
+    mean = lambda a, b: F.when(b > a, total("hydropathy", a, b) / (10 * (b - a))).otherwise(F.lit(0.0))
     on = {k: (float(r["weight"]), r["parameters"]) for k, r in rules.items() if r["enabled"]}
     if "core_start_residue" in on:
         w, p = on["core_start_residue"]
@@ -161,45 +185,66 @@ def rule_scores(leader: Column, core: Column, inverted: bool, rules: dict[str, R
         out["leader_signature"] = F.when(has_leader, w * F.array_max(F.array(*(F.when(hit(m), F.lit(float(v))) for m, v in p["patterns"].items()))))
     if "glycine_rich_core" in on:
         w, p = on["glycine_rich_core"]
-        out["glycine_rich"] = F.when(has_core & (residue_count(core, "G") / F.length(core) >= p["min_ratio"]), F.lit(w))
+        out["glycine_rich"] = F.when(has_core & (total("glycine", core_at, core_end) / F.length(core) >= p["min_ratio"]), F.lit(w))
     if "hydrophobicity_transition" in on:
         w, p = on["hydrophobicity_transition"]
         size = F.lit(p["window_size"]) if p.get("window_size") else F.least(F.length(leader), F.length(core))
-        inner_l = F.left(leader, size) if inverted else F.right(leader, size)
-        inner_c = F.right(core, size) if inverted else F.left(core, size)
-        diff = F.round(hydropathy_mean(inner_c) - hydropathy_mean(inner_l), 9)  # sums of tenths: a threshold of tenths is met exactly
+        first = lambda a, b: mean(a, F.least(b, a + size))
+        last = lambda a, b: mean(F.greatest(a, b - size), b)
+        inner_l, inner_c = (first, last) if inverted else (last, first)
+        diff = F.round(inner_c(core_at, core_end) - inner_l(leader_at, leader_end), 9)  # sums of tenths: a threshold of tenths is met exactly
         out["hydrophobicity"] = F.when(has_core & has_leader & (diff >= p["min_difference"]), w * F.least(diff / 2, F.lit(1.5)))
     if "charge_transition" in on:
         w, p = on["charge_transition"]
-        diff = F.round(net_charge(leader) - net_charge(core), 9)
+        charge = lambda x, a, b: total("charge", a, b) + end_charge(F.substring(x, 1, 1), F.substring(x, -1, 1))
+        diff = F.round(charge(leader, leader_at, leader_end) - charge(core, core_at, core_end), 9)
         diff = diff if p["leader_more_charged"] else -diff
         out["charge_transition"] = F.when(has_core & has_leader & (diff >= p.get("min_difference", 0.1)), w * F.least(diff * 2, F.lit(1.0)))
     if "tail_lock_residue" in on:
         w, p = on["tail_lock_residue"]
-        tail = F.substr(core, F.lit(p["region_start"] + 1))
-        out["tail_lock"] = F.when((F.length(core) > p["region_start"]) & (residue_count(tail, "".join(p["residues"])) >= p.get("require_at_least", 1)), F.lit(w))
+        out["tail_lock"] = F.when((F.length(core) > p["region_start"]) & (total("tail", core_at + p["region_start"], core_end) >= p.get("require_at_least", 1)), F.lit(w))
     if "steric_lock_region" in on and "ring_closure_residue" in on:
         w, p = on["steric_lock_region"]
         place = acceptor(core, on["ring_closure_residue"][1])[1]
         a, b = p["relative_to_acceptor"].get("start_offset", 0), p["relative_to_acceptor"].get("end_offset", 0)
         s, e = F.greatest(F.lit(0), place + a), F.least(F.length(core) - 1, place + b)
-        region = F.substr(core, s + 1, F.greatest(F.lit(0), e - s + 1))
-        out["steric_lock"] = F.when(place.isNotNull() & (e >= s) & (residue_count(region, "".join(p["bulky_residues"])) >= p.get("require_at_least", 1)), F.lit(w))
+        out["steric_lock"] = F.when(place.isNotNull() & (e >= s) & (total("bulky", core_at + s, core_at + e + 1) >= p.get("require_at_least", 1)), F.lit(w))
     if "forbidden_core_patterns" in on:
         w, p = on["forbidden_core_patterns"]
         out["forbidden_pattern"] = F.when(has_core & _any([F.contains(core, F.lit(m)) for m in p["patterns"]]), F.lit(w * float(p.get("penalty_per_match", -1.0))))
     return out
 
 
-def score_sites(sites: DataFrame, rules: dict[str, Rule], inverted: bool = False) -> DataFrame:
-    """Adds score and score_breakdown to rows of sequence and position, and leader and core."""
-    head, rest = F.left("sequence", F.col("position")), F.substr("sequence", F.col("position") + 1)
-    cut = sites.withColumn("leader", rest if inverted else head).withColumn("core", head if inverted else rest)
-    parts = rule_scores(F.col("leader"), F.col("core"), inverted, rules)
-    cut = cut.withColumn("_parts", F.struct(*(v.cast("double").alias(k) for k, v in parts.items())))
+def _scored(sites: DataFrame, rules: dict[str, Rule], inverted: bool) -> DataFrame:
+    """Adds score (rounded to 9 decimals: equal sums of tenths are equal, and meet a cutoff that they equal), _parts and orientation."""
+    parts = rule_scores(_leader(inverted), _core(inverted), inverted, rules)
+    # both orientations have the same fields: those of the leader first, of which an inverted site lacks some
+    every = {**dict.fromkeys(rule_scores(_leader(False), _core(False), False, rules), F.lit(None)), **parts}
+    made = sites.withColumn("_parts", F.struct(*(v.cast("double").alias(k) for k, v in (every or {"_": F.lit(None)}).items())))
     total = reduce(lambda a, b: a + b, (F.coalesce(F.col(f"_parts.{k}"), F.lit(0.0)) for k in parts), F.lit(0.0))
+    return made.withColumn("score", F.round(total, 9)).withColumn("orientation", F.lit("core_leader" if inverted else "leader_core"))
+
+
+def _leader(inverted: bool) -> Column:
+    return F.substr("sequence", F.col("position") + 1) if inverted else F.left("sequence", F.col("position"))
+
+
+def _core(inverted: bool) -> Column:
+    return F.left("sequence", F.col("position")) if inverted else F.substr("sequence", F.col("position") + 1)
+
+
+def _told(scored: DataFrame) -> DataFrame:
+    """Adds leader, core and score_breakdown by position, orientation and _parts."""
+    parts = scored.schema["_parts"].dataType.names
     shown = F.map_filter(F.create_map(*(x for k in parts for x in (F.lit(k), F.col(f"_parts.{k}")))), lambda _, v: v.isNotNull())
-    return cut.withColumn("score", total).withColumn("score_breakdown", shown).withColumn("orientation", F.lit("core_leader" if inverted else "leader_core")).drop("_parts")
+    turned = F.col("orientation") == "core_leader"
+    sides = {"leader": F.when(turned, _leader(True)).otherwise(_leader(False)), "core": F.when(turned, _core(True)).otherwise(_core(False))}
+    return scored.withColumns({**sides, "score_breakdown": shown}).drop("_parts")
+
+
+def score_sites(sites: DataFrame, rules: dict[str, Rule], inverted: bool = False) -> DataFrame:
+    """Adds score and score_breakdown to rows of sequence and position, and leader and core."""
+    return _told(_scored(with_sums(sites, rules), rules, inverted).drop("_sums"))
 
 
 def reasons(breakdown: Column) -> Column:
@@ -209,37 +254,57 @@ def reasons(breakdown: Column) -> Column:
     return F.transform(F.array_sort(placed), lambda e: F.format_string("%s:%+.2f", e["key"], e["value"]))
 
 
-def cleavage_sites(proteins: DataFrame, rules: dict[str, Rule], min_leader: int = 10, min_core: int | None = None, allow_inverted: bool = False) -> DataFrame:
-    """Every allowed position of every protein, scored.  ``proteins`` has ``sequence``; its other columns are carried."""
+def _sites(proteins: DataFrame, rules: dict[str, Rule], min_leader: int, min_core: int | None, allow_inverted: bool, key: str | None = None) -> DataFrame:
+    """Every allowed position with its score and _parts alone: what stands in the strings is cut out where it is shown.
+
+    With a ``key`` proteins are dealt by it, once, so their sites are ranked in the task that makes them.
+    """
     if min_core is None:
         r = rules.get("core_length")
         min_core = int(r["parameters"]["min"]) if r and r["enabled"] else 10
     clean = proteins.withColumn("sequence", F.upper(F.trim("sequence")))
+    clean = with_sums(clean if key is None else dealt(clean, key), rules)
     out = None
     for inverted in (False, True) if allow_inverted else (False,):
         a, b = (min_core, min_leader) if inverted else (min_leader, min_core)
         last = F.length("sequence") - b
         places = F.when(last >= a, F.sequence(F.lit(a), last)).otherwise(F.array().cast("array<int>"))
-        part = score_sites(clean.withColumn("position", F.explode(places)), rules, inverted)
+        part = _scored(clean.withColumn("position", F.explode(places)), rules, inverted).drop("_sums")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def cleavage_sites(proteins: DataFrame, rules: dict[str, Rule], min_leader: int = 10, min_core: int | None = None, allow_inverted: bool = False) -> DataFrame:
+    """Every allowed position of every protein, scored.  ``proteins`` has ``sequence``; its other columns are carried."""
+    return _told(_sites(proteins, rules, min_leader, min_core, allow_inverted))
+
+
 def predict(proteins: DataFrame, key: str, rules: dict[str, Rule] | None = None, top_n: int = 3, min_leader: int = 10, min_core: int | None = None, allow_inverted: bool = False) -> DataFrame:
     """The best cleavage sites by protein: score, then leader first, then the lower position.  Adds rank, confidence, reasons."""
-    sites = cleavage_sites(proteins, rules or ruleset(), min_leader, min_core, allow_inverted)
-    order = Window.partitionBy(key).orderBy(F.round("score", 9).desc(), F.desc("orientation"), "position")  # sums of tenths tie where they are equal
-    top = sites.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_n)
+    sites = _sites(proteins, rules or ruleset(), min_leader, min_core, allow_inverted, key)
+    order = Window.partitionBy(key).orderBy(F.desc("score"), F.desc("orientation"), "position")
+    top = _told(sites.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_n))
     return top.withColumn("confidence", confidence(F.col("score"))).withColumn("reasons", reasons(F.col("score_breakdown")))
 
 
+def predicted_and_known(proteins: DataFrame, rules: dict[str, Rule], allow_inverted: bool = False) -> DataFrame:
+    """Each protein's best site and those whose core, with I and L alike, is one of its ``cores``, with their rank among all its sites.
+
+    ``proteins``: distinct sequences with ``cores``; all other sites are ranked and go before anything is told of them.
+    """
+    order = Window.partitionBy("sequence").orderBy(F.desc("score"), F.desc("orientation"), "position")
+    ranked = _sites(proteins, rules, 10, None, allow_inverted, "sequence").withColumn("rank", F.row_number().over(order))
+    core = F.when(F.col("orientation") == "core_leader", _core(True)).otherwise(_core(False))
+    return _told(ranked.filter((F.col("rank") == 1) | F.array_contains("cores", F.translate(core, "I", "L"))).drop("cores"))
+
+
 def best_rule_score(proteins: DataFrame, rules: dict[str, Rule] | None = None, allow_inverted: bool = False, **limits) -> DataFrame:
     """(sequence, rule_score_raw, rule_orientation) of the distinct sequences; 0 and null where no site is allowed.
 
     An aggregate with an ordered maximum: no window, partial before the shuffle, and each sequence is scored once.
     """
     once = dealt(proteins.select(F.upper(F.trim("sequence")).alias("sequence")).distinct())
-    sites = cleavage_sites(once, rules or ruleset(), allow_inverted=allow_inverted, **limits)
+    sites = _sites(once, rules or ruleset(), limits.get("min_leader", 10), limits.get("min_core"), allow_inverted)
     best = F.max(F.struct("score", "orientation", (-F.col("position")).alias("p"))).alias("b")
     scored = sites.groupBy("sequence").agg(best).select("sequence", F.col("b.score").alias("rule_score_raw"), F.col("b.orientation").alias("rule_orientation"))
     return once.join(scored, "sequence", "left").withColumn("rule_score_raw", F.coalesce("rule_score_raw", F.lit(0.0)))
@@ -259,13 +324,12 @@ def score_given_cores(rows: DataFrame, rules: dict[str, Rule] | None = None, inv
     else:
         places = occurrences(F.col("sequence"), F.col("known"))
     clean = clean.withColumn("places", places)
-    sites = cleavage_sites(clean, rules, min_leader, min_core, allow_inverted=inverted).filter(F.col("orientation") == ("core_leader" if inverted else "leader_core"))
-    order = Window.partitionBy("name").orderBy(F.round("score", 9).desc(), "position")
-    ranked = sites.withColumn("_rank", F.row_number().over(order)).withColumn("_own", F.array_contains("places", F.col("position")))
-    stats = ranked.groupBy("name").agg(F.min(F.when(F.col("_own"), F.col("_rank"))).alias("core_rank"), F.max(F.when(F.col("_own"), F.col("score"))).alias("core_score"), F.count("*").alias("core_rank_total"))
-    best = predict(clean.select("name", "sequence"), "name", rules, top_n, min_leader, min_core, allow_inverted=inverted)
-    if inverted:
-        best = best.filter("orientation = 'core_leader'")
-    best = best.groupBy("name").agg(F.min(F.struct("rank", F.col("position").alias("p"), F.col("score").alias("s"), "core", F.col("confidence").alias("c"))).alias("b"))
-    out = clean.select("name", "places").join(stats, "name", "left").join(best, "name", "left")
-    return out.select("name", F.col("places").alias("core_positions"), "core_score", "core_rank", F.coalesce("core_rank_total", F.lit(0)).alias("core_rank_total"), F.col("b.core").alias("best_pred_core"), F.col("b.p").alias("best_pred_pos"), F.col("b.s").alias("best_pred_score"), F.col("b.c").alias("best_pred_confidence"))
+    sites = _sites(clean, rules, min_leader, min_core, inverted, "name")
+    first = Window.partitionBy("name").orderBy(F.desc("score"), F.desc("orientation"), "position")
+    own = F.col("orientation") == ("core_leader" if inverted else "leader_core")
+    # of all sites of the name, and of those of its orientation
+    ranked = sites.withColumn("_all", F.row_number().over(first)).filter(own).withColumn("_rank", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), "position"))).withColumn("_own", F.array_contains("places", F.col("position")))
+    best = F.when((F.col("_rank") == 1) & (F.col("_all") <= top_n), F.struct(F.col("position").alias("p"), F.col("score").alias("s"), _core(inverted).alias("core")))
+    stats = ranked.groupBy("name").agg(F.min(F.when(F.col("_own"), F.col("_rank"))).alias("core_rank"), F.max(F.when(F.col("_own"), F.col("score"))).alias("core_score"), F.count("*").alias("core_rank_total"), F.max(best).alias("b"))
+    out = clean.select("name", "places").join(stats, "name", "left")
+    return out.select("name", F.col("places").alias("core_positions"), "core_score", "core_rank", F.coalesce("core_rank_total", F.lit(0)).alias("core_rank_total"), F.col("b.core").alias("best_pred_core"), F.col("b.p").alias("best_pred_pos"), F.col("b.s").alias("best_pred_score"), F.when(F.col("b.s").isNotNull(), confidence(F.col("b.s"))).alias("best_pred_confidence"))

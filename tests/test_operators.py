@@ -552,3 +552,24 @@ def test_known_sequences_by_their_rarest_stretch(spark):
     for most in (0, 10_000):
         got = {x.k: x.is_known_precursor for x in pipeline.mark_known(c, r, most).collect()}
         assert {k: bool(v) for k, v in got.items()} == {i: p is not None and any(x in p for x in wanted) for i, p in enumerate(proteins)}
+
+
+def test_a_score_equal_to_the_cutoff_meets_it(spark):
+    # 0.8 * 0.2 + 4.5 * 0.6 + 0.5 + ... : sums of tenths that doubles miss by a rounding
+    rng = random.Random(5)
+    rows = [("".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(60)),) for _ in range(200)]
+    sites = rules.cleavage_sites(spark.createDataFrame(rows, "sequence string"), rules.ruleset()).select("sequence", "score", F.round("score", 9).alias("whole")).collect()
+    assert all(r.score == r.whole for r in sites)
+    best = {r.sequence: r.rule_score_raw for r in rules.best_rule_score(spark.createDataFrame(rows, "sequence string")).collect()}
+    assert best == {s: max(r.score for r in sites if r.sequence == s) for (s,) in rows}
+
+
+def test_running_sums_start_anew_in_each_row(spark):
+    df = spark.createDataFrame([("GAG",), ("",), (None,), ("\u00e9G",)], "sequence string")
+    got = [r.s for r in df.select(seq.running_sums(F.col("sequence"), {"G": 0.1, "A": 1}).alias("s")).collect()]
+    assert got == [[0.0, 0.1, 1.1, 1.1 + 0.1], [0.0], [0.0], [0.0, 0.0, 0.1]]
+
+
+def test_a_plan_scores_a_site_without_counting_its_letters(spark):
+    p = rules.cleavage_sites(spark.createDataFrame([("M" * 60,)], "sequence string"), rules.ruleset())
+    assert "translate(" not in p._jdf.queryExecution().optimizedPlan().toString()
