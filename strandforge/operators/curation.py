@@ -73,8 +73,11 @@ def update_curated(curated: DataFrame, entries: DataFrame, generated: DataFrame,
 
 
 def renumber(df: DataFrame, ordinal: str = "index") -> DataFrame:
-    """Consecutive numbers in the present order, by counting the rows before each range partition: no single task sees all rows."""
-    ranged = df.repartitionByRange(ordinal).withColumn("_p", F.spark_partition_id())
+    """Consecutive numbers in the present order, by counting the rows before each range partition: no single task sees all rows.
+
+    Ranges are sampled anew whenever a plan runs, so rows are written with their partition before they are counted and numbered.
+    """
+    ranged = cut(df.repartitionByRange(ordinal).withColumn("_p", F.spark_partition_id()))
     ranged = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(ordinal)))
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_c"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")  # one row a partition

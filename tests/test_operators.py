@@ -573,3 +573,32 @@ def test_running_sums_start_anew_in_each_row(spark):
 def test_a_plan_scores_a_site_without_counting_its_letters(spark):
     p = rules.cleavage_sites(spark.createDataFrame([("M" * 60,)], "sequence string"), rules.ruleset())
     assert "translate(" not in p._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_edited_rows_are_numbered_without_gaps_over_many_partitions(spark):
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(0, 60_000, 1, 6).select(F.col("id").alias("index"), F.repeat(F.lit("x"), 20).alias("name"))
+        got = sorted(r["index"] for r in curation.delete_rows(df, F.col("index") % 7 == 0).collect())
+        assert got == list(range(len(got)))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+
+
+def test_a_null_protein_is_not_known(spark):
+    p = spark.createDataFrame([("xAAAAAAAAAAx",), ("xCCx",), ("",), (None,)], "protein string")
+    for refs in (["AAAAAAAAAA"], ["CC"], ["AAAAAAAAAA", "CC"], [""]):
+        r = spark.createDataFrame([(x,) for x in refs], "sequence string")
+        got = [x.is_known_precursor for x in pipeline.mark_known(p, r).collect()]
+        assert got == ["AAAAAAAAAA" in refs, "CC" in refs, False, False]
+
+
+def test_a_matrix_over_blocks_has_one_row_a_candidate(spark, sf, monkeypatch):
+    from functools import partial
+
+    from strandforge.queries import QUERIES
+
+    want = sorted(map(tuple, QUERIES["similarity_matrix"](spark, sf).collect()))
+    monkeypatch.setattr(similarity, "similarity_rows", partial(similarity.similarity_rows, block_rows=40))
+    assert sorted(map(tuple, QUERIES["similarity_matrix"](spark, sf).collect())) == want
