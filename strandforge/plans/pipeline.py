@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,18 +45,34 @@ def extract_candidates(segments: DataFrame, config: Config) -> DataFrame:
     return with_candidate_ids(with_protein(orfs(windows, config.min_aa, config.max_aa)))
 
 
+def holds_any(text: Column, words: list[str]) -> Column:
+    """Whether one of some short words stands in the text: a look at every place of it for each length, however many words there are."""
+    held = {n: {w for w in words if len(w) == n} for n in {len(w) for w in words}}
+
+    def found(s: pa.Array) -> pa.Array:
+        return pa.array([x is not None and any(x[i : i + n] in own for n, own in held.items() for i in range(len(x) - n + 1)) for x in s.to_pylist()], pa.bool_())
+
+    return F.arrow_udf(found, "boolean")(text) if held else F.lit(False)
+
+
 def mark_known(candidates: DataFrame, references: DataFrame, most: int = 5000, gram: int = 8) -> DataFrame:
     """is_known_precursor: some reference sequence stands within the protein.
 
-    Up to ``most`` references are tried in place.  More of them meet the distinct proteins by one of their stretches of ``gram``
+    Up to ``most`` references are tried in place: those of at most ``gram`` residues by looking up each stretch of a protein, longer ones
+    one by one.  A null protein holds none.  More of them meet the distinct proteins by one of their stretches of ``gram``
     residues, the one that the fewest proteins have: a reference with a stretch that none has is done with, and a common stretch brings
     references to proteins only where all of theirs are common.  Shorter references are their own stretch.
     """
     refs = references.select(F.upper("sequence").alias("r")).filter("r <> ''").distinct()
     listed = cut(refs)
     if listed.count() <= most:
-        row = F.broadcast(listed.agg(F.collect_list("r").alias("_refs")))  # at most ``most`` strings, one row
-        return candidates.join(row, how="cross").withColumn("is_known_precursor", F.exists("_refs", lambda r: F.contains(F.col("protein"), r))).drop("_refs")
+        short, long = F.length("r") <= gram, F.length("r") > gram
+        row = listed.agg(F.collect_list(F.when(short, F.col("r"))).alias("short"), F.collect_list(F.when(long, F.col("r"))).alias("long"))  # at most ``most`` strings, one row
+        known, out = holds_any(F.col("protein"), row.first().short), candidates
+        if not listed.filter(long).isEmpty():
+            out = candidates.join(F.broadcast(row.select(F.col("long").alias("_refs"))), how="cross")
+            known = known | F.coalesce(F.exists("_refs", lambda r: F.contains(F.col("protein"), r)), F.lit(False))
+        return out.withColumn("is_known_precursor", known).drop("_refs")
 
     def stretches(text: str, n: int) -> Column:
         places = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
