@@ -99,31 +99,36 @@ def checked_join(candidates: DataFrame, scores: DataFrame, key: str = "candidate
 def run_pipeline(segments: DataFrame, embeddings: DataFrame, references: DataFrame, config: Config | None = None, index: DataFrame | None = None, rules: dict[str, Rule] | None = None, progress: Progress | None = None) -> DataFrame:
     """Segments, an embedding by distinct protein, and labelled references to ranked candidates.
 
-    ``embeddings``: protein, embedding (made by any model); ``references``: ref_id, locus, ref_ord, embedding, sequence.  Distinct proteins are
-    scored once and joined back.  ``progress`` counts the rows of each stage while the plan runs.
+    ``embeddings``: protein, embedding (made by any model); ``references``: ref_id, locus, ref_ord, embedding, sequence.  Distinct vectors are
+    scored once and joined back, however many proteins share one.  ``progress`` counts the rows of each stage while the plan runs.
     """
     config = config or Config()
     count = progress.stage if progress else lambda df, *_: df
     found = count(extract_candidates(count(segments, 1, "{rows} segments"), config), 2, f"{{rows}} candidates of {config.min_aa} to {config.max_aa} residues in six frames")
-    return _ranked(found, count(embeddings, 3, "{rows} distinct proteins embedded"), references, config, index, rules, count)
+    embeddings = count(embeddings, 3, "{rows} distinct proteins embedded")
+    vectors = embeddings.select(F.col("embedding").alias("candidate_id")).distinct().withColumn("embedding", F.col("candidate_id"))
+    scores = embeddings.join(score_candidates(vectors, references, config.top_n), F.col("embedding") == F.col("candidate_id")).drop("embedding", "candidate_id")
+    return _ranked(found, scores, references, config, index, rules, count)
 
 
 def run_embedded_pipeline(segments: DataFrame, references: DataFrame, load: Callable[[], Model], name: str, config: Config | None = None, index: DataFrame | None = None, rules: dict[str, Rule] | None = None, progress: Progress | None = None, **batching: int) -> DataFrame:
     """From sequences to ranks: ``run_pipeline`` with embeddings of candidates and references by the model that ``load`` gives.
 
-    ``references``: ref_id, locus, ref_ord, sequence.  Distinct sequences are embedded once.
+    ``references``: ref_id, locus, ref_ord, sequence.  Distinct sequences are embedded once, and what the model gives is written, as it is
+    counted before it is compared.
     """
     config = config or Config()
     count = progress.stage if progress else lambda df, *_: df
     # written once: the model's input and the ranking's rows come from the same frames
     found = cut(count(extract_candidates(count(segments, 1, "{rows} segments"), config), 2, f"{{rows}} candidates of {config.min_aa} to {config.max_aa} residues in six frames"))
-    vectors = count(embed(found, load, name, **batching), 3, "{rows} distinct proteins embedded")
-    known = embed(references, load, name, "sequence", **batching)
-    return _ranked(found, vectors, references.join(known, "sequence"), config, index, rules, count)
+    vectors = cut(count(embed(found, load, name, **batching), 3, "{rows} distinct proteins embedded"))
+    references = cut(references)
+    known = cut(references.join(embed(references, load, name, "sequence", **batching), "sequence"))
+    scores = score_candidates(vectors.withColumnRenamed("protein", "candidate_id"), known, config.top_n).withColumnRenamed("candidate_id", "protein")
+    return _ranked(found, scores, known, config, index, rules, count)
 
 
-def _ranked(found: DataFrame, embeddings: DataFrame, references: DataFrame, config: Config, index: DataFrame | None, rules: dict[str, Rule] | None, count: Callable[..., DataFrame]) -> DataFrame:
-    scores = score_candidates(embeddings.select(F.col("protein").alias("candidate_id"), "embedding"), references, config.top_n).withColumnRenamed("candidate_id", "protein")
+def _ranked(found: DataFrame, scores: DataFrame, references: DataFrame, config: Config, index: DataFrame | None, rules: dict[str, Rule] | None, count: Callable[..., DataFrame]) -> DataFrame:
     scored = count(checked_join(found, scores, "protein"), 4, "{rows} candidates scored")
     ranked = rank_candidates(scored.withColumn("ord", F.col("candidate_id")), "record_id", config.score_mode, config.min_rule_score, rules, config.allow_inverted)
     return count(lookup_genomes(mark_known(count(ranked, 5, "{rows} candidates ranked"), references), index), 6, "{rows} results")

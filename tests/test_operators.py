@@ -602,3 +602,82 @@ def test_a_matrix_over_blocks_has_one_row_a_candidate(spark, sf, monkeypatch):
     want = sorted(map(tuple, QUERIES["similarity_matrix"](spark, sf).collect()))
     monkeypatch.setattr(similarity, "similarity_rows", partial(similarity.similarity_rows, block_rows=40))
     assert sorted(map(tuple, QUERIES["similarity_matrix"](spark, sf).collect())) == want
+
+
+def test_nearest_loci_are_those_of_all_references_and_few_are_looked_at(monkeypatch):
+    """Random and clustered vectors, zero vectors, copies, and a locus without a name, against all products."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(60, 8))
+    refs = np.concatenate([centres[rng.integers(0, 60, 3000)] + rng.normal(size=(3000, 8)) * 0.05, np.zeros((5, 8))])
+    refs[10:20] = refs[0]
+    names = [None if k % 41 == 7 else f"l{k % 41}" for k in range(len(refs))]
+    ords = rng.permutation(len(refs))
+    block = similarity.Block(pa.array(names, pa.string()), pa.array(ords), pa.array([str(k) for k in range(len(refs))]), pa.array(list(refs), pa.list_(pa.float64())))
+    own = np.concatenate([centres[rng.integers(0, 60, 300)] + rng.normal(size=(300, 8)) * 0.05, rng.normal(size=(50, 8)), np.zeros((1, 8))])
+    own = similarity._matrix(pa.array(list(own), pa.list_(pa.float64())))
+    sims = own @ block.vectors.T
+    for n in (1, 2, 5, 100):
+        of, ref, sim = block.nearest_loci(own, n)
+        for k in range(len(own)):
+            best = {}
+            for j in np.lexsort((block.ords, -np.round(sims[k], 9))):
+                best.setdefault(block.names[block.number[j]], j)
+            wanted = list(best.values())[:n]
+            np.testing.assert_allclose(sim[of == k], sims[k, wanted], atol=1e-9)
+            assert ref[of == k][0] == wanted[0]
+    block.in_cells()
+    angle = np.arccos(np.clip(own @ block.pivots.T, -1, 1))
+    least = block._reached(own, np.argmax(own @ block.pivots.T, axis=1), 2)
+    near = np.cos(np.maximum(angle - block.width, 0)) >= least[:, None]
+    looked_at = (near * [len(c) for c in block.cells]).sum(axis=1)[:300]
+    assert looked_at.mean() < len(refs) / 4
+
+
+def test_references_of_several_blocks_meet_candidates_in_bounded_groups(spark):
+    """By bytes, not rows alone: narrow vectors make few blocks, so few rows are shuffled again and again."""
+    c = spark.range(300).select(F.col("id").alias("candidate_id"), F.array(*(F.sin(F.col("id") * k) for k in range(1, 5))).alias("embedding"))
+    r = spark.range(45_000).select(F.col("id").cast("string").alias("ref_id"), (F.col("id") % 7).cast("string").alias("locus"), F.col("id").alias("ref_ord"), F.array(*(F.cos(F.col("id") * k) for k in range(1, 5))).alias("embedding"))
+    sizes = lambda ids, vectors, refs: iter([similarity.pa.RecordBatch.from_arrays([ids.slice(0, 1), similarity.pa.array([len(refs.ords) * len(ids)])], names=["candidate_id", "n"])])
+    _, blocks = similarity.over_blocks(c, r, sizes, "candidate_id {}, n long")
+    assert blocks == 1
+    found, blocks = similarity.over_blocks(c, r, sizes, "candidate_id {}, n long", 10_000, 100)
+    groups = [x.n for x in found.collect()]
+    assert blocks == 5 and len(groups) == 15 and sum(groups) == 300 * 45_000 and max(groups) < 140 * 10_000
+
+
+def test_a_vector_that_many_proteins_share_is_compared_once(spark, monkeypatch):
+    dna = [("r1", "ATG" + "GCA" * 24 + "TAA"), ("r2", "ATG" + "GCC" * 25 + "TAA"), ("r3", "ATG" + "GAA" * 26 + "TAA")]
+    own = spark.createDataFrame([(r, s, None, None) for r, s in dna], "record_id string, sequence string, region_ranges array<struct<start:int,end:int>>, region_source string")
+    found = pipeline.extract_candidates(own, pipeline.Config()).select("protein").distinct()
+    vectors = found.withColumn("embedding", F.array(F.lit(1.0), F.lit(2.0)))
+    refs = spark.createDataFrame([("x", "l", 1, [1.0, 0.0], "M"), ("y", "k", 2, [0.0, 1.0], "W")], "ref_id string, locus string, ref_ord long, embedding array<double>, sequence string")
+    compared = []
+
+    def watched(candidates, *a):
+        compared.append(candidates.count())
+        return similarity.score_candidates(candidates, *a)
+
+    monkeypatch.setattr(pipeline, "score_candidates", watched)
+    rows = pipeline.run_pipeline(own, vectors, refs).collect()
+    assert found.count() > 1 and compared == [1]
+    assert len(rows) >= found.count() and {(r.best_match_id, round(r.best_similarity, 6), round(r.top_n_mean_similarity, 6)) for r in rows} == {("y", 0.894427, 0.670820)}
+
+
+def test_embeddings_are_made_once_though_they_are_counted(spark, tmp_path):
+    """A model is dear: what it gives is written before it is counted and compared in several blocks."""
+    own = spark.createDataFrame([("r1", "ATG" + "GCA" * 24 + "TAA", None, None)], "record_id string, sequence string, region_ranges array<struct<start:int,end:int>>, region_source string")
+    seen = str(tmp_path / "seen")
+
+    def load():
+        def states(texts):
+            with open(seen, "a") as f:
+                f.write("".join(f"{t}\n" for t in texts))
+            return np.ones((len(texts), 3, 2)), np.ones((len(texts), 3), bool)
+
+        return states
+
+    refs = spark.createDataFrame([("x", "l", 1, "MW"), ("y", "k", 2, "WW")], "ref_id string, locus string, ref_ord long, sequence string")
+    rows = pipeline.run_embedded_pipeline(own, refs, load, "counted").collect()
+    assert sorted(open(seen).read().split()) == sorted({r.protein for r in rows} | {"MW", "WW"})
