@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandforge import queries as q
 from strandforge.functions.register import register
-from strandforge.lineage import ensure_checkpoint_dir
+from strandforge.lineage import cut, ensure_checkpoint_dir
 from strandforge.operators import conservation, kept_index, rank, rules
 from strandforge.sources import fasta, genbank, tables
 from strandforge.streaming import index_stream
@@ -211,7 +211,7 @@ def edited_rules(spark, sf_dir):
 
 def _kept(spark, sf_dir) -> tuple[str, DataFrame]:
     """An index of two batches, the second of which came twice."""
-    at, o = f"{folder(spark)}/index", q.found_orfs(spark, sf_dir)
+    at, o = f"{folder(spark)}/index", cut(q.found_orfs(spark, sf_dir).select("doc_id", "protein", "gbk_file"))  # read by every batch
     for batch, part in ((0, 0), (1, 1), (1, 1)):
         kept_index.add_batch(o.filter(F.col("doc_id") % 2 == part), at, batch, 8)
     return at, o

@@ -109,7 +109,7 @@ def lookup(candidates: DataFrame, root: str, buckets: int = 64, most_broadcast:
     """
     spark = candidates.sparkSession
     asked = candidates.select(F.col("protein").alias("_asked")).filter("_asked is not null").distinct()
-    asked = asked.withColumn("_bucket", bucket_of(F.col("_asked"), buckets))
+    asked = cut(asked.withColumn("_bucket", bucket_of(F.col("_asked"), buckets)))  # counted, then joined
     wanted = {r[0]: r[1] for r in asked.groupBy("_bucket").count().collect()}  # at most ``buckets`` rows
     small = sum(wanted.values()) <= most_broadcast
     held = _parts(spark, root).filter(F.col("bucket").isin(list(wanted)))

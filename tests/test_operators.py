@@ -681,3 +681,21 @@ def test_embeddings_are_made_once_though_they_are_counted(spark, tmp_path):
     refs = spark.createDataFrame([("x", "l", 1, "MW"), ("y", "k", 2, "WW")], "ref_id string, locus string, ref_ord long, sequence string")
     rows = pipeline.run_embedded_pipeline(own, refs, load, "counted").collect()
     assert sorted(open(seen).read().split()) == sorted({r.protein for r in rows} | {"MW", "WW"})
+
+
+def test_looking_up_a_kept_index_makes_its_candidates_twice_at_most(spark, tmp_path):
+    from strandforge.operators import kept_index
+
+    made, at = str(tmp_path / "made"), str(tmp_path / "index")
+    kept_index.add_batch(spark.createDataFrame([("MA", "g"), ("MC", "g"), ("MA", "h")], "protein string, gbk_file string"), at, 0, 2)
+
+    def noted(batches):
+        for b in batches:
+            with open(made, "a") as f:
+                f.write("".join(f"{x}\n" for x in b.column(0).to_pylist()))
+            yield b
+
+    asked = spark.createDataFrame([("MA",), ("MW",)], "protein string").coalesce(1).mapInArrow(noted, "protein string")
+    got = {tuple(r) for r in kept_index.lookup(asked, at, 2).select("protein", "instance_count", "genome_count").collect()}
+    assert got == {("MA", 2, 2), ("MW", 0, 0)}
+    assert open(made).read().split().count("MA") <= 2
