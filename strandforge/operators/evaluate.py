@@ -11,7 +11,7 @@ from strandforge.operators.curation import anchor_loci
 from strandforge.operators.ordered import exact_medians
 from strandforge.operators.orf import orfs, with_protein
 from strandforge.operators.rules import Rule, best_rule_score, dealt, predicted_and_known, reasons
-from strandforge.operators.similarity import best_by_locus
+from strandforge.operators.similarity import best_by_locus, top_loci
 
 
 def holdout_scores(candidates: DataFrame, references: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def retrieval_benchmark(
     of which only the two best accessions of a protein are kept, so no locus meets every reference.
     """
     cutoffs = {"rank_rule7": 7.0, "rank_rule8": 8.0} if cutoffs is None else cutoffs
-    refs = references.withColumn("sequence", F.upper("sequence"))
+    refs = cut(references.withColumn("sequence", F.upper("sequence")))  # read by every later step
     # a whole record: a flank that no record has
     loci = anchor_loci(cds, refs.select("accession").distinct(), records, 1_000_000_000 if full_genome else flank)
     named = loci.withColumn("locus", F.concat_ws(":", "gbk_path", "record_id", F.col("start").cast("string"), F.col("end").cast("string"), "accession"))
@@ -164,9 +164,9 @@ def retrieval_benchmark(
     own = cut(marked.join(judged, "locus", "left_semi").select("locus", "accession", "candidate_id", "protein", "is_holdout"))
     usable = without_same_sequence(refs, own.filter("is_holdout").select(F.col("protein").alias("sequence"))) if strict else refs
     vectors = embeddings.join(own.select("protein").distinct(), "protein").select(F.col("protein").alias("candidate_id"), "embedding")
-    best = best_by_locus(vectors, usable.withColumn("locus", F.col("accession")).select("ref_id", "locus", "ref_ord", "embedding"))
-    two = best.groupBy(F.col("candidate_id").alias("protein")).agg(F.slice(F.sort_array(F.collect_list(F.struct("similarity", F.col("locus").alias("accession"))), asc=False), 1, 2).alias("two"))  # one entry an accession
-    other = F.filter("two", lambda x: x["accession"] != F.col("accession"))
+    # the references' names are not asked for, so they don't travel
+    two = top_loci(vectors, usable.select(F.lit("").alias("ref_id"), F.col("accession").alias("locus"), "ref_ord", "embedding"), 2).select(F.col("candidate_id").alias("protein"), F.col("best").alias("two"))
+    other = F.filter("two", lambda x: x["locus"] != F.col("accession"))
     scored = own.join(two, "protein").withColumn("best_similarity", F.try_element_at(other, F.lit(1))["similarity"]).filter("best_similarity is not null").drop("two")
     raw = best_rule_score(scored.select(F.col("protein").alias("sequence")), rules).select(F.col("sequence").alias("protein"), F.col("rule_score_raw").alias("rule_score"))
     scored = cut(scored.join(raw, "protein"))

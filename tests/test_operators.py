@@ -699,3 +699,19 @@ def test_looking_up_a_kept_index_makes_its_candidates_twice_at_most(spark, tmp_p
     got = {tuple(r) for r in kept_index.lookup(asked, at, 2).select("protein", "instance_count", "genome_count").collect()}
     assert got == {("MA", 2, 2), ("MW", 0, 0)}
     assert open(made).read().split().count("MA") <= 2
+
+
+def test_retrieval_keeps_two_accessions_of_a_candidate_and_no_names(spark, sf, monkeypatch):
+    from strandforge.queries import QUERIES
+
+    sizes = []
+
+    def watched(candidates, references, n):
+        assert references.filter("ref_id <> ''").isEmpty()
+        best = similarity.top_loci(candidates, references, n)
+        sizes.append(best.select(F.max(F.size("best"))).first()[0])
+        return best
+
+    monkeypatch.setattr(evaluate, "top_loci", watched, raising=False)
+    QUERIES["retrieval_windows"](spark, sf)
+    assert sizes == [2]
