@@ -36,11 +36,13 @@ def named_origin(origin: str) -> Column:
 def candidates(table: DataFrame, config: dict) -> tuple[DataFrame, DataFrame]:
     """(candidates, summary) of a table of sequences.
 
-    Frames are made once and written.  A protein is scored once however many records hold it; candidates of a record are ordered by
+    Frames are made once and written, in as many tasks as the session shuffles to: a table may be read in few tasks, one for each row
+    group, and its sequences are few bytes beside the work on them.  A protein is scored once however many records hold it; candidates of a record are ordered by
     score, length, strand and place, and those whose protein has no allowed cleavage site are left out.
     """
     own = table.select(F.expr(config["record"]).alias("record_id"), F.expr(config["genome"]).alias("gbk_file"), named_origin(config["origin"]).alias("origin"), F.expr(config["sequence"]).alias("sequence"), F.lit(0).alias("window_start"))
-    found = cut(orf.with_protein(orf.orfs(own.filter("sequence is not null"), config["min_aa"], config["max_aa"])).drop("dna", "window_start"))
+    own = rules.dealt(own.filter("sequence is not null"))
+    found = cut(orf.with_protein(orf.orfs(own, config["min_aa"], config["max_aa"])).drop("dna", "window_start"))
     best = rules.predict(rules.dealt(found.select(F.col("protein").alias("sequence")).distinct()), "sequence", rules.ruleset(config["preset"]), top_n=1)
     best = best.select(F.col("sequence").alias("protein"), "position", "core", F.round("score", 6).alias("score"), "confidence")
     scored = found.join(best, "protein")

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from strandforge.operators import kept_index, orf
+from strandforge.operators.rules import dealt
 from strandforge.plans.progress import observed
 
 CONFIG = Path(__file__).with_suffix(".json")
@@ -28,8 +29,12 @@ log = logging.getLogger("jobs.index_peptides")
 
 
 def segments(table: DataFrame, config: dict) -> DataFrame:
-    """record_id, gbk_file and sequence by the config's expressions; rows without a sequence have no frames."""
-    return table.select(F.expr(config["record"]).alias("record_id"), F.expr(config["genome"]).alias("gbk_file"), F.expr(config["sequence"]).alias("sequence"), F.lit(0).alias("window_start")).filter("sequence is not null")
+    """record_id, gbk_file and sequence by the config's expressions; rows without a sequence have no frames.
+
+    They are dealt out, as a file may be read in few tasks and their frames are the work.
+    """
+    own = table.select(F.expr(config["record"]).alias("record_id"), F.expr(config["genome"]).alias("gbk_file"), F.expr(config["sequence"]).alias("sequence"), F.lit(0).alias("window_start")).filter("sequence is not null")
+    return dealt(own)
 
 
 def run(spark: SparkSession, source: str, out: str, checkpoint: str, config: dict) -> list[dict]:
