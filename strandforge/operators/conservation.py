@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 from itertools import groupby
@@ -12,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandforge.functions.hashes import by_hash, md5_of_pairs
 from strandforge.functions.seq import AMINO, bins_of, codon_residues, codons, frame_offset, p_value, reverse_complement, translate_window, window_of_bins, z_score
 from strandforge.functions.text import codon_start, first_of
 from strandforge.lineage import cut
@@ -135,6 +135,8 @@ RESIDUES = "".join(sorted(set(AMINO) | {"X"}))
 ITERATIONS = 20
 #: Instances of a gene that are translated together.
 TOGETHER = 256
+#: Hashes that are made together: their words stay in a core's cache.
+AT_ONCE = 16_000
 _COUNTS = "_locus long, block int, len int, seen long, alive binary, counts binary"
 
 
@@ -162,6 +164,17 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return complement, place, np.array([RESIDUES.index(c) for c in AMINO + "X"], np.int8)
 
 
+def _frames(p: np.ndarray, residue: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of bases' numbers: the residue that begins at each base, and how many stops its frame has before it."""
+    acids = residue.take(np.minimum(16 * p[:, :-2] + 4 * p[:, 1:-1] + p[:, 2:], 64))
+    n = -(-acids.shape[1] // 3)
+    stops = np.zeros((len(p), n + 1, 3), np.int32)
+    padded = np.zeros((len(p), n * 3), bool)
+    padded[:, : acids.shape[1]] = acids == RESIDUES.index("*")
+    np.cumsum(padded.reshape(len(p), n, 3), axis=1, out=stops[:, 1:])
+    return acids, stops.reshape(len(p), -1)
+
+
 class _Tally:
     """Counts by locus and length that a task holds of one gene until they pass ``most`` bytes; ``sent`` gives them as rows and forgets them."""
 
@@ -170,6 +183,22 @@ class _Tally:
         self.gene, self.size = None, 0
         self.held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         self.seen: dict[int, int] = {}
+        self.waiting: dict[tuple[int, int], list[np.ndarray]] = {}
+        self.cells = 0
+
+    def add(self, locus: int, length: int, cells: np.ndarray) -> None:
+        """Cells of the flat counts to be raised by one: those of many instances are counted together, which spares most of the cache misses."""
+        self.waiting.setdefault((locus, length), []).append(cells)
+        self.cells += cells.size
+        if self.cells > 2_000_000:
+            self.settle()
+
+    def settle(self) -> None:
+        for key, cells in self.waiting.items():
+            counts = self.held[key][1].reshape(-1)
+            np.add(counts, np.bincount(np.concatenate(cells), minlength=counts.size), out=counts, casting="unsafe")
+        self.waiting.clear()
+        self.cells = 0
 
     def turn(self, gene: str) -> Iterator[pa.RecordBatch]:
         """Before the rows of a gene: what is held of another one, or is too much, is sent."""
@@ -188,6 +217,7 @@ class _Tally:
             top = counts.max(initial=0)  # the narrowest numbers that hold them
             return counts.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max)).tobytes()
 
+        self.settle()
         rows = [(locus, block, 0, n, b"", b"") for locus, n in self.seen.items() for block in range(-(-self.iterations // ITERATIONS))]
         for (locus, length), (alive, counts) in self.held.items():
             for block, at in enumerate(range(0, self.iterations, ITERATIONS)):
@@ -211,18 +241,6 @@ def observed_counts(instances: DataFrame, loci: DataFrame, bins: int = 20, mode:
     groups = own.join(parts, ["gene_name", "gene_len"]).groupBy("gene_name", "gene_len", F.pmod("_h", F.col("_parts")).alias("_part")).agg(F.collect_list("genomic").alias("bases"))
     rows = with_windows(groups, loci, bins, mode).select("gene_name", "gene_len", "bases", "w")
     complement, place, residue = _tables()
-    stop = RESIDUES.index("*")
-
-    def strand(bases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The residue that begins at each base, and how many stops its frame has before it."""
-        p = place[bases]
-        acids = residue[np.minimum(16 * p[:, :-2] + 4 * p[:, 1:-1] + p[:, 2:], 64)]
-        n = -(-acids.shape[1] // 3)
-        stops = np.zeros((len(bases), n + 1, 3), np.int32)
-        padded = np.zeros((len(bases), n * 3), bool)
-        padded[:, : acids.shape[1]] = acids == stop
-        np.cumsum(padded.reshape(len(bases), n, 3), axis=1, out=stops[:, 1:])
-        return acids, stops.reshape(len(bases), -1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = _Tally(1, held_bytes)
@@ -233,7 +251,7 @@ def observed_counts(instances: DataFrame, loci: DataFrame, bins: int = 20, mode:
                 w = b.column(3).slice(k, 1).flatten()
                 locus, minus, skip, start, end = (w.field(i).to_numpy(zero_copy_only=False) for i in range(5))
                 bases = np.frombuffer("".join(b.column(2)[k].as_py()).encode("ascii", "replace"), np.uint8).reshape(-1, n)
-                both = [strand(bases), strand(complement[bases[:, ::-1]])] if n >= 3 else []
+                both = [_frames(place[x], residue) for x in (bases, complement[bases[:, ::-1]])] if n >= 3 else []
                 first, length = np.where(minus, n - end, start) + skip, (end - start - skip) // 3
                 for name, back, s, m in zip(locus.tolist(), minus.tolist(), first.tolist(), length.tolist(), strict=True):
                     tally.seen[name] = tally.seen.get(name, 0) + len(bases)
@@ -276,29 +294,29 @@ def null_of_genes(genes: DataFrame, iterations: int, seed: int = 0, held_bytes:
 
     A gene's instance (``genes`` has one a row, with its windows as of ``with_windows``) is shuffled once an iteration, as by
     ``shuffled_codons`` seeded with seed, gene, record, start and iteration, and every locus of the gene reads its window off the
-    same shuffle.  All iterations of an instance are one matrix of bases in Python: column expressions took ten times as long.
+    same shuffle.  All iterations of an instance are one matrix in Python: column expressions took ten times as long.
     """
     complement, place, residue = _tables()
-    weight = np.array([16, 4, 1], np.int16)
-    stop = RESIDUES.index("*")
-
-    def shuffled(row: dict) -> np.ndarray:
-        """A row of bases on the plus strand for each iteration."""
-        n = len(row["codons"])
-        bases = np.frombuffer("".join(row["codons"]).encode(), np.uint8).reshape(n, 3)
-        free = np.array([i for i in range(1, n) if row["aas"][i] != "X"], np.int64)
-        codons = np.broadcast_to(bases, (iterations, n, 3)).copy()
-        if len(free):
-            aas = np.array([ord(row["aas"][i]) for i in free])
-            to = free[np.lexsort((free, aas))]
-            lead, ends = f"{seed}:{row['gene_name']}:{row['record_uid']}:{row['start']}:", [f":{i + 1}" for i in free.tolist()]
-            drawn = b"".join([hashlib.md5((at + e).encode(), usedforsecurity=False).digest() for at in [f"{lead}{it}" for it in range(1, iterations + 1)] for e in ends])
-            drawn = np.frombuffer(drawn, ">u8").astype(np.uint64).reshape(iterations, len(free), 2)
-            order = np.lexsort((drawn[..., 1], drawn[..., 0], np.broadcast_to(aas, (iterations, len(free)))), axis=-1)  # equal hashes stay in the order of places
-            codons[:, to] = bases[free[order]]
-        ends = [np.broadcast_to(np.frombuffer(row[c].encode(), np.uint8), (iterations, len(row[c]))) for c in ("cds_prefix", "remainder")]
-        plus = np.concatenate([ends[0], codons.reshape(iterations, 3 * n), ends[1]], axis=1)
-        return complement[plus[:, ::-1]] if row["strand"] == "-" else plus
+    numbers = [place, place[complement], place[complement[complement]]]  # of a base, of its complement, and of that one's
+
+    def drawn(row: dict) -> np.ndarray:
+        """Which codon stands at each place, a row for each iteration."""
+        by_aa: dict[str, list[int]] = {}
+        for i, aa in enumerate(row["aas"]):
+            if i and aa != "X":
+                by_aa.setdefault(aa, []).append(i)
+        # equal codons that change places leave the gene as it is
+        dealt_anew = [places for places in by_aa.values() if len({row["codons"][i] for i in places}) > 1]
+        at = np.broadcast_to(np.arange(len(row["codons"])), (iterations, len(row["codons"]))).copy()
+        if dealt_anew:
+            to = np.array([i for places in dealt_anew for i in places])
+            group = np.repeat(np.arange(len(dealt_anew), dtype=np.uint64), [len(x) for x in dealt_anew])
+            lead = f"{seed}:{row['gene_name']}:{row['record_uid']}:{row['start']}:".encode()
+            ascending = np.sort(to)
+            some = max(1, AT_ONCE // len(to))
+            parts = [md5_of_pairs(lead, range(k, min(k + some, iterations + 1)), (ascending + 1).tolist()) for k in range(1, iterations + 1, some)]
+            at[:, to] = to[by_hash(np.concatenate(parts, axis=1)[:, :, np.searchsorted(ascending, to)], group)]
+        return at
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = _Tally(iterations, held_bytes)
@@ -306,26 +324,38 @@ def null_of_genes(genes: DataFrame, iterations: int, seed: int = 0, held_bytes:
             for at in range(0, b.num_rows, 256):
                 for row in b.slice(at, 256).to_pylist():
                     yield from tally.turn(row["gene_name"])
-                    plus = shuffled(row)
+                    codons = np.frombuffer("".join(row["codons"]).encode(), np.uint8).reshape(-1, 3)
+                    ends = [np.frombuffer(row[c].encode(), np.uint8) for c in ("cds_prefix", "remainder")]
+                    size, back = 3 * len(codons) + len(ends[0]) + len(ends[1]), row["strand"] == "-"
+                    places = drawn(row)
+
+                    def strand(minus: bool) -> tuple[np.ndarray, np.ndarray]:  # of the record, not of the gene
+                        own = numbers[back + minus]  # noqa: B023
+                        coding = own[codons].take(places, axis=0).reshape(iterations, -1)  # noqa: B023
+                        whole = np.concatenate([np.broadcast_to(own[ends[0]], (iterations, len(ends[0]))), coding, np.broadcast_to(own[ends[1]], (iterations, len(ends[1])))], axis=1)  # noqa: B023
+                        return _frames(whole[:, ::-1] if back != minus else whole, residue)  # noqa: B023
+
+                    read: dict[bool, tuple[np.ndarray, np.ndarray]] = {}
                     for w in row["w"]:
-                        locus = w["locus"]
+                        locus, minus, end = w["locus"], w["minus"], min(w["end"], size)
                         tally.seen[locus] = tally.seen.get(locus, 0) + 1
-                        own = plus[:, w["start"] : w["end"]]
-                        if w["minus"]:
-                            own = complement[own[:, ::-1]]
-                        own = own[:, w["skip"] :]
-                        m = own.shape[1] // 3
-                        if not m:
+                        s, m = (size - end if minus else w["start"]) + w["skip"], (end - w["start"] - w["skip"]) // 3
+                        if m < 1:
                             continue
-                        acids = residue[np.minimum(place[own[:, : 3 * m]].reshape(iterations, m, 3) @ weight, 64)]
-                        alive = np.flatnonzero((acids != stop).all(axis=1))
+                        if minus not in read:
+                            read[minus] = strand(minus)
+                        acids, stops = read[minus]
+                        alive = np.flatnonzero(stops[:, s + 3 * m] == stops[:, s])
                         if len(alive):
-                            n, counts = tally.of(locus, m)
-                            n[alive] += 1
-                            counts[alive[:, None], np.arange(m), acids[alive]] += 1  # no place of a peptide comes twice
+                            tally.of(locus, m)[0][alive] += 1
+                            of = acids[alive, s : s + 3 * m : 3] + (np.arange(m) * len(RESIDUES) + alive[:, None] * (m * len(RESIDUES)))
+                            tally.add(locus, m, of.ravel())
         yield from tally.sent()
 
-    return dealt(genes.select("gene_name", "record_uid", "start", "strand", "cds_prefix", "codons", "aas", "remainder", "w")).sortWithinPartitions("gene_name").mapInArrow(run, _COUNTS)
+    # a task holds few genes: what it sends are counts by locus of its genes, so with all genes in all tasks they grew with the tasks
+    own = genes.select("gene_name", "record_uid", "start", "strand", "cds_prefix", "codons", "aas", "remainder", "w")
+    tasks = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return own.repartitionByRange(tasks, "gene_name", F.xxhash64("record_uid", "start", "strand")).sortWithinPartitions("gene_name").mapInArrow(run, _COUNTS)
 
 
 def null_rows(counts: DataFrame, iterations: int) -> DataFrame:
