@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,13 +57,49 @@ def holds_any(text: Column, words: list[str]) -> Column:
     return F.arrow_udf(found, "boolean")(text) if held else F.lit(False)
 
 
-def mark_known(candidates: DataFrame, references: DataFrame, most: int = 5000, gram: int = 8) -> DataFrame:
+#: Lengths of what leads a reference: the longest that it has.
+LEADS = (10, 12, 15, 20, 30, 50, 80)
+
+
+def leading_stretches(text: Column, widths: list[int], gram: int) -> Column:
+    """Of every window of each width its stretch of ``gram`` letters with the least hash, once a text.
+
+    Equal windows have equal ones, and neighbouring windows mostly share theirs, so they are few beside all stretches.
+    """
+
+    def found(s: pa.Array) -> pa.Array:
+        texts = [x or "" for x in s.to_pylist()]
+        whole = "".join(texts)
+        letters = np.frombuffer(whole.encode("utf-32-le"), "<u4").astype(np.uint64)
+        ends = np.cumsum([0, *map(len, texts)])
+        hashes = np.zeros(max(0, len(letters) - gram + 1), np.uint64)
+        for k in range(gram):
+            hashes = (hashes + letters[k : k + len(hashes)]) * np.uint64(0x9E3779B97F4A7C15)
+            hashes ^= hashes >> np.uint64(29)
+        end_of = np.repeat(ends[1:], np.diff(ends))
+        at = [np.zeros(0, int)]
+        for width in widths:
+            n = width - gram + 1
+            if len(hashes) >= n:
+                windows = np.lib.stride_tricks.sliding_window_view(hashes, n)
+                starts = np.flatnonzero(np.arange(len(windows)) + width <= end_of[: len(windows)])  # within one text
+                for k in range(0, len(starts), 1 << 16):
+                    at.append(starts[k : k + (1 << 16)] + np.argmin(windows[starts[k : k + (1 << 16)]], axis=1))
+        at = np.unique(np.concatenate(at))
+        bounds = np.searchsorted(at, ends).tolist()
+        at = at.tolist()
+        return pa.array([list({whole[i : i + gram] for i in at[a:b]}) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.list_(pa.string()))
+
+    return F.arrow_udf(found, "array<string>")(text)
+
+
+def mark_known(candidates: DataFrame, references: DataFrame, most: int = 5000, gram: int = 8, pairs: int = 1_000_000) -> DataFrame:
     """is_known_precursor: some reference sequence stands within the protein.
 
     Up to ``most`` references are tried in place: those of at most ``gram`` residues by looking up each stretch of a protein, longer ones
-    one by one.  A null protein holds none.  More of them meet the distinct proteins by one of their stretches of ``gram``
-    residues, the one that the fewest proteins have: a reference with a stretch that none has is done with, and a common stretch brings
-    references to proteins only where all of theirs are common.  Shorter references are their own stretch.
+    one by one.  A null protein holds none.  More of them meet the distinct proteins by the stretch of ``gram`` residues that leads
+    them: the one with the least hash of their first residues, of which a protein has few.  A stretch that would bring more than
+    ``pairs`` pairs together is too common for that; its references, and those shorter than ``gram``, meet the proteins by their rarest one.
     """
     refs = references.select(F.upper("sequence").alias("r")).filter("r <> ''").distinct()
     listed = cut(refs)
@@ -74,6 +112,34 @@ def mark_known(candidates: DataFrame, references: DataFrame, most: int = 5000, g
             known = known | F.coalesce(F.exists("_refs", lambda r: F.contains(F.col("protein"), r)), F.lit(False))
         return out.withColumn("is_known_precursor", known).drop("_refs")
 
+    proteins = candidates.select("protein").distinct()
+    own = listed.withColumn("_n", F.length("r")).filter(F.col("_n") >= gram)
+    width = F.lit(gram)
+    for n in LEADS:
+        width = F.when(F.col("_n") >= n, n).otherwise(width) if n > gram else width
+    own = own.select("r", F.left("r", width).alias("lead"))
+    widths = sorted(r[0] for r in own.select(F.length("lead")).distinct().collect())  # some of LEADS, and gram
+    rest, known = listed, None
+    if widths:
+        by_width = [own.filter(F.length("lead") == n).select("r", leading_stretches(F.col("lead"), [n], gram)[0].alias("g")) for n in widths]
+        leads = cut(reduce(DataFrame.union, by_width))
+        hits = cut(proteins.select("protein", F.explode(leading_stretches(F.col("protein"), widths, gram)).alias("g")).join(leads.select("g").distinct(), "g"))
+        common = cut(hits.groupBy("g").agg(F.count("*").alias("n")).join(leads.groupBy("g").agg(F.count("*").alias("m")), "g").filter(F.col("n") * F.col("m") > pairs).select("g"))
+        known = hits.join(leads.join(common, "g", "left_anti"), "g").filter(F.contains("protein", F.col("r"))).select("protein")
+        rest = leads.join(common, "g").select("r").union(listed.filter(F.length("r") < gram).select("r"))
+    if not rest.isEmpty():
+        rarest = _by_rarest(proteins, cut(rest), gram)
+        known = rarest if known is None else known.union(rarest)
+    return candidates.join(known.distinct().withColumn("_known", F.lit(True)), "protein", "left").withColumn("is_known_precursor", F.coalesce("_known", F.lit(False))).drop("_known")
+
+
+def _by_rarest(proteins: DataFrame, listed: DataFrame, gram: int) -> DataFrame:
+    """The proteins that hold a listed sequence, by its stretch of ``gram`` residues that the fewest proteins have.
+
+    A reference with a stretch that none has is done with, and a common stretch brings references to proteins only where all of
+    theirs are common.  Shorter references are their own stretch.
+    """
+
     def stretches(text: str, n: int) -> Column:
         places = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
         return F.array_distinct(F.transform(places, lambda i: F.substr(text, i, F.lit(n))))
@@ -81,12 +147,11 @@ def mark_known(candidates: DataFrame, references: DataFrame, most: int = 5000, g
     sizes = sorted(r[0] for r in listed.select(F.least(F.length("r"), F.lit(gram))).distinct().collect())  # at most ``gram`` numbers
     own = F.when(F.length("r") >= gram, stretches("r", gram)).otherwise(F.array("r"))
     wanted = listed.select("r", F.explode(own).alias("g"))
-    grams = candidates.select("protein").distinct().select("protein", F.explode(F.flatten(F.array(*(stretches("protein", n) for n in sizes)))).alias("g"))
+    grams = proteins.select("protein", F.explode(F.flatten(F.array(*(stretches("protein", n) for n in sizes)))).alias("g"))
     hits = cut(grams.join(wanted.select("g").distinct(), "g"))
     counts = hits.groupBy("g").agg(F.count("*").alias("n"))
     rarest = wanted.join(counts, "g", "left").groupBy("r").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("b")).filter("b.n > 0").select("r", F.col("b.g").alias("g"))
-    known = hits.join(rarest, "g").filter(F.contains("protein", F.col("r"))).select("protein").distinct()
-    return candidates.join(known.withColumn("_known", F.lit(True)), "protein", "left").withColumn("is_known_precursor", F.coalesce("_known", F.lit(False))).drop("_known")
+    return hits.join(rarest, "g").filter(F.contains("protein", F.col("r"))).select("protein")
 
 
 def checked_join(candidates: DataFrame, scores: DataFrame, key: str = "candidate_id") -> DataFrame:
