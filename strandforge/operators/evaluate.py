@@ -168,7 +168,8 @@ def retrieval_benchmark(
     two = top_loci(vectors, usable.select(F.lit("").alias("ref_id"), F.col("accession").alias("locus"), "ref_ord", "embedding"), 2).select(F.col("candidate_id").alias("protein"), F.col("best").alias("two"))
     other = F.filter("two", lambda x: x["locus"] != F.col("accession"))
     scored = own.join(two, "protein").withColumn("best_similarity", F.try_element_at(other, F.lit(1))["similarity"]).filter("best_similarity is not null").drop("two")
-    raw = best_rule_score(scored.select(F.col("protein").alias("sequence")), rules).select(F.col("sequence").alias("protein"), F.col("rule_score_raw").alias("rule_score"))
+    # of what is written: what has been searched for is read once
+    raw = best_rule_score(own.select(F.col("protein").alias("sequence")), rules).select(F.col("sequence").alias("protein"), F.col("rule_score_raw").alias("rule_score"))
     scored = cut(scored.join(raw, "protein"))
     ranks = cut(holdout_ranks(scored, cutoffs))
     held_out = scored.filter("is_holdout").join(ranks.select("locus", "rank", *cutoffs), "locus")
