@@ -27,6 +27,24 @@ PK_N_BY_RESIDUE = {"A": 7.59, "M": 7.0, "S": 6.93, "P": 8.36, "T": 6.82, "V": 7.
 PK_C_BY_RESIDUE = {"D": 4.55, "E": 4.75}
 
 
+_BASE = np.full(128, 4, np.uint8)
+for _k, _letter in enumerate("TCAG"):
+    _BASE[ord(_letter)] = _BASE[ord(_letter.lower())] = _k
+#: Amino acids by codon number; a codon with another letter is X.
+_AMINO = np.array([ord(AMINO[16 * a + 4 * b + c] if max(a, b, c) < 4 else "X") for a in range(5) for b in range(5) for c in range(5)], np.uint8)
+
+
+def bases(text: str) -> np.ndarray:
+    """Letters as numbers: T, C, A and G, in either case, from 0, and 4 for any other."""
+    return _BASE[np.frombuffer(text.encode(), np.uint8)] if text.isascii() else _BASE[np.minimum(np.frombuffer(text.encode("utf-32-le"), "<u4"), 127)]
+
+
+def codon_numbers(letters: np.ndarray) -> np.ndarray:
+    """The number of the codon that begins at each base but the last two."""
+    own = letters.astype(np.int16)
+    return 25 * own[:-2] + 5 * own[1:-1] + own[2:]
+
+
 def amino_acid(codon: Column, unknown: str = "X", stop: str = "*") -> Column:
     """One codon's amino acid: two lookups in short constant strings, no map."""
     at = [F.instr(F.lit("TCAG"), F.substring(codon, k, 1)) for k in (1, 2, 3)]
@@ -49,10 +67,20 @@ def codon_residues(dna: Column) -> Column:
 
 def translate_bacterial(dna: Column) -> Column:
     """Protein of a coding sequence: upper case, under three bases "", one closing stop dropped, GTG or TTG first is M."""
-    up = F.upper(dna)
-    protein = F.regexp_replace(F.array_join(F.transform(codons(up), lambda c: amino_acid(c)), ""), r"\*$", "")
-    body = F.when(F.substring(up, 1, 3).isin(*ALT_STARTS) & (protein != ""), F.concat(F.lit("M"), F.substr(protein, F.lit(2)))).otherwise(protein)
-    return F.when(F.length(up) < 3, F.lit("")).otherwise(body)
+
+    def translated(s: pa.Array) -> pa.Array:
+        given = s.to_pylist()
+        texts = [x if x is None or x.isascii() else x.upper() for x in given]
+        size = np.array([len(x or "") // 3 * 3 for x in texts], int)
+        letters = _AMINO[codon_numbers(bases("".join(x[:n] for x, n in zip(texts, size.tolist(), strict=True) if x)))[::3]]
+        whole, out, at = letters.tobytes().decode(), [], 0
+        for x, n in zip(texts, (size // 3).tolist(), strict=True):
+            protein = whole[at : at + n].removesuffix("*")
+            at += n
+            out.append(None if x is None else "M" + protein[1:] if protein and x[:3].upper() in ALT_STARTS else protein)
+        return pa.array(out, pa.string())
+
+    return F.arrow_udf(translated, "string")(dna)
 
 
 def is_alt_start(codon: Column) -> Column:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandforge.functions.seq import STARTS, STOPS, reverse_complement, translate_bacterial
+from strandforge.functions.seq import STARTS, STOPS, bases, codon_numbers, reverse_complement, translate_bacterial
 from strandforge.functions.text import candidate_id
 from strandforge.operators.ordered import numbered
 
 #: Bases whose starts one tile owns.
 TILE = 1200
+_STARTS, _STOPS = (codon_numbers(bases("".join(x)))[::3] for x in (STARTS, STOPS))
 #: Source of region ranges that a product annotation tells.
 PRODUCT = "product"
 
@@ -23,17 +26,35 @@ def _tiles(own: Column, tile: int, reach: int) -> Column:
 
 def _frames(piece: Column, tile: int, min_aa: int, max_aa: int) -> Column:
     """struct(f, i, n): in frame f of a piece, a start at codon i and the codons before its stop."""
-    found = []
-    for f in range(3):
-        codons = F.regexp_extract_all(F.upper(F.substr(piece, F.lit(f + 1))), F.lit("(?s)..."), F.lit(0))
-        marks = F.filter(F.transform(codons, lambda c, k: F.when(c.isin(*STARTS), F.struct(F.lit(0).alias("stop"), k.alias("k"))).when(c.isin(*STOPS), F.struct(F.lit(1).alias("stop"), k.alias("k")))), lambda m: m.isNotNull())
-        # from the end: what comes before the next stop gets it, and a start in the tile's own part is kept
-        first = F.struct(F.lit(-1).alias("next"), F.array().cast("array<struct<f:int,i:int,n:int>>").alias("out"))
-        hit = lambda acc, m, f=f: (m["stop"] == 0) & (acc["next"] > 0) & (m["k"] * 3 + f < tile) & (acc["next"] - m["k"]).between(min_aa, max_aa)
-        one = lambda acc, m, f=f: F.array(F.struct(F.lit(f).alias("f"), m["k"].alias("i"), (acc["next"] - m["k"]).alias("n")))
-        step = lambda acc, m: F.struct(F.when(m["stop"] == 1, m["k"]).otherwise(acc["next"]).alias("next"), F.when(hit(acc, m), F.concat(acc["out"], one(acc, m))).otherwise(acc["out"]).alias("out"))  # noqa: E731,B023
-        found.append(F.aggregate(F.reverse(marks), first, step, lambda acc: acc["out"]))
-    return F.concat(*found)
+
+    def found(s: pa.Array) -> pa.Array:
+        texts = [x or "" for x in s.to_pylist()]
+        # upper case may be longer than a letter that isn't ASCII, so such a piece's frames are read one by one
+        odd = [k for k, x in enumerate(texts) if not x.isascii()]
+        own = [x if x.isascii() else "" for x in texts] + [texts[k][f:].upper() for k in odd for f in range(3)]
+        row = np.r_[np.arange(len(texts)), np.repeat(np.array(odd, int), 3)]
+        shift = np.r_[np.zeros(len(texts), int), np.tile(np.arange(3), len(odd))]
+        letters, ends = bases("".join(own)), np.cumsum([0, *map(len, own)])
+        of = np.repeat(np.arange(len(own)), np.diff(ends))[:-2]
+        codon = np.where(of == np.repeat(np.arange(len(own)), np.diff(ends))[2:], codon_numbers(letters), -1)
+        at = np.arange(len(codon)) - ends[of]
+        # by piece and frame, and by place within these: the next stop is the one that follows a start
+        key = (of * 3 + at % 3) * (len(letters) + 1) + at
+        stops = np.sort(key[np.isin(codon, _STOPS)])
+        begun = np.flatnonzero(np.isin(codon, _STARTS) & (at + shift[of] < tile) & ((of < len(texts)) | (at % 3 == 0)))
+        after = np.searchsorted(stops, key[begun])
+        begun, after = begun[after < len(stops)], after[after < len(stops)]
+        n = stops[after] - key[begun]
+        good = (stops[after] // (len(letters) + 1) == key[begun] // (len(letters) + 1)) & (n >= 3 * min_aa) & (n <= 3 * max_aa + 2)
+        begun, n = begun[good], n[good] // 3
+        rows = row[of[begun]]
+        order = np.argsort(rows, kind="stable")
+        begun, n, rows = begun[order], n[order], rows[order]
+        fields = [(at[begun] % 3 + shift[of[begun]]), at[begun] // 3, n]
+        hits = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in fields], ["f", "i", "n"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(len(texts) + 1)).astype(np.int32)), hits)
+
+    return F.arrow_udf(found, "array<struct<f:int,i:int,n:int>>")(piece)
 
 
 def orfs(windows: DataFrame, min_aa: int = 20, max_aa: int = 120, tile: int = TILE, strands: tuple[str, ...] = ("+", "-")) -> DataFrame:
