@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Callable, Iterator
 from copy import deepcopy
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandforge.functions.seq import HYDROPATHY, SIDE_CHARGE, end_charge, running_sums
+from strandforge.functions.seq import HYDROPATHY, PK_C, PK_C_BY_RESIDUE, PK_N, PK_N_BY_RESIDUE, SIDE_CHARGE, end_charge, running_sums
 from strandforge.functions.text import confidence, occurrences
 
 #: Parameters of the default ruleset, as (weight, parameters) by rule.
@@ -298,12 +303,142 @@ def predicted_and_known(proteins: DataFrame, rules: dict[str, Rule], allow_inver
     return _told(ranked.filter((F.col("rank") == 1) | F.array_contains("cores", F.translate(core, "I", "L"))).drop("cores"))
 
 
+#: Rules that ``_array_scorer`` knows.
+_IN_ARRAYS = ("core_start_residue", "ring_closure_residue", "core_length", "cleavage_motif", "leader_penultimate_residue", "leader_signature_motifs", "hydrophobicity_transition", "charge_transition", "steric_lock_region")
+
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """To 9 decimals as Spark rounds: halves of the shortest decimal go up."""
+    y = x * 1e9
+    out = np.rint(y) / 1e9
+    for k in np.flatnonzero(np.abs(np.abs(y) % 1 - 0.5) < 1e-4):
+        out[k] = float(Decimal(repr(float(x[k]))).quantize(Decimal("1e-9"), ROUND_HALF_UP))
+    return out
+
+
+def _array_scorer(rules: dict[str, Rule]) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]] | None:
+    """What gives (best score of all sites, number of sites) of each of some sequences, leader first; None where a rule needs more than arrays.
+
+    The scores are those of ``rule_scores``, added in its order.  Most time goes into sites, of which only the best counts here, so all
+    sites of many sequences are scored at once and none becomes a row.
+    """
+    on = {k: (float(r["weight"]), r["parameters"]) for k, r in rules.items() if r["enabled"] and k not in UNSCORED}
+    given = {k: p for k, (_, p) in on.items()}
+    least = int(given["core_length"]["min"]) if "core_length" in on else 10
+    ring, patterns = given.get("ring_closure_residue"), given.get("leader_signature_motifs", {}).get("patterns")
+    one = [x for k, name in (("core_start_residue", "scores"), ("core_start_residue", "hard_forbidden"), ("leader_penultimate_residue", "preferred"), ("leader_penultimate_residue", "allowed_rare"), ("ring_closure_residue", "residues"), ("steric_lock_region", "bulky_residues")) for x in given.get(k, {}).get(name, [])]
+    sound = not set(on) - set(_IN_ARRAYS) and least >= 1 and all(len(x) == 1 and x < "\x7f" for x in one) and all(len(x) == 2 and x.isascii() for x in given.get("cleavage_motif", {}).get("motifs", []))
+    sound = sound and (ring is None or bool(ring["residues"]) and bool(ring["allowed_positions"]) and min(ring["allowed_positions"]) >= 1)
+    if not sound or (patterns is not None and not (patterns and all(re.fullmatch("[A-Za-z.]+", x) for x in patterns))):
+        return None
+
+    def table(values: dict[str, float], other: float) -> np.ndarray:
+        out = np.full(128, float(other))
+        for k, v in values.items():
+            out[ord(k)] = float(v)
+        return out
+
+    ends_n = np.array([1 / (10 ** (ph - PK_N_BY_RESIDUE.get(chr(k), PK_N)) + 1) for ph in (7.0,) for k in range(128)])
+    ends_c = np.array([-1 / (10 ** (PK_C_BY_RESIDUE.get(chr(k), PK_C) - 7.0) + 1) for k in range(128)])
+
+    def scores(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        size = np.array([len(x) for x in texts], int)
+        letters = np.minimum(np.frombuffer("".join(texts).encode("utf-32-le"), "<u4"), 127).astype(np.int64)
+        begin = np.cumsum(size) - size
+        count = np.maximum(0, size - least - 9)
+        of = np.repeat(np.arange(len(texts)), count)
+        position = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + 10
+        first, end = begin[of], (begin + size)[of]
+        at, n = first + position, size[of] - position
+        running = lambda t: np.r_[0, np.cumsum(t[letters])]
+        total = np.zeros(len(of))
+        if "core_start_residue" in on:
+            w, p = on["core_start_residue"]
+            t = table(p["scores"], p.get("penalty_other", -0.5))
+            t[[ord(x) for x in p.get("hard_forbidden", [])]] = float(p.get("penalty_forbidden", -2.0))
+            total = total + w * t[letters[at]]
+        best, place = np.full(len(of), -np.inf), np.zeros(len(of), int)
+        if ring is not None:
+            closes = table(dict.fromkeys(ring["residues"], 1), 0) > 0
+            for q in ring["allowed_positions"]:
+                v = float(ring.get("position_weights", {}).get(str(q), 1.0))
+                better = (q <= n) & closes[letters[np.minimum(at + q - 1, end - 1)]] & (v > best)
+                best[better], place[better] = v, q - 1
+            w = on["ring_closure_residue"][0]
+            total = total + w * np.where(np.isfinite(best), best, float(ring.get("penalty_if_missing_in_allowed_window", -5.0)))
+        if "core_length" in on:
+            w, p = on["core_length"]
+            fits = [(n >= p["optimal_min"]) & (n <= p["optimal_max"]), (n >= p["min"]) & (n <= p["max"])]
+            total = total + w * np.select(fits, [float(p.get("score_optimal", 1.0)), float(p.get("score_acceptable", 0.5))], float(p.get("penalty_outside", -1.0)))
+        if "cleavage_motif" in on:
+            w, p = on["cleavage_motif"]
+            pairs = np.zeros((128, 128))
+            for k, v in p["motifs"].items():
+                pairs[ord(k[0]), ord(k[1])] = w * float(v) / 2
+            total = total + pairs[letters[at - 1], letters[at]]
+        if "leader_penultimate_residue" in on:
+            w, p = on["leader_penultimate_residue"]
+            total = total + w * table({**p.get("allowed_rare", {}), **p.get("preferred", {})}, p.get("penalty_other", -0.5))[letters[at - 2]]
+        if patterns is not None:
+            w, p = on["leader_signature_motifs"]
+            most = np.full(len(of), -np.inf)
+            for k, v in patterns.items():
+                # of one length, so the first match ends first; a leader has it once it reaches that end
+                look = re.compile(k.replace(".", "[^\n\r\u0085\u2028\u2029]") if p.get("allow_regex") else re.escape(k))
+                ends = np.array([m.end() if (m := look.search(x)) else len(x) + 1 for x in texts], int)
+                most = np.where(position >= ends[of], np.maximum(most, float(v)), most)
+            total = total + np.where(np.isfinite(most), w * most, 0.0)
+        if "hydrophobicity_transition" in on:
+            w, p = on["hydrophobicity_transition"]
+            tenths = running(table({k: round(10 * v) for k, v in HYDROPATHY.items()}, 0))  # whole numbers: their sums are exact
+            window = p["window_size"] if p.get("window_size") else np.minimum(position, n)
+            a, b = np.maximum(first, at - window), np.minimum(end, at + window)
+            diff = _rounded((tenths[b] - tenths[at]) / (10 * (b - at)) - (tenths[at] - tenths[a]) / (10 * (at - a)))
+            total = total + np.where(diff >= p["min_difference"], w * np.minimum(diff / 2, 1.5), 0.0)
+        if "charge_transition" in on:
+            w, p = on["charge_transition"]
+            own, sums = table(SIDE_CHARGE, 0)[letters], np.zeros(len(letters) + len(texts))
+            for k, (x, y) in enumerate(zip(begin.tolist(), (begin + size).tolist(), strict=True)):  # each from its own start
+                np.cumsum(own[x:y], out=sums[x + k + 1 : y + k + 1])
+            leader = sums[at + of] - sums[first + of] + (ends_n[letters[first]] + ends_c[letters[at - 1]])
+            core = sums[end + of] - sums[at + of] + (ends_n[letters[at]] + ends_c[letters[end - 1]])
+            diff = _rounded(leader - core)
+            diff = diff if p["leader_more_charged"] else -diff
+            total = total + np.where(diff >= p.get("min_difference", 0.1), w * np.minimum(diff * 2, 1.0), 0.0)
+        if "steric_lock_region" in on and ring is not None:
+            w, p = on["steric_lock_region"]
+            bulky = running(table(dict.fromkeys(p["bulky_residues"], 1), 0))
+            a = np.maximum(0, place + p["relative_to_acceptor"].get("start_offset", 0))
+            b = np.minimum(n - 1, place + p["relative_to_acceptor"].get("end_offset", 0))
+            held = np.isfinite(best) & (b >= a)
+            inside = bulky[at + np.where(held, b + 1, 0)] - bulky[at + np.where(held, a, 0)]
+            total = total + np.where(held & (inside >= p.get("require_at_least", 1)), w, 0.0)
+        out, some = np.zeros(len(texts)), np.flatnonzero(count)
+        if len(some):
+            out[some] = _rounded(np.maximum.reduceat(total, (np.cumsum(count) - count)[some]))
+        return out, count
+
+    return scores
+
+
 def best_rule_score(proteins: DataFrame, rules: dict[str, Rule] | None = None, allow_inverted: bool = False, **limits) -> DataFrame:
     """(sequence, rule_score_raw, rule_orientation) of the distinct sequences; 0 and null where no site is allowed.
 
-    An aggregate with an ordered maximum: no window, partial before the shuffle, and each sequence is scored once.
+    Each sequence is scored once, its sites as arrays where the rules allow; else by an aggregate with an ordered maximum: no window,
+    partial before the shuffle.
     """
     once = dealt(proteins.select(F.upper(F.trim("sequence")).alias("sequence")).distinct())
+    scorer = None if allow_inverted or limits else _array_scorer(rules or ruleset())
+    if scorer is not None:
+
+        def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for at in range(0, b.num_rows, 2048):
+                    own = b.column(0).slice(at, 2048)
+                    best, count = scorer([x or "" for x in own.to_pylist()])
+                    yield pa.RecordBatch.from_arrays([own, pa.array(best), pa.array(["leader_core" if x else None for x in count.tolist()], pa.string())], names=["sequence", "rule_score_raw", "rule_orientation"])
+
+        return once.mapInArrow(scored, "sequence string, rule_score_raw double, rule_orientation string")
     sites = _sites(once, rules or ruleset(), limits.get("min_leader", 10), limits.get("min_core"), allow_inverted)
     best = F.max(F.struct("score", "orientation", (-F.col("position")).alias("p"))).alias("b")
     scored = sites.groupBy("sequence").agg(best).select("sequence", F.col("b.score").alias("rule_score_raw"), F.col("b.orientation").alias("rule_orientation"))
